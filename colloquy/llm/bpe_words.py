@@ -33,8 +33,6 @@ from colloquy.llm import textkernel as tk
 from colloquy.llm.shared import materialise, texts
 from colloquy.llm.token_blocks import Ragged, distinct, pieces
 
-_EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-
 
 def token_table(spark: SparkSession, rank_path: str) -> DataFrame:
     """``id, token`` of a rank file (lines of base64 and rank)."""
@@ -153,55 +151,42 @@ def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, ba
     table = materialise(encode_words(exploded.select("word").distinct(), tokens, rank_path, pattern), "bpe-words")
     back = exploded.join(table, "word").select("batch", "code", "ids", "decoded")
 
-    def digests(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ids, decoded = [], [], []
-        for r in right:
-            codes.append(r.column("code").to_numpy())
-            ids += [",".join(map(str, x)).encode() for x in r.column("ids").to_pylist()]
-            decoded += r.column("decoded").to_pylist()
-        order = np.argsort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        ids, decoded = [ids[i] for i in order], [decoded[i] for i in order]
+    def sorted_words(right: pa.Table) -> tuple[list, list]:
+        order = np.argsort(right.column("code").to_numpy())
+        ids, decoded = (right.column(c).to_pylist() for c in ("ids", "decoded"))
+        return [ids[i] for i in order], [decoded[i] for i in order]
+
+    def digests(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, decoded = sorted_words(right)
+        ids = [",".join(map(str, x)).encode() for x in ids]
+        rows = []
         for doc_id, part in _texts_of(left):
             text = b",".join([ids[c] for c in part])
             n = text.count(b",") + 1 if text else 0
-            yield doc_id, n, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([decoded[c] for c in part])).hexdigest()
-
-    def lists(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]):
-        codes, ids, decoded = [], [], []
-        for r in right:
-            codes.append(r.column("code").to_numpy())
-            ids += r.column("ids").to_pylist()
-            decoded += r.column("decoded").to_pylist()
-        order = np.argsort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        table, decoded = Ragged([ids[i] for i in order]), [decoded[i] for i in order]
-        for doc_id, part in _texts_of(left):
-            yield doc_id, table.lay_out(np.asarray(part, np.int64))[0].tolist(), b"".join([decoded[c] for c in part])
+            rows.append((doc_id, n, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([decoded[c] for c in part])).hexdigest()))
+        return _as_table(rows, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
+
+    def lists(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, decoded = sorted_words(right)
+        table = Ragged(ids)
+        rows = [(doc_id, table.lay_out(np.asarray(part, np.int64))[0].astype(np.int32), b"".join([decoded[c] for c in part])) for doc_id, part in _texts_of(left)]
+        return _as_table(rows, ["doc_id", "ids", "decoded"], [pa.int64(), pa.list_(pa.int32()), pa.binary()])
 
-    rows_of = digests if digest else lists
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string()) if digest else (pa.int64(), pa.list_(pa.int32()), pa.binary())
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded binary"
+    left = batches.select(F.col("batch").alias("of_batch"), "doc_ids", "counts", "codes")
+    return left.groupBy("of_batch").cogroup(back.groupBy("batch")).applyInArrow(digests if digest else lists, schema)
 
-    def gather(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some: list[tuple] = []
-        for row in rows_of(key, left, right):
-            some.append(row)
-            if len(some) >= (2000 if digest else 200):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
-                some = []
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
 
-    left = batches.select("batch", "doc_ids", "counts", "codes")
-    return left.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(gather, schema)
+def _as_table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
-def _texts_of(left: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int]]]:
+def _texts_of(left: pa.Table) -> Iterator[tuple[int, list[int]]]:
     """Each text of a batch: its id and the numbers of its pre-tokens."""
-    for batch in left:
-        for row in batch.to_pylist():
-            codes = _unpack(zstandard.ZstdDecompressor().decompress(row["codes"]))
-            at = 0
-            for doc_id, n in zip(row["doc_ids"], row["counts"], strict=True):
-                yield doc_id, codes[at : at + n].tolist()
-                at += n
+    for row in left.to_pylist():
+        codes = _unpack(zstandard.ZstdDecompressor().decompress(row["codes"]))
+        at = 0
+        for doc_id, n in zip(row["doc_ids"], row["counts"], strict=True):
+            yield doc_id, codes[at : at + n].tolist()
+            at += n
