@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, quality_rules, token_orc
+from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, minhash_dedup, quality_rules, token_orc
 from colloquy.llm.shared import new_path, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_checksum(token_orc.read_token_orc(spark, path))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -83,6 +87,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_orc, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
 ORACLE_SQL = {"op5_chat_format": _op5_sql()}
