@@ -34,7 +34,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, _SEGMENT)
         with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, p, dtype=_U)]).astype(_U), dtype=_U) for p in (_P, _P_INV)]
+            for k, p in enumerate((_P, _P_INV)):
+                factors = np.full(size, p, dtype=_U)
+                factors[0] = 1
+                _powers[k:] = [np.cumprod(factors, dtype=_U)]
     return _powers[0], _powers[1]
 
 
