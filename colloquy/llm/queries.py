@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, minhash_dedup, quality_classifier, quality_rules, token_orc
+from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, minhash_dedup, quality_classifier, quality_rules, substring_dedup, token_orc
 from colloquy.llm.shared import new_path, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(docs, quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_TOKENIZER), end_id=1)
@@ -92,6 +96,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
 ORACLE_SQL = {"op5_chat_format": _op5_sql()}
