@@ -105,34 +105,57 @@ class Items:
         return found
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 30, block_chars: int = 4 << 20) -> DataFrame:
-    """One row per place of a test item in a document: ``doc_id, item_id, start_char, end_char, distance``."""
-    spark = docs.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
+def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of items in normal form, of at most ``block_chars`` characters (or one item) each."""
+    block: list[tuple[int, str]] = []
     size = 0
     for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).toLocalIterator():
         text = normal(text)
         if len(text) < min_chars:
             continue
-        if blocks[-1] and size + len(text) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item_id, text))
+        if block and size + len(text) > block_chars:
+            yield sorted(block, key=lambda x: (x[0] is None, x))
+            block, size = [], 0
+        block.append((item_id, text))
         size += len(text)
-    return reduce(DataFrame.unionByName, (_scan(docs, spark.sparkContext.broadcast((error_rate, sorted(b)))) for b in blocks))
+    if block:
+        yield sorted(block, key=lambda x: (x[0] is None, x))
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 30, block_chars: int = 4 << 20) -> DataFrame:
+    """One row per place of a test item in a document: ``doc_id, item_id, start_char, end_char, distance``."""
+    send = docs.sparkSession.sparkContext.broadcast
+    scans = [_scan(docs, send((error_rate, block))) for block in _blocks(benchmark, min_chars, block_chars)]
+    return reduce(DataFrame.unionByName, scans) if scans else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def _scan(docs: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate, block = sent.value
-        items = Items(block, rate)
+        items = None
         for batch in batches:
-            if not block:
-                continue
+            items = items or Items(sent.value[1], sent.value[0])
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 rows += [(doc_id, *x) for x in items.find(normal(text.as_py()))]
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start_char", "end_char", "distance"])
 
     return texts(docs).mapInArrow(run, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 30, block_chars: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, with all their columns."""
+
+    def without(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = None
+            for batch in batches:
+                items = items or Items(sent.value[1], sent.value[0])
+                text = batch.column(batch.schema.get_field_index("text"))
+                yield batch.filter(pa.array([not items.find(normal(t.as_py() or "")) for t in text], pa.bool_()))
+
+        return run
+
+    for block in _blocks(benchmark, min_chars, block_chars):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast((error_rate, block))), docs.schema)
+    return docs

@@ -254,3 +254,10 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(own)
     return rows.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
+    """The rows of ``docs`` that represent their group, with all their columns; rows that repeat a doc_id stay once."""
+    kept = near_duplicates(docs, how).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where(F.col("doc_id").isNull()))
