@@ -1,15 +1,15 @@
 """Byte-level BPE over a corpus by its distinct words.
 
 1. Each batch of texts is cut into pre-tokens; a batch becomes one row: its distinct pre-tokens, and for each
-   text the positions as numbers of those (varied-length packed and compressed).
-2. The pre-tokens of all batches are exploded and made distinct by a shuffle on the word; each distinct word is
-   encoded once, with the rank file's merges; its ids are exploded and joined with the token-byte table
-   to decode them.
-3. Ids and bytes are joined back to the batches by word, brought together by batch and laid out by position.
+   text the positions as numbers of those (packed and compressed).
+2. The distinct pre-tokens of all batches are exploded and brought together by a shuffle on the word, sorted; a task
+   streams through its words and encodes each one once, with the rank file's merges.
+3. The ids go back to the batches by a shuffle on the batch, where they are laid out by position. Decoding joins each
+   distinct word's ids with the token-byte table, which is broadcast (its size is the vocabulary's).
 
 A hot word is one row per batch at most, and the batches bound every group: a batch holds at most ``batch_rows``
-texts and ends at about ``batch_bytes``; one text is never split. The words' join may be split for skew.
-Batches are written to the shared folder, so that a lost executor repeats no numbering.
+texts and about ``batch_bytes``; one text is never split. Batches are written to the shared folder, so that a lost
+executor repeats no numbering.
 
 Edge cases: null or empty text has no ids (hash of nothing). Repeated rows are encoded each. Only ``doc_id`` and
 ``text`` are read, so further columns may have any names. An empty table gives no rows.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,8 +96,8 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
             text = whole.column("text").chunk(0)
             data, offs = next((d, o) for _, _, d, o in tk.blocks(text, 1 << 62))
             words, codes, counts = _number(data, offs, pattern)
-            cols = [[uuid.uuid4().hex], [whole.column("doc_id").to_pylist()], [counts.tolist()], [press.compress(_pack(codes))], [words]]
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
+            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [press.compress(_pack(codes))], [words]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -110,27 +110,27 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
         if rows:
             yield flush()
 
-    return texts(docs).mapInArrow(run, "batch string, doc_ids array<long>, counts array<long>, codes binary, words array<binary>")
+    return texts(docs).mapInArrow(run, "batch long, doc_ids array<long>, counts array<long>, codes binary, words array<binary>")
 
 
-def encode_words(words: DataFrame, tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``word, ids, decoded`` of distinct ``word``: encoded once each, decoded by the token-byte table."""
+def encode_words(exploded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """``batch, code, ids`` of ``batch, code, word``: a task encodes each of its words once; ids are packed 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(rank_path, pattern)._core_bpe.encode_single_piece
+        word, packed = None, b""
         for batch in batches:
-            words = batch.column("word")
-            yield pa.RecordBatch.from_arrays([words, pa.array([encode(w) for w in words.to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+            ids = []
+            for w in batch.column("word").to_pylist():
+                if w != word:
+                    word, packed = w, np.array(encode(w), "<u4").tobytes()
+                ids.append(packed)
+            yield pa.RecordBatch.from_arrays([batch.column("batch"), batch.column("code"), pa.array(ids, pa.binary())], names=["batch", "code", "ids"])
 
-    encoded = words.mapInArrow(run, "word binary, ids array<int>")
-    at = encoded.select("word", "ids", F.posexplode("ids").alias("pos", "id"))
-    joined = at.join(F.broadcast(tokens), "id").groupBy("word").agg(
-        F.first("ids").alias("ids"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens")
-    )
-    return joined.select("word", "ids", F.aggregate("tokens", F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("decoded"))
+    return exploded.repartition("word").sortWithinPartitions("word").mapInArrow(run, "batch long, code int, ids binary")
 
 
-def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 20_000, batch_bytes: int = 24 << 20) -> DataFrame:
+def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 40 << 20) -> DataFrame:
     """``doc_id, ids, decoded`` of every document.
 
     ``batch_rows``, ``batch_bytes``: bounds of a batch, which one task must hold; the result is the same for any.
@@ -138,7 +138,7 @@ def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 20
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=False)
 
 
-def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 20_000, batch_bytes: int = 24 << 20) -> DataFrame:
+def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 40 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``byte_bpe``, hashed where the ids are laid out."""
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=True)
 
@@ -147,14 +147,16 @@ def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, ba
     spark = docs.sparkSession
     batches = materialise(number_batches(docs, pattern, batch_rows, batch_bytes), "bpe-batches")
     exploded = batches.select("batch", F.posexplode("words").alias("code", "word"))
-    tokens = token_table(spark, rank_path)
-    table = materialise(encode_words(exploded.select("word").distinct(), tokens, rank_path, pattern), "bpe-words")
-    back = exploded.join(table, "word").select("batch", "code", "ids", "decoded")
+    back = encode_words(exploded, rank_path, pattern)
+    table = {r["id"]: bytes(r["token"]) for r in token_table(spark, rank_path).toLocalIterator()}
+    tokens = spark.sparkContext.broadcast([table.get(i, b"") for i in range(max(table, default=-1) + 1)])
 
     def sorted_words(right: pa.Table) -> tuple[list, list]:
         order = np.argsort(right.column("code").to_numpy())
-        ids, decoded = (right.column(c).to_pylist() for c in ("ids", "decoded"))
-        return [ids[i] for i in order], [decoded[i] for i in order]
+        packed = right.column("ids").to_pylist()
+        ids = [np.frombuffer(packed[i], "<u4").tolist() for i in order]
+        token = tokens.value
+        return ids, [b"".join([token[i] for i in x]) for x in ids]
 
     def digests(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, decoded = sorted_words(right)

@@ -51,6 +51,36 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
+_KIND = np.zeros(256, np.uint8)  # 1: letters and digits, 2: punctuation; 0: apostrophe, white space, outside ASCII
+_KIND[33:127] = 2
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
+
+
+def distinct_words(data: np.ndarray, offs: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Numbers of the words between white space, cut further where ASCII letters or digits meet ASCII punctuation other
+    than an apostrophe (tokenizers that part words by kind of character cut there anyway); the distinct words; each text's first.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), [], np.zeros(len(offs), np.int64)
+    word = ~space[data]
+    start = word.copy()
+    kind = _KIND[data]
+    cut = (kind[1:] ^ kind[:-1]) == 3
+    start[1:] &= ~word[:-1] | cut
+    inner = offs[(offs > 0) & (offs < n)]
+    start[inner] = word[inner]
+    starts = np.flatnonzero(start)
+    chars = np.zeros(n + 1, np.int64)
+    np.cumsum(word, out=chars[1:])
+    where = np.append(chars[starts], chars[-1])  # words have no gaps once white space is left out
+    body = data[word]
+    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(body)])
+    coded = array.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), np.searchsorted(starts, offs)
+
+
 class Ragged:
     """Lists of numbers of many keys in one flat array, to be laid out by arrays of key numbers."""
 

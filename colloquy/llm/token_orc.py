@@ -8,14 +8,15 @@ files, stripes and row groups by their statistics and Bloom filters. A document'
 the whole corpus is its place in its part plus the sum over earlier parts, taken from the small columns
 of the files (one row per part).
 
-A tokenizer's vocabulary file is loaded once per Python worker. Distinct words are encoded once per batch
-and laid out by numpy. Edge cases: null text is empty and gives the end id alone; repeated doc_ids are
+A tokenizer's vocabulary file is loaded once per Python worker. Distinct words are encoded once per worker
+(up to a bound on what it remembers) and laid out by numpy. Edge cases: null text is empty and gives the end id alone; repeated doc_ids are
 repeated rows (in text order); an empty table gives an empty folder with the schema. Only ``doc_id`` and
 ``text`` are read, so further columns may have any names.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,10 +30,11 @@ from pyspark.sql import types as T
 
 from colloquy.llm import textkernel as tk
 from colloquy.llm.shared import texts
-from colloquy.llm.token_blocks import Ragged, distinct
+from colloquy.llm.token_blocks import distinct_words
 
 SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids array<int>"
-_KEEP_WORDS = 400_000
+_KEEP_WORDS = 1_000_000
+_BLOCK = 8 << 20
 
 
 @lru_cache(2)
@@ -46,33 +48,60 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of words that white space parts, remembered from batch to batch up to a bound."""
+    """Ids of words, remembered from block to block up to a bound: word k has ``length[k]`` ids from ``start[k]`` in ``flat``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+        self.end_id = end_id
+        self.folds_case = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {b"": 0}  # the empty word stands for the end of a text
+        self.flat, self.length = np.array([self.end_id], np.int32), np.array([1], np.int64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > _KEEP_WORDS:
+            self._forget()
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _KEEP_WORDS:
-            self.known.clear()
-            new = words
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.int32)
-        return [self.known[w] for w in words]
-
-
-def encode_block(encoder: WordEncoder, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        text = [w.decode() for w in new]
+        # Words of letters alone are one pre-token each, which ends with its one end-of-word token: they are encoded joined.
+        plain = np.fromiter((t.isalpha() and max(t) < "\u0250" and "\u0130" not in t for t in text), bool, len(text))
+        length = np.zeros(len(new), np.int64)
+        parts: list[np.ndarray] = []
+        order = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        for i in range(0, len(order[0]), 512):
+            some = order[0][i : i + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([text[k] for k in some])], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            length[some] = np.diff(ends, prepend=-1)
+            parts.append(ids)
+        for i in range(0, len(order[1]), 8192):
+            some = order[1][i : i + 8192]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([text[k] for k in some], add_special_tokens=False)]
+            length[some] = np.fromiter(map(len, got), np.int64, len(got))
+            parts.append(np.fromiter(itertools.chain.from_iterable(got), np.int32))
+        order = np.concatenate(order)
+        new = [new[k] for k in order]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.flat, self.length = np.concatenate([self.flat, *parts]), np.concatenate([self.length, length[order]])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
+def encode_block(encoder: WordEncoder, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a block, each with the end id, and where each text begins."""
-    starts, ends, first = tk.words(data, offs)
-    codes, words = distinct(data, starts, ends)
-    table = Ragged([*encoder.encode(words), [end_id]])
+    codes, words, first = distinct_words(tk.LOWER[data] if encoder.folds_case else data, offs, tk.SPACE)
+    number = encoder.numbers(words)
     n = len(offs) - 1
-    keys = np.insert(codes, first[1:], len(words))  # the end id is one more word behind each text
-    ids, where = table.lay_out(keys)
-    return ids.astype(np.int32), where[np.append(first[:-1] + np.arange(n), len(keys))]
+    keys = np.insert(number[codes] if len(codes) else codes, first[1:], 0)
+    begin = np.cumsum(encoder.length) - encoder.length
+    length = encoder.length[keys]
+    where = np.concatenate([[0], np.cumsum(length)])
+    ids = encoder.flat[tk.expand(begin[keys], length)]
+    return ids, where[np.append(first[:-1] + np.arange(n), len(keys))]
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, parts: int | None = None, row_index_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
@@ -86,10 +115,10 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, done = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, done = WordEncoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b, data, offs in tk.blocks(batch.column("text")):
-                ids, where = encode_block(encoder, data, offs, end_id)
+            for a, b, data, offs in tk.blocks(batch.column("text"), _BLOCK):
+                ids, where = encode_block(encoder, data, offs)
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
