@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Typographic characters and what stands for them.
 SPECIAL = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "..."}
@@ -85,13 +86,13 @@ def word_similarity(a: Column, b: Column, least: float = 0.6) -> Column:
     return F.when(x == y, 1.0).when(begins, 0.7 + 0.2 * short / long).when(far, 0.0).when(ratio >= least, ratio).otherwise(0.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_case(names: pd.Series) -> pd.Series:
     """Title case with apostrophes and hyphens as word borders, for which there is no built-in function."""
     return names.str.title()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
     """Unicode normal form C, for which there is no built-in function."""
     return text.str.normalize("NFC")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.operators.segments import AS_GIVEN, joined, order_words
+from colloquy.operators.segments import as_given, joined, order_words
 
 
 def transcript_metadata(words: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def first_words(words: DataFrame, size: int = 20) -> DataFrame:
 
 def checkpoint_quality(words: DataFrame, gap: float = 1.0) -> DataFrame:
     """Overlaps, gaps and faults of the words as given."""
-    before = words.withColumn("prev_end", F.lag("end_s", 1, 0.0).over(AS_GIVEN))
+    before = words.withColumn("prev_end", F.lag("end_s", 1, 0.0).over(as_given()))
     overlap = F.col("start_s") < F.col("prev_end")
     missing = F.col("speaker").isNull() | (F.col("speaker") == "")
     return before.groupBy("transcript_id").agg(

@@ -6,11 +6,16 @@ keeps the given order, which decides between words of equal times.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-IN_TIME = Window.partitionBy("transcript_id").orderBy("start_s", "end_s", "word_idx")
-AS_GIVEN = Window.partitionBy("transcript_id").orderBy("word_idx")
+
+def in_time() -> WindowSpec:
+    return Window.partitionBy("transcript_id").orderBy("start_s", "end_s", "word_idx")
+
+
+def as_given() -> WindowSpec:
+    return Window.partitionBy("transcript_id").orderBy("word_idx")
 
 
 def speaker_or_unknown(name: str = "speaker") -> Column:
@@ -30,12 +35,12 @@ def coerce_words(words: DataFrame) -> DataFrame:
 
 def order_words(words: DataFrame) -> DataFrame:
     """Adds ``ord``, a word's place in time within its transcript (from 0)."""
-    return words.withColumn("ord", F.row_number().over(IN_TIME) - 1)
+    return words.withColumn("ord", F.row_number().over(in_time()) - 1)
 
 
 def time_jumps(words: DataFrame, significant: float = 0.5) -> DataFrame:
     """Places where the next word, as given, starts before this one."""
-    after = words.select("transcript_id", "word_idx", "start_s", F.lead("start_s").over(AS_GIVEN).alias("next_start_s"))
+    after = words.select("transcript_id", "word_idx", "start_s", F.lead("start_s").over(as_given()).alias("next_start_s"))
     jump = F.round(F.col("start_s") - F.col("next_start_s"), 6)
     return after.where("next_start_s < start_s").withColumn("jump_s", jump).withColumn("significant", F.col("jump_s") > significant)
 

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from colloquy.config import VadConfig
 
-BY_TIME = Window.partitionBy("transcript_id").orderBy("start_s", "end_s")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("transcript_id").orderBy("start_s", "end_s")
 
 
 def combine(segments: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
     """Adds ``group``: segments stay together over micro pauses, disfluencies and thinking pauses. Only neighbours decide."""
     duration = F.col("end_s") - F.col("start_s")
     rows = segments.withColumn("duration_s", duration)
-    prev = F.lag("duration_s").over(BY_TIME)
-    gap = F.col("start_s") - F.lag("end_s").over(BY_TIME)
+    prev = F.lag("duration_s").over(by_time())
+    gap = F.col("start_s") - F.lag("end_s").over(by_time())
     rows = rows.withColumns({"gap_s": gap, "prev_s": prev})
     g, p, d = F.col("gap_s"), F.col("prev_s"), F.col("duration_s")
     disfluent = ((p < config.disfluency) | (d < config.disfluency)) & (p + d >= config.disfluency_context)
     thinking = (g < config.thinking_pause) & (((p < config.short) & (d < config.short)) | (g < (p + d) / 2 * 0.5))
     together = F.when(g.isNull(), False).when(g < config.micro_pause, True).when(g >= config.boundary, False).otherwise(disfluent | thinking)
-    return rows.withColumn("group", F.sum(F.when(together, 0).otherwise(1)).over(BY_TIME)).drop("prev_s")
+    return rows.withColumn("group", F.sum(F.when(together, 0).otherwise(1)).over(by_time())).drop("prev_s")
 
 
 def combined(segments: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
@@ -58,7 +60,7 @@ def split_points(scores: DataFrame, config: VadConfig = VadConfig()) -> DataFram
 
 def silences(segments: DataFrame) -> DataFrame:
     """Gaps between speech segments in order of time."""
-    before = F.lag("end_s").over(BY_TIME)
+    before = F.lag("end_s").over(by_time())
     rows = segments.withColumn("from_s", before).where(F.col("from_s") < F.col("start_s"))
     return rows.select("transcript_id", "from_s", F.col("start_s").alias("to_s"), F.round(F.col("start_s") - F.col("from_s"), 6).alias("silence_s"))
 
