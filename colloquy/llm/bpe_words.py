@@ -2,14 +2,16 @@
 
 1. Each batch of texts is cut into pre-tokens; a batch becomes one row: its distinct pre-tokens, and for each
    text the positions as numbers of those (packed and compressed).
-2. The distinct pre-tokens of all batches are exploded and brought together by a shuffle on the word, sorted; a task
-   streams through its words and encodes each one once, with the rank file's merges.
+2. The distinct pre-tokens of all batches are exploded and brought together by a shuffle on the word's hash: the
+   words of a batch that go the same way travel as one compressed block, with their numbers. All batches' copies of a
+   word meet in one group, which encodes it once, with the rank file's merges.
 3. The ids go back to the batches by a shuffle on the batch, where they are laid out by position. Decoding joins each
    distinct word's ids with the token-byte table, which is broadcast (its size is the vocabulary's).
 
-A hot word is one row per batch at most, and the batches bound every group: a batch holds at most ``batch_rows``
-texts and about ``batch_bytes``; one text is never split. Batches are written to the shared folder, so that a lost
-executor repeats no numbering.
+A hot word is one entry per batch at most, and the batches bound every group: a batch holds at most ``batch_rows``
+texts and about ``batch_bytes``; one text is never split. There are as many groups of words as shuffle partitions, so
+that a group shrinks as partitions are added; with more groups than words a block is a single word. Batches are written
+to the shared folder, so that a lost executor repeats no numbering.
 
 Edge cases: null or empty text has no ids (hash of nothing). Repeated rows are encoded each. Only ``doc_id`` and
 ``text`` are read, so further columns may have any names. An empty table gives no rows.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -57,13 +60,13 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Numbers by frequency are small; low and high bytes apart compress well."""
-    return b"".join((codes >> s & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16))
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers by frequency and steps between them are small; low and high bytes apart compress well."""
+    return zstandard.compress(b"".join((numbers >> s & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16)))
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.int64)
+def _unpack(packed: bytes) -> np.ndarray:
+    b = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
     return b[0] | b[1] << 8 | b[2] << 16
 
 
@@ -82,22 +85,37 @@ def _number(data: np.ndarray, offs: np.ndarray, pattern: str) -> tuple[list[byte
     return [names[i].encode() for i in rank], place[flat], np.diff(at[first])
 
 
-def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes: int) -> DataFrame:
-    """``batch, doc_ids, counts, codes, words``: one row per batch of texts."""
+_BLOCK = pa.struct([("bucket", pa.int32()), ("codes", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
+
+
+def _word_blocks(words: list[bytes], buckets: int) -> list[dict]:
+    """The words dealt over ``buckets`` by their hash: numbers (as steps), lengths and bytes of those of each bucket."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(length)
+    bucket = (tk.hash_runs(np.frombuffer(b"".join(words), np.uint8), ends - length, ends) >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    found, begin = np.unique(bucket[order], return_index=True)
+    blocks = []
+    for k, own in zip(found.tolist(), np.split(order, begin[1:]), strict=True):
+        blocks.append({"bucket": k, "codes": _pack(np.diff(own, prepend=0)), "lengths": _pack(length[own]), "words": zstandard.compress(b"".join([words[i] for i in own.tolist()]))})
+    return blocks
+
+
+def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes: int, buckets: int) -> DataFrame:
+    """``batch, doc_ids, counts, codes, blocks``: one row per batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["batch", "doc_ids", "counts", "codes", "words"]
+        names = ["batch", "doc_ids", "counts", "codes", "blocks"]
         rows: list[pa.RecordBatch] = []
         size = 0
-        press = zstandard.ZstdCompressor(level=3)
 
         def flush() -> pa.RecordBatch:
             whole = pa.Table.from_batches(rows).combine_chunks()
             text = whole.column("text").chunk(0)
             data, offs = next((d, o) for _, _, d, o in tk.blocks(text, 1 << 62))
             words, codes, counts = _number(data, offs, pattern)
-            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [press.compress(_pack(codes))], [words]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
+            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes)], [_word_blocks(words, buckets) if words else []]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(_BLOCK))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -110,24 +128,43 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
         if rows:
             yield flush()
 
-    return texts(docs).mapInArrow(run, "batch long, doc_ids array<long>, counts array<long>, codes binary, words array<binary>")
+    block = "array<struct<bucket:int,codes:binary,lengths:binary,words:binary>>"
+    return texts(docs).mapInArrow(run, f"batch long, doc_ids array<long>, counts array<long>, codes binary, blocks {block}")
 
 
 def encode_words(exploded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``batch, code, ids`` of ``batch, code, word``: a task encodes each of its words once; ids are packed 32-bit numbers."""
+    """``batch, codes, lengths, ids`` of word blocks: each distinct word of a bucket is encoded once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(group: pa.Table) -> pa.Table:
         encode = _encoding(rank_path, pattern)._core_bpe.encode_single_piece
-        word, packed = None, b""
-        for batch in batches:
-            ids = []
-            for w in batch.column("word").to_pylist():
-                if w != word:
-                    word, packed = w, np.array(encode(w), "<u4").tobytes()
-                ids.append(packed)
-            yield pa.RecordBatch.from_arrays([batch.column("batch"), batch.column("code"), pa.array(ids, pa.binary())], names=["batch", "code", "ids"])
-
-    return exploded.repartition("word").sortWithinPartitions("word").mapInArrow(run, "batch long, code int, ids binary")
+        known: dict[bytes, list[int]] = {}
+        lengths, ids = [], []
+        for block in group.select(["lengths", "words"]).to_pylist():
+            raw, at, own = zstandard.decompress(block["words"]), 0, []
+            for n in _unpack(block["lengths"]).tolist():
+                word = raw[at : at + n]
+                at += n
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = encode(word)
+                own.append(found)
+            lengths.append(_pack(np.fromiter(map(len, own), np.int64, len(own))))
+            ids.append(_pack(np.fromiter(itertools.chain.from_iterable(own), np.int64)))
+        return pa.table([group.column("batch"), group.column("codes"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["batch", "codes", "lengths", "ids"])
+
+    return exploded.groupBy("bucket").applyInArrow(run, "batch long, codes binary, lengths binary, ids binary")
+
+
+def _ids_by_code(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words of a batch in one array, and where those of word number k begin and how many there are."""
+    columns = [blocks.column(c).to_pylist() for c in ("codes", "lengths", "ids")]
+    none = [np.zeros(0, np.int64)]
+    codes = np.concatenate([*(np.cumsum(_unpack(x)) for x in columns[0]), *none])
+    lengths = np.concatenate([*map(_unpack, columns[1]), *none])
+    flat = np.concatenate([*map(_unpack, columns[2]), *none])
+    start, length = np.empty_like(codes), np.empty_like(codes)
+    start[codes], length[codes] = np.cumsum(lengths) - lengths, lengths
+    return flat, start, length
 
 
 def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 40 << 20) -> DataFrame:
@@ -145,33 +182,34 @@ def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: i
 
 def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, batch_bytes: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    batches = materialise(number_batches(docs, pattern, batch_rows, batch_bytes), "bpe-batches")
-    exploded = batches.select("batch", F.posexplode("words").alias("code", "word"))
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    batches = materialise(number_batches(docs, pattern, batch_rows, batch_bytes, buckets), "bpe-batches")
+    exploded = batches.select("batch", F.explode("blocks").alias("block")).select("batch", "block.*")
     back = encode_words(exploded, rank_path, pattern)
     table = {r["id"]: bytes(r["token"]) for r in token_table(spark, rank_path).toLocalIterator()}
     tokens = spark.sparkContext.broadcast([table.get(i, b"") for i in range(max(table, default=-1) + 1)])
 
-    def sorted_words(right: pa.Table) -> tuple[list, list]:
-        order = np.argsort(right.column("code").to_numpy())
-        packed = right.column("ids").to_pylist()
-        ids = [np.frombuffer(packed[i], "<u4").tolist() for i in order]
-        token = tokens.value
-        return ids, [b"".join([token[i] for i in x]) for x in ids]
-
     def digests(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, decoded = sorted_words(right)
-        ids = [",".join(map(str, x)).encode() for x in ids]
+        flat, start, length = _ids_by_code(right)
+        flat, token = flat.tolist(), tokens.value
+        words = [flat[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+        ids = [",".join(map(str, x)).encode() for x in words]
+        decoded = [b"".join([token[i] for i in x]) for x in words]
         rows = []
         for doc_id, part in _texts_of(left):
+            part = part.tolist()
             text = b",".join([ids[c] for c in part])
             n = text.count(b",") + 1 if text else 0
             rows.append((doc_id, n, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([decoded[c] for c in part])).hexdigest()))
         return _as_table(rows, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     def lists(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, decoded = sorted_words(right)
-        table = Ragged(ids)
-        rows = [(doc_id, table.lay_out(np.asarray(part, np.int64))[0].astype(np.int32), b"".join([decoded[c] for c in part])) for doc_id, part in _texts_of(left)]
+        flat, start, length = _ids_by_code(right)
+        token = tokens.value
+        rows = []
+        for doc_id, part in _texts_of(left):
+            ids = flat[tk.expand(start[part], length[part])]
+            rows.append((doc_id, ids.astype(np.int32), b"".join([token[i] for i in ids.tolist()])))
         return _as_table(rows, ["doc_id", "ids", "decoded"], [pa.int64(), pa.list_(pa.int32()), pa.binary()])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded binary"
@@ -184,11 +222,11 @@ def _as_table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) ->
     return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
-def _texts_of(left: pa.Table) -> Iterator[tuple[int, list[int]]]:
+def _texts_of(left: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """Each text of a batch: its id and the numbers of its pre-tokens."""
     for row in left.to_pylist():
-        codes = _unpack(zstandard.ZstdDecompressor().decompress(row["codes"]))
+        codes = _unpack(row["codes"])
         at = 0
         for doc_id, n in zip(row["doc_ids"], row["counts"], strict=True):
-            yield doc_id, codes[at : at + n].tolist()
+            yield doc_id, codes[at : at + n]
             at += n
