@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators.segments import as_given, joined, order_words
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounds halves up even where the nearest double is a little less than the half."""
+    return F.round(x + 1e-9, digits)
+
+
 def transcript_metadata(words: DataFrame) -> DataFrame:
     named = F.nullif(F.col("speaker"), F.lit(""))
     out = order_words(words).groupBy("transcript_id").agg(
@@ -27,13 +32,13 @@ def conversation_metrics(turns: DataFrame) -> DataFrame:
         F.sum("n_interjections").alias("total_interjections"),
         (F.max_by("end_s", "turn") - F.min_by("start_s", "turn")).alias("span"),
         F.sum("n_words").alias("total_words"),
-        F.round(F.sum(F.col("duration_s").cast("decimal(18,3)")).cast("double") / F.count("*"), 2).alias("avg_turn_duration"),
-        F.round(F.sum("n_words") / F.count("*"), 1).alias("avg_turn_words"),
-        F.round(F.sum(F.col("rate_wpm").cast("decimal(18,1)")).cast("double") / F.count("*"), 1).alias("avg_speaking_rate"),
-        F.round(F.sum(F.col("flow").cast("decimal(18,3)")).cast("double") / F.count("*"), 3).alias("avg_flow"),
+        half_up(F.sum(F.col("duration_s").cast("decimal(18,3)")).cast("double") / F.count("*"), 2).alias("avg_turn_duration"),
+        half_up(F.sum("n_words") / F.count("*"), 1).alias("avg_turn_words"),
+        half_up(F.sum(F.col("rate_wpm").cast("decimal(18,1)")).cast("double") / F.count("*"), 1).alias("avg_speaking_rate"),
+        half_up(F.sum(F.col("flow").cast("decimal(18,3)")).cast("double") / F.count("*"), 3).alias("avg_flow"),
     )
-    rate = F.when(F.col("span") > 0, F.round(F.col("total_interjections") / F.col("span") * 60, 2)).otherwise(0.0)
-    return t.withColumn("total_duration", F.round("span", 2)).withColumn("interjection_rate", rate).drop("span")
+    rate = F.when(F.col("span") > 0, half_up(F.col("total_interjections") / F.col("span") * 60, 2)).otherwise(0.0)
+    return t.withColumn("total_duration", half_up(F.col("span"), 2)).withColumn("interjection_rate", rate).drop("span")
 
 
 def turn_type_distribution(turns: DataFrame) -> DataFrame:
@@ -50,10 +55,10 @@ def speaker_statistics(turns: DataFrame) -> DataFrame:
     said = turns.select("transcript_id", F.explode("interjections.speaker").alias("speaker")).groupBy("transcript_id", "speaker").agg(F.count("*").alias("total_interjections"))
     both = own.join(said, ["transcript_id", "speaker"], "full")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    mean = lambda c, d: F.coalesce(F.round(F.col(c) / F.col("total_turns"), d), F.lit(0.0))
+    mean = lambda c, d: F.coalesce(half_up(F.col(c) / F.col("total_turns"), d), F.lit(0.0))
     return both.select(
         "transcript_id", "speaker", zero("total_turns").alias("total_turns"), zero("total_words").alias("total_words"),
-        F.coalesce(F.round("duration", 2), F.lit(0.0)).alias("total_duration"), zero("total_interjections").alias("total_interjections"),
+        F.coalesce(half_up(F.col("duration"), 2), F.lit(0.0)).alias("total_duration"), zero("total_interjections").alias("total_interjections"),
         mean("duration", 2).alias("avg_turn_duration"), mean("rates", 1).alias("avg_speaking_rate"), mean("flows", 3).alias("avg_flow"),
     )
 

@@ -35,7 +35,7 @@ def coerce_words(words: DataFrame) -> DataFrame:
 
 def order_words(words: DataFrame) -> DataFrame:
     """Adds ``ord``, a word's place in time within its transcript (from 0)."""
-    return words.withColumn("ord", F.row_number().over(in_time()) - 1)
+    return words.withColumn("ord", F.row_number().over(in_time()).cast("long") - 1)
 
 
 def time_jumps(words: DataFrame, significant: float = 0.5) -> DataFrame:

@@ -14,7 +14,7 @@ SELECT transcript_id, word_idx, {_SAID} AS text,
   CONCAT('SPEAKER_0', CAST(MOD(CAST(FLOOR(word_idx / 12.0) AS BIGINT) + CASE WHEN MOD(event_id, 9) = 0 THEN 1 ELSE 0 END, 2) AS STRING)) AS speaker
 FROM (SELECT *, word_idx * 400 + MOD(event_id, 7) * 100 AS start_ms FROM (
   SELECT event_id, event_type, value, CAST(EXTRACT(DAY FROM ts) AS INT) AS transcript_id,
-    ROW_NUMBER() OVER (PARTITION BY EXTRACT(DAY FROM ts) ORDER BY ts, event_id) - 1 AS word_idx
+    CAST(ROW_NUMBER() OVER (PARTITION BY EXTRACT(DAY FROM ts) ORDER BY ts, event_id) - 1 AS BIGINT) AS word_idx
   FROM events) a) b"""
 
 _SPOKEN_SPARK = """
@@ -27,7 +27,7 @@ _SPOKEN = """
 SELECT transcript_id, speaker, text, word_idx,
   CAST(word_idx * 300 + 4000 * FLOOR((turn + 1) / 3.0) AS DOUBLE) / 1000 AS start_s,
   CAST(word_idx * 300 + 4000 * FLOOR((turn + 1) / 3.0) + 250 AS DOUBLE) / 1000 AS end_s
-FROM (SELECT transcript_id, turn, speaker, text, ROW_NUMBER() OVER (PARTITION BY transcript_id ORDER BY turn, pos) - 1 AS word_idx FROM ({}) e) f"""
+FROM (SELECT transcript_id, turn, speaker, text, CAST(ROW_NUMBER() OVER (PARTITION BY transcript_id ORDER BY turn, pos) - 1 AS BIGINT) AS word_idx FROM ({}) e) f"""
 
 #: Segments of five seconds that overlap a little, three speakers in turn, every seventh left out.
 DIAR = """
