@@ -60,9 +60,9 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def _pack(numbers: np.ndarray) -> bytes:
+def _pack(numbers: np.ndarray, level: int = 3) -> bytes:
     """Numbers by frequency and steps between them are small; low and high bytes apart compress well."""
-    return zstandard.compress(b"".join((numbers >> s & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16)))
+    return zstandard.compress(b"".join((numbers >> s & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16)), level)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -114,7 +114,7 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
             text = whole.column("text").chunk(0)
             data, offs = next((d, o) for _, _, d, o in tk.blocks(text, 1 << 62))
             words, codes, counts = _number(data, offs, pattern)
-            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes)], [_word_blocks(words, buckets) if words else []]]
+            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes, 9)], [_word_blocks(words, buckets) if words else []]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(_BLOCK))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
