@@ -43,18 +43,17 @@ def interpolate(gaps: DataFrame, least: float = 0.02) -> DataFrame:
 
 def clamp_order(words: DataFrame, least: float = 0.01) -> DataFrame:
     """Starts no word before the last one's end; a word that would end before it starts ends ``least`` later."""
-    items = F.array_sort(F.collect_list(F.struct("word_idx", "text", "start_s", "end_s")))
 
-    empty = F.array().cast("array<struct<word_idx:bigint,text:string,start_s:double,end_s:double>>")
-    grouped = words.groupBy("transcript_id").agg(items.alias("items"))
-
-    def step(acc, x):
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1))["end_s"], F.lit(0.0))
-        start = F.greatest(x["start_s"], last)
-        end = F.when(x["end_s"] < start, start + least).otherwise(x["end_s"])
-        return F.concat(acc, F.array(F.struct(x["word_idx"].alias("word_idx"), x["text"].alias("text"), start.alias("start_s"), end.alias("end_s"))))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word_idx").reset_index(drop=True)
+        start, end, last = pdf["start_s"].tolist(), pdf["end_s"].tolist(), 0.0
+        for i in range(len(start)):
+            start[i] = max(start[i], last)
+            last = end[i] = start[i] + least if end[i] < start[i] else end[i]
+        return pdf.assign(start_s=start, end_s=end)
 
-    return grouped.select("transcript_id", F.inline(F.aggregate("items", empty, step)))
+    kept = words.select("transcript_id", "word_idx", "text", "start_s", "end_s")
+    return kept.groupBy("transcript_id").applyInPandas(fold, kept.schema)
 
 
 def repair_order(words: DataFrame, least: float = 0.02, shift: float = 0.01) -> DataFrame:

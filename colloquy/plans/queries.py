@@ -733,7 +733,7 @@ SELECT gap_id, CAST(i AS INT) AS i, word, round(a + i * step, 6) AS start_s, rou
 )
 def interpolated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.speech(spark, sf_dir)
-    gaps = rows.select((F.col("transcript_id") * 100000 + F.row_number().over(vad.BY_TIME)).cast("long").alias("gap_id"), F.lag("end_s").over(vad.BY_TIME).alias("prev_end"), F.col("start_s").alias("next_start"))
+    gaps = rows.select((F.col("transcript_id") * 100000 + F.row_number().over(vad.by_time())).cast("long").alias("gap_id"), F.lag("end_s").over(vad.by_time()).alias("prev_end"), F.col("start_s").alias("next_start"))
     return align.interpolate(gaps.where("prev_end IS NOT NULL").withColumn("words", F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
 
 
