@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -98,8 +99,23 @@ def fill_unknown(pairs: DataFrame) -> DataFrame:
 # --- stitching of overlapping chunks --------------------------------------------------------------
 
 
+@lru_cache(1 << 18)
 def _alike(a: str, b: str, ratio: float = 0.7) -> bool:
-    return a.lower() == b.lower() or difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= ratio
+    """Whether two words in lower case are alike; what their lengths alone or shared letters rule out is not compared."""
+    if a == b:
+        return True
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio
+
+
+def _share_alike(a: Sequence[str], b: Sequence[str], share: float) -> bool:
+    """Whether at least ``share`` of the pairs are alike; stops once too many are not."""
+    different, most = 0, len(a) - share * len(a)
+    for x, y in zip(a, b, strict=True):
+        different += not _alike(x, y)
+        if different > most + 1e-9:
+            return False
+    return True
 
 
 def _partly(a: str, b: str) -> bool:
@@ -113,11 +129,13 @@ def _partly(a: str, b: str) -> bool:
 
 def overlap_length(left: Sequence[str], right: Sequence[str], share: float = 0.6, window: int = 20) -> tuple[int, str]:
     """How many words of ``right`` repeat the end of ``left``, and by which rule that was found."""
-    for n in range(min(len(left), len(right)), 0, -1):
-        a, b = [w.lower() for w in left[-n:]], [w.lower() for w in right[:n]]
+    most = min(len(left), len(right))
+    end, begin = [w.lower() for w in left[len(left) - most :]], [w.lower() for w in right[:most]]
+    for n in range(most, 0, -1):
+        a, b = end[most - n :], begin[:n]
         if a == b:
             return n, "exact"
-        if sum(map(_alike, a, b)) >= share * n:
+        if _share_alike(a, b, share):
             return n, "fuzzy"
     if left and right and _partly(left[-1], right[0]):
         return 1, "partial"
@@ -156,6 +174,7 @@ def stitch_methods(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("overlap", find("left", "right")).select("*", "overlap.n", "overlap.rule").drop("overlap")
 
 
+@lru_cache(1 << 18)
 def word_similarity(a: str, b: str) -> float:
     x, y = ("".join(c for c in w.lower() if c.isalnum()) for w in (a, b))
     if x == y:
