@@ -214,3 +214,33 @@ def test_registry_names_each_operator():
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2] / "colloquy"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "colloquy.llm" in p.read_text()]
+
+
+def test_chat_query_equals_its_sql(spark):
+    import duckdb
+
+    from colloquy.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SMALL}/conversations.parquet'")
+    cursor = con.execute(queries.ORACLE_SQL["op5_chat_format"])
+    names = [d[0] for d in cursor.description]
+    assert sorted(map(tuple, queries.op5_chat_format(spark, SMALL).select(*names).collect())) == sorted(cursor.fetchall())
+
+
+def test_page_query_equals_plain_extraction(spark):
+    """The pages of the test tables all have one article of headings and paragraphs; tags are cut out of it by pattern."""
+    import html
+    import re
+
+    from colloquy.llm import queries
+
+    expected = {}
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"] or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|article|body|html|footer)\b[^>]*>", article[1] if article else "")
+        text = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in blocks]
+        expected[r["page_id"]] = "\n".join(filter(None, text))
+    found = {r["page_id"]: r for r in queries.op6_html_extract(spark, SMALL).collect()}
+    assert {k: r["text"] for k, r in found.items()} == expected
+    assert all(r["n_chars"] == len(r["text"]) for r in found.values())
