@@ -123,3 +123,13 @@ def test_passages_of_odd_rows(odd_docs, no_docs):
     assert cut.columns == odd_docs.columns and cut.count() == odd_docs.count()
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[12] in ("end", "")
     assert substring_dedup.find_passages(no_docs).count() == 0 and substring_dedup.cut_passages(no_docs, substring_dedup.find_passages(no_docs)).count() == 0
+
+
+def test_passages_around_a_differing_middle_are_both_found(spark):
+    rng = random.Random(31)
+    head, tail = prose(rng, 100), prose(rng, 100)
+    texts = [[*prose(rng, 20), *head, *prose(rng, 80), *tail, *prose(rng, 20)] for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = sorted((r["start_word"], r["end_word"]) for r in substring_dedup.find_passages(docs).collect())
+    assert len(found) == 2
+    assert all(abs(got - want) <= 2 for r, w in zip(found, [(20, 120), (200, 300)], strict=True) for got, want in zip(r, w, strict=True))
