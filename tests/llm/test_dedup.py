@@ -133,3 +133,14 @@ def test_passages_around_a_differing_middle_are_both_found(spark):
     found = sorted((r["start_word"], r["end_word"]) for r in substring_dedup.find_passages(docs).collect())
     assert len(found) == 2
     assert all(abs(got - want) <= 2 for r, w in zip(found, [(20, 120), (200, 300)], strict=True) for got, want in zip(r, w, strict=True))
+
+
+def test_passage_whose_phrases_stand_alone_in_earlier_documents(spark):
+    rng = random.Random(37)
+    passage = prose(rng, 60)
+    texts = [[*prose(rng, 30), *passage[i : i + 8], *prose(rng, 30)] for i in range(53)]
+    texts += [[*prose(rng, 40), *passage, *prose(rng, 40)] for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    (found,) = substring_dedup.find_passages(docs).collect()
+    assert (found["doc_id"], found["source_doc_id"]) == (54, 53)
+    assert abs(found["start_word"] - 40) <= 2 and abs(found["end_word"] - 100) <= 2
