@@ -144,3 +144,19 @@ def test_passage_whose_phrases_stand_alone_in_earlier_documents(spark):
     (found,) = substring_dedup.find_passages(docs).collect()
     assert (found["doc_id"], found["source_doc_id"]) == (54, 53)
     assert abs(found["start_word"] - 40) <= 2 and abs(found["end_word"] - 100) <= 2
+
+
+@pytest.mark.parametrize(("identity", "recall"), [(0.8, 0.7), (0.85, 0.8), (0.9, 1.0)])
+def test_recall_of_edited_passages(spark, identity, recall):
+    rng = random.Random(41)
+    texts, planted = [], 40
+    for _ in range(planted):
+        first = prose(rng, 60)
+        again = list(first)
+        for i in rng.sample(range(60), round(60 * (1 - identity))):
+            again[i] = f"edit{rng.randrange(10**9)}"
+        assert substring_dedup.common(first, again) >= 60 * identity  # what brute force finds
+        texts += [[*prose(rng, 60), *p, *prose(rng, 60)] for p in (first, again)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"] for r in substring_dedup.find_passages(docs).collect() if r["start_word"] < 120 and r["end_word"] > 60 and r["source_doc_id"] == r["doc_id"] - 1}
+    assert len(found) >= recall * planted, len(found)
