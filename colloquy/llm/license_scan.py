@@ -7,7 +7,9 @@ its own text only, so the scan is a map over partitions; the automaton is built
 
 Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, A-Z lower-cased. Edge cases: a null or empty
 text has no words, no places, empty label strings and score 0. Phrases that overlap count at each place.
-An expression that does not parse yields the known identifiers before the fault. Repeated rows are scanned
+An expression is read to the end of its line. One that parses gives all its operands as labels
+(with prose behind it, those listed or with a version); one that
+does not yields the known identifiers before the fault. More than 64 alternatives are written in postfix form. Repeated rows are scanned
 one by one. Only ``doc_id`` and ``text`` are read, so further columns may have any names.
 """
 
@@ -62,6 +64,8 @@ IDENTIFIERS = (
 TAG = "spdx license identifier"
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_ID = re.compile(r"(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.-]*\+?")
+_VERSIONED = re.compile(r"-\d|licenseref-")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -119,6 +123,24 @@ def evaluate(postfix: list[str]) -> list[list[str]]:
     return stack[-1] if stack else []
 
 
+def _known(name: str) -> bool:
+    return name in IDENTIFIERS or name.removesuffix("+") in IDENTIFIERS
+
+
+def _written(postfix: list[str]) -> str:
+    """The alternatives of an expression; where they are more than 64, its postfix form, which is never longer than it."""
+    count: list[int] = []
+    for token in postfix:
+        if token in _RANK and len(count) >= 2:
+            right, left = count.pop(), count.pop()
+            count.append(left + right if token == "or" else left * right)
+        else:
+            count.append(1)
+    if count and count[-1] > 64:
+        return " ".join(postfix)
+    return " | ".join(" & ".join(x) for x in evaluate(postfix))
+
+
 @lru_cache(1)
 def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
@@ -148,11 +170,13 @@ def scan(text: bytes) -> tuple:
                 notices += 1
     expressions = []
     if tags:
-        for found in re.finditer(r"(?i)spdx-license-identifier\s*:[ \t]*([^\n\r]{1,400})", text.decode("utf-8", "replace")):
+        for found in re.finditer(r"(?i)spdx-license-identifier\s*:[ \t]*([^\n\r]+)", text.decode("utf-8", "replace")):
             postfix, complete = parse_expression(found[1])
-            known = [x for x in postfix if x in IDENTIFIERS]
+            # every operand of an expression that parses counts; before a fault, only known ones do
+            alone = sum(any(map(str.isalnum, x)) for x in re.findall(r"[^\s()]+", found[1])) == len(postfix)  # no prose behind it
+            known = [x for x in postfix if x not in _RANK and (_known(x) or complete and _ID.fullmatch(x) and (alone or _VERSIONED.search(x)))]
             if known:
-                expressions.append(" | ".join(" & ".join(x) for x in evaluate(postfix)) if complete else known[0])
+                expressions.append(_written(postfix) if complete else known[0])
                 labels.update(known)
     score = 1.0 if expressions else min(1.0, 0.5 * bool(starts) + 0.25 * min(notices, 2))
     return (

@@ -119,3 +119,15 @@ def test_empty_tables(spark, no_docs):
     path = new_path(spark, "tokens")
     token_orc.write_token_orc(no_docs, path, public_tokenizers.path(WORD_TOKENIZER), end_id=1)
     assert token_orc.with_checksum(token_orc.read_token_orc(spark, path)).count() == 0
+
+
+def test_long_and_unlisted_licence_expressions():
+    pairs = [f"(LicenseRef-a{i} OR LicenseRef-b{i})" for i in range(20)]
+    scanned = license_scan.scan(f"// SPDX-License-Identifier: {' AND '.join(pairs)}\nint main".encode())
+    wanted = {f"licenseref-{x}{i}" for i in range(20) for x in "ab"}
+    assert set(scanned[5].split(",")) == wanted and wanted <= set(scanned[7][0].split())
+    for name in ("GPL-2.0+", "AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-3.0-or-later", "BSL-1.0", "OFL-1.1"):
+        scanned = license_scan.scan(f"SPDX-License-Identifier: {name}".encode())
+        assert scanned[5:] == (name.lower(), 1.0, [name.lower()])
+    assert license_scan.scan(b"SPDX-License-Identifier: see the file")[5:] == ("", 0.0, [])
+    assert license_scan.scan(b"/* SPDX-License-Identifier: NCSA */")[5] == "ncsa"
