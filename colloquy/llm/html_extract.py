@@ -19,6 +19,7 @@ null page_ids get text too, they only can't be a reference. Only ``page_id, url,
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -62,6 +63,11 @@ def _own_text(node: Node) -> str:
     return words_of(" ".join(out))
 
 
+def _mark(text: str) -> str:
+    """A short mark of a whole text; empty for none."""
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest() if text else ""
+
+
 def _blocks(node: Node, dropped: set[int], inside: bool, out: list[str]) -> None:
     """Appends the blocks of text at and below ``node`` in page order."""
     run: list[str] = []
@@ -182,7 +188,7 @@ def induce_wrappers(pages: DataFrame, constant_share: float = 0.8, min_pages: in
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [json.dumps(skeleton(parse(h))) for h in batch.column("html").to_pylist()]
-            own = [json.dumps({str(k): [_own_text(n) for n in nodes][0][:200] for k, nodes in _aligned(parse(h), _as_tuple(json.loads(r)))}) for h, r in zip(batch.column("html").to_pylist(), rows, strict=True)]
+            own = [json.dumps({str(k): _mark(_own_text(nodes[0])) for k, nodes in _aligned(parse(h), _as_tuple(json.loads(r)))}) for h, r in zip(batch.column("html").to_pylist(), rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows, pa.string()), pa.array(own, pa.string())], names=["host", "reference", "own"])
 
     references = materialise(chosen.select("host", "html").mapInArrow(shapes, "host string, reference string, own string"), "references")
@@ -203,7 +209,7 @@ def induce_wrappers(pages: DataFrame, constant_share: float = 0.8, min_pages: in
                     seen = tally.setdefault((host, k), [0, 0])
                     said = texts.get(str(k), "")
                     seen[0] += 1
-                    seen[1] += bool(said) and all(_own_text(n)[:200] == said for n in nodes)
+                    seen[1] += bool(said) and all(_mark(_own_text(n)) == said for n in nodes)
             if len(tally) > 50_000:
                 yield _tally_rows(tally)
                 tally = {}

@@ -244,3 +244,11 @@ def test_page_query_equals_plain_extraction(spark):
     found = {r["page_id"]: r for r in queries.op6_html_extract(spark, SMALL).collect()}
     assert {k: r["text"] for k, r in found.items()} == expected
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
+
+
+def test_slots_with_a_long_constant_opening_are_kept(spark):
+    opening = "The same standing introduction of this series " * 6
+    body = "<html><body><div class='x'>{0} own end {1}</div><center>Always the same closing line</center></body></html>"
+    rows = [(i, "http://h/x", body.format(opening, f"number {i}")) for i in range(6)]
+    found = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"].endswith(f"own end number {r['page_id']}") for r in found)
