@@ -3,13 +3,20 @@
 1. One pass over the texts takes the minima of ``bands * rows`` hash functions over each document's shingles. Of each
    minimum only the low 4 bits are kept, packed 16 to a long; the full minima only make the band keys.
 2. Documents with the same words in the same order are one class, known by its smallest doc_id; only classes go on.
-3. Classes that share a band key share a bucket. A bucket's pairs are never listed. Each class is compared with the one
-   class in its buckets that lies in most and largest buckets (of a text and its edited copies, that is the text
-   itself). The estimate drops the clearly different, full shingle sets confirm the rest, and confirmed links join.
-4. Buckets whose members are not all joined by then are compared inside: in blocks of at most ``block`` members
-   (a larger bucket is split into pairs of blocks), by counts of equal bits, in numpy; only pairs of different
-   components whose estimate can still reach the limit leave the task, each once, and full sets confirm them.
-5. Components over all confirmed links; a document's component is the smallest doc_id in it.
+3. Classes that share a band key share a bucket. Each class is first compared with one hub, the class in its buckets that
+   lies in most and largest buckets (of a text and its edited copies, that is the text itself). The estimate drops the
+   clearly different, full shingle sets confirm the rest, and confirmed links join to components.
+4. Buckets whose members are not all joined by then are compared inside by counts of equal bits, in numpy. What leaves a
+   task is one row per member that is near a member of another component, with a name of its cluster: never the pairs.
+5. Each member of such a cluster goes once, with its whole text, to the group of its cluster, where full sets are
+   compared. A group's links are joined as they are found, and only the links that joined something leave the task:
+   at most one per member, however many pairs are alike.
+6. Components over all confirmed links; a document's component is the smallest doc_id in it.
+
+Groups are bounded: a bucket of more than ``block`` members, and a cluster of more than ``block_shingles`` shingles, is
+dealt over several tasks. Its members that are joined already (its largest component) need no comparison with each
+other: they go to one block each, and the others, which are few after step 3, meet every block. Only if most of a group is
+still apart after step 3 do copies of rows grow, with the group's size by the block's.
 
 The estimate takes the share of equal 4-bit values, less the 1/16 that agree by chance. Its margin and the bands are
 set so that a pair at the limit is missed with a chance of about 1e-5. Confirmation uses whole sets and whole texts.
@@ -30,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import textkernel as tk
 from colloquy.llm.components import components
 from colloquy.llm.shared import materialise, texts
 from colloquy.llm.shingles import sets_of, shingle_blocks
@@ -43,8 +51,9 @@ class NearDedup:
     bands: int = 36
     rows: int = 7
     margin: float = 0.10  # how far below the limit an estimate may lie
-    block: int = 1024
-    hub_group: int = 512
+    block: int = 8192  # members of a bucket that one task compares
+    block_shingles: int = 1 << 22  # shingles of a cluster that one task compares
+    hub_group: int = 512  # rows that share one key of a join or a group
 
     @property
     def hashes(self) -> int:
@@ -122,15 +131,12 @@ def estimate(a: Column, b: Column, how: NearDedup) -> Column:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, how: NearDedup) -> DataFrame:
-    """The pairs ``a, b`` of documents whose full sets reach the limit.
+    """The pairs ``a, b`` of documents whose full sets reach the limit; rows are ``a, b, salts``.
 
-    Pairs are grouped by ``b``, whose set is built once per group; a ``b`` with many partners is spread over groups of about
-    ``hub_group``, and a task reads its groups as a stream.
+    Pairs are grouped by ``b``, whose set is built once per group; a ``b`` with many partners is spread over ``salts`` groups,
+    and a task reads its groups as a stream.
     """
-    held = materialise(pairs.select("a", "b"), "pairs")
-    many = held.groupBy("b").agg(F.count("*").alias("n"))
-    salt = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("n") / how.hub_group)).cast("long"))
-    salted = materialise(held.join(many, "b").select("a", "b", salt.alias("salt")), "salted-pairs")
+    salted = materialise(pairs.select("a", "b", F.pmod(F.xxhash64("a"), "salts").alias("salt")), "salted-pairs")
     heads = salted.select(F.col("b").alias("doc_id"), "b", "salt").distinct().withColumn("member", F.lit(False))
     members = salted.select(F.col("a").alias("doc_id"), "b", "salt").withColumn("member", F.lit(True))
     rows = texts(docs).dropDuplicates(["doc_id"]).join(heads.unionByName(members), "doc_id")
@@ -154,59 +160,154 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: NearDedup) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _inside(rows: DataFrame, how: NearDedup) -> DataFrame:
-    """Candidate pairs inside groups of at most two blocks; rows are ``g, side, across, doc_id, component, bucket, signature, bands``."""
-    least = how.percent / 100 - how.margin
-    most_different = int((1 - least) * 15 / 16 * how.hashes)
+def _dealt(rows: DataFrame, key: str, weight: Column, capacity: int) -> DataFrame:
+    """Deals the members of each ``key`` over groups ``g`` so that each pair of different components meets in one of them.
+
+    Adds ``g, side, across``: members of a group are to be compared if not ``across``, or on different sides. A group holds about
+    twice ``capacity`` of ``weight`` at most (or two rows).
+    """
+    per = rows.groupBy(key, "component").agg(F.sum(weight).alias("w")).groupBy(key)
+    sizes = per.agg(F.max_by("component", F.struct("w", "component")).alias("joined"), F.max("w").alias("w_joined"), F.sum("w").alias("w_all"))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(capacity))).cast("int")
+    whole = F.col("w_all") <= capacity
+    plan = materialise(sizes.select(key, "joined", whole.alias("whole"), blocks(F.col("w_joined")).alias("p_joined"), blocks(F.col("w_all") - F.col("w_joined")).alias("p_other")), "block-plans")
+    held = rows.join(plan, key).withColumn("is_joined", F.col("component") == F.col("joined"))
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("is_joined"), F.col("p_joined")).otherwise(F.col("p_other"))).cast("int")
+    held = held.withColumn("mine", mine)
+    place = lambda kind, p, q, side, across: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.cast("int").alias("side"), across.alias("across"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    me, no = F.col("mine"), F.lit(False)
+    places = (
+        F.when(F.col("whole"), F.array(place(0, F.lit(0), F.lit(0), F.lit(0), no)))
+        .when(F.col("is_joined"), each("p_other", lambda q: place(1, me, q, F.lit(0), F.lit(True))))
+        .otherwise(F.concat(each("p_joined", lambda p: place(1, p, me, F.lit(1), F.lit(True))), each("p_other", lambda q: place(2, F.least(q, me), F.greatest(q, me), F.when(me < q, 0).otherwise(1), q != me))))
+    )
+    held = held.withColumn("at", F.explode(places))
+    g = F.xxhash64(key, "at.kind", "at.p", "at.q")
+    return held.select(*rows.columns, g.alias("g"), F.col("at.side").alias("side"), F.col("at.across").alias("across"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups ``g`` of a stream that is sorted by ``g``."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        start = 0
+        g = batch.column("g").to_numpy()
+        ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)).tolist() if len(g) else []
+        for end in ends:
+            if kept and kept[0].column("g")[0].as_py() != int(g[start]):
+                yield pa.Table.from_batches(kept).combine_chunks()
+                kept = []
+            kept.append(batch.slice(start, end - start))
+            start = end
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+class _Joined:
+    """Disjoint sets over the rows of a group; rows of one component are one set from the start."""
+
+    def __init__(self, component: np.ndarray) -> None:
+        self.label = np.unique(component, return_inverse=True)[1].astype(np.int32)
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.label[x], self.label[y]
+        if a == b:
+            return False
+        self.label[self.label == b] = a
+        return True
+
+
+@dataclass
+class _Group:
+    """Members of one group with their signatures."""
+
+    ids: np.ndarray
+    component: np.ndarray
+    hub: np.ndarray
+    side: np.ndarray
+    across: bool
+    signature: np.ndarray
+    bands: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table, how: NearDedup) -> _Group:
+        get = lambda c: rows.column(c).to_numpy()
+        flat = lambda c, width: np.concatenate([x.flatten().to_numpy() for x in rows.column(c).chunks]).view(np.uint64).reshape(-1, width)
+        return cls(get("doc_id"), get("component"), get("hub"), get("side"), bool(rows.column("across")[0].as_py()), flat("signature", how.longs), flat("bands", how.bands))
+
+    def near(self, i: int, label: np.ndarray, most_different: int) -> np.ndarray:
+        """Rows behind row ``i`` under other labels that it is to be compared with, share a band and may reach the limit.
+
+        A row and its hub were compared before.
+        """
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if self.across:
+            j = j[self.side[j] != self.side[i]]
+        j = j[(self.hub[j] != self.ids[i]) & (self.ids[j] != self.hub[i])]
+        d = self.signature[j] ^ self.signature[i]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        j = j[np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) <= most_different]
+        return j[(self.bands[j] == self.bands[i]).any(axis=1)]
+
+
+def _most_different(how: NearDedup) -> int:
+    return int((1 - how.percent / 100 + how.margin) * 15 / 16 * how.hashes)
+
+
+def clusters_inside(rows: DataFrame, how: NearDedup) -> DataFrame:
+    """``a, b``: each member that is near a member of another component, with one member of its cluster in the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            kept.append(batch)
-            whole = pa.Table.from_batches(kept).combine_chunks()
-            g = whole.column("g").to_numpy()
-            last = int(np.searchsorted(g == g[-1], True)) if len(g) else 0  # the last group may go on
-            if last:
-                yield _pairs(whole.slice(0, last), most_different, how)
-                kept = whole.slice(last).to_batches()
-        if kept:
-            yield _pairs(pa.Table.from_batches(kept), most_different, how)
+        for table in _groups(batches):
+            group = _Group.of(table, how)
+            sets = _Joined(np.arange(len(group.ids)))
+            flagged = np.zeros(len(group.ids), bool)
+            for i in range(len(group.ids)):
+                j = group.near(i, group.component, _most_different(how))
+                if len(j):
+                    flagged[i] = True
+                    flagged[j] = True
+                    for y in j[sets.label[j] != sets.label[i]].tolist():
+                        sets.join(i, y)
+            at = np.flatnonzero(flagged)
+            head = np.zeros(len(group.ids), np.int64)
+            head[sets.label[at[::-1]]] = at[::-1]  # the first flagged row of each set
+            yield pa.RecordBatch.from_arrays([pa.array(group.ids[at]), pa.array(group.ids[head[sets.label[at]]])], names=["a", "b"])
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
-def _pairs(rows: pa.Table, most_different: int, how: NearDedup) -> pa.RecordBatch:
-    rows = rows.combine_chunks()
-    get = lambda c: rows.column(c).to_numpy()
-    g, side, across, ids, comp, bucket = (get(c) for c in ("g", "side", "across", "doc_id", "component", "bucket"))
-    flat = lambda c, width: rows.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, width) if len(g) else np.zeros((0, width), np.uint64)
-    sig, bands = flat("signature", how.longs), flat("bands", how.bands)
-    found_a, found_b = [], []
-    i = np.arange(len(g))
-    ones = np.uint64(0x1111111111111111)
-    step = 0
-    while len(i):
-        step += 1
-        i = i[i + step < len(g)]
-        i = i[g[i] == g[i + step]]
-        j = i + step
-        pick = (comp[i] != comp[j]) & (~across[i] | (side[i] != side[j]))
-        a, b = i[pick], j[pick]
-        for s in range(0, len(a), 1 << 16):
-            x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-            d = sig[x] ^ sig[y]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            near = np.bitwise_count(d & ones).sum(axis=1) <= most_different
-            x, y = x[near], y[near]
-            if len(x):  # the pair's first shared band makes it, the others leave it
-                same = bands[x] == bands[y]
-                own = bands[x, np.argmax(same, axis=1)] == bucket[x].view(np.uint64)
-                found_a.append(x[own])
-                found_b.append(y[own])
-    a = np.concatenate([*found_a, np.zeros(0, np.int64)]).astype(np.int64)
-    b = np.concatenate([*found_b, np.zeros(0, np.int64)]).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+def links_inside(rows: DataFrame, how: NearDedup) -> DataFrame:
+    """``a, b``: confirmed links between the members of each group, as many as join its components and no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            group = _Group.of(table, how)
+            own = [s for part in table.column("text").chunks for s in sets_of(part, how.words)]
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            begin = np.cumsum(size) - size
+            names, flat = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_inverse=True)
+            del own
+            here = np.zeros(len(names), np.int32)
+            joined = _Joined(group.component)
+            found: list[tuple[int, int]] = []
+            for i in range(len(size)):
+                j = group.near(i, joined.label, _most_different(how))
+                if not len(j):
+                    continue
+                mine = flat[begin[i] : begin[i] + size[i]]
+                here[mine] = 1
+                both = np.add.reduceat(here[flat[tk.expand(begin[j], size[j])]], np.cumsum(size[j]) - size[j])
+                here[mine] = 0
+                for y in j[100 * both >= how.percent * (size[i] + size[j] - both)].tolist():
+                    if joined.join(i, y):
+                        found.append((int(group.ids[i]), int(group.ids[y])))
+            cols = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
@@ -217,36 +318,37 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     chosen = with_words.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", "key", "key2"], "left_semi").dropDuplicates(["doc_id"])
 
     members = chosen.select("doc_id", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     shared = materialise(members.join(sizes, "bucket"), "shared-buckets")
     density = materialise(shared.groupBy("doc_id").agg(F.sum("n").alias("weight")), "densities")
-    hubs = shared.join(density, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", "weight").alias("hub"), F.max("weight").alias("weight"))
-    upward = shared.join(materialise(hubs, "hubs"), "bucket").groupBy("doc_id").agg(F.max_by("hub", "weight").alias("hub"))
+    hubs = shared.join(density, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", "weight").alias("hub"), F.max("weight").alias("weight"), F.max("n").alias("n"))
+    salts = F.ceil(F.col("n") / how.hub_group).cast("int")
+    hubs = materialise(hubs.select("bucket", "hub", "weight", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "hubs")
+    upward = shared.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).join(hubs, ["bucket", "salt"]).groupBy("doc_id").agg(F.max_by(F.struct("hub", "weight"), "weight").alias("up"))
+    upward = materialise(upward.select("doc_id", "up.hub", F.ceil(F.col("up.weight") / (4 * how.hub_group)).alias("salts")), "upward")
 
     signature = chosen.select("doc_id", "signature")
-    star = upward.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    near = (
-        star.join(signature.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a")
-        .join(signature.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
-        .where(estimate(F.col("sa"), F.col("sb"), how) >= how.percent / 100 - how.margin)
-    )
+    star = upward.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"), "salts", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"))
+    star = materialise(star.join(signature.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a"), "star")
+    heads = star.select("b", "salt").distinct().join(signature.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
+    near = star.join(materialise(heads, "star-heads"), ["b", "salt"]).where(estimate(F.col("sa"), F.col("sb"), how) >= how.percent / 100 - how.margin)
     star_links = materialise(confirm(near, docs, how), "star-links")
     first = components(star_links)
 
-    labelled = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    labelled = materialise(labelled, "labelled-buckets")
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    parts = F.ceil(F.col("n") / how.block).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int")
-    left = labelled.join(open_buckets, "bucket").withColumn("parts", parts).withColumn("mine", mine)
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    blocks = left.select(
-        F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", low, high)).alias("g"),
-        F.col("mine").alias("side"), (low != high).alias("across"), "doc_id", "component", "bucket",
-    )
-    inside = _inside(blocks.join(chosen.select("doc_id", "signature", "bands"), "doc_id"), how)
-    more_links = materialise(confirm(inside.distinct(), docs, how), "inner-links")
+    labels = materialise(upward.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "hub", F.coalesce("component", "doc_id").alias("component")), "labels")
+    labelled = materialise(shared.join(labels, "doc_id").select("bucket", "doc_id", "hub", "component"), "labelled-buckets")
+    # of buckets with the same members one is enough
+    same = F.struct(F.count("*"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("doc_id", F.lit(1))))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), same.alias("members")).where("lo < hi")
+    opened = materialise(mixed.groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"), "open-buckets")
+    left = materialise(labelled.join(opened, "bucket"), "open-members")
+    signed_left = chosen.select("doc_id", "n_shingles", "signature", "bands")
+    near_members = clusters_inside(_dealt(left, "bucket", F.lit(1), how.block).join(signed_left, "doc_id"), how)
+    clusters = materialise(components(materialise(near_members, "near-members")), "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+    apart = materialise(clusters.join(labels, "doc_id").join(signed_left, "doc_id"), "apart")
+    dealt = _dealt(apart, "cluster", F.col("n_shingles"), how.block_shingles)
+    more_links = materialise(links_inside(dealt.join(texts(docs).dropDuplicates(["doc_id"]), "doc_id"), how), "inner-links")
 
     linked = components(star_links.unionByName(more_links)) if not more_links.isEmpty() else first
     named = classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select("key", "key2", F.coalesce("component", "class_id").alias("component_id"))

@@ -16,12 +16,15 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder takes its place.
+    Where the session names none, a temporary folder takes its place if all runs on one machine; on a cluster that is an
+    error, since executors would write where nobody else reads.
     """
     global _own_dir
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="colloquy-")
     return f"file://{_own_dir}"
@@ -61,8 +64,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` of the documents; a null text counts as empty, other columns are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, without counting beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows

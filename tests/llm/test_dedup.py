@@ -8,6 +8,7 @@ import pytest
 
 from colloquy.llm import minhash_dedup, substring_dedup
 from colloquy.llm.minhash_dedup import NearDedup
+from colloquy.llm.shared import materialise
 from tests.llm.conftest import prose
 
 
@@ -51,7 +52,7 @@ def near_texts():
     return texts | {900: "one two three", 901: "One  two\nthree", 902: "", 903: None, 904: "one two three four"}
 
 
-@pytest.mark.parametrize("how", [NearDedup(), NearDedup(block=4, hub_group=2), NearDedup(percent=80, margin=0.1, rows=6, bands=42)])
+@pytest.mark.parametrize("how", [NearDedup(), NearDedup(block=4, block_shingles=300, hub_group=2), NearDedup(percent=80, margin=0.1, rows=6, bands=42)])
 def test_near_duplicates_equal_all_pairs(spark, near_texts, how):
     docs = spark.createDataFrame(list(near_texts.items()), "doc_id long, text string").repartition(5)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs, how).collect()}
@@ -160,3 +161,35 @@ def test_recall_of_edited_passages(spark, identity, recall):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     found = {r["doc_id"] for r in substring_dedup.find_passages(docs).collect() if r["start_word"] < 120 and r["end_word"] > 60 and r["source_doc_id"] == r["doc_id"] - 1}
     assert len(found) >= recall * planted, len(found)
+
+
+def family(n: int, seed: int) -> list[list[str]]:
+    """Copies of copies, each with a few words changed: many pairs lie about the limit."""
+    rng = random.Random(seed)
+    texts = [prose(rng, 100)]
+    while len(texts) < n:
+        copy = list(rng.choice(texts))
+        for i in rng.sample(range(100), rng.choice([1, 1, 2, 3])):
+            copy[i] = f"w{rng.randrange(10**6)}"
+        texts.append(copy)
+    return texts
+
+
+def test_rows_that_leave_a_large_group_grow_with_its_members(spark, monkeypatch):
+    made = {}
+
+    def counting(df, name, codec="zstd"):
+        out = materialise(df, name, codec)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialise", counting)
+    monkeypatch.setattr("colloquy.llm.components.materialise", counting)
+    for n in (200, 2000):
+        texts = {i: " ".join(w) for i, w in enumerate(family(n, 5))}
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs).collect()}
+        if n == 200:
+            assert found == components_of(texts, 85)
+        assert made["inner-links"] < n, made
+        assert max(made[k] for k in ("salted-pairs", "star-links", "open-members", "near-members")) <= NearDedup().bands * n, made
