@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -89,56 +90,157 @@ def words_of(text: str) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-# A skeleton is (signature, children); runs of equal sibling skeletons are one child.
-Skeleton = tuple
-
-
-def skeleton(node: Node) -> Skeleton:
-    return _skeleton(node, 0)[0]
-
-
-def _skeleton(node: Node, depth: int) -> tuple[Skeleton, list]:
-    kids, groups = [], []
-    for kid in node.kids:
-        if kid.tag in VOID or kid.tag not in BLOCK or depth > 60:
-            continue
-        shape, below = _skeleton(kid, depth + 1)
-        if kids and kids[-1] == shape:
-            groups[-1].append((kid, below))
-        else:
-            kids.append(shape)
-            groups.append([(kid, below)])
-    return (f"{node.tag}.{node.name}", tuple(kids)), groups
-
-
-def grouped(node: Node) -> tuple[Skeleton, list]:
-    """The skeleton with, for each of its children, the nodes (and theirs below) that it stands for."""
-    return _skeleton(node, 0)
-
-
-@lru_cache(4096)
-def matching(a: Skeleton, b: Skeleton) -> tuple[int, tuple]:
-    """Simple tree matching: size of the largest order-keeping match of two trees and the pairs of children it uses."""
-    if a[0] != b[0]:
-        return 0, ()
-    n, m = len(a[1]), len(b[1])
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matching(a[1][i], b[1][j])[0])
-    pairs, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return 1 + best[n][m], tuple(reversed(pairs))
-
-
-def number(tree: Skeleton) -> tuple[int, list]:
-    """Sizes for numbering a skeleton's nodes in document order: (nodes, sizes of children)."""
-    kids = [number(k) for k in tree[1]]
-    return 1 + sum(k[0] for k in kids), kids
+@dataclass
+class Skeleton:
+    """The block elements of a page in document order, runs of equally shaped siblings as one node.
+
+    Node ``k`` has a signature (tag and names), a hash of the shape at and below it, its parent, its children, the number of
+    nodes at and below it, and the elements of the page that it stands for (none for a skeleton read back from a table).
+    """
+
+    signature: list[str] = field(default_factory=list)
+    shape: list[int] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    kids: list[list[int]] = field(default_factory=list)
+    size: list[int] = field(default_factory=list)
+    members: list[list[Node]] = field(default_factory=list)
+
+    def add(self, signature: str, parent: int, members: list[Node]) -> int:
+        k = len(self.signature)
+        self.signature.append(signature)
+        self.parent.append(parent)
+        self.kids.append([])
+        self.members.append(members)
+        if parent >= 0:
+            self.kids[parent].append(k)
+        return k
+
+    def close(self) -> None:
+        """Fills sizes and shapes from the leaves up; a child has a greater number than its parent."""
+        n = len(self.signature)
+        self.size, self.shape = [1] * n, [0] * n
+        for k in range(n - 1, -1, -1):
+            self.shape[k] = _shape(self.signature[k], [self.shape[c] for c in self.kids[k]])
+            if self.parent[k] >= 0:
+                self.size[self.parent[k]] += self.size[k]
+
+
+def _shape(signature: str, kids: list[int]) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{signature}|{kids}".encode("utf-8", "replace"), digest_size=8).digest())
+
+
+def _blocks_below(node: Node) -> list[Node]:
+    return [k for k in node.kids if k.tag in BLOCK and k.tag not in VOID]
+
+
+def skeleton(root: Node) -> Skeleton:
+    """The skeleton of a page, without recursion: pages nest as deep as they like."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += _blocks_below(node)
+    shape: dict[int, int] = {}
+    runs: dict[int, list[list[Node]]] = {}
+    for node in reversed(order):
+        own: list[list[Node]] = []
+        for kid in _blocks_below(node):
+            if own and shape[id(own[-1][0])] == shape[id(kid)]:
+                own[-1].append(kid)
+            else:
+                own.append([kid])
+        runs[id(node)] = own
+        shape[id(node)] = _shape(f"{node.tag}.{node.name}", [shape[id(r[0])] for r in own])
+    out = Skeleton()
+    waiting = [(-1, [root])]
+    while waiting:
+        parent, members = waiting.pop()
+        k = out.add(f"{members[0].tag}.{members[0].name}", parent, members)
+        below = [runs[id(m)] for m in members]  # of equal shape: as many runs each
+        waiting += [(k, [n for r in below for n in r[j]]) for j in range(len(below[0]) - 1, -1, -1)]
+    out.close()
+    return out
+
+
+class Matching:
+    """Simple tree matching of two skeletons: the largest match of their nodes that keeps parents and order."""
+
+    def __init__(self, a: Skeleton, b: Skeleton) -> None:
+        self.a, self.b = a, b
+        self.known: dict[tuple[int, int], int] = {}
+
+    def _ends(self, x: list[int], y: list[int]) -> tuple[int, int]:
+        """How many children of equal shape both lists begin and end with; matching those is never worse."""
+        shape_a, shape_b = self.a.shape, self.b.shape
+        n = min(len(x), len(y))
+        i = next((i for i in range(n) if shape_a[x[i]] != shape_b[y[i]]), n)
+        j = next((j for j in range(n - i) if shape_a[x[-1 - j]] != shape_b[y[-1 - j]]), n - i)
+        return i, j
+
+    def size(self, a: int, b: int) -> int:
+        """Number of matched nodes at and below ``a`` and ``b``."""
+        stack = [(a, b)]
+        while stack:
+            p, q = stack[-1]
+            if (p, q) in self.known:
+                stack.pop()
+                continue
+            if self.a.signature[p] != self.b.signature[q]:
+                self.known[p, q] = 0
+            elif self.a.shape[p] == self.b.shape[q]:
+                self.known[p, q] = self.a.size[p]
+            else:
+                need = [(x, y) for x, y in self._open(p, q) if (x, y) not in self.known]
+                if need:
+                    stack += need
+                    continue
+                self.known[p, q] = 1 + sum(self.known[x, y] if (x, y) in self.known else self.a.size[x] for x, y in self.pairs(p, q))
+            stack.pop()
+        return self.known[a, b]
+
+    def _open(self, p: int, q: int) -> list[tuple[int, int]]:
+        x, y = self.a.kids[p], self.b.kids[q]
+        i, j = self._ends(x, y)
+        by: dict[str, list[int]] = {}
+        for k in y[i : len(y) - j]:
+            by.setdefault(self.b.signature[k], []).append(k)
+        return [(k, m) for k in x[i : len(x) - j] for m in by.get(self.a.signature[k], ())]
+
+    def pairs(self, p: int, q: int) -> list[tuple[int, int]]:
+        """The pairs of children of ``p`` and ``q`` that the best match uses (the sizes below are known or equal)."""
+        x, y = self.a.kids[p], self.b.kids[q]
+        i, j = self._ends(x, y)
+        out = list(zip(x[:i], y[:i], strict=True))
+        u, v = x[i : len(x) - j], y[i : len(y) - j]
+        if u and v:
+            best = [[0] * (len(v) + 1)]
+            for k in u:
+                above, row = best[-1], [0]
+                for n, m in enumerate(v):
+                    row.append(max(above[n + 1], row[n], above[n] + self.known.get((k, m), 0)))
+                best.append(row)
+            middle, s, t = [], len(u), len(v)
+            while s and t:
+                if best[s][t] == best[s - 1][t]:
+                    s -= 1
+                elif best[s][t] == best[s][t - 1]:
+                    t -= 1
+                else:
+                    s, t = s - 1, t - 1
+                    middle.append((u[s], v[t]))
+            out += reversed(middle)
+        return out + list(zip(x[len(x) - j :], y[len(y) - j :], strict=True))
+
+    def aligned(self) -> list[tuple[int, int]]:
+        """All matched pairs of nodes, from the roots down."""
+        if not self.size(0, 0):
+            return []
+        out, stack = [], [(0, 0)]
+        while stack:
+            p, q = stack.pop()
+            out.append((p, q))
+            if self.a.shape[p] == self.b.shape[q]:
+                stack += zip(self.a.kids[p], self.b.kids[q], strict=True)
+            else:
+                stack += self.pairs(p, q)
+        return out

@@ -1,20 +1,25 @@
 """Main text of web pages by wrapper induction per host.
 
-1. The page with the smallest id of each host is its reference tree.
-2. Every page of the host is aligned with the reference by simple tree matching (runs of equal siblings count
-   as one repeated node). For each node of the reference, the pages count how often it was matched and how
-   often its own text was the same: constant nodes become template, varying ones are slots. The counts
-   are summed per batch before they are shuffled, so a host with a third of all pages is one row per batch and node.
-3. Each page is aligned once more; template nodes and page furniture (navigation, headers, footers, adverts, forms,
-   notices, comments, by element or by class name) go, what is left are its content slots. Where a page
-   has an article or main element, content is what stands in it: there, text that many pages share is kept.
-
-References and wrappers hold tags and class names, one row per host. They are sent to all executors when their
-measured size is under ``broadcast_bytes``, else they are joined by host (which Spark can split for skew).
-
-Edge cases: null or empty html has an empty text; null urls are one host ""; a host with one page has no constant
-nodes, only the rules on furniture apply; pages cut off anywhere end there; repeated pages are rows of their own;
-null page_ids get text too, they only can't be a reference. Only ``page_id, url, html`` are read.
+1. Every page gives its skeleton: its block elements, runs of equally shaped siblings as one node. The commonest
+   skeletons of a host (``references`` of them, the page with the smallest id for each) are its reference trees; they are
+   counted per batch first, and what is shuffled are skeletons with marks (hashes) of their texts, never pages.
+2. Every page of the host is aligned with the references by simple tree matching. For each text of a reference
+   node the pages count how often the node was matched and how often the aligned elements had the same text. A text that
+   stays the same on ``constant_share`` of the pages is constant: template. Texts that vary are slots: content. A page most
+   of whose text is the reference's own is a copy of it and tells nothing about what is constant, so it does not count.
+   Counts are summed per batch before they are shuffled, so a host with a third of all pages is few rows per batch.
+3. Each page is aligned once more. Elements whose text is template go, in and outside of articles. What is left are the
+   slots; of those the page's article or main element, where it has one, is the main text, and names and elements that
+   mean furniture (navigation, adverts, forms, comments) are left out, because such slots vary too. Outside an article,
+   blocks that are links only are menus.
+
+Wrappers are one row per host. They are sent to all executors when their measured size is under ``broadcast_bytes``,
+else they are joined by host (Spark splits the pages of a hot host); the rows are the same.
+
+Edge cases: null or empty html has an empty text; null urls are one host ""; a host with under ``min_pages`` pages, or
+whose pages are all copies, has no constant nodes, only the rules on furniture apply; pages cut off anywhere end there;
+pages nest as deep as they like; repeated pages are rows of their own; null page_ids get text too, they only can't be a
+reference. Only ``page_id, url, html`` are read, so further columns may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,224 +30,299 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.html_dom import BLOCK, Node, grouped, matching, number, parse, skeleton, words_of
+from colloquy.llm.html_dom import BLOCK, Matching, Node, Skeleton, parse, skeleton, words_of
 from colloquy.llm.shared import materialise
 
 _FURNITURE_TAGS = frozenset("nav footer header aside form button menu dialog head figure label".split())
-_FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|"
+_NAMES = (
+    r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|"
     r"sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|comment-\w+|disqus|replies|reply|respond|footer|foot|masthead|header|login|signup|"
-    r"newsletter|subscribe|search|pagination|pager|tags|toolbar|skip|copyright|complementary|contentinfo|search)(?:$|[\s_-])"
+    r"newsletter|subscribe|search|pagination|pager|tags|toolbar|skip|copyright|complementary|contentinfo"
 )
-_CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story)(?:$|[\s_-])")
+_PART_OF_NAME = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])")
+_WHOLE_NAME = re.compile(rf"(?:^|\s)(?:{_NAMES})(?:$|\s)")
+_OF_READERS = re.compile(r"(?:^|\s)(?:comments?|reply|replies)(?:$|\s)")
 _STRONG = frozenset(("article", "main"))
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _furniture(node: Node, inside: bool) -> bool:
+    """Whether an element is page furniture by its kind or names; inside an article only whole names count."""
     if node.tag in _FURNITURE_TAGS:
         return not (inside and node.tag in ("header", "figure"))
-    return bool(node.name) and bool(_FURNITURE_NAME.search(node.name)) and node.tag not in _STRONG and node.tag != "body"
-
-
-def _own_text(node: Node) -> str:
-    """Text of a node with its inline descendants, without the blocks below."""
-    out: list[str] = []
-
-    def walk(n: Node) -> None:
-        for part in n.parts:
-            if isinstance(part, str):
-                out.append(part)
-            elif part.tag not in BLOCK:
-                out.append(" ")
-                walk(part)
-
-    walk(node)
-    return words_of(" ".join(out))
+    if not node.name or node.tag == "body":
+        return False
+    if node.tag in _STRONG:
+        return bool(_OF_READERS.search(node.name))
+    if inside:
+        return node.tag not in _HEADING and bool(_WHOLE_NAME.search(node.name))
+    return bool(_PART_OF_NAME.search(node.name))
 
 
 def _mark(text: str) -> str:
-    """A short mark of a whole text; empty for none."""
-    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest() if text else ""
-
-
-def _blocks(node: Node, dropped: set[int], inside: bool, out: list[str]) -> None:
-    """Appends the blocks of text at and below ``node`` in page order."""
+    """A short mark of a whole text."""
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def own_texts(root: Node) -> dict[int, str]:
+    """Text of each block element with its inline elements, without the blocks below; by the element's identity."""
+    parts: dict[int, list[str]] = {}
+    stack = [(root, root)]
+    while stack:
+        node, block = stack.pop()
+        if isinstance(node, str):
+            parts.setdefault(id(block), []).append(node)
+            continue
+        if node.tag in BLOCK:
+            block = node
+        else:
+            parts.setdefault(id(block), []).append(" ")
+        stack += [(p, block) for p in reversed(node.parts)]
+    return {k: text for k, v in parts.items() if (text := words_of("".join(v)))}
+
+
+def _blocks(root: Node, template: set[int], inside: bool) -> list[str]:
+    """Blocks of text at and below ``root`` in page order, without furniture and the texts of ``template`` elements."""
+    out: list[str] = []
     run: list[str] = []
+    linked = [True]  # whether all of the run stands in links
 
     def flush() -> None:
         text = words_of("".join(run))
         run.clear()
-        if text:
+        if text and (inside or not linked[0]):
             out.append(text)
-
-    def walk(n: Node) -> None:
-        for part in n.parts:
-            if isinstance(part, str):
-                run.append(part)
-            elif part.tag in ("br", "hr"):
-                run.append(" ")
-            elif _furniture(part, inside):
+        linked[0] = True
+
+    stack = [(root, iter(root.parts), id(root) in template, False)]
+    while stack:
+        node, parts, muted, link = stack[-1]
+        part = next(parts, None)
+        if part is None:
+            stack.pop()
+            if node.tag in BLOCK:
                 flush()
-            elif part.tag in BLOCK:
+        elif isinstance(part, str):
+            if not muted:
+                run.append(part)
+                linked[0] &= link or not part.strip()
+        elif part.tag in ("br", "hr"):
+            run.append(" ")
+        elif _furniture(part, inside):
+            if part.tag in BLOCK:
                 flush()
-                if id(part) not in dropped:
-                    walk(part)
-                    flush()
-                else:
-                    for kid in part.kids:
-                        walk_kept(kid)
-            else:
-                walk(part)
-
-    def walk_kept(n: Node) -> None:
-        """Below a template node only its blocks can be content; its own text is not."""
-        if n.tag in BLOCK and not _furniture(n, inside):
-            if id(n) in dropped:
-                for kid in n.kids:
-                    walk_kept(kid)
             else:
-                walk(n)
-                flush()
-
-    walk(node)
+                run.append(" ")
+        elif part.tag in BLOCK:
+            flush()
+            stack.append((part, iter(part.parts), id(part) in template, link))
+        else:
+            stack.append((part, iter(part.parts), muted, link or part.tag == "a"))
     flush()
+    return out
+
+
+def _outermost(tree: Node, tags: frozenset[str] | tuple[str, ...]) -> list[Node]:
+    """The outermost elements of those tags below ``tree`` that stand in no furniture, in page order."""
+    found, stack = [], list(reversed(tree.kids))
+    while stack:
+        node = stack.pop()
+        if _furniture(node, False):
+            continue
+        if node.tag in tags or "article" in tags and "articlebody" in node.name:
+            found.append(node)
+        else:
+            stack += reversed(node.kids)
+    return found
 
 
 def _roots(tree: Node) -> list[Node]:
-    """The outermost article or main elements that stand in no furniture."""
-    found: list[Node] = []
-
-    def walk(n: Node) -> None:
-        for kid in n.kids:
-            if kid.tag in _STRONG or "articlebody" in kid.name:
-                found.append(kid)
-            elif not _furniture(kid, False):
-                walk(kid)
-
-    walk(tree)
-    mains = [n for n in found if n.tag == "main"]
-    for n in mains:  # an article within main is the narrower choice
-        inner = _roots(n)
-        if inner:
-            found[found.index(n) : found.index(n) + 1] = inner
+    """The article or main elements of a page; an article within main is the narrower choice."""
+    found = []
+    for node in _outermost(tree, _STRONG):
+        found += (_outermost(node, ("article",)) if node.tag == "main" else []) or [node]
     return found
 
 
-def _aligned(tree: Node, reference: tuple) -> list[tuple[int, list[Node]]]:
-    """Numbers of the reference's nodes with the nodes of the page that match them."""
-    shape, groups = grouped(tree)
-    out: list[tuple[int, list[Node]]] = []
+def content_of(tree: Node, template: set[int]) -> str:
+    """Main text of a page, given the elements whose text is template."""
+    out = [b for root in _roots(tree) for b in _blocks(root, template, True)]
+    return "\n".join(out or _blocks(tree, template, False))
 
-    def walk(a: tuple, sizes: tuple, base: int, b: tuple, members: list[tuple[Node, list]]) -> None:
-        out.append((base, [n for n, _ in members]))
-        for i, j in matching(a, b)[1]:
-            at = base + 1 + sum(s[0] for s in sizes[1][:i])
-            below = [pair for _, g in members if j < len(g) for pair in g[j]]
-            if below:
-                walk(a[1][i], sizes[1][i], at, b[1][j], below)
 
-    if matching(reference, shape)[0]:
-        walk(reference, number(reference), 0, shape, [(tree, groups)])
-    return out
+# A reference is kept as JSON: [signature, parent, marks of its texts] of each node.
+
+
+def _written(shape: Skeleton, texts: dict[int, str]) -> str:
+    rows = []
+    for signature, parent, members in zip(shape.signature, shape.parent, shape.members, strict=True):
+        rows.append([signature, parent, sorted({_mark(texts[id(m)]) for m in members if id(m) in texts})])
+    return json.dumps(rows)
+
 
+def _read(written: str) -> tuple[Skeleton, list[frozenset[str]]]:
+    shape, marks = Skeleton(), []
+    for signature, parent, own in json.loads(written):
+        shape.add(signature, parent, [])
+        marks.append(frozenset(own))
+    shape.close()
+    return shape, marks
 
-def _as_tuple(x: list) -> tuple:
-    return x[0], tuple(_as_tuple(k) for k in x[1])
 
+class _References:
+    """References of hosts, read once per task as far as they fit in ``keep`` entries."""
+
+    def __init__(self, keep: int = 5000) -> None:
+        self.keep, self.known = keep, {}
+
+    def of(self, host: str, written: list | None) -> list:
+        if host not in self.known:
+            if len(self.known) >= self.keep:
+                self.known.clear()
+            self.known[host] = [(*_read(r["reference"]), _template(r["template"])) for r in written or []]
+        return self.known[host]
+
+
+def _template(entries: list[str] | None) -> dict[int, set[str]]:
+    out: dict[int, set[str]] = {}
+    for entry in entries or []:
+        k, mark = entry.split(":")
+        out.setdefault(int(k), set()).add(mark)
+    return out
 
-def extract(page: str, reference: tuple | None, template: frozenset[int]) -> str:
-    """The main text of one page, given its host's wrapper."""
+
+def extract(page: str, references: list) -> str:
+    """The main text of one page, given its host's references and their template texts."""
     tree = parse(page)
-    dropped: set[int] = set()
-    if reference is not None and template:
-        for k, nodes in _aligned(tree, reference):
-            if k in template:
-                dropped.update(map(id, nodes))
-    out: list[str] = []
-    for root in _roots(tree):
-        _blocks(root, set(), True, out)
-    if not out:
-        _blocks(tree, dropped, False, out)
-    return "\n".join(out)
+    template: set[int] = set()
+    if any(t for *_, t in references):
+        shape, texts = skeleton(tree), own_texts(tree)
+        for reference, _, constant in references:
+            if constant:
+                for k, n in Matching(reference, shape).aligned():
+                    if k in constant:
+                        template.update(id(m) for m in shape.members[n] if id(m) in texts and _mark(texts[id(m)]) in constant[k])
+    return content_of(tree, template)
+
+
+def evidence(page: str, references: list, copy_share: float) -> Iterator[tuple[int, int, list[str]]]:
+    """``reference, node, marks of its texts that are the same`` of a page's aligned nodes; nothing for a copy."""
+    tree = parse(page)
+    shape, texts = skeleton(tree), own_texts(tree)
+    free: list[Node] = [tree]
+    total = 0
+    counted: dict[int, int] = {}
+    while free:  # text outside furniture decides what is a copy
+        node = free.pop()
+        counted[id(node)] = len(texts.get(id(node), ""))
+        total += counted[id(node)]
+        free += [k for k in node.kids if not _furniture(k, False)]
+    for r, (reference, marks, _) in enumerate(references):
+        rows, same = [], 0
+        for k, n in Matching(reference, shape).aligned():
+            if marks[k]:
+                hits = [m for m in shape.members[n] if id(m) in texts and _mark(texts[id(m)]) in marks[k]]
+                rows.append((r, k, sorted({_mark(texts[id(m)]) for m in hits})))
+                same += sum(counted.get(id(m), 0) for m in hits)
+        if same < copy_share * total:
+            yield from rows
 
 
 def _host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+
+
 def _with_hosts(pages: DataFrame, hosts: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """Left join by host; ``hosts`` is broadcast if its measured size allows."""
-    size = hosts.select(F.sum(sum((F.length(c) for c, t in hosts.dtypes if t == "string"), F.lit(64)))).first()[0] or 0
+    """Left join by host; ``hosts`` (``host, references``) is broadcast if its measured size allows."""
+    size = hosts.select(F.sum(F.length(F.to_json("references")) + 64)).first()[0] or 0
     return pages.join(F.broadcast(hosts) if size <= broadcast_bytes else hosts, "host", "left")
 
 
-def induce_wrappers(pages: DataFrame, constant_share: float = 0.8, min_pages: int = 3, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """``host, reference, template`` per host: the reference skeleton (JSON) and the numbers of its constant nodes."""
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), _host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    first = keyed.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    chosen = keyed.join(first, ["host", "page_id"], "left_semi").dropDuplicates(["host"])
+def choose_references(pages: DataFrame, references: int) -> DataFrame:
+    """``host, references``: of each host the commonest skeletons, with the marks of the texts of their first page."""
 
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [json.dumps(skeleton(parse(h))) for h in batch.column("html").to_pylist()]
-            own = [json.dumps({str(k): _mark(_own_text(nodes[0])) for k, nodes in _aligned(parse(h), _as_tuple(json.loads(r)))}) for h, r in zip(batch.column("html").to_pylist(), rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows, pa.string()), pa.array(own, pa.string())], names=["host", "reference", "own"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], list] = {}
 
-    references = materialise(chosen.select("host", "html").mapInArrow(shapes, "host string, reference string, own string"), "references")
+        def rows() -> pa.RecordBatch:
+            cols = [[k[0] for k in seen], [k[1] - (1 << 63) for k in seen], *([v[i] for v in seen.values()] for i in range(3))]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "shape", "n", "page_id", "reference"])
+
+        for batch in batches:
+            for page_id, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html")), strict=True):
+                tree = parse(page)
+                shape = skeleton(tree)
+                entry = seen.setdefault((host, shape.shape[0]), [0, None, ""])
+                entry[0] += 1
+                if entry[1] is None or page_id < entry[1]:
+                    entry[1:] = page_id, _written(shape, own_texts(tree))
+            if len(seen) > 2000:
+                yield rows()
+                seen.clear()
+        yield rows()
+
+    known = pages.where("page_id IS NOT NULL").select("page_id", "host", "html")
+    shapes = known.mapInArrow(run, "host string, shape long, n long, page_id long, reference string")
+    shapes = shapes.groupBy("host", "shape").agg(F.sum("n").alias("n"), F.min("page_id").alias("page_id"), F.min_by("reference", "page_id").alias("reference"))
+    # the greatest few of a list, kept small by the window's rank limit on both sides of its shuffle
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "page_id"))
+    chosen = shapes.withColumn("rank", rank).where(F.col("rank") <= references)
+    listed = F.sort_array(F.collect_list(F.struct("rank", "reference")))
+    return chosen.groupBy("host").agg(F.transform(listed, lambda x: F.struct(x["reference"].alias("reference"), F.array().cast("array<string>").alias("template"))).alias("references"))
+
+
+def induce_wrappers(pages: DataFrame, references: int = 2, constant_share: float = 0.8, copy_share: float = 0.7, min_pages: int = 3, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """``host, references`` per host: its reference skeletons (JSON), each with its template texts ``node:mark``."""
+    keyed = _keyed(pages)
+    chosen = materialise(choose_references(keyed, references), "references")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: dict[tuple[str, int], list[int]] = {}
-        loaded: dict[str, tuple] = {}
+        tally: dict[tuple[str, int, int, str], int] = {}
+        loaded = _References()
         for batch in batches:
-            for host, page, ref, own in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference", "own")), strict=True):
-                if ref is None:
-                    continue
-                if host not in loaded:
-                    if len(loaded) > 5000:
-                        loaded.clear()
-                    loaded[host] = _as_tuple(json.loads(ref)), json.loads(own)
-                tree, texts = loaded[host]
-                for k, nodes in _aligned(parse(page), tree):
-                    seen = tally.setdefault((host, k), [0, 0])
-                    said = texts.get(str(k), "")
-                    seen[0] += 1
-                    seen[1] += bool(said) and all(_mark(_own_text(n)) == said for n in nodes)
+            for host, page, written in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "references")), strict=True):
+                for r, k, same in evidence(page, loaded.of(host, written), copy_share):
+                    for mark in ("", *same):  # the empty mark counts the pages
+                        tally[host, r, k, mark] = tally.get((host, r, k, mark), 0) + 1
             if len(tally) > 50_000:
                 yield _tally_rows(tally)
                 tally = {}
         yield _tally_rows(tally)
 
-    joined = _with_hosts(keyed.select("host", "html"), references, broadcast_bytes)
-    nodes = joined.mapInArrow(counts, "host string, node int, matched long, same long").groupBy("host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
-    constant = nodes.where((F.col("same") >= min_pages) & (F.col("same") >= constant_share * F.col("matched")))
-    template = constant.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("template"))
-    return materialise(references.select("host", "reference").join(template, "host", "left"), "wrappers")
+    joined = _with_hosts(keyed.select("host", "html"), chosen, broadcast_bytes)
+    texts = joined.mapInArrow(counts, "host string, ref int, node int, mark string, n long").groupBy("host", "ref", "node", "mark").agg(F.sum("n").alias("n"))
+    texts = materialise(texts, "node-texts")
+    matched = texts.where("mark = ''").select("host", "ref", "node", F.col("n").alias("matched"))
+    constant = texts.where((F.col("mark") != "") & (F.col("n") >= min_pages)).join(matched, ["host", "ref", "node"]).where(F.col("n") >= constant_share * F.col("matched"))
+    entry = F.struct("ref", F.concat_ws(":", F.col("node").cast("string"), "mark").alias("text"))
+    template = constant.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("template"))
+    own = lambda x, i: F.transform(F.filter(F.coalesce("template", F.array().cast("array<struct<ref:int,text:string>>")), lambda t: t["ref"] == i), lambda t: t["text"])
+    filled = F.transform("references", lambda x, i: F.struct(x["reference"].alias("reference"), own(x, i).alias("template")))
+    return materialise(chosen.join(template, "host", "left").select("host", filled.alias("references")), "wrappers")
 
 
 def _tally_rows(tally: dict) -> pa.RecordBatch:
-    keys, values = list(tally), list(tally.values())
-    cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, names=["host", "node", "matched", "same"])
+    cols = [[k[i] for k in tally] for i in range(4)] + [list(tally.values())]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "ref", "node", "mark", "n"])
 
 
 def extract_main_text(pages: DataFrame, broadcast_bytes: int = 16 << 20, **wrapper_options) -> DataFrame:
     """``page_id, url, text`` of every page."""
     wrappers = induce_wrappers(pages, broadcast_bytes=broadcast_bytes, **wrapper_options)
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), _host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, tuple] = {}
+        loaded = _References()
         for batch in batches:
-            rows = []
-            for host, page, ref, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference", "template")), strict=True):
-                if host not in loaded:
-                    if len(loaded) > 5000:
-                        loaded.clear()
-                    loaded[host] = (_as_tuple(json.loads(ref)) if ref else None), frozenset(map(int, template.split(","))) if template else frozenset()
-                rows.append(extract(page, *loaded[host]))
+            rows = [extract(page, loaded.of(host, written)) for host, page, written in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "references")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(rows, pa.string())], names=["page_id", "url", "text"])
 
-    return _with_hosts(keyed, wrappers, broadcast_bytes).mapInArrow(run, "page_id long, url string, text string")
+    return _with_hosts(_keyed(pages), wrappers, broadcast_bytes).mapInArrow(run, "page_id long, url string, text string")
