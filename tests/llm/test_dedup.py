@@ -193,3 +193,38 @@ def test_rows_that_leave_a_large_group_grow_with_its_members(spark, monkeypatch)
             assert found == components_of(texts, 85)
         assert made["inner-links"] < n, made
         assert max(made[k] for k in ("salted-pairs", "star-links", "open-members", "near-members")) <= NearDedup().bands * n, made
+
+
+def test_seed_links_equal_plain_python(spark):
+    rng = random.Random(17)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 5, 9]), rng.randrange(30), rng.randrange(60)) for _ in range(400)})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        given = spark.createDataFrame(rows, "seed long, doc_id long, pos int").repartition(4)
+        found = {(r["seed"], r["doc_id"], r["owner"], r["pos"], r["opos"]) for r in substring_dedup.seed_matches(given).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    places = {}
+    for s, d, p in rows:
+        places.setdefault((s, d), []).append(p)
+    at_borders = 0
+    for (s, d), own in places.items():
+        earlier = [x for t, x in places if t == s and x < d]
+        linked = {o for t, x, o, _, _ in found if (t, x) == (s, d)}
+        assert linked <= set(earlier) and (not earlier or max(earlier) in linked)
+        for i, p in enumerate(own if earlier else []):
+            theirs = places[s, max(earlier)]
+            if (s, d, max(earlier), p, theirs[min(i, len(theirs) - 1)]) not in found:
+                at_borders += 1  # across partitions only the two places at the border are linked
+    assert at_borders <= 12
+
+
+def test_passage_whose_long_pieces_stand_alone_in_earlier_documents(spark):
+    rng = random.Random(43)
+    passage = prose(rng, 80)
+    texts = [[*prose(rng, 30), *passage[i : i + 25], *prose(rng, 30)] for i in range(0, 56)]
+    texts += [[*prose(rng, 40), *passage, *prose(rng, 40)] for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in substring_dedup.find_passages(docs).collect()}
+    assert found[57]["source_doc_id"] == 56 and abs(found[57]["start_word"] - 40) <= 2 and abs(found[57]["end_word"] - 120) <= 2
