@@ -1,17 +1,15 @@
 """Byte-level BPE over a corpus by its distinct words.
 
-1. Each batch of texts is cut into pre-tokens; a batch becomes one row: its distinct pre-tokens, and for each
-   text the positions as numbers of those (packed and compressed).
-2. The distinct pre-tokens of all batches are exploded and brought together by a shuffle on the word's hash: the
-   words of a batch that go the same way travel as one compressed block, with their numbers. All batches' copies of a
-   word meet in one group, which encodes it once, with the rank file's merges.
-3. The ids go back to the batches by a shuffle on the batch, where they are laid out by position. Decoding joins each
-   distinct word's ids with the token-byte table, which is broadcast (its size is the vocabulary's).
-
-A hot word is one entry per batch at most, and the batches bound every group: a batch holds at most ``batch_rows``
-texts and about ``batch_bytes``; one text is never split. There are as many groups of words as shuffle partitions, so
-that a group shrinks as partitions are added; with more groups than words a block is a single word. Batches are written
-to the shared folder, so that a lost executor repeats no numbering.
+1. Each batch of texts is cut into pre-tokens and numbered: a batch becomes one row with its distinct pre-tokens and,
+   for each text, the positions as numbers of those. Batches are written to the shared folder in buckets by batch, so
+   that a lost executor repeats no numbering and the positions, the bulk of the data, are never shuffled.
+2. The distinct pre-tokens are exploded to rows ``batch, code, word``. Their global distinct words are brought together by
+   one shuffle and encoded, each once, with the rank file's merges. Decoding explodes the ids of the distinct words and
+   joins them with the token-byte table (broadcast: its size is the vocabulary's).
+3. The ids and bytes are joined back to the rows by word, go to their batch, and are laid out there by position.
+
+A hot word is one row per batch at most, and the batches bound every group: a batch holds at most ``batch_rows``
+texts and about ``batch_bytes``; one text is never split.
 
 Edge cases: null or empty text has no ids (hash of nothing). Repeated rows are encoded each. Only ``doc_id`` and
 ``text`` are read, so further columns may have any names. An empty table gives no rows.
@@ -21,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import textkernel as tk
-from colloquy.llm.shared import materialise, texts
+from colloquy.llm.shared import bucketed, materialise, texts
 from colloquy.llm.token_blocks import Ragged, distinct, pieces
 
 
@@ -45,12 +42,13 @@ def token_table(spark: SparkSession, rank_path: str) -> DataFrame:
 
 
 @lru_cache(2)
-def _encoding(rank_path: str, pattern: str):
+def _encoding(rank_path: str):
+    """The tokenizer of a rank file, with a pattern that takes a whole pre-token as one piece."""
     import tiktoken
 
     with open(rank_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(2)
@@ -60,14 +58,15 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def _pack(numbers: np.ndarray, level: int = 3) -> bytes:
-    """Numbers by frequency and steps between them are small; low and high bytes apart compress well."""
-    return zstandard.compress(b"".join((numbers >> s & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16)), level)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, as many as the greatest needs (the first byte says how many)."""
+    planes = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([planes]) + zstandard.compress(b"".join((numbers >> 8 * k & 0xFF).astype(np.uint8).tobytes() for k in range(planes)), 9)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    b = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
-    return b[0] | b[1] << 8 | b[2] << 16
+    planes = np.frombuffer(zstandard.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    return sum((p.astype(np.int64) << 8 * k for k, p in enumerate(planes)), np.zeros(planes.shape[1], np.int64))
 
 
 def _number(data: np.ndarray, offs: np.ndarray, pattern: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -85,27 +84,10 @@ def _number(data: np.ndarray, offs: np.ndarray, pattern: str) -> tuple[list[byte
     return [names[i].encode() for i in rank], place[flat], np.diff(at[first])
 
 
-_BLOCK = pa.struct([("bucket", pa.int32()), ("codes", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
-
-
-def _word_blocks(words: list[bytes], buckets: int) -> list[dict]:
-    """The words dealt over ``buckets`` by their hash: numbers (as steps), lengths and bytes of those of each bucket."""
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(length)
-    bucket = (tk.hash_runs(np.frombuffer(b"".join(words), np.uint8), ends - length, ends) >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    found, begin = np.unique(bucket[order], return_index=True)
-    blocks = []
-    for k, own in zip(found.tolist(), np.split(order, begin[1:]), strict=True):
-        blocks.append({"bucket": k, "codes": _pack(np.diff(own, prepend=0)), "lengths": _pack(length[own]), "words": zstandard.compress(b"".join([words[i] for i in own.tolist()]))})
-    return blocks
-
-
-def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes: int, buckets: int) -> DataFrame:
-    """``batch, doc_ids, counts, codes, blocks``: one row per batch of texts."""
+def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes: int) -> DataFrame:
+    """``batch, doc_ids, counts, codes, words``: one row per batch of texts; word ``k`` has number ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["batch", "doc_ids", "counts", "codes", "blocks"]
         rows: list[pa.RecordBatch] = []
         size = 0
 
@@ -114,9 +96,9 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
             text = whole.column("text").chunk(0)
             data, offs = next((d, o) for _, _, d, o in tk.blocks(text, 1 << 62))
             words, codes, counts = _number(data, offs, pattern)
-            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes, 9)], [_word_blocks(words, buckets) if words else []]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(_BLOCK))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes)], [words]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["batch", "doc_ids", "counts", "codes", "words"])
 
         for batch in batches:
             for a, b, data, _ in tk.blocks(batch.column("text")):
@@ -128,46 +110,36 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
         if rows:
             yield flush()
 
-    block = "array<struct<bucket:int,codes:binary,lengths:binary,words:binary>>"
-    return texts(docs).mapInArrow(run, f"batch long, doc_ids array<long>, counts array<long>, codes binary, blocks {block}")
-
-
-def encode_words(exploded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``batch, codes, lengths, ids`` of word blocks: each distinct word of a bucket is encoded once."""
-
-    def run(group: pa.Table) -> pa.Table:
-        encode = _encoding(rank_path, pattern)._core_bpe.encode_single_piece
-        known: dict[bytes, list[int]] = {}
-        lengths, ids = [], []
-        for block in group.select(["lengths", "words"]).to_pylist():
-            raw, at, own = zstandard.decompress(block["words"]), 0, []
-            for n in _unpack(block["lengths"]).tolist():
-                word = raw[at : at + n]
-                at += n
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = encode(word)
-                own.append(found)
-            lengths.append(_pack(np.fromiter(map(len, own), np.int64, len(own))))
-            ids.append(_pack(np.fromiter(itertools.chain.from_iterable(own), np.int64)))
-        return pa.table([group.column("batch"), group.column("codes"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["batch", "codes", "lengths", "ids"])
-
-    return exploded.groupBy("bucket").applyInArrow(run, "batch long, codes binary, lengths binary, ids binary")
-
-
-def _ids_by_code(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words of a batch in one array, and where those of word number k begin and how many there are."""
-    columns = [blocks.column(c).to_pylist() for c in ("codes", "lengths", "ids")]
-    none = [np.zeros(0, np.int64)]
-    codes = np.concatenate([*(np.cumsum(_unpack(x)) for x in columns[0]), *none])
-    lengths = np.concatenate([*map(_unpack, columns[1]), *none])
-    flat = np.concatenate([*map(_unpack, columns[2]), *none])
-    start, length = np.empty_like(codes), np.empty_like(codes)
-    start[codes], length[codes] = np.cumsum(lengths) - lengths, lengths
-    return flat, start, length
-
-
-def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 40 << 20) -> DataFrame:
+    return texts(docs).mapInArrow(run, "batch long, doc_ids array<long>, counts array<long>, codes binary, words array<binary>")
+
+
+def encode_words(words: DataFrame, rank_path: str) -> DataFrame:
+    """``word, ids, decoded`` of each distinct ``word``; a word is encoded once and decoded by the token-byte table."""
+
+    @F.arrow_udf("array<int>")
+    def encode(words: pa.Array) -> pa.Array:
+        ids = _encoding(rank_path).encode_ordinary_batch([w.decode() for w in words.to_pylist()], num_threads=1)
+        return pa.array(ids, pa.list_(pa.int32()))
+
+    encoded = words.select("word").distinct().withColumn("ids", encode("word"))
+    parts = encoded.select("word", "ids", F.posexplode("ids").alias("at", "id"))
+    known = parts.join(F.broadcast(token_table(words.sparkSession, rank_path)), "id")
+    joined = known.groupBy("word").agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("parts"))
+    # hexadecimal digits on the way: strings can be joined, bytes of half characters can not
+    return joined.select("word", "ids", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["token"])), "")).alias("decoded"))
+
+
+def _by_code(rows: pa.Table) -> tuple[pa.ListArray, pa.BinaryArray, np.ndarray]:
+    """Ids and bytes of a batch's words, and the row of word number k."""
+    rows = rows.combine_chunks()
+    codes = rows.column("code").to_numpy()
+    place = np.empty(len(codes), np.int64)
+    place[codes] = np.arange(len(codes))
+    one = lambda c: rows.column(c).chunk(0) if len(codes) else pa.array([], rows.schema.field(c).type)
+    return one("ids"), one("decoded"), place
+
+
+def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 24 << 20) -> DataFrame:
     """``doc_id, ids, decoded`` of every document.
 
     ``batch_rows``, ``batch_bytes``: bounds of a batch, which one task must hold; the result is the same for any.
@@ -175,41 +147,36 @@ def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=False)
 
 
-def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 40 << 20) -> DataFrame:
+def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 24 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``byte_bpe``, hashed where the ids are laid out."""
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=True)
 
 
 def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, batch_bytes: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    batches = materialise(number_batches(docs, pattern, batch_rows, batch_bytes, buckets), "bpe-batches")
-    exploded = batches.select("batch", F.explode("blocks").alias("block")).select("batch", "block.*")
-    back = encode_words(exploded, rank_path, pattern)
-    table = {r["id"]: bytes(r["token"]) for r in token_table(spark, rank_path).toLocalIterator()}
-    tokens = spark.sparkContext.broadcast([table.get(i, b"") for i in range(max(table, default=-1) + 1)])
+    batches = bucketed(number_batches(docs, pattern, batch_rows, batch_bytes), "bpe-batches", "batch")
+    words = batches.select("batch", F.posexplode("words").alias("code", "word"))
+    known = materialise(encode_words(words, rank_path), "bpe-words")
+    back = words.join(known, "word").select("batch", "code", "ids", "decoded")
 
     def digests(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat, start, length = _ids_by_code(right)
-        flat, token = flat.tolist(), tokens.value
-        words = [flat[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
-        ids = [",".join(map(str, x)).encode() for x in words]
-        decoded = [b"".join([token[i] for i in x]) for x in words]
+        ids, decoded, place = _by_code(right)
+        ids, decoded = [",".join(map(str, x)).encode() for x in ids.to_pylist()], decoded.to_pylist()
         rows = []
         for doc_id, part in _texts_of(left):
-            part = part.tolist()
-            text = b",".join([ids[c] for c in part])
+            part = place[part].tolist()
+            text = b",".join([ids[k] for k in part])
             n = text.count(b",") + 1 if text else 0
-            rows.append((doc_id, n, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([decoded[c] for c in part])).hexdigest()))
+            rows.append((doc_id, n, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([decoded[k] for k in part])).hexdigest()))
         return _as_table(rows, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     def lists(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat, start, length = _ids_by_code(right)
-        token = tokens.value
+        ids, decoded, place = _by_code(right)
+        begin, flat, decoded = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(), decoded.to_pylist()
         rows = []
         for doc_id, part in _texts_of(left):
-            ids = flat[tk.expand(start[part], length[part])]
-            rows.append((doc_id, ids.astype(np.int32), b"".join([token[i] for i in ids.tolist()])))
+            part = place[part]
+            rows.append((doc_id, flat[tk.expand(begin[part], begin[part + 1] - begin[part])], b"".join([decoded[k] for k in part.tolist()])))
         return _as_table(rows, ["doc_id", "ids", "decoded"], [pa.int64(), pa.list_(pa.int32()), pa.binary()])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded binary"

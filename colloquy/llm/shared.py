@@ -57,6 +57,22 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialise``, in files by the hash of ``key``: later groups and joins by it need no shuffle of this side.
+
+    As many buckets as the session has shuffle partitions. Spark keeps bucketed files as tables only, so a table stands for
+    them in the catalog until they are read.
+    """
+    spark = df.sparkSession
+    path, entry = new_path(spark, name), f"colloquy_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(entry)
+    out = spark.table(entry)
+    out.schema  # resolved: the files stay when the table goes
+    spark.sql(f"DROP TABLE {entry}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,13 +1,16 @@
 """Per-document operators against plain Python over whole texts."""
 
+import base64
 import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 
 from colloquy.llm import bpe_words, license_scan, quality_rules, token_orc
 from colloquy.llm.queries import BYTE_RANKS, WORD_TOKENIZER
@@ -71,7 +74,8 @@ def test_licence_expressions():
 
 def test_byte_bpe_equals_the_tokenizer(odd_docs, odd_texts):
     path = public_tokenizers.path(BYTE_RANKS)
-    encoding = bpe_words._encoding(path, public_tokenizers.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     expected = [encoding.encode_ordinary(t or "") for t in odd_texts]
     for kind in ({}, {"batch_rows": 3, "batch_bytes": 1 << 14}):
         found = {r["doc_id"]: r for r in bpe_words.byte_bpe(odd_docs, path, public_tokenizers.PATTERN, **kind).collect()}
@@ -84,6 +88,17 @@ def test_byte_bpe_equals_the_tokenizer(odd_docs, odd_texts):
             assert hashed[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_a_very_long_pre_token_round_trips(spark):
+    text = "ab" * ((1 << 23) + 50) + " end"
+    (row,) = bpe_words.byte_bpe(spark.createDataFrame([(1, text)], "doc_id long, text string"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN).collect()
+    assert bytes(row["decoded"]).decode() == text
+
+
+def test_packed_numbers_of_any_size():
+    for numbers in ([], [0], [2**24, 2**24 + 5, 7], [2**40, 1]):
+        assert bpe_words._unpack(bpe_words._pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def test_token_orc_round_trip(spark, odd_docs, odd_texts):
     from tokenizers import Tokenizer
 
