@@ -1,8 +1,9 @@
 """Quality classifier from weak labels: heuristic labellers, EM over their votes, and a hashed linear scorer.
 
 1. Labellers. Overlapping heuristics each vote ``keep``, ``reject`` or nothing on a whole text: symbols, capitals,
-   exclamation marks, repeated word windows, function words, word length, distinct words, a list of abusive words, and word
-   stems that the labelled documents show in abusive texts (almost) alone.
+   exclamation marks, repeated word windows, function words, word length, distinct words, and word stems that labelled
+   abusive documents have far oftener than others: a text is rejected by how many of its words begin with one, by the ratio of
+   the likelihoods of that count at the rates of abusive and of other texts.
 2. EM. The votes of all documents are counted by pattern (at most 3 to the number of labellers, whatever the
    corpus). A mixture of a good class and one bad class per labeller, each labeller voting by itself given the class, is
    fitted by expectation-maximisation: its parameters are the labellers' accuracies, its posterior the weak label of a
@@ -11,7 +12,8 @@
    features: the distinct 4- and 5-letter stems of a text and the votes. The scorer judges every whole text.
 
 The labelled rows that give stems are at most about ``label_rows``. All passes over the corpus are maps; what is shuffled is
-counts per batch, what is broadcast is one weight vector of ``2 ** bits`` numbers and at most ``max_stems`` hashes.
+counts per batch, what is broadcast is one weight vector of ``2 ** bits`` numbers and the hashes of the stems, which the labelled
+rows bound (each stands in ``stem_share`` of the abusive ones).
 
 Edge cases: a null or empty text is rejected (score 1); without labels, or with labels of no document, the stem
 labeller abstains; null labels are no label; repeated rows are scored each; without documents nothing is fitted and there
@@ -21,6 +23,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,16 +37,16 @@ from colloquy.llm import textkernel as tk
 from colloquy.llm.quality_rules import _covered, _per_text, _repeats, _windows
 from colloquy.llm.shared import texts
 
-# Words of abuse, and frequent function words of four languages.
-ABUSE = "idiot moron loser stupid pathetic scum trash clown worthless disgusting dumb imbecile jerk vermin filth creep".split()
+# Frequent function words of four languages.
 FUNCTION_WORDS = (
     "the of and to in is it that this a be for with as on was by from are or an at not have he she they we you "
     "le la les de des du un une et en est que qui dans pour par sur pas au aux ne se ce avec "
     "el los las y una se del al por para con como su lo no más o "
     "der die das und ist den von zu mit auf für ein eine nicht im dem des sich auch es er sie"
 ).split()
-ABUSIVE = [7, 8]  # the places of the labellers of abuse
-LABELLERS = ("symbols", "capitals", "exclamation", "repetition", "function_words", "word_length", "distinct_words", "abuse", "stems")
+ABUSIVE = 7  # the place of the labeller of abuse
+TELLING_STEMS, FEATURE_STEMS = (4, 5, 6), (4, 5)  # letters
+LABELLERS = ("symbols", "capitals", "exclamation", "repetition", "function_words", "word_length", "distinct_words", "stems")
 
 
 @dataclass(frozen=True)
@@ -51,8 +54,9 @@ class QualityModel:
     bits: int = 18
     sample_rows: int = 8192
     label_rows: int = 40_000
-    max_stems: int = 4096
-    stem_ratio: float = 500.0  # how much commoner a stem is in abusive texts
+    stem_share: float = 0.004  # share of the abusive texts that a telling stem stands in, 4 of them at least
+    stem_ratio: float = 15.0  # how much commoner it is among the words of abusive texts
+    stem_evidence: float = 3.5  # logarithm of the ratio of likelihoods that makes a text abusive
     threshold: float = 0.5
     em_rounds: int = 60
     train_rounds: int = 160
@@ -81,20 +85,36 @@ def _within(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
     return sorted_list[at] == values
 
 
-_ABUSE, _FUNCTION = _hash_list(ABUSE), _hash_list(sorted(set(FUNCTION_WORDS)))
+_FUNCTION = _hash_list(sorted(set(FUNCTION_WORDS)))
+
+
+@dataclass(frozen=True)
+class Stems:
+    """Telling stems (sorted hashes) and how many of 1 words begin with one, in abusive and in other texts."""
+
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    abusive: float = 0.5
+    other: float = 0.5
+
+    def evidence(self, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Logarithm of the ratio of likelihoods (Poisson) of ``hits`` among ``words``."""
+        return hits * np.log(self.abusive / self.other) - words * (self.abusive - self.other)
 
 
 @dataclass
 class _Block:
-    """Measures of a block of texts: ``n`` words, stems with their texts, votes."""
+    """Measures of a block of texts: ``n`` words, stems with their texts, words with a telling stem, all words of letters, votes."""
 
     n: np.ndarray
     stems: np.ndarray
     stem_text: np.ndarray
+    hits: np.ndarray
+    plain_words: np.ndarray
     votes: np.ndarray = field(default_factory=lambda: np.zeros((0, len(LABELLERS)), np.int8))
 
 
-def _measure(data: np.ndarray, offs: np.ndarray, known_stems: np.ndarray) -> _Block:
+def _measure(data: np.ndarray, offs: np.ndarray, known: Stems, how: QualityModel, lengths: tuple[int, ...] = FEATURE_STEMS) -> _Block:
+    """``lengths``: of the stems that are listed; telling ones are counted at ``TELLING_STEMS``."""
     rows = len(offs) - 1
     starts, ends, first = tk.words(data, offs)
     n = np.diff(first)
@@ -115,17 +135,21 @@ def _measure(data: np.ndarray, offs: np.ndarray, known_stems: np.ndarray) -> _Bl
     np.cumsum((data & 0xC0) != 0x80, out=char_before[1:])
     c0, c1 = char_before[ws], char_before[we]
     count = lambda flags: np.bincount(of_word[flags], minlength=rows)
-    function, abusive = count(_within(plain, _FUNCTION)), count(_within(plain, _ABUSE))
+    function = count(_within(plain, _FUNCTION))
     length = np.bincount(of_word, weights=c1 - c0, minlength=rows)
     stems, stem_text = [], []
-    for k in (4, 5):
+    telling = np.zeros(len(ws), bool)
+    for k in TELLING_STEMS:
         long = np.flatnonzero(c1 - c0 >= k)
-        stems.append(tk.hash_runs(low, ws[long], lead[c0[long] + k]))
-        stem_text.append(of_word[long])
+        own = tk.hash_runs(low, ws[long], lead[c0[long] + k])
+        telling[long] |= _within(own, known.hashes)
+        if k in lengths:
+            stems.append(own)
+            stem_text.append(of_word[long])
     stems, stem_text = np.concatenate(stems), np.concatenate(stem_text)
     again, _ = _repeats(plain, of_word)
     distinct = np.bincount(of_word[~again], minlength=rows)
-    marked = np.bincount(stem_text[_within(stems, known_stems)], minlength=rows)
+    hits = count(telling)
 
     w, pw, let = np.maximum(n, 1), np.maximum(wn, 1), np.maximum(letters, 1)
     vote = lambda keep, reject: np.where(reject, -1, np.where(keep, 1, 0)).astype(np.int8)
@@ -139,12 +163,11 @@ def _measure(data: np.ndarray, offs: np.ndarray, known_stems: np.ndarray) -> _Bl
             vote(function > 0.10 * pw, (function < 0.02 * pw) & many),
             vote((length > 3.8 * pw) & (length < 6.3 * pw), ((length < 3.0 * pw) | (length > 7.5 * pw)) & many),
             vote(distinct > 0.35 * pw, (distinct < 0.15 * pw) & (wn >= 60)),
-            vote(np.zeros(rows, bool), abusive >= 2),
-            vote(np.zeros(rows, bool), marked >= 1),
+            vote(np.zeros(rows, bool), (hits > 0) & (known.evidence(hits, wn) >= how.stem_evidence)),
         ],
         axis=1,
     )
-    return _Block(n, stems, stem_text, votes)
+    return _Block(n, stems, stem_text, hits, wn, votes)
 
 
 def _patterns(votes: np.ndarray) -> np.ndarray:
@@ -178,41 +201,54 @@ def _labelled(docs: DataFrame, labels: DataFrame, how: QualityModel) -> DataFram
     return texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "label")  # bounded by label_rows
 
 
-def _stems_from_labels(labelled: DataFrame, how: QualityModel) -> np.ndarray:
-    """Hashes of stems that abusive texts have and others (almost) lack."""
+def _stems_from_labels(labelled: DataFrame, how: QualityModel) -> Stems:
+    """Stems that begin words of abusive texts far oftener than others, and the rates of words with one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in tk.blocks(batch.column("text")):
                 toxic = batch.column("label").slice(a, b - a).to_numpy() == 3
-                m = _measure(data, offs, np.zeros(0, np.uint64))
+                m = _measure(data, offs, Stems(), how, TELLING_STEMS)
                 stem, code = np.unique(m.stems, return_inverse=True)
                 seen = np.unique(code * np.int64(len(toxic)) + m.stem_text)
-                code, text = seen // len(toxic), seen % len(toxic)
-                bad = np.bincount(code[toxic[text]], minlength=len(stem))
+                texts_with = np.bincount((seen // len(toxic))[toxic[seen % len(toxic)]], minlength=len(stem))
+                bad = np.bincount(code[toxic[m.stem_text]], minlength=len(stem))
                 good = np.bincount(code, minlength=len(stem)) - bad
-                # the row of stem 0 counts the texts themselves
-                cols = [np.append(stem.view(np.int64), 0), np.append(bad, toxic.sum()), np.append(good, (~toxic).sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=["stem", "bad", "good"])
+                # the row of stem 0 counts the texts and words themselves
+                words = m.plain_words
+                cols = [np.append(stem.view(np.int64), 0), np.append(texts_with, toxic.sum()), np.append(bad, words[toxic].sum()), np.append(good, words[~toxic].sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=["stem", "texts", "bad", "good"])
 
-    counts = labelled.mapInArrow(run, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = [F.sum(c).alias(c) for c in ("texts", "bad", "good")]
+    counts = labelled.mapInArrow(run, "stem long, texts long, bad long, good long").groupBy("stem").agg(*sums)
     total = counts.where("stem = 0").first()
     if total is None or not total["bad"] or not total["good"]:
-        return np.zeros(0, np.uint64)
-    least = max(5, 0.004 * total["bad"])
-    telling = counts.where((F.col("stem") != 0) & (F.col("bad") >= least) & (F.col("bad") * total["good"] >= F.col("good") * total["bad"] * how.stem_ratio))
-    found = telling.orderBy(F.desc("bad"), "stem").limit(how.max_stems).select("stem").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+        return Stems()
+    least = max(4, how.stem_share * total["texts"])
+    telling = counts.where((F.col("stem") != 0) & (F.col("texts") >= least) & (F.col("bad") * total["good"] >= (F.col("good") + 0.5) * total["bad"] * how.stem_ratio))
+    found = np.sort(np.array([r[0] for r in telling.select("stem").collect()], np.int64).view(np.uint64))
+    if not len(found):
+        return Stems()
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in tk.blocks(batch.column("text")):
+                toxic = batch.column("label").slice(a, b - a).to_numpy() == 3
+                m = _measure(data, offs, Stems(found), how)
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[toxic].sum()), int(x[~toxic].sum())]) for x in (m.hits, m.plain_words)] + [pa.array([1, 0])], names=["hits", "words", "toxic"])
 
+    hits = {r["toxic"]: (r["hits"] + 0.5) / max(r["words"], 1) for r in labelled.mapInArrow(rates, "hits long, words long, toxic long").groupBy("toxic").agg(F.sum("hits").alias("hits"), F.sum("words").alias("words")).collect()}
+    return Stems(found, hits[1], hits[0]) if hits[1] > hits[0] else Stems()
 
-def _pattern_counts(rows: DataFrame, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _pattern_counts(rows: DataFrame, stems: Stems, how: QualityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vote patterns of ``text, label``, their labels and how many texts have them; counted per partition first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for a, b, data, offs in tk.blocks(batch.column("text")):
-                seen.update(zip(_patterns(_measure(data, offs, stems).votes).tolist(), batch.column("label").slice(a, b - a).to_pylist(), strict=True))
+                seen.update(zip(_patterns(_measure(data, offs, stems, how).votes).tolist(), batch.column("label").slice(a, b - a).to_pylist(), strict=True))
         cols = [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["pattern", "label", "n"])
 
@@ -229,14 +265,14 @@ def fit_accuracies(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rou
     kinds = votes.shape[1]
     rejects = votes == -1
     first = np.where(rejects.any(axis=1), 1 + rejects.argmax(axis=1), 0)
-    first = np.where(rejects[:, ABUSIVE].any(axis=1), 1 + ABUSIVE[0] + rejects[:, ABUSIVE].argmax(axis=1), first)
+    first = np.where(rejects[:, ABUSIVE], 1 + ABUSIVE, first)
     belief = np.full((len(votes), kinds + 1), 0.1 / kinds)
     belief[np.arange(len(votes)), first] = 0.9
     says = np.full((4, kinds + 1), 0.01)  # P(label | class)
     says[0] = 1.0
     says[1, 0] = says[2, 1:] = 0.98
-    says[2, [1 + k for k in ABUSIVE]] = 0.01
-    says[3, [1 + k for k in ABUSIVE]] = 0.98
+    says[2, 1 + ABUSIVE] = 0.01
+    says[3, 1 + ABUSIVE] = 0.98
     rates = np.zeros((kinds + 1, kinds, 3))
     for _ in range(rounds):
         mass = belief * weight[:, None]
@@ -272,7 +308,7 @@ def train_scorer(flat: np.ndarray, value: np.ndarray, row: np.ndarray, target: n
 @dataclass(frozen=True)
 class FittedQuality:
     how: QualityModel
-    stems: np.ndarray
+    stems: Stems
     weights: np.ndarray
     accuracies: dict[str, list[list[float]]]
 
@@ -281,15 +317,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None = None, how: QualityMo
     """Fits labellers' accuracies on the votes of all documents and the scorer on a bounded sample."""
     given = texts(docs)
     labelled = _labelled(docs, labels, how) if labels is not None else None
-    stems = _stems_from_labels(labelled, how) if labelled is not None else np.zeros(0, np.uint64)
-    pattern, label, weight = _pattern_counts(given.withColumn("label", F.lit(0)), stems)
+    stems = _stems_from_labels(labelled, how) if labelled is not None else Stems()
+    pattern, label, weight = _pattern_counts(given.withColumn("label", F.lit(0)), stems, how)
     size = 1 << how.bits
     if not len(pattern):
         return FittedQuality(how, stems, np.zeros(size + 1, np.float32), {})
     total = weight.sum()
     all_patterns, all_labels, all_weights = pattern, label, weight
     if labelled is not None:
-        more = _pattern_counts(labelled, stems)
+        more = _pattern_counts(labelled, stems, how)
         all_patterns, all_labels, all_weights = (np.concatenate([a, b]) for a, b in zip((pattern, label, weight), more, strict=True))
     rates, bad = fit_accuracies(_votes_of(all_patterns), all_labels, all_weights.astype(float), how.em_rounds)
     bad = bad[: len(pattern)]
@@ -298,15 +334,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None = None, how: QualityMo
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offs in tk.blocks(batch.column("text")):
-                m = _measure(data, offs, stems)
+                m = _measure(data, offs, stems, how)
                 flat, where = _features(m, how.bits)
-                yield pa.RecordBatch.from_arrays([pa.array(_patterns(m.votes)), pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(flat.astype(np.int32)))], names=["pattern", "features"])
+                key = [hashlib.blake2b(data[s:e], digest_size=8).digest() for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                cols = [pa.array(_patterns(m.votes)), pa.array(key), pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(flat.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["pattern", "key", "features"])
 
-    drawn = given.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 20)) < max(share, 1)).mapInArrow(sample, "pattern long, features array<int>").toArrow()
+    drawn = given.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 20)) < max(share, 1)).mapInArrow(sample, "pattern long, key binary, features array<int>").toArrow()
     if not drawn.num_rows:
         return FittedQuality(how, stems, np.zeros(size + 1, np.float32), {})
-    order = np.argsort(drawn.column("pattern").to_numpy(), kind="stable")  # one order, however the rows came
-    drawn = drawn.take(pa.array(order)).combine_chunks()
+    drawn = drawn.sort_by([("pattern", "ascending"), ("key", "ascending")]).combine_chunks()  # one order, however the rows came: equal keys are equal texts
     lists = drawn.column("features").chunk(0) if drawn.column("features").num_chunks else drawn.column("features")
     where = lists.offsets.to_numpy()
     length, flat = np.diff(where), lists.values.to_numpy().astype(np.int64)[where[0] : where[-1]]
@@ -317,7 +354,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None = None, how: QualityMo
 
 def _scores(model: FittedQuality, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b, data, offs in tk.blocks(column):
-        m = _measure(data, offs, model.stems)
+        m = _measure(data, offs, model.stems, model.how)
         flat, where = _features(m, model.how.bits)
         sums = np.concatenate([[0], np.cumsum(model.weights[flat] * _values(flat, where), dtype=np.float64)])
         z = sums[where[1:]] - sums[where[:-1]] + model.weights[-1]
