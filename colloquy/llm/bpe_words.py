@@ -41,6 +41,9 @@ def token_table(spark: SparkSession, rank_path: str) -> DataFrame:
     return lines.where(F.length("value") > 0).select(part[1].cast("int").alias("id"), F.unbase64(part[0]).alias("token"))
 
 
+_PART = 4096
+
+
 @lru_cache(2)
 def _encoding(rank_path: str):
     """The tokenizer of a rank file, with a pattern that takes a whole pre-token as one piece."""
@@ -114,19 +117,26 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
 
 
 def encode_words(words: DataFrame, rank_path: str) -> DataFrame:
-    """``word, ids, decoded`` of each distinct ``word``; a word is encoded once and decoded by the token-byte table."""
+    """``word, ids, decoded`` of each distinct ``word``; a word is encoded once and decoded by the token-byte table.
+
+    The ids of a very long word are decoded in parts of ``_PART``, so that no group grows with a word.
+    """
 
     @F.arrow_udf("array<int>")
     def encode(words: pa.Array) -> pa.Array:
         ids = _encoding(rank_path).encode_ordinary_batch([w.decode() for w in words.to_pylist()], num_threads=1)
         return pa.array(ids, pa.list_(pa.int32()))
 
-    encoded = words.select("word").distinct().withColumn("ids", encode("word"))
-    parts = encoded.select("word", "ids", F.posexplode("ids").alias("at", "id"))
-    known = parts.join(F.broadcast(token_table(words.sparkSession, rank_path)), "id")
-    joined = known.groupBy("word").agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("parts"))
+    encoded = words.select("word").distinct().withColumn("ids", encode("word")).withColumn("word_id", F.monotonically_increasing_id())
+    encoded = materialise(encoded, "bpe-words")  # numbers stay as they are
+    begins = F.sequence(F.lit(0), F.size("ids") - 1, F.lit(_PART))
+    parts = encoded.select("word_id", F.posexplode(F.transform(begins, lambda i: F.slice("ids", i + 1, F.lit(_PART)))).alias("part", "some"))
+    tokens = parts.select("word_id", "part", F.posexplode("some").alias("at", "id")).join(F.broadcast(token_table(words.sparkSession, rank_path)), "id")
     # hexadecimal digits on the way: strings can be joined, bytes of half characters can not
-    return joined.select("word", "ids", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["token"])), "")).alias("decoded"))
+    text = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda p: p["digits"]), "")
+    joined = tokens.groupBy("word_id", "part").agg(text(F.struct("at", F.hex("token").alias("digits"))).alias("digits"))
+    decoded = joined.groupBy("word_id").agg(F.unhex(text(F.struct("part", "digits"))).alias("decoded"))
+    return encoded.join(decoded.hint("merge"), "word_id").select("word", "ids", "decoded")
 
 
 def _by_code(rows: pa.Table) -> tuple[pa.ListArray, pa.BinaryArray, np.ndarray]:
@@ -156,7 +166,7 @@ def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, ba
     spark = docs.sparkSession
     batches = bucketed(number_batches(docs, pattern, batch_rows, batch_bytes), "bpe-batches", "batch")
     words = batches.select("batch", F.posexplode("words").alias("code", "word"))
-    known = materialise(encode_words(words, rank_path), "bpe-words")
+    known = materialise(encode_words(words, rank_path), "bpe-known-words")
     back = words.join(known, "word").select("batch", "code", "ids", "decoded")
 
     def digests(left: pa.Table, right: pa.Table) -> pa.Table:
