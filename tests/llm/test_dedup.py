@@ -228,3 +228,30 @@ def test_passage_whose_long_pieces_stand_alone_in_earlier_documents(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     found = {r["doc_id"]: r for r in substring_dedup.find_passages(docs).collect()}
     assert found[57]["source_doc_id"] == 56 and abs(found[57]["start_word"] - 40) <= 2 and abs(found[57]["end_word"] - 120) <= 2
+
+
+def test_recall_of_shared_passages_against_all_pairs(spark):
+    """Every exact passage of 50 words or more that two documents share, found by comparing all pairs of windows."""
+    rng = random.Random(53)
+    passages = [prose(rng, rng.randint(50, 120)) for _ in range(12)]
+    common = [prose(rng, rng.randint(6, 12)) for _ in range(30)]
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += prose(rng, rng.randint(10, 60))
+            words += rng.choice(passages) if rng.random() < 0.3 else rng.choice(common)
+        texts.append(words + prose(rng, 10))
+    first: dict[tuple, int] = {}
+    wanted = []  # document and first word of each window of 50 words that an earlier document has
+    for i, words in enumerate(texts):
+        own = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        wanted += [(i, k) for k, w in enumerate(own) if first.get(w, i) < i]
+        for w in own:
+            first.setdefault(w, i)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = [(r["doc_id"], r["start_word"], r["end_word"]) for r in substring_dedup.find_passages(docs).collect()]
+    hit = sum(any(d == i and s <= k + 1 and k + 49 <= e for d, s, e in found) for i, k in wanted)
+    assert wanted and hit >= 0.98 * len(wanted), (hit, len(wanted))
+    clean = {i for i in range(120)} - {i for i, _ in wanted}
+    assert not {d for d, _, _ in found} & clean
