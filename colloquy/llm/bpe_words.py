@@ -3,13 +3,14 @@
 1. Each batch of texts is cut into pre-tokens and numbered: a batch becomes one row with its distinct pre-tokens and,
    for each text, the positions as numbers of those. Batches are written to the shared folder in buckets by batch, so
    that a lost executor repeats no numbering and the positions, the bulk of the data, are never shuffled.
-2. The distinct pre-tokens are exploded to rows ``batch, code, word``. Their global distinct words are brought together by
-   one shuffle and encoded, each once, with the rank file's merges. Decoding explodes the ids of the distinct words and
-   joins them with the token-byte table (broadcast: its size is the vocabulary's).
-3. The ids and bytes are joined back to the rows by word, go to their batch, and are laid out there by position.
+2. The distinct pre-tokens are exploded to rows ``batch, code, word`` and brought together by one shuffle on the word.
+   A word is encoded once, with the rank file's merges, and its ids go back to the rows that it stands for.
+3. The ids go to their batch and are laid out there by position. Decoding joins a batch's distinct words with the
+   token-byte table by id (a take from the table, which is sent to all tasks: its size is the vocabulary's).
 
-A hot word is one row per batch at most, and the batches bound every group: a batch holds at most ``batch_rows``
-texts and about ``batch_bytes``; one text is never split.
+A hot word is one row per batch at most. Where there are more than ``_WORD_ROWS`` batches its rows are dealt over groups of
+about that size, each of which encodes it. Batches bound the other groups: a batch holds at most ``batch_rows`` texts and about
+``batch_bytes``; one text is never split.
 
 Edge cases: null or empty text has no ids (hash of nothing). Repeated rows are encoded each. Only ``doc_id`` and
 ``text`` are read, so further columns may have any names. An empty table gives no rows.
@@ -19,18 +20,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import textkernel as tk
-from colloquy.llm.shared import bucketed, materialise, texts
+from colloquy.llm.shared import bucketed, texts
 from colloquy.llm.token_blocks import Ragged, distinct, pieces
 
 
@@ -41,7 +43,7 @@ def token_table(spark: SparkSession, rank_path: str) -> DataFrame:
     return lines.where(F.length("value") > 0).select(part[1].cast("int").alias("id"), F.unbase64(part[0]).alias("token"))
 
 
-_PART = 4096
+_WORD_ROWS = 100_000
 
 
 @lru_cache(2)
@@ -91,15 +93,18 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
     """``batch, doc_ids, counts, codes, words``: one row per batch of texts; word ``k`` has number ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         rows: list[pa.RecordBatch] = []
         size = 0
+        number = itertools.count(TaskContext.get().partitionId() << 32)
 
         def flush() -> pa.RecordBatch:
             whole = pa.Table.from_batches(rows).combine_chunks()
             text = whole.column("text").chunk(0)
             data, offs = next((d, o) for _, _, d, o in tk.blocks(text, 1 << 62))
             words, codes, counts = _number(data, offs, pattern)
-            cols = [[int.from_bytes(os.urandom(8)) >> 1], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes)], [words]]
+            cols = [[next(number)], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes)], [words]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["batch", "doc_ids", "counts", "codes", "words"])
 
@@ -116,37 +121,32 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
     return texts(docs).mapInArrow(run, "batch long, doc_ids array<long>, counts array<long>, codes binary, words array<binary>")
 
 
-def encode_words(words: DataFrame, rank_path: str) -> DataFrame:
-    """``word, ids, decoded`` of each distinct ``word``; a word is encoded once and decoded by the token-byte table.
-
-    The ids of a very long word are decoded in parts of ``_PART``, so that no group grows with a word.
-    """
+def encode_words(words: DataFrame, rank_path: str, batches: int) -> DataFrame:
+    """``batch, code, ids`` of rows ``batch, code, word``; ``batches``: how many there are."""
 
     @F.arrow_udf("array<int>")
     def encode(words: pa.Array) -> pa.Array:
         ids = _encoding(rank_path).encode_ordinary_batch([w.decode() for w in words.to_pylist()], num_threads=1)
         return pa.array(ids, pa.list_(pa.int32()))
 
-    encoded = words.select("word").distinct().withColumn("ids", encode("word")).withColumn("word_id", F.monotonically_increasing_id())
-    encoded = materialise(encoded, "bpe-words")  # numbers stay as they are
-    begins = F.sequence(F.lit(0), F.size("ids") - 1, F.lit(_PART))
-    parts = encoded.select("word_id", F.posexplode(F.transform(begins, lambda i: F.slice("ids", i + 1, F.lit(_PART)))).alias("part", "some"))
-    tokens = parts.select("word_id", "part", F.posexplode("some").alias("at", "id")).join(F.broadcast(token_table(words.sparkSession, rank_path)), "id")
-    # hexadecimal digits on the way: strings can be joined, bytes of half characters can not
-    text = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda p: p["digits"]), "")
-    joined = tokens.groupBy("word_id", "part").agg(text(F.struct("at", F.hex("token").alias("digits"))).alias("digits"))
-    decoded = joined.groupBy("word_id").agg(F.unhex(text(F.struct("part", "digits"))).alias("decoded"))
-    return encoded.join(decoded.hint("merge"), "word_id").select("word", "ids", "decoded")
+    group = F.pmod("batch", F.lit(-(-batches // _WORD_ROWS) or 1))
+    met = words.groupBy("word", group.alias("group")).agg(F.collect_list(F.struct("batch", "code")).alias("places"))
+    return met.select("places", encode("word").alias("ids")).select("ids", F.explode("places").alias("p")).select("p.batch", "p.code", "ids")
 
 
-def _by_code(rows: pa.Table) -> tuple[pa.ListArray, pa.BinaryArray, np.ndarray]:
-    """Ids and bytes of a batch's words, and the row of word number k."""
+def _words_of(rows: pa.Table, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Ids of a batch's words in one array, where each word's begin, its bytes by the token table, and the row of word number k."""
     rows = rows.combine_chunks()
     codes = rows.column("code").to_numpy()
     place = np.empty(len(codes), np.int64)
     place[codes] = np.arange(len(codes))
-    one = lambda c: rows.column(c).chunk(0) if len(codes) else pa.array([], rows.schema.field(c).type)
-    return one("ids"), one("decoded"), place
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), [], place
+    ids = rows.column("ids").chunk(0)
+    flat, begin = ids.flatten(), ids.offsets.to_numpy().astype(np.int64)
+    begin = begin - begin[0]
+    parts = pa.LargeListArray.from_arrays(pa.array(begin), tokens.take(flat))
+    return flat.to_numpy(), begin, pc.binary_join(parts, pa.scalar(b"", pa.large_binary())).to_pylist(), place
 
 
 def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 24 << 20) -> DataFrame:
@@ -166,12 +166,14 @@ def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, ba
     spark = docs.sparkSession
     batches = bucketed(number_batches(docs, pattern, batch_rows, batch_bytes), "bpe-batches", "batch")
     words = batches.select("batch", F.posexplode("words").alias("code", "word"))
-    known = materialise(encode_words(words, rank_path), "bpe-known-words")
-    back = words.join(known, "word").select("batch", "code", "ids", "decoded")
+    back = encode_words(words, rank_path, batches.count())
+    table = {r["id"]: bytes(r["token"]) for r in token_table(spark, rank_path).toLocalIterator()}
+    sent = spark.sparkContext.broadcast(pa.array([table.get(i) for i in range(max(table, default=-1) + 1)], pa.large_binary()))
 
     def digests(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, decoded, place = _by_code(right)
-        ids, decoded = [",".join(map(str, x)).encode() for x in ids.to_pylist()], decoded.to_pylist()
+        flat, begin, decoded, place = _words_of(right, sent.value)
+        flat = list(map(str, flat.tolist()))
+        ids = [",".join(flat[a:b]).encode() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
         rows = []
         for doc_id, part in _texts_of(left):
             part = place[part].tolist()
@@ -181,8 +183,7 @@ def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, ba
         return _as_table(rows, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     def lists(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, decoded, place = _by_code(right)
-        begin, flat, decoded = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(), decoded.to_pylist()
+        flat, begin, decoded, place = _words_of(right, sent.value)
         rows = []
         for doc_id, part in _texts_of(left):
             part = place[part]

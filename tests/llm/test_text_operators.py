@@ -66,7 +66,8 @@ def test_license_scan(odd_docs, odd_texts):
 def test_licence_expressions():
     postfix, whole = license_scan.parse_expression("(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0")
     assert whole and postfix == ["mit", "apache-2.0", "or", "gpl-2.0-only", "classpath-exception-2.0", "with", "and"]
-    assert license_scan.evaluate(postfix) == [["mit", "gpl-2.0-only with classpath-exception-2.0"], ["apache-2.0", "gpl-2.0-only with classpath-exception-2.0"]]
+    assert license_scan.normal_form(postfix) == "(mit | apache-2.0) & gpl-2.0-only with classpath-exception-2.0"
+    assert license_scan.satisfied(postfix, {"mit", "gpl-2.0-only"}) and not license_scan.satisfied(postfix, {"mit", "apache-2.0"})
     assert not license_scan.parse_expression("MIT OR (")[1] and not license_scan.parse_expression(") MIT")[1]
     scanned = license_scan.scan(b"// SPDX-License-Identifier: MIT OR Apache-2.0\nint main")
     assert scanned[5] == "apache-2.0,mit" and scanned[6] == 1.0 and scanned[7] == ["mit | apache-2.0"]
@@ -108,7 +109,6 @@ def test_token_orc_round_trip(spark, odd_docs, odd_texts):
     rows = token_orc.read_token_orc(spark, path)
     found = {r["doc_id"]: r for r in token_orc.with_checksum(rows).collect()}
     tokenizer, start = Tokenizer.from_file(public_tokenizers.path(WORD_TOKENIZER)), 0
-    tokenizer.encode_special_tokens = True
     for i, text in enumerate(odd_texts):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
         assert (found[i]["start"], found[i]["n_tokens"], found[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
@@ -140,9 +140,44 @@ def test_long_and_unlisted_licence_expressions():
     pairs = [f"(LicenseRef-a{i} OR LicenseRef-b{i})" for i in range(20)]
     scanned = license_scan.scan(f"// SPDX-License-Identifier: {' AND '.join(pairs)}\nint main".encode())
     wanted = {f"licenseref-{x}{i}" for i in range(20) for x in "ab"}
-    assert set(scanned[5].split(",")) == wanted and wanted <= set(scanned[7][0].split())
+    assert set(scanned[5].split(",")) == wanted and wanted == set(re.findall(r"[\w-]+", scanned[7][0]))
     for name in ("GPL-2.0+", "AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-3.0-or-later", "BSL-1.0", "OFL-1.1"):
         scanned = license_scan.scan(f"SPDX-License-Identifier: {name}".encode())
         assert scanned[5:] == (name.lower(), 1.0, [name.lower()])
     assert license_scan.scan(b"SPDX-License-Identifier: see the file")[5:] == ("", 0.0, [])
     assert license_scan.scan(b"/* SPDX-License-Identifier: NCSA */")[5] == "ncsa"
+
+
+def test_expressions_of_a_thousand_terms_and_deep_brackets():
+    terms = [f"LicenseRef-x{i}" for i in range(1000)]
+    for text in (" OR ".join(terms), " AND ".join(terms), " AND (".join(" OR (".join(terms[i : i + 2]) for i in range(0, 1000, 2)) + ")" * 999):
+        scanned = license_scan.scan(f"SPDX-License-Identifier: {text}".encode())
+        assert len(scanned[5].split(",")) == 1000 and len(re.findall(r"[\w-]+", scanned[7][0])) == 1000
+    assert "isc" in license_scan.scan(f"SPDX-License-Identifier: ISC OR {' OR '.join(['MIT'] * 150)} OR Zlib".encode())[5] and "zlib" in license_scan.scan(f"SPDX-License-Identifier: ISC OR {' OR '.join(['MIT'] * 150)} OR Zlib".encode())[5]
+
+
+def test_scanning_takes_linear_time():
+    notice = b"Permission under the MIT license and the Apache License or nothing\n"
+    scanned = license_scan.scan(notice * (10_000_000 // len(notice)))
+    n = 10_000_000 // len(notice)
+    assert scanned[:4] == (n * 11, n * 2, 3, (n - 1) * 11 + 7)
+
+
+def test_brackets_of_the_normal_form_keep_the_meaning():
+    import itertools
+    import random
+
+    rng = random.Random(6)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice("abcd")
+        return f"({made(depth - 1)} {rng.choice(['OR', 'AND'])} {made(depth - 1)})"
+
+    for _ in range(200):
+        first, whole = license_scan.parse_expression(made(4))
+        again, _ = license_scan.parse_expression(license_scan.normal_form(first).replace("|", "OR").replace("&", "AND"))
+        assert whole
+        for n in range(5):
+            for some in itertools.combinations("abcd", n):
+                assert license_scan.satisfied(first, set(some)) == license_scan.satisfied(again, set(some))
