@@ -8,8 +8,8 @@ its own text only, so the scan is a map over partitions; the automaton is built
 Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, A-Z lower-cased. Edge cases: a null or empty
 text has no words, no places, empty label strings and score 0. Phrases that overlap count at each place.
 An expression is read to the end of its line. One that parses gives all its operands as labels
-(with prose behind it, those listed or with a version); one that
-does not yields the known identifiers before the fault. More than 64 alternatives are written in postfix form. Repeated rows are scanned
+(with prose behind it, those listed or with a version); one that does not yields the known identifiers before the fault.
+Expressions of any length are kept whole, in a normal form as long as they are. Time is linear in a text. Repeated rows are scanned
 one by one. Only ``doc_id`` and ``text`` are read, so further columns may have any names.
 """
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -77,6 +78,7 @@ def parse_expression(text: str) -> tuple[list[str], bool]:
     """
     output: list[str] = []
     waiting: list[str] = []
+    depth = 0
     operand_next = True
     for token in re.findall(r"[()]|[^\s()]+", text):
         low = token.lower()
@@ -84,9 +86,11 @@ def parse_expression(text: str) -> tuple[list[str], bool]:
             if not operand_next:
                 return output, False
             waiting.append(low)
+            depth += 1
         elif low == ")":
-            if operand_next or "(" not in waiting:
+            if operand_next or not depth:
                 return output, False
+            depth -= 1
             while waiting[-1] != "(":
                 output.append(waiting.pop())
             waiting.pop()
@@ -102,43 +106,56 @@ def parse_expression(text: str) -> tuple[list[str], bool]:
                 break
             output.append(low.rstrip(".,;*/"))
             operand_next = False
-    complete = not operand_next and "(" not in waiting
+    complete = not operand_next and not depth
     return output + [w for w in reversed(waiting) if w != "("], complete
 
 
-def evaluate(postfix: list[str]) -> list[list[str]]:
-    """The alternatives of a postfix expression: each a list of licences that hold together (at most 64)."""
-    stack: list[list[list[str]]] = []
+def satisfied(postfix: list[str], accepted: frozenset[str] | set[str]) -> bool:
+    """Whether a parsed expression can be met with ``accepted`` licences alone (an exception needs its licence only)."""
+    stack: list[bool] = []
     for token in postfix:
-        if token in _RANK and len(stack) >= 2:
+        if token in _RANK:
             right, left = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append((left + right)[:64])
-            elif token == "and":
-                stack.append([a + b for a in left for b in right][:64])
-            else:
-                stack.append([[*a[:-1], f"{a[-1]} with {b[-1]}"] for a in left for b in right][:64])
-        elif token not in _RANK:
-            stack.append([[token]])
-    return stack[-1] if stack else []
+            stack.append(left or right if token == "or" else left and right if token == "and" else left)
+        else:
+            stack.append(token in accepted)
+    return bool(stack) and stack[-1]
 
 
-def _known(name: str) -> bool:
-    return name in IDENTIFIERS or name.removesuffix("+") in IDENTIFIERS
+def normal_form(postfix: list[str]) -> str:
+    """A parsed expression with ``|`` and ``&`` and no more brackets than it needs."""
+    stack: list[str | tuple[str, list]] = []
+    for token in postfix:
+        if token not in _RANK:
+            stack.append(token)
+            continue
+        right, left = stack.pop(), stack.pop()
+        own = left[1] if isinstance(left, tuple) and left[0] == token else [left]
+        own += right[1] if isinstance(right, tuple) and right[0] == token else [right]
+        stack.append((token, own))
+    out: list[str] = []
+    waiting: list = [stack[-1]] if stack else []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        op, kids = node
+        sign = {"or": " | ", "and": " & ", "with": " with "}[op]
+        parts: list = []
+        for k, kid in enumerate(kids):
+            inner = isinstance(kid, tuple) and _RANK[kid[0]] < _RANK[op]
+            parts += ([_Text(sign)] if k else []) + ([_Text("("), kid, _Text(")")] if inner else [kid])
+        waiting += reversed(parts)
+    return "".join(out)
+
+
+class _Text(str):
+    """A sign of the normal form."""
 
 
-def _written(postfix: list[str]) -> str:
-    """The alternatives of an expression; where they are more than 64, its postfix form, which is never longer than it."""
-    count: list[int] = []
-    for token in postfix:
-        if token in _RANK and len(count) >= 2:
-            right, left = count.pop(), count.pop()
-            count.append(left + right if token == "or" else left * right)
-        else:
-            count.append(1)
-    if count and count[-1] > 64:
-        return " ".join(postfix)
-    return " | ".join(" & ".join(x) for x in evaluate(postfix))
+def _known(name: str) -> bool:
+    return name in IDENTIFIERS or name.removesuffix("+") in IDENTIFIERS
 
 
 @lru_cache(1)
@@ -157,26 +174,30 @@ def scan(text: bytes) -> tuple:
     """``n_words, n_base, first_word, last_word, base_labels, labels, score, expressions`` of one text."""
     words = text.translate(_FOLD).split()
     folded = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    base, labels, starts, tags, notices = set(), set(), [], [], 0
+    base, labels, places, tagged, notices = set(), set(), [], False, 0
     for end, entries in _automaton().iter(folded):
         for kind, label, length in entries:
             if kind == "tag":
-                tags.append(end)
+                tagged = True
             elif kind == "base":
                 base.add(label)
-                starts.append(folded.count(" ", 0, end - length + 1))
+                places.append(end - length + 1)
             else:
                 labels.add(label)
                 notices += 1
+    starts: list[int] = []
+    if places:  # the blank before a word stands at the sum of the lengths before it
+        begins = np.cumsum([0, *(len(w) + 1 for w in folded[1:-1].split(" "))])
+        starts = np.searchsorted(begins, places).tolist()
     expressions = []
-    if tags:
+    if tagged:
         for found in re.finditer(r"(?i)spdx-license-identifier\s*:[ \t]*([^\n\r]+)", text.decode("utf-8", "replace")):
             postfix, complete = parse_expression(found[1])
             # every operand of an expression that parses counts; before a fault, only known ones do
             alone = sum(any(map(str.isalnum, x)) for x in re.findall(r"[^\s()]+", found[1])) == len(postfix)  # no prose behind it
             known = [x for x in postfix if x not in _RANK and (_known(x) or complete and _ID.fullmatch(x) and (alone or _VERSIONED.search(x)))]
             if known:
-                expressions.append(_written(postfix) if complete else known[0])
+                expressions.append(normal_form(postfix) if complete else known[0])
                 labels.update(known)
     score = 1.0 if expressions else min(1.0, 0.5 * bool(starts) + 0.25 * min(notices, 2))
     return (
