@@ -9,8 +9,8 @@ Texts and items are compared in lower case with white space as one blank; places
 The items are the stated query set: they are taken in blocks of at most ``block_chars`` characters, each block is
 sent to the executors (that bounds the broadcast) and meets all rows in one map over the documents; no shuffle.
 
-Edge cases: null and empty texts match nothing; items under ``min_chars`` characters are no passages and are
-passed over; a null item text counts as empty. Repeated items or rows are reported each. An empty benchmark or
+Edge cases: null and empty texts match nothing, and so do null and empty items; an item so short that its budget is 0 is
+found where it stands unchanged between word borders. Repeated items or rows are reported each. An empty benchmark or
 table gives no rows. Only ``doc_id, text`` and ``item_id, text`` are read, so other columns may have any names.
 """
 
@@ -60,6 +60,12 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, where
 
 
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether a stretch neither begins nor ends inside a word."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not inside(start) and not inside(end)
+
+
 class Items:
     """A block of test items with the automaton over their pieces."""
 
@@ -91,6 +97,11 @@ class Items:
             for d in sorted(diagonals):
                 if d < done:
                     continue
+                if not budget:
+                    if _stands_alone(text, d, d + len(item)):
+                        found.append((item_id, d, d + len(item), 0))
+                        done = d + len(item)
+                    continue
                 if d >= 0 and text.startswith(item, d):
                     found.append((item_id, d, d + len(item), 0))
                     done = d + len(item) - budget
@@ -105,13 +116,13 @@ class Items:
         return found
 
 
-def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Blocks of items in normal form, of at most ``block_chars`` characters (or one item) each."""
     block: list[tuple[int, str]] = []
     size = 0
     for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).toLocalIterator():
         text = normal(text)
-        if len(text) < min_chars:
+        if not text:
             continue
         if block and size + len(text) > block_chars:
             yield sorted(block, key=lambda x: (x[0] is None, x))
@@ -122,10 +133,10 @@ def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[
         yield sorted(block, key=lambda x: (x[0] is None, x))
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 30, block_chars: int = 4 << 20) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 4 << 20) -> DataFrame:
     """One row per place of a test item in a document: ``doc_id, item_id, start_char, end_char, distance``."""
     send = docs.sparkSession.sparkContext.broadcast
-    scans = [_scan(docs, send((error_rate, block))) for block in _blocks(benchmark, min_chars, block_chars)]
+    scans = [_scan(docs, send((error_rate, block))) for block in _blocks(benchmark, block_chars)]
     return reduce(DataFrame.unionByName, scans) if scans else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
@@ -143,7 +154,7 @@ def _scan(docs: DataFrame, sent) -> DataFrame:
     return texts(docs).mapInArrow(run, SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 30, block_chars: int = 4 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` whose text holds no test item, with all their columns."""
 
     def without(sent):
@@ -156,6 +167,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
 
         return run
 
-    for block in _blocks(benchmark, min_chars, block_chars):
+    for block in _blocks(benchmark, block_chars):
         docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast((error_rate, block))), docs.schema)
     return docs
