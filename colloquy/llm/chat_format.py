@@ -105,7 +105,7 @@ def format_chats(conversations: DataFrame, template: ChatTemplate = ChatTemplate
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Adds ``turns``, the roles and texts that the formatted string holds."""
+    """Adds ``turns``, the roles and texts that the formatted string holds, and ``loss_text``, what of them counts for the loss."""
 
     def turn(part: Column) -> Column:
         rest = F.substring(part, F.lit(len(template.other_open) + 1), F.length(part))
@@ -120,4 +120,6 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
 
     quoted = "\\Q" + template.end + "\\E"
     parts = F.split("formatted", quoted)
-    return formatted.withColumn("turns", F.transform(F.slice(parts, 1, F.size(parts) - 1), turn))
+    out = formatted.withColumn("turns", F.transform(F.slice(parts, 1, F.size(parts) - 1), turn))
+    lossy = [role for role, r in template.roles.items() if r.loss]
+    return out.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(lossy)), lambda t: t["text"]), ""))

@@ -1,4 +1,8 @@
-"""Connected components of a graph too large for one task: labels shrink to the smallest id by joins."""
+"""Connected components of a graph too large for one task: labels shrink to the smallest id by joins.
+
+Edge cases: no links give no rows; links of a node with itself, with null ends, and repeated ones in either direction add
+nothing; a node that only links to itself is no node; the result has each node once. Further columns are not read.
+"""
 
 from __future__ import annotations
 

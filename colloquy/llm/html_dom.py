@@ -1,4 +1,9 @@
-"""A small tolerant HTML tree for main-text extraction, and simple tree matching on it."""
+"""A small tolerant HTML tree for main-text extraction, and simple tree matching on it.
+
+Edge cases: an empty page is a root without parts; what is not closed ends with its parent or the page; a closing tag without
+its opening one is passed over; raw elements that never end swallow the rest; nothing here is recursive, so pages nest as deep
+as they like; trees whose roots differ match nowhere.
+"""
 
 from __future__ import annotations
 

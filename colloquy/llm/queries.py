@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, minhash_dedup, quality_classifier, quality_rules, substring_dedup, token_orc
+from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, minhash_dedup, oracles, quality_classifier, quality_rules, substring_dedup, token_orc
 from colloquy.llm.shared import new_path, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -34,47 +34,21 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    tricky = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    out = chat_format.read_back(chat_format.format_chats(given.unionByName(probe)))
+    probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    template = chat_format.ChatTemplate()
+    out = chat_format.read_back(chat_format.format_chats(given.unionByName(probe), template), template)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat_format.unescape(s["text"])), "")
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
+        "valid_order",
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
-def _op5_sql() -> str:
-    template = chat_format.ChatTemplate()
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    escaped = "replace({}, '\\', '\\\\')"
-    for mark in template.control():
-        escaped = f"replace({escaped}, {quoted(mark)}, {quoted(mark[0] + chr(92) + mark[1:])})"
-    around = f"{len(template.other_open) + len(template.other_close)} + length({escaped.format('role')})"
-    for role, r in template.roles.items():
-        around = f"CASE WHEN role = {quoted(role)} THEN {len(r.before) + len(r.after)} ELSE {around} END"
-    loss = ", ".join(quoted(role) for role, r in template.roles.items() if r.loss)
-    return f"""
-        WITH t AS (
-          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        g AS (
-          SELECT conv_id, count(*) AS n_turns,
-            string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
-            coalesce(string_agg(CASE WHEN role IN ({loss}) THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
-            sum({around} + length({escaped.format("text")}) + {len(template.end)}) AS formatted_chars
-          FROM t GROUP BY conv_id)
-        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-          CAST(formatted_chars AS BIGINT) AS formatted_chars
-        FROM g"""
-
-
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -98,4 +72,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
-ORACLE_SQL = {"op5_chat_format": _op5_sql()}
+ORACLE_SQL = oracles.ORACLE_SQL

@@ -1,4 +1,8 @@
-"""Sets of word shingles of whole texts, as 64-bit hashes, for the near-duplicate stages."""
+"""Sets of word shingles of whole texts, as 64-bit hashes, for the near-duplicate stages.
+
+Edge cases: null and empty texts and texts without words have an empty set; fewer words than a shingle are one shingle; a
+shingle that a text repeats is in its set once; very long texts are hashed in segments; no rows give no blocks.
+"""
 
 from __future__ import annotations
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,9 +43,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
@@ -57,6 +56,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # strings that the library takes as one token wherever they stand: texts with one are encoded whole
+        added = {t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added))), re.I) if added else None
         self._forget()
 
     def _forget(self) -> None:
@@ -101,7 +103,16 @@ def encode_block(encoder: WordEncoder, data: np.ndarray, offs: np.ndarray) -> tu
     length = encoder.length[keys]
     where = np.concatenate([[0], np.cumsum(length)])
     ids = encoder.flat[tk.expand(begin[keys], length)]
-    return ids, where[np.append(first[:-1] + np.arange(n), len(keys))]
+    where = where[np.append(first[:-1] + np.arange(n), len(keys))]
+    raw = data.tobytes()
+    if encoder.added is None or not encoder.added.search(raw):
+        return ids, where
+    parts = [ids[a:b] for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
+    for k in range(n):
+        text = raw[offs[k] : offs[k + 1]]
+        if encoder.added.search(text):
+            parts[k] = np.array([*encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids, encoder.end_id], np.int32)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, parts: int | None = None, row_index_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
