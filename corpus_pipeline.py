@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each over all rows that the one before kept."""
+"""From raw documents to token ids: five stages, each over all rows that the one before kept.
+
+Every stage takes documents with ``doc_id`` and ``text`` and any further columns, and all but the last return the columns they
+were given. Edge cases, in all stages: an empty table gives no rows; a null text is empty; rows with a null doc_id belong to
+no group and repeat nothing, and are judged by their text alone; rows that repeat a doc_id are judged one by one, but
+for the near copies, of which one stays.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +18,27 @@ from colloquy.llm.shared import materialise, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on these documents, does not reject."""
+    """Documents that the quality classifier, fitted on these documents, does not reject; null and empty texts go."""
     return quality_classifier.keep_good(docs, quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
+    """One document of each group of near copies, the one with the smallest doc_id; texts without words are no copies."""
     return minhash_dedup.drop_near_duplicates(docs, minhash_dedup.NearDedup(percent=80, margin=0.1, rows=6, bands=42))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has."""
+    """Documents without the passages that an earlier document has; what is left may be empty, and the row stays."""
     return substring_dedup.cut_passages(docs, substring_dedup.find_passages(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; empty items are no items."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` by byte-level BPE."""
+    """``doc_id, n_tokens, ids, decoded_sha256`` by byte-level BPE; an empty text has no ids."""
     out = bpe_words.byte_bpe(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
