@@ -60,6 +60,21 @@ def aligner_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}' ]", ""), " +", " "))
 
 
+def final_channel(reply: Column) -> Column:
+    """What a model's reply says in its final channel; without channels the whole reply, else what follows its last message mark."""
+    said = r"(?s)<\|channel\|>final<\|message\|>(.*?)(?:<\|end\|>|<\|return\|>|<\|start\|>|$)"
+    # other channels go first, as their text may quote the marks of the final one
+    others = F.regexp_replace(reply, r"(?s)<\|channel\|>(?!final<)\w+<\|message\|>.*?(?:<\|end\|>|<\|return\|>|<\|start\|>|$)", "")
+    last = F.regexp_replace(F.element_at(F.split(reply, r"<\|message\|>"), -1), r"(?s)<\|[^|]+\|>.*$", "")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return (
+        F.when(others.rlike(said), strip(F.regexp_extract(others, said, 1)))
+        .when(~reply.contains("<|"), strip(reply))
+        .when(reply.contains("<|message|>"), strip(last))
+        .otherwise(strip(reply))
+    )
+
+
 def escape_markdown(text: Column) -> Column:
     for char in MARKDOWN_SPECIAL:
         text = F.replace(text, F.lit(char), F.lit("\\" + char))

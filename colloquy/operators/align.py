@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -119,16 +119,62 @@ def _share_alike(a: Sequence[str], b: Sequence[str], share: float) -> bool:
 
 
 def _partly(a: str, b: str) -> bool:
-    """Whether one word may be the cut-off form of the other: within it, or the same half at an end."""
-    a, b = a.lower(), b.lower()
-    if a in b or b in a:
+    """Whether one word may be the cut-off form of the other: within one over 1.5 times as long, or the same half at an end."""
+    short, long = sorted((a.lower(), b.lower()), key=len)
+    if len(long) > 1.5 * len(short) and short in long:
         return True
-    half = min(len(a), len(b)) // 2
-    return a[:half] == b[:half] or (half > 0 and a[-half:] == b[-half:])
-
-
-def overlap_length(left: Sequence[str], right: Sequence[str], share: float = 0.6, window: int = 20) -> tuple[int, str]:
-    """How many words of ``right`` repeat the end of ``left``, and by which rule that was found."""
+    half = len(short) // 2
+    return bool(short) and (long[:half] == short[:half] or long[len(long) - half :] == short[len(short) - half :])
+
+
+def _blocks(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, int]]:
+    """Runs of equal words ``begin in a, begin in b, length`` in order."""
+    return [(m.a, m.b, m.size) for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks() if m.size]
+
+
+def _by_times(left: Sequence[dict], right: Sequence[dict], buffer: float) -> int:
+    """Words of ``right`` to leave out by the longest run, of two words at least, that the overlapping times share."""
+    last = left[-1]["end_s"]
+    if right[0]["start_s"] >= last:
+        return 0
+    begin = next((i for i, w in enumerate(left) if w["start_s"] >= right[0]["start_s"] - buffer), len(left))
+    stop = next((i for i, w in enumerate(right) if w["end_s"] > last + buffer), len(right))
+    a, b = ([w["text"].lower() for w in part] for part in (left[begin:], right[:stop]))
+    runs = [m for m in _blocks(a, b) if m[2] >= 2 and m[0] + m[2] >= len(a) - 1]
+    found = max(runs, key=lambda m: m[2], default=(0, 0, 0))
+    return found[1] + found[2]
+
+
+def _by_sequence(tail: Sequence[str], head: Sequence[str]) -> int:
+    """Words of ``head`` to leave out by runs that end with ``tail``: one that is long enough, else several with gaps of two at most."""
+    least = min(3, max(2, len(tail) // 3))
+    runs = _blocks(tail, head)
+    long = [m for m in runs if m[2] >= least and m[0] + m[2] >= len(tail) - 1]
+    if long:
+        found = max(long, key=lambda m: (m[0] + m[2], m[2]))
+        return found[1] + found[2]
+    for i in range(len(runs)):
+        words, end, skip = runs[i][2], runs[i][0] + runs[i][2], runs[i][1] + runs[i][2]
+        for at, other, n in runs[i + 1 :]:
+            if at <= end + 2:
+                words, end, skip = words + n, at + n, other + n
+        if end >= len(tail) - 1 and words >= least:
+            return skip
+    return 0
+
+
+def overlap_length(left: Sequence, right: Sequence, share: float = 0.6, window: int = 20, buffer: float = 0.5) -> tuple[int, str]:
+    """How many words of ``right`` repeat the end of ``left``, and by which rule that was found.
+
+    Words are texts, or mappings of ``text, start_s, end_s``; with times, their overlap comes first.
+    """
+    if not left or not right:
+        return 0, "none"
+    if not isinstance(left[0], str):
+        n = _by_times(left, right, buffer)
+        if n:
+            return n, "temporal"
+        left, right = [w["text"] for w in left], [w["text"] for w in right]
     most = min(len(left), len(right))
     end, begin = [w.lower() for w in left[len(left) - most :]], [w.lower() for w in right[:most]]
     for n in range(most, 0, -1):
@@ -137,30 +183,38 @@ def overlap_length(left: Sequence[str], right: Sequence[str], share: float = 0.6
             return n, "exact"
         if _share_alike(a, b, share):
             return n, "fuzzy"
-    if left and right and _partly(left[-1], right[0]):
+    if _partly(left[-1], right[0]):
         return 1, "partial"
-    tail, head = [w.lower() for w in left[-window:]], [w.lower() for w in right[:window]]
-    least = min(3, max(2, min(len(tail), len(head)) // 3)) if tail and head else 1
-    best = (0, "none")
-    for m in difflib.SequenceMatcher(None, tail, head).get_matching_blocks():
-        if m.size >= least and m.a + m.size >= len(tail) - 2 and m.b + m.size > best[0]:
-            best = (m.b + m.size, "sequence")
-    return best
+    if most >= 2 and _partly(left[-2], right[0]) and _alike(left[-1].lower(), right[1].lower()):
+        return 2, "partial"
+    n = _by_sequence([w.lower() for w in left[-window:]], [w.lower() for w in right[:window]])
+    return (n, "sequence") if n else (0, "none")
 
 
 def stitch_chunks(chunks: DataFrame) -> DataFrame:
-    """``transcript_id, words, skipped`` of ``transcript_id, chunk, words``: chunks in order, without what they repeat."""
+    """``transcript_id, words, skipped`` of ``transcript_id, chunk, words``: chunks in order, without what they repeat.
+
+    ``words`` are texts or structs with ``text, start_s, end_s``. A transcript is one group: each step needs what was
+    stitched before, and a transcript is what one recording holds.
+    """
+    kind = chunks.schema["words"].dataType.simpleString()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        words: list[str] = []
+        words: list = []
         skipped = 0
         for part in pdf.sort_values("chunk")["words"]:
-            n = overlap_length(words, list(part))[0] if words else 0
+            n = overlap_length(words, list(part))[0]
             skipped += n
             words += list(part)[n:]
         return pd.DataFrame({"transcript_id": [pdf["transcript_id"].iloc[0]], "words": [words], "skipped": [skipped]})
 
-    return chunks.groupBy("transcript_id").applyInPandas(fold, "transcript_id int, words array<string>, skipped long")
+    return chunks.groupBy("transcript_id").applyInPandas(fold, f"transcript_id int, words {kind}, skipped long")
+
+
+def tail_window(text: Column, words: int = 100) -> tuple[Column, Column]:
+    """An array of words as what goes before and the last ``words`` of it, which alone are sent on to a stitcher."""
+    n = F.size(text)
+    return F.slice(text, F.lit(1), F.greatest(n - words, F.lit(0))), F.slice(text, F.greatest(n - words, F.lit(0)) + 1, F.lit(words))
 
 
 def stitch_methods(pairs: DataFrame) -> DataFrame:
@@ -232,6 +286,133 @@ def dp_alignment(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("a", count("source", "target")).select("*", "a.*").drop("a")
 
 
+def with_original_text(texts: DataFrame) -> DataFrame:
+    """``word_idx, text, start_s, end_s`` of the words of ``original`` (a text), timed by ``aligned`` (structs ``text, start_s, end_s``).
+
+    Rows: ``transcript_id, original, aligned, start_s, end_s`` of a segment. Equal counts are zipped; else both are aligned by
+    similarity: further aligned words widen the word before them, unmatched originals share the room between their neighbours.
+    """
+    kind = "array<struct<text:string,start_s:double,end_s:double>>"
+
+    @F.pandas_udf(kind)
+    def timed(original: pd.Series, aligned: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([original_with_times(a.split(), list(b), s, e) for a, b, s, e in zip(original, aligned, start, end, strict=True)])
+
+    rows = texts.withColumn("w", timed(F.coalesce("original", F.lit("")), F.coalesce("aligned", F.array().cast(kind)), "start_s", "end_s"))
+    return rows.select("transcript_id", F.posexplode("w").alias("word_idx", "w")).select("transcript_id", "word_idx", "w.*")
+
+
+def _spread(words: list[str], start: float, end: float, least: float = 0.02) -> list[dict]:
+    step = (end - start) / len(words) if end > start else least
+    return [{"text": w, "start_s": start + i * step, "end_s": start + (i + 1) * step} for i, w in enumerate(words)]
+
+
+def original_with_times(original: list[str], aligned: list[dict], start: float, end: float) -> list[dict]:
+    if len(original) == len(aligned):
+        return [{"text": w, "start_s": a["start_s"], "end_s": a["end_s"]} for w, a in zip(original, aligned, strict=True)]
+    out: list[dict] = []
+    open_words: list[str] = []
+    last = start
+    behind = False  # whether aligned words widen the last word of ``out``
+    for i, j in align_words(original, [a["text"] for a in aligned]):
+        if i >= 0 and j >= 0:
+            if open_words:
+                out += _spread(open_words, last, aligned[j]["start_s"])
+                open_words = []
+            out.append({"text": original[i], "start_s": aligned[j]["start_s"], "end_s": aligned[j]["end_s"]})
+            last, behind = aligned[j]["end_s"], True
+        elif i >= 0:
+            open_words.append(original[i])
+            behind = False
+        elif behind:
+            out[-1]["end_s"] = last = aligned[j]["end_s"]
+    return out + (_spread(open_words, last, end) if open_words else [])
+
+
+def frame_spans(frames: DataFrame, blank: int = 0, frame_ms: float = 20.0) -> DataFrame:
+    """``transcript_id, token_idx, token, start_ms, end_ms`` of frame labels: each token's first run, tokens in their order.
+
+    Rows: ``transcript_id, labels`` (array of ids, one per frame) and ``tokens`` (array of ids expected). Labels of other tokens
+    than the one expected close a token or are passed over.
+    """
+
+    @F.pandas_udf("array<struct<token:int,start_ms:double,end_ms:double>>")
+    def spans(labels: pd.Series, tokens: pd.Series) -> pd.Series:
+        return pd.Series([token_spans(list(a), list(b), blank, frame_ms) for a, b in zip(labels, tokens, strict=True)])
+
+    rows = frames.select("transcript_id", F.posexplode(spans("labels", "tokens")).alias("token_idx", "s"))
+    return rows.select("transcript_id", "token_idx", "s.*")
+
+
+def token_spans(labels: list[int], tokens: list[int], blank: int, frame_ms: float) -> list[dict]:
+    out: list[dict] = []
+    begin = -1
+    for at, label in enumerate([*labels, None]):
+        if begin >= 0 and label != tokens[len(out)]:
+            out.append({"token": tokens[len(out)], "start_ms": begin * frame_ms, "end_ms": at * frame_ms})
+            begin = -1
+        if begin < 0 and label is not None and label != blank and len(out) < len(tokens) and label == tokens[len(out)]:
+            begin = at
+    return out
+
+
+def peak_windows(scores: Sequence[Sequence[float]], tokens: Sequence[int], reach: int = 5, frame_ms: float = 20.0) -> list[dict]:
+    """Tokens at even places, each moved to the frame within ``reach`` where its own score is greatest."""
+    out, n = [], len(scores)
+    for k, token in enumerate(tokens):
+        middle = k * n // max(len(tokens), 1)
+        near = range(max(0, middle - reach), min(n, middle + reach + 1))
+        best = max(near, key=lambda t: scores[t][token], default=middle)
+        out.append({"token": token, "start_ms": best * frame_ms, "end_ms": (best + 1) * frame_ms})
+    return out
+
+
+def word_spans(texts: DataFrame, ahead: int = 10) -> DataFrame:
+    """``transcript_id, word_idx, text, start_s, end_s`` of the words of ``text`` from ``spans`` of characters.
+
+    ``spans``: array of ``char, start_ms, end_ms``, in order, ``|`` between words. Letters and digits are matched one by one, without
+    regard to case; a character that is missing is looked for up to ``ahead`` places on. A word without any match begins where
+    the one before ends and takes 150 ms a character, 200 ms at least.
+    """
+
+    @F.pandas_udf("array<struct<text:string,start_s:double,end_s:double>>")
+    def timed(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([words_from_characters(t.split(), list(s), ahead) for t, s in zip(text, spans, strict=True)])
+
+    kind = "array<struct<char:string,start_ms:double,end_ms:double>>"
+    rows = texts.withColumn("w", timed(F.coalesce("text", F.lit("")), F.coalesce("spans", F.array().cast(kind))))
+    return rows.select("transcript_id", F.posexplode("w").alias("word_idx", "w")).select("transcript_id", "word_idx", "w.*")
+
+
+def words_from_characters(words: list[str], spans: list[dict], ahead: int = 10) -> list[dict]:
+    out: list[dict] = []
+    at = 0
+    for word in words:
+        wanted = [c for c in word.upper() if c.isalnum()]
+        own: list[dict] = []
+        k = 0
+        while at < len(spans) and k < len(wanted):
+            if spans[at]["char"] == "|":
+                at += 1
+            elif spans[at]["char"].upper() == wanted[k]:
+                own.append(spans[at])
+                k, at = k + 1, at + 1
+            else:
+                near = range(at + 1, min(at + ahead, len(spans)))
+                hit = next((i for i in near if spans[i]["char"] != "|" and spans[i]["char"].upper() == wanted[k]), None)
+                if hit is None:
+                    k, at = k + 1, at + 1
+                else:
+                    at = hit
+        if own:
+            start, end = min(s["start_ms"] for s in own), max(s["end_ms"] for s in own)
+        else:
+            start = out[-1]["end_s"] * 1000 if out else 0.0
+            end = start + max(len(word) * 150, 200)
+        out.append({"text": word, "start_s": round(start / 1000, 2), "end_s": round(end / 1000, 2)})
+    return out
+
+
 def word_diff(pairs: DataFrame) -> DataFrame:
     """Differences of each row's ``original`` and ``processed`` words: ``kind, a_from, a_to, b_from, b_to``."""
     kinds = "array<struct<kind:string,a_from:int,a_to:int,b_from:int,b_to:int>>"

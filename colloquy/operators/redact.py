@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.config import REDACTED
+from colloquy.functions.text import composed
 
 # Quotation marks and the plain ones that they compare as.
 _QUOTES = "‘’‚‛“”„‟«»‹›"
@@ -13,7 +14,7 @@ _PLAIN = "''''\"\"\"\"\"\"''"
 
 
 def folded(text: Column) -> Column:
-    """For comparing words: plain quotation marks and lower case. Texts are taken as composed (NFC) already."""
+    """For comparing words: plain quotation marks and lower case, of texts in composed form (``composed``)."""
     return F.lower(F.translate(text, _QUOTES, _PLAIN))
 
 
@@ -28,7 +29,7 @@ def _is_redacted(word: Column) -> Column:
 
 def validate_first_pass(pairs: DataFrame, limit: float = 0.10) -> DataFrame:
     """``passed, reason`` of a rewriting: equal word count, few redactions, other words untouched."""
-    with_words = pairs.withColumns({"a": split_words(F.col("original")), "b": split_words(F.col("processed"))})
+    with_words = pairs.withColumns({"a": split_words(composed("original")), "b": split_words(composed("processed"))})
     redacted = F.size(F.filter("b", _is_redacted))
     changed = F.exists(F.arrays_zip("a", "b"), lambda z: ~_is_redacted(z["b"]) & (folded(z["a"]) != folded(z["b"])))
     reason = (
@@ -75,13 +76,22 @@ def discovered_names(replacements: DataFrame) -> DataFrame:
 
 
 def global_names(replacements: DataFrame) -> DataFrame:
-    """Names of all transcripts: first form and speaker seen, and how often; the commonest first by ``rank``."""
+    """Names of all transcripts: first form and speaker seen, and how often; the commonest first by ``rank``.
+
+    A rank is a name's place among those as common with the same first letter, and the number of names before these: one task
+    sees the counts of such groups only.
+    """
     given = replacements.where((F.trim("original") != "") & (F.trim("original") != REDACTED))
     order = F.struct("transcript_id", "word_idx")
     out = given.groupBy(F.trim(folded(F.col("original"))).alias("norm_name")).agg(
         F.min_by(F.trim("original"), order).alias("name"), F.min_by("speaker", order).alias("source_speaker"), F.count("*").alias("occurrences")
     )
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("occurrences"), F.lower("name"))))  # distinct names only
+    cells = out.withColumns({"k1": -F.col("occurrences"), "k2": F.lower("name")}).withColumn("letter", F.ascii("k2"))
+    counts = cells.groupBy("k1", "letter").agg(F.count("*").alias("n"))  # few rows: how often by first letters
+    before = F.coalesce(F.sum("n").over(Window.orderBy("k1", "letter").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("k1", "letter").orderBy("k2", "norm_name"))
+    ranked = cells.join(counts.select("k1", "letter", before.alias("before")), ["k1", "letter"])
+    return ranked.withColumn("rank", (F.col("before") + within).cast("int")).select("norm_name", "name", "source_speaker", "occurrences", "rank")
 
 
 def prompt_list(names: DataFrame) -> DataFrame:

@@ -78,3 +78,29 @@ def paragraphs(turns: DataFrame) -> DataFrame:
     begins = F.when(before.isNull() | (before != F.col("speaker")), 1).otherwise(0)
     marked = turns.withColumn("begins", begins).withColumn("paragraph", F.sum("begins").over(w))
     return marked.groupBy("transcript_id", "paragraph").agg(F.first("speaker").alias("speaker"), joined(F.collect_list(F.struct("turn", "text"))).alias("text"))
+
+
+def restrict_range(words: DataFrame, from_s: float, to_s: float) -> DataFrame:
+    """Words that lie wholly between two times."""
+    if to_s <= from_s:
+        raise ValueError(f"the range ends at {to_s}, before it starts at {from_s}")
+    return words.where((F.col("start_s") >= from_s) & (F.col("end_s") <= to_s))
+
+
+def previews(turns: DataFrame, rows: int = 10, chars: int = 50) -> DataFrame:
+    """The beginnings of each transcript's first turns."""
+    place = F.row_number().over(Window.partitionBy("transcript_id").orderBy("turn"))
+    short = F.when(F.length("text") > chars, F.concat(F.left("text", F.lit(chars)), F.lit("..."))).otherwise(F.col("text"))
+    return turns.withColumn("place", place).where(F.col("place") <= rows).select("transcript_id", "turn", "speaker", short.alias("preview"))
+
+
+def chunk_audio(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Segments with the audio of their chunk (by ``transcript_id, chunk``); without one, null."""
+    return segments.join(chunks.select("transcript_id", "chunk", "audio"), ["transcript_id", "chunk"], "left")
+
+
+def mono(channels: Column) -> Column:
+    """The mean over channels (an array of equally long arrays) of each sample."""
+    first = F.transform(channels[0], lambda x: x.cast("double"))
+    total = F.aggregate(F.slice(channels, F.lit(2), F.greatest(F.size(channels) - 1, F.lit(0))), first, lambda acc, c: F.zip_with(acc, c, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(channels))

@@ -42,6 +42,11 @@ SELECT transcript_id, CAST(start_ms AS DOUBLE) / 1000 AS start_s, CAST(start_ms
     200 + MOD(word_idx * 13, 29) * 85 AS len_ms
   FROM words WHERE MOD(word_idx, 3) <> 1) v"""
 
+#: Speech segments in groups of twelve that last over half a minute, with pauses of up to 1.2 seconds.
+LONG = """
+SELECT transcript_id, CAST(start_ms AS DOUBLE) / 1000 AS start_s, CAST(start_ms + len_ms AS DOUBLE) / 1000 AS end_s FROM (
+  SELECT transcript_id, word_idx * 2600 + CAST(FLOOR(word_idx / 12.0) AS BIGINT) * 6000 AS start_ms, 1400 + MOD(word_idx * 13, 29) * 40 AS len_ms FROM words) v"""
+
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(WORDS.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -59,7 +64,11 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(VAD.replace("FROM words", "FROM {words}"), words=words(spark, sf_dir))
 
 
+def long_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LONG.replace("FROM words", "FROM {words}"), words=words(spark, sf_dir))
+
+
 def oracle(*views: str) -> str:
     """The ``WITH`` list of the named views in the oracle's dialect."""
-    texts = {"words": WORDS, "spoken": _SPOKEN.format(_SPOKEN_SQL), "diar": DIAR, "vad": VAD}
+    texts = {"words": WORDS, "spoken": _SPOKEN.format(_SPOKEN_SQL), "diar": DIAR, "vad": VAD, "long": LONG}
     return ", ".join(f"{v} AS ({texts[v]})" for v in views)

@@ -400,7 +400,7 @@ def checkpoint_reentry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WORDS + " SELECT transcript_id, count(*) AS n, round(min(start_s), 3) AS first_s, round(max(end_s), 3) AS last_s FROM words WHERE start_s >= 10 AND end_s <= 100 GROUP BY 1")
 def range_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = fixtures.words(spark, sf_dir).where("start_s >= 10 AND end_s <= 100")
+    kept = segments.restrict_range(fixtures.words(spark, sf_dir), 10.0, 100.0)
     return kept.groupBy("transcript_id").agg(F.count("*").alias("n"), F.round(F.min("start_s"), 3).alias("first_s"), F.round(F.max("end_s"), 3).alias("last_s"))
 
 
@@ -503,23 +503,36 @@ def vad_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.combined(fixtures.speech(spark, sf_dir))
 
 
-@query(
+_SCORES = (
     _VAD
-    + """, x AS (SELECT *, row_number() OVER w - 1 AS idx, count(*) OVER g0 AS n, start_s - lag(end_s) OVER w AS gap, lag(end_s) OVER w AS pend, min(start_s) OVER g0 AS gs, max(end_s) OVER g0 AS ge FROM v
+    + """, x AS (SELECT *, row_number() OVER w - 1 AS idx, count(*) OVER g0 AS n, start_s - lag(end_s) OVER w AS gap, min(start_s) OVER g0 AS gs, max(end_s) OVER g0 AS ge FROM v
   WINDOW w AS (PARTITION BY transcript_id, grp ORDER BY start_s, end_s), g0 AS (PARTITION BY transcript_id, grp)),
-y AS (SELECT *, lag(gap) OVER w AS gp, lead(gap) OVER w AS gn, pend - gs AS l, ge - start_s AS r FROM x WINDOW w AS (PARTITION BY transcript_id, grp ORDER BY start_s, end_s))
-SELECT transcript_id, CAST(grp AS BIGINT) AS "group", CAST(idx AS INT) AS idx, round(gap, 6) AS gap, round(0.4::DOUBLE * least(l, r) / greatest(l, r) + 0.3::DOUBLE * least(gap / 1.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * greatest(0.0::DOUBLE,
-  CASE WHEN idx > 1 THEN 0.1::DOUBLE * (gap - gp) ELSE 0 END + CASE WHEN idx < n - 1 THEN 0.1::DOUBLE * (gap - gn) ELSE 0 END), 6) AS score FROM y WHERE idx > 0"""
+y AS (SELECT *, lag(gap) OVER w AS gp, lead(gap) OVER w AS gn, start_s - gs AS l, ge - start_s AS r FROM x WINDOW w AS (PARTITION BY transcript_id, grp ORDER BY start_s, end_s)),
+z AS (SELECT transcript_id, CAST(grp AS BIGINT) AS "group", CAST(idx AS INT) AS idx, gap, l, r, 0.4::DOUBLE * least(l, r) / greatest(l, r) + 0.3::DOUBLE * least(gap / 1.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * greatest(0.0::DOUBLE,
+  CASE WHEN idx > 1 THEN 0.1::DOUBLE * (gap - gp) ELSE 0 END + CASE WHEN idx < n - 1 THEN 0.1::DOUBLE * (gap - gn) ELSE 0 END) AS score FROM y WHERE idx > 0)"""
 )
+
+
+@query(_SCORES + ' SELECT transcript_id, "group", idx, round(gap, 6) AS gap, round(score, 6) AS score FROM z')
 def vad_split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = vad.split_scores(vad.combine(fixtures.speech(spark, sf_dir)))
     return scores.select("transcript_id", "group", "idx", F.round("gap", 6).alias("gap"), F.round("score", 6).alias("score"))
 
 
-@query()
+_LONG_SCORES = _SCORES.replace(fixtures.oracle("words", "vad"), fixtures.oracle("words", "long")).replace("FROM vad WINDOW", "FROM long WINDOW")
+
+
+@query(
+    _LONG_SCORES.replace("WITH", "WITH RECURSIVE", 1)
+    + """, o AS (SELECT transcript_id, "group", idx, row_number() OVER (PARTITION BY transcript_id, "group" ORDER BY score DESC, idx) AS k FROM z WHERE gap >= 0.6::DOUBLE AND l >= 5 AND r >= 5),
+t AS (SELECT transcript_id, "group", 0::BIGINT AS k, []::INT[] AS points FROM o WHERE k = 1
+  UNION ALL SELECT o.transcript_id, o."group", o.k, CASE WHEN len(points) < 3 AND o.idx - coalesce(points[len(points)], 0) >= 2 THEN list_append(points, o.idx) ELSE points END
+  FROM t JOIN o ON o.transcript_id = t.transcript_id AND o."group" = t."group" AND o.k = t.k + 1)
+SELECT transcript_id, "group", array_to_string(arg_max(points, k), ',') AS points FROM t GROUP BY 1, 2"""
+)
 def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = VadConfig(split_gap=0.3, min_piece=1.0)
-    return vad.split_points(vad.split_scores(vad.combine(fixtures.speech(spark, sf_dir))), config)
+    points = vad.split_points(vad.split_scores(vad.combine(fixtures.long_speech(spark, sf_dir))))
+    return points.select("transcript_id", "group", F.concat_ws(",", F.transform("points", lambda p: p.cast("string"))).alias("points"))
 
 
 @query(_VAD + " SELECT transcript_id, pe AS from_s, start_s AS to_s, round(start_s - pe, 6) AS silence_s FROM v WHERE pe < start_s")
@@ -556,15 +569,38 @@ _PAIRS_SQL = _REDACTED_WORDS + """, pr AS (SELECT transcript_id, word_idx // 20
   count(*) AS n, count(*) FILTER (replaced) AS k FROM rw GROUP BY 1, 2)"""
 
 
-@query(_PAIRS_SQL + " SELECT transcript_id, chunk, k AS redacted, CASE WHEN k > n * 0.1::DOUBLE THEN 'too_many_redactions' ELSE 'ok' END AS reason, k <= n * 0.1::DOUBLE AS passed FROM pr")
+def _odd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which some lose a word, change one, or undo a redaction."""
+    rows = _pairs(spark, sf_dir).withColumn("kind", F.pmod(F.col("chunk"), F.lit(5)))
+    given = F.when(F.col("kind") == 3, F.concat(F.lit("[REDACTED] "), F.col("original"))).otherwise(F.col("original"))
+    out = F.when(F.col("kind") == 1, F.concat(F.col("processed"), F.lit(" more"))).when(F.col("kind") == 2, F.replace("processed", F.lit("wow"), F.lit("WOW!")))
+    out = out.when(F.col("kind") == 3, F.concat(F.lit("back "), F.replace("processed", F.lit("[REDACTED]"), F.lit("x")))).when(F.col("kind") == 4, F.upper(F.replace("processed", F.lit("[REDACTED]"), F.lit("maria"))))
+    return rows.withColumns({"original": given, "processed": out.otherwise(F.col("processed"))}).drop("kind")
+
+
+_ODD_SQL = _PAIRS_SQL + """, op AS (SELECT transcript_id, chunk, n, k, chunk % 5 AS kind, contains(' ' || processed || ' ', ' wow ') AS has_wow FROM pr),
+vd AS (SELECT *, CASE kind WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE k END AS after, CASE kind WHEN 3 THEN 1 ELSE 0 END AS before, CASE kind WHEN 3 THEN n + 1 ELSE n END AS n_words FROM op)"""
+
+
+@query(
+    _ODD_SQL
+    + """ SELECT transcript_id, chunk, after AS redacted, CASE WHEN kind = 1 THEN 'word_count' WHEN after > n_words * 0.1::DOUBLE THEN 'too_many_redactions'
+  WHEN kind = 3 OR kind = 2 AND has_wow THEN 'changed_words' ELSE 'ok' END AS reason,
+  NOT (kind = 1 OR after > n_words * 0.1::DOUBLE OR kind = 3 OR kind = 2 AND has_wow) AS passed FROM vd"""
+)
 def redaction_validate_pass1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = redact.validate_first_pass(_pairs(spark, sf_dir))
+    out = redact.validate_first_pass(_odd_pairs(spark, sf_dir))
     return out.select("transcript_id", "chunk", F.col("redacted").cast("long").alias("redacted"), "reason", "passed")
 
 
-@query(_PAIRS_SQL + " SELECT transcript_id, chunk, k AS new_redactions, CASE WHEN k > n * 0.02::DOUBLE THEN 'too_many_new' ELSE 'ok' END AS reason, k <= n * 0.02::DOUBLE AS passed FROM pr")
+@query(
+    _ODD_SQL
+    + """ SELECT transcript_id, chunk, after - before AS new_redactions, CASE WHEN kind = 1 THEN 'word_count' WHEN after < before THEN 'lost_redactions'
+  WHEN after - before > (n_words - before) * 0.02::DOUBLE THEN 'too_many_new' ELSE 'ok' END AS reason,
+  NOT (kind = 1 OR after < before OR after - before > (n_words - before) * 0.02::DOUBLE) AS passed FROM vd"""
+)
 def redaction_validate_pass2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = redact.validate_second_pass(_pairs(spark, sf_dir))
+    out = redact.validate_second_pass(_odd_pairs(spark, sf_dir))
     return out.select("transcript_id", "chunk", F.col("new_redactions").cast("long").alias("new_redactions"), "reason", "passed")
 
 
@@ -615,9 +651,10 @@ def name_prompt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.prompt_list(redact.global_names(fixtures.words(spark, sf_dir).where("text <> 'data'").withColumnRenamed("text", "original")))
 
 
-@query(_WORDS + " SELECT transcript_id, word_idx, CASE WHEN lower(text) = 'maria' THEN 'Maria' ELSE text END AS matched FROM words")
+@query(_WORDS + " SELECT transcript_id, word_idx, CASE lower(text) WHEN 'maria' THEN 'MARIA' WHEN 'wow' THEN 'Wow' WHEN 'what' THEN 'WHAT' ELSE upper(text) || '!' END AS matched FROM words")
 def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.restore_names(fixtures.words(spark, sf_dir), spark.createDataFrame([("Maria",)], "name string")).select("transcript_id", "word_idx", "matched")
+    shouted = fixtures.words(spark, sf_dir).withColumn("text", F.concat(F.upper("text"), F.lit("!")))
+    return redact.restore_names(shouted, spark.createDataFrame([("MARIA",), ("Wow",), ("WHAT",), ("Nobody",)], "name string")).select("transcript_id", "word_idx", "matched")
 
 
 @query(
@@ -656,9 +693,13 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.explode(tx.sentences(F.col("text"))).alias("sentence")).groupBy("conv_id", "turn", "sentence").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, upper(role[1]) || lower(role[2:]) AS label FROM conversations")
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'Unknown' WHEN turn % 4 = 1 THEN upper(role[1]) || lower(role[2:]) || ' One-two_3' ELSE upper(role[1]) || lower(role[2:]) END AS label FROM conversations"""
+)
 def speaker_label_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", tx.speaker_label(F.concat(F.lit(" "), F.col("role"), F.lit("!"))).alias("label"))
+    kind = F.col("turn") % 4
+    given = F.when(kind == 0, F.lit("")).when(kind == 1, F.concat(F.lit(" <"), F.upper("role"), F.lit(">  oNE-two_3 "))).otherwise(F.concat(F.lit(" "), F.col("role"), F.lit("!")))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", tx.speaker_label(given).alias("label"))
 
 
 @query("SELECT conv_id, turn, replace('‘' || text || '…', '‘', '''').replace('…', '...') AS text FROM conversations")
@@ -666,10 +707,11 @@ def special_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", tx.special_characters(F.concat(F.lit("‘"), F.col("text"), F.lit("…"))).alias("text"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations")
+@query("SELECT conv_id, turn, 'said then ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' end' AS text FROM conversations")
 def clean_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return rows.select("conv_id", "turn", tx.clean_transcript(F.concat(F.lit('user: "'), F.col("text"), F.lit('" '))).alias("text"))
+    given = F.concat(F.lit('user: “said” AI Assistant:\n then "'), F.col("text"), F.lit('"  ASSISTANT: end '))
+    return rows.select("conv_id", "turn", tx.clean_transcript(given).alias("text"))
 
 
 _STAMP = "printf('%02d:%02d:%02d{}%03d', CAST(floor(start_s) AS BIGINT) // 3600, CAST(floor(start_s) AS BIGINT) // 60 % 60, CAST(floor(start_s) AS BIGINT) % 60, CAST(round((start_s - floor(start_s)) * 1000) AS BIGINT))"
@@ -717,12 +759,12 @@ def even_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {fixtures.oracle('spoken')}"
-    + """, m AS (SELECT *, greatest(100.0::DOUBLE, length(text) / sum(length(text)) OVER (PARTITION BY transcript_id) * 60000.0::DOUBLE) AS ms FROM spoken WHERE word_idx < 50),
+    + """, m AS (SELECT *, greatest(100.0::DOUBLE, length(text) / sum(length(text)) OVER (PARTITION BY transcript_id) * 60000.0::DOUBLE) AS ms FROM spoken),
 e AS (SELECT *, sum(ms) OVER (PARTITION BY transcript_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS e FROM m)
 SELECT transcript_id, word_idx, text, round((e - ms) / 1000, 2) AS start_s, round(e / 1000, 2) AS end_s FROM e"""
 )
 def proportional_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.proportional_alignment(fixtures.spoken_words(spark, sf_dir).where("word_idx < 50").withColumn("total_ms", F.lit(60000.0)))
+    return align.proportional_alignment(fixtures.spoken_words(spark, sf_dir).withColumn("total_ms", F.lit(60000.0)))
 
 
 @query(
@@ -787,25 +829,66 @@ def stitch_pair_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.stitch_methods(pairs).select("transcript_id", "chunk", "n", "rule")
 
 
-@query()
+_IN_ORDER = f"WITH RECURSIVE {fixtures.oracle('words')}, wm AS MATERIALIZED (SELECT * FROM words)"
+
+
+@query(
+    _IN_ORDER
+    + """, r AS (SELECT transcript_id, word_idx, text, start_s AS s, greatest(end_s, start_s + 0.02::DOUBLE) AS e, NULL::DOUBLE AS cut FROM wm WHERE word_idx = 0
+  UNION ALL SELECT transcript_id, word_idx, text, coalesce(cut, start_s), greatest(end_s, coalesce(cut, start_s) + 0.02::DOUBLE), cut FROM (
+    SELECT w.*, CASE WHEN w.start_s < r.e THEN CASE WHEN (w.start_s + r.e) / 2 >= r.s THEN (w.start_s + r.e) / 2 ELSE r.s + 0.01::DOUBLE END END AS cut
+    FROM r JOIN wm w ON w.transcript_id = r.transcript_id AND w.word_idx = r.word_idx + 1) n)
+SELECT transcript_id, word_idx, text, s AS start_s, coalesce(lead(cut) OVER (PARTITION BY transcript_id ORDER BY word_idx), e) AS end_s FROM r"""
+)
 def monotonic_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.repair_order(fixtures.words(spark, sf_dir))
 
 
-@query()
+@query(
+    _IN_ORDER
+    + """, r AS (SELECT transcript_id, word_idx, text, greatest(start_s, 0.0::DOUBLE) AS s, CASE WHEN end_s < start_s THEN start_s + 0.01::DOUBLE ELSE end_s END AS e FROM wm WHERE word_idx = 0
+  UNION ALL SELECT w.transcript_id, w.word_idx, w.text, greatest(w.start_s, r.e), CASE WHEN w.end_s < greatest(w.start_s, r.e) THEN greatest(w.start_s, r.e) + 0.01::DOUBLE ELSE w.end_s END
+  FROM r JOIN wm w ON w.transcript_id = r.transcript_id AND w.word_idx = r.word_idx + 1)
+SELECT transcript_id, word_idx, text, s AS start_s, e AS end_s FROM r"""
+)
 def vad_stitch_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.clamp_order(fixtures.words(spark, sf_dir))
 
 
-@query()
+# Sentences ``s`` (numbered ``i``) of rows ``key``, packed to pieces of ``{limit}`` words.
+_PACKED = """sn AS MATERIALIZED (SELECT key, s, row_number() OVER (PARTITION BY key ORDER BY pos) AS i, len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) AS n
+  FROM (SELECT key, trim(unnest(p)) AS s, unnest(range(len(p))) AS pos FROM (SELECT key, string_split_regex(regexp_replace(text, '([.!?])', '\\1\x01', 'g'), '\x01') AS p FROM lines) a) b WHERE s <> ''),
+pk AS (SELECT key, s, i, n AS total, 0 AS piece FROM sn WHERE i = 1
+  UNION ALL SELECT sn.key, sn.s, sn.i, CASE WHEN pk.total + sn.n > {limit} THEN sn.n ELSE pk.total + sn.n END, CASE WHEN pk.total + sn.n > {limit} THEN pk.piece + 1 ELSE pk.piece END
+  FROM pk JOIN sn ON sn.key = pk.key AND sn.i = pk.i + 1)"""
+
+
+@query(
+    "WITH RECURSIVE lines AS (SELECT conv_id * 10000 + turn AS key, text FROM conversations), "
+    + _PACKED.format(limit=30)
+    + " SELECT key // 10000 AS conv_id, key % 10000 AS turn, CAST(piece AS INT) AS piece, string_agg(s, ' ' ORDER BY i) AS text FROM pk GROUP BY key, piece"
+)
 def greedy_sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("sentences", tx.sentences(F.col("text")))
     return align.pack_sentences(rows, 30).select("conv_id", "turn", F.posexplode("pieces").alias("piece", "text"))
 
 
-@query()
+_CHUNKED = """n AS (SELECT transcript_id, count(*) AS n FROM words GROUP BY 1), k AS (SELECT *, CASE WHEN n <= 60 THEN 0 ELSE greatest(0, CAST(floor((n - 80) / 50) AS INT) + 1) END AS last FROM n),
+g AS (SELECT *, unnest(range(last + 1)) AS c FROM k),
+pl AS (SELECT g.transcript_id, CAST(c AS INT) AS chunk, w.*, word_idx - c * 50 AS i FROM g JOIN words w ON w.transcript_id = g.transcript_id AND word_idx >= c * 50 AND word_idx < CASE WHEN c < last THEN c * 50 + 60 ELSE n END)"""
+
+
+@query(
+    f"WITH RECURSIVE {fixtures.oracle('words')}, {_CHUNKED}"
+    + """, c0 AS MATERIALIZED (SELECT transcript_id, chunk, list(text ORDER BY i) AS o, list(CASE WHEN i % 7 = 3 THEN '<unk>' ELSE upper(text) END ORDER BY i) FILTER (i % 11 <> 5) AS a FROM pl GROUP BY 1, 2),
+r AS (SELECT transcript_id, chunk, o, a, 0 AS k, 0 AS p, []::VARCHAR[] AS out FROM c0
+  UNION ALL SELECT transcript_id, chunk, o, a, k + 1, p + CASE WHEN p < len(o) AND (a[k + 1] = '<unk>' OR lower(a[k + 1]) = lower(o[p + 1])) THEN 1 ELSE 0 END,
+    list_append(out, CASE WHEN a[k + 1] = '<unk>' AND p < len(o) THEN o[p + 1] ELSE a[k + 1] END) FROM r WHERE k < len(a))
+SELECT transcript_id, chunk, array_to_string(out, ' ') AS text FROM r WHERE k = len(a)"""
+)
 def unk_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunked(spark, sf_dir).withColumn("aligned", F.transform("words", lambda w, i: F.when(i % 7 == 3, "<unk>").otherwise(w)))
+    heard = F.transform(F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["i"] % 11 != 5), lambda x: F.when(x["i"] % 7 == 3, "<unk>").otherwise(F.upper(x["w"])))
+    rows = _chunked(spark, sf_dir).withColumn("aligned", heard)
     out = align.fill_unknown(rows.withColumn("original", F.col("words")))
     return out.select("transcript_id", "chunk", F.array_join("filled", " ").alias("text"))
 
@@ -820,3 +903,6 @@ def dp_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).select("transcript_id", "chunk", F.split("original", " ").alias("original"), F.split("processed", " ").alias("processed"))
     return align.word_diff(rows).select("transcript_id", "chunk", F.explode("diff").alias("d")).select("transcript_id", "chunk", "d.*")
+
+
+from colloquy.plans import further  # noqa: E402, F401  registers its queries

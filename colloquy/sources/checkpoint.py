@@ -14,10 +14,14 @@ SCHEMA = (
 def read_checkpoints(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """``transcript_id, word_idx, text, start_s, end_s, speaker, mode`` of all checkpoints under ``path``.
 
-    A word without text, start or end is fatal (``strict``) or left out. A checkpoint without words gives no rows.
+    A checkpoint without words, or a word without text, start or end, is fatal (``strict``) or left out.
     """
     docs = spark.read.schema(SCHEMA).json(path, multiLine=True)
-    rows = docs.select("transcript_id", F.col("metadata.mode").alias("mode"), F.posexplode("words").alias("word_idx", "w"))
+    words = F.col("words")
+    if strict:
+        empty = F.raise_error(F.lit("a checkpoint has no words")).cast(docs.schema["words"].dataType)
+        words = F.when(F.coalesce(F.size("words"), F.lit(0)) > 0, words).otherwise(empty)
+    rows = docs.select("transcript_id", F.col("metadata.mode").alias("mode"), F.posexplode(words).alias("word_idx", "w"))
     whole = F.col("w.text").isNotNull() & F.col("w.start").isNotNull() & F.col("w.end").isNotNull()
     fault = F.raise_error(F.lit("a word lacks text, start or end")).cast("boolean")
     rows = rows.where(F.when(whole, True).otherwise(fault) if strict else whole)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Labels that stand for silence.
 SILENCE = ("", "<eps>", "sil", "sp", "spn")
 _INTERVAL = r'intervals\s*\[\d+\]:?\s*xmin\s*=\s*([\d.]+)\s*xmax\s*=\s*([\d.]+)\s*text\s*=\s*"((?:[^"]|"")*)"'
 
@@ -44,6 +45,22 @@ def restore_case(aligned: DataFrame, original: DataFrame) -> DataFrame:
     return mine.drop("of").join(forms.drop("of"), ["path", "norm", "nth"], "left").withColumn("text", F.coalesce("form", "text")).drop("norm", "nth", "form")
 
 
+def by_place(aligned: DataFrame, original: DataFrame) -> DataFrame:
+    """Words of ``aligned`` in the form of the original at the same place, for files whose counts agree; others stay as they are."""
+    count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
+    agreed = count(aligned, "n").join(count(original, "m"), "path").where("n = m").select("path", F.lit(True).alias("agreed"))
+    forms = original.select("path", "word_idx", F.col("text").alias("form")).join(agreed, "path")
+    return aligned.join(forms, ["path", "word_idx"], "left").withColumn("text", F.when(F.col("agreed"), F.col("form")).otherwise(F.col("text"))).drop("form", "agreed")
+
+
+def or_even(aligned: DataFrame, original: DataFrame, seconds: float) -> DataFrame:
+    """Aligned words; a file of ``original`` without any has its words spread evenly over ``seconds``."""
+    missing = original.join(aligned.select("path").distinct(), "path", "left_anti")
+    step = F.lit(seconds) / F.count("*").over(Window.partitionBy("path"))
+    even = missing.select("path", "word_idx", "text", (F.col("word_idx") * step).alias("start_s"), ((F.col("word_idx") + 1) * step).alias("end_s"))
+    return aligned.select("path", "word_idx", "text", "start_s", "end_s").unionByName(even)
+
+
 def parse_wts(lines: DataFrame) -> DataFrame:
     """``text, start_s, end_s`` of lines ``[start ms] --> [end ms] word`` in column ``value``; others are left out."""
     pattern = r"\[(\d+)\]\s*-->\s*\[(\d+)\]\s+(.+)"

@@ -88,14 +88,25 @@ def test_alignment_has_the_best_score():
 
 @pytest.mark.parametrize(
     "left, right, n, rule",
-    [("a b c d", "c d e", 2, "exact"), ("alpha beta gammas", "betta gammas delta", 2, "fuzzy"), ("they walk", "walkedthrough home", 1, "partial"), ("see b", "x y", 1, "partial"), ("red blue", "green pink", 0, "none"), ("", "x", 0, "none")],
-)
+    [
+        ("a b c d", "c d e", 2, "exact"), ("well generational", "rational talk", 1, "fuzzy"), ("say gener thing", "generational thing so", 2, "partial"), ("we go hyper", "hypertension rises", 1, "partial"),
+        ("apple bread crate dune echo fox", "quite other terms dune echo fox ill", 6, "sequence"), ("p1 p2 k1 k2 x9 k3 k4", "z0 k1 k2 k3 k4 m7 m8 m9", 5, "sequence"),
+        ("alpha beta gammas", "betta gammas delta", 2, "fuzzy"), ("they walk", "walkedthrough home", 1, "partial"), ("see b", "x y", 1, "partial"), ("red blue", "green pink", 0, "none"), ("", "x", 0, "none"),
+    ],
+)
 def test_overlap_of_chunks(left, right, n, rule):
     from colloquy.operators.align import overlap_length
 
     assert overlap_length(left.split(), right.split()) == (n, rule)
 
 
+@pytest.mark.parametrize("a, b, same", [("abcdef", "bcde", False), ("generational", "national", True), ("walk", "walkedthrough", True), ("cat", "dog", False), ("b", "x", True), ("ab", "xb", True)])
+def test_words_that_may_be_cut_off(a, b, same):
+    from colloquy.operators.align import _partly
+
+    assert _partly(a, b) is same and _partly(b, a) is same
+
+
 def test_stitched_chunks_say_each_word_once(spark):
     from colloquy.operators.align import stitch_chunks
 
@@ -119,8 +130,83 @@ def test_packed_sentences_keep_the_limit(spark):
     assert pack_sentences(row, 5).first()["pieces"] == ["a b c. d e.", "f g h i j k.", "l."]
 
 
-def test_split_points_lie_inside_their_segments(spark):
-    assert entry.queries()["split_points"](spark, SMALL).count() >= 0
+def timed(text, start=0.0, step=1.0):
+    return [{"text": w, "start_s": start + i * step, "end_s": start + i * step + 0.8} for i, w in enumerate(text.split())]
+
+
+def test_overlap_by_times():
+    from colloquy.operators.align import overlap_length
+
+    left = timed("we went home and then we slept")
+    assert overlap_length(left, timed("then we slept and rose", 4.0)) == (3, "temporal")
+    assert overlap_length(left, timed("um then we slept well", 3.0)) == (4, "temporal")
+    assert overlap_length(left, timed("other words we slept not", 4.0)) == (4, "sequence")  # one word alone in the shared times
+    assert overlap_length(left, timed("we slept well", 100.0)) == (2, "exact")  # times do not overlap
+    assert overlap_length(left, timed("quite other words", 4.0))[1] in ("none", "partial")
+
+
+def test_original_words_get_the_times_of_aligned_ones():
+    from colloquy.operators.align import original_with_times
+
+    spans = lambda rows: [(r["text"], r["start_s"], r["end_s"]) for r in rows]
+    assert spans(original_with_times(["A", "B"], timed("a b"), 0.0, 2.0)) == [("A", 0.0, 0.8), ("B", 1.0, 1.8)]
+    assert spans(original_with_times("The quick fox".split(), timed("the fox"), 0.0, 2.0)) == [("The", 0.0, 0.8), ("quick", 0.8, 1.0), ("fox", 1.0, 1.8)]
+    assert spans(original_with_times("The fox".split(), timed("the fox fox"), 0.0, 3.0))[0][0] == "The"
+    assert spans(original_with_times("one two".split(), timed("one"), 0.0, 3.0)) == [("one", 0.0, 0.8), ("two", 0.8, 3.0)]
+    assert original_with_times([], timed("a"), 0.0, 1.0) == []
+
+
+def test_frames_and_characters_become_words(spark):
+    from colloquy.operators.align import frame_spans, peak_windows, token_spans, word_spans, words_from_characters
+
+    assert [(s["token"], s["start_ms"], s["end_ms"]) for s in token_spans([0, 1, 1, 0, 2, 3, 3], [1, 2, 3], 0, 20.0)] == [(1, 20.0, 60.0), (2, 80.0, 100.0), (3, 100.0, 140.0)]
+    assert [s["token"] for s in token_spans([9, 1, 9, 0, 2], [1, 2], 0, 20.0)] == [1, 2] and token_spans([0, 0], [1], 0, 20.0) == []
+    frames = spark.createDataFrame([(1, [0, 5, 5], [5])], "transcript_id int, labels array<int>, tokens array<int>")
+    assert [tuple(r) for r in frame_spans(frames).collect()] == [(1, 0, 5, 20.0, 60.0)]
+    assert [s["start_ms"] for s in peak_windows([[0, 1], [0, 9], [5, 0], [0, 0]], [1, 0])] == [20.0, 40.0]
+    chars = [{"char": c, "start_ms": 100.0 * i, "end_ms": 100.0 * i + 80} for i, c in enumerate("HI|YOU")]
+    assert [(w["text"], w["start_s"], w["end_s"]) for w in words_from_characters(["Hi,", "you!", "--"], chars)] == [("Hi,", 0.0, 0.18), ("you!", 0.3, 0.58), ("--", 0.58, 0.88)]
+    rows = spark.createDataFrame([(1, "Hi you", [("H", 0.0, 50.0), ("I", 50.0, 90.0)]), (2, None, None)], "transcript_id int, text string, spans array<struct<char:string,start_ms:double,end_ms:double>>")
+    assert [(r["text"], r["start_s"], r["end_s"]) for r in word_spans(rows).orderBy("word_idx").collect()] == [("Hi", 0.0, 0.09), ("you", 0.09, 0.54)]
+
+
+def test_long_groups_are_split_and_keep_their_segments(spark):
+    from colloquy.operators import vad
+    from colloquy.plans import fixtures
+
+    grouped = vad.combine(fixtures.long_speech(spark, SMALL))
+    whole = {(r["transcript_id"], r["group"]): r for r in vad.combined(fixtures.long_speech(spark, SMALL)).collect()}
+    pieces = defaultdict(list)
+    for r in vad.split_long(grouped).collect():
+        pieces[r["transcript_id"], r["group"]].append(r)
+    assert set(pieces) == set(whole) and any(len(p) > 1 for p in pieces.values())
+    for key, own in pieces.items():
+        own.sort(key=lambda r: r["piece"])
+        assert sum(r["n_segments"] for r in own) == whole[key]["n_segments"]
+        assert (own[0]["start_s"], max(r["end_s"] for r in own)) == (whole[key]["start_s"], whole[key]["end_s"])
+
+
+def test_preparation_refuses_unknown_modes(spark):
+    from colloquy.operators.prepare import prepare_turns, turn_segments
+
+    rows = spark.createDataFrame([(1, 1, "a: b", "x: y. z!")], "transcript_id int, turn int, speaker string, text string")
+    with pytest.raises(ValueError, match="there are"):
+        prepare_turns(rows, "wild")
+    assert [r["segment"] for r in turn_segments(prepare_turns(rows, labels=False), 1).collect()] == ["a: b: x: y.", "a: z!"]
+
+
+def test_ranges_must_not_end_before_they_start(spark):
+    from colloquy.operators.segments import restrict_range
+
+    with pytest.raises(ValueError):
+        restrict_range(spark.range(1), 5.0, 5.0)
+
+
+def test_words_that_differ_in_composition_only_are_the_same(spark):
+    from colloquy.operators.redact import validate_first_pass
+
+    row = spark.createDataFrame([("caf\u00e9 noir", "cafe\u0301 noir")], "original string, processed string")
+    assert validate_first_pass(row).first()["passed"]
 
 
 def test_registry_needs_no_session():
