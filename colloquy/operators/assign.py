@@ -24,5 +24,6 @@ def assign_speakers(words: DataFrame, diar: DataFrame, bucket_s: float | None =
         left = words
     overlap = F.least("end_s", "d_end") - F.greatest("start_s", "d_start")
     near = left.join(seg, keys, "left").withColumn("overlap", F.when(overlap > 0, overlap))
-    best = near.groupBy("transcript_id", "word_idx").agg(F.max(F.when(F.col("overlap") > 0, F.struct("overlap", "d_speaker"))).alias("best"))
-    return words.drop("speaker").join(best, ["transcript_id", "word_idx"]).withColumn("speaker", F.coalesce("best.d_speaker", F.lit("Unknown"))).drop("best")
+    others = [c for c in words.columns if c not in ("transcript_id", "word_idx", "speaker")]  # the same in all rows of a word
+    best = near.groupBy("transcript_id", "word_idx").agg(*(F.any_value(c).alias(c) for c in others), F.max(F.when(F.col("overlap") > 0, F.struct("overlap", "d_speaker"))).alias("best"))
+    return best.withColumn("speaker", F.coalesce("best.d_speaker", F.lit("Unknown"))).select(*words.columns)

@@ -46,19 +46,20 @@ def turn_type_distribution(turns: DataFrame) -> DataFrame:
 
 
 def speaker_statistics(turns: DataFrame) -> DataFrame:
-    """Per speaker: own turns, and interjections made in turns of others."""
-    exact = lambda c, d: F.sum(F.col(c).cast(f"decimal(18,{d})")).cast("double")
-    own = turns.groupBy("transcript_id", "speaker").agg(
-        F.count("*").alias("total_turns"), F.sum("n_words").alias("total_words"), exact("duration_s", 3).alias("duration"),
-        exact("rate_wpm", 1).alias("rates"), exact("flow", 3).alias("flows"),
+    """Per speaker: own turns, and interjections made in turns of others. Turns are read once: each gives a row per speaker in it."""
+    row = lambda speaker, own: F.struct(speaker.alias("speaker"), F.lit(own).alias("own"))
+    part = F.explode(F.concat(F.array(row(F.col("speaker"), True)), F.transform("interjections", lambda x: row(x["speaker"], False))))
+    rows = turns.select("transcript_id", "n_words", "duration_s", "rate_wpm", "flow", part.alias("p"))
+    mine = F.col("p.own")
+    exact = lambda c, d: F.sum(F.when(mine, F.col(c).cast(f"decimal(18,{d})"))).cast("double")
+    both = rows.groupBy("transcript_id", F.col("p.speaker").alias("speaker")).agg(
+        F.count_if(mine).alias("total_turns"), F.coalesce(F.sum(F.when(mine, F.col("n_words"))), F.lit(0)).alias("total_words"), exact("duration_s", 3).alias("duration"),
+        exact("rate_wpm", 1).alias("rates"), exact("flow", 3).alias("flows"), F.count_if(~mine).alias("total_interjections"),
     )
-    said = turns.select("transcript_id", F.explode("interjections.speaker").alias("speaker")).groupBy("transcript_id", "speaker").agg(F.count("*").alias("total_interjections"))
-    both = own.join(said, ["transcript_id", "speaker"], "full")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    mean = lambda c, d: F.coalesce(half_up(F.col(c) / F.col("total_turns"), d), F.lit(0.0))
+    mean = lambda c, d: F.when(F.col("total_turns") > 0, half_up(F.col(c) / F.col("total_turns"), d)).otherwise(0.0)
     return both.select(
-        "transcript_id", "speaker", zero("total_turns").alias("total_turns"), zero("total_words").alias("total_words"),
-        F.coalesce(half_up(F.col("duration"), 2), F.lit(0.0)).alias("total_duration"), zero("total_interjections").alias("total_interjections"),
+        "transcript_id", "speaker", "total_turns", "total_words",
+        F.coalesce(half_up(F.col("duration"), 2), F.lit(0.0)).alias("total_duration"), "total_interjections",
         mean("duration", 2).alias("avg_turn_duration"), mean("rates", 1).alias("avg_speaking_rate"), mean("flows", 3).alias("avg_flow"),
     )
 

@@ -45,13 +45,17 @@ def time_jumps(words: DataFrame, significant: float = 0.5) -> DataFrame:
     return after.where("next_start_s < start_s").withColumn("jump_s", jump).withColumn("significant", F.col("jump_s") > significant)
 
 
-def speaker_segments(words: DataFrame) -> DataFrame:
-    """Islands of consecutive words of one speaker. ``end_s`` is the last word's, which need not be the greatest."""
+def speaker_segments(words: DataFrame, keep_words: bool = False) -> DataFrame:
+    """Islands of consecutive words of one speaker. ``end_s`` is the last word's, which need not be the greatest.
+
+    ``keep_words`` adds the array ``words`` of ``start_s, ord, end_s, text``, so that later steps need no join back.
+    """
     who = order_words(words).withColumn("who", speaker_or_unknown())
     in_order = Window.partitionBy("transcript_id").orderBy("ord")
     before = F.lag("who").over(in_order)
     marked = who.withColumn("begins", F.when(before.isNull() | (before != F.col("who")), 1).otherwise(0))
     seg = marked.withColumn("seg", F.sum("begins").over(in_order))
+    held = [F.collect_list(F.struct("start_s", "ord", "end_s", "text")).alias("words")] if keep_words else []
     return (
         seg.groupBy("transcript_id", "seg")
         .agg(
@@ -60,6 +64,7 @@ def speaker_segments(words: DataFrame) -> DataFrame:
             F.max_by("end_s", "ord").alias("end_s"),
             joined(F.collect_list(F.struct("ord", "text"))).alias("text"),
             F.count("*").alias("n_words"),
+            *held,
         )
         .withColumn("duration_s", F.col("end_s") - F.col("start_s"))
     )

@@ -57,46 +57,51 @@ def turn_metrics(turns: DataFrame) -> DataFrame:
     )
 
 
-def build_turns(assigned: DataFrame) -> DataFrame:
-    """One row per turn, with its interjections as an array of structs in order of start."""
+def _gathered(assigned: DataFrame, *more: Column) -> DataFrame:
     primary = F.col("is_primary")
     item = F.struct("start_s", "seg", "end_s", "speaker", "text", "n_words", "itype", "confidence", "level", "error")
     of = lambda c, how: how(F.when(primary, F.col(c)), F.when(primary, F.col("seg")))
-    turns = assigned.groupBy("transcript_id", "turn").agg(
+    return assigned.groupBy("transcript_id", "turn").agg(
         of("speaker", F.min_by).alias("speaker"),
         of("start_s", F.min_by).alias("start_s"),
         of("end_s", F.max_by).alias("end_s"),
         joined(F.collect_list(F.when(primary, F.struct("seg", "text")))).alias("text"),
         F.sum(F.when(primary, F.col("n_words"))).alias("n_words"),
         F.array_sort(F.collect_list(F.when(~primary, item))).alias("interjections"),
+        *more,
     )
-    return turn_metrics(turns)
 
 
-def merge_errors(turns: DataFrame, words: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Turns whose likely speaker errors have become words of the turn.
+def build_turns(assigned: DataFrame) -> DataFrame:
+    """One row per turn, with its interjections as an array of structs in order of start."""
+    return turn_metrics(_gathered(assigned))
+
+
+def refine_turns(assigned: DataFrame) -> DataFrame:
+    """Turns whose likely speaker errors have become words of the turn; ``assigned`` segments hold their ``words``.
 
     An error's only word goes between the turn's words by start time, behind equal ones; text, times and metrics are made
-    anew from the remaining interjections. Turns without errors keep theirs. ``words``: with ``ord`` and ``seg``.
+    anew from the remaining interjections. Turns without errors keep theirs. Words travel inside their segments, so turns are
+    gathered once and nothing is joined.
     """
-    role = assigned.where(F.col("is_primary") | F.col("error")).select("transcript_id", "seg", "turn", (~F.col("is_primary")).alias("late"))
-    parts = words.join(role, ["transcript_id", "seg"]).groupBy("transcript_id", "turn").agg(
-        joined(F.collect_list(F.struct("start_s", "late", "ord", "text"))).alias("all_text"),
-        F.min("start_s").alias("least_start"),
-        F.max("end_s").alias("greatest_end"),
-        F.count("*").alias("all_words"),
-        F.max("late").alias("has_error"),
+    own = F.col("is_primary") | F.col("error")
+    word = F.transform("words", lambda w: F.struct(w["start_s"].alias("start_s"), (~F.col("is_primary")).alias("late"), w["ord"].alias("ord"), w["text"].alias("text")))
+    rows = _gathered(
+        assigned,
+        joined(F.flatten(F.collect_list(F.when(own, word)))).alias("all_text"),
+        F.min(F.when(own, F.array_min(F.col("words.start_s")))).alias("least_start"),
+        F.max(F.when(own, F.array_max(F.col("words.end_s")))).alias("greatest_end"),
+        F.sum(F.when(own, F.col("n_words"))).alias("all_words"),
+        F.max(F.col("error") & ~F.col("is_primary")).alias("has_error"),
     )
-    kept = F.filter("interjections", lambda x: ~x["error"])
-    both = turns.join(parts, ["transcript_id", "turn"])
     pick = lambda new, old: F.when(F.col("has_error"), new).otherwise(F.col(old))
-    refined = both.select(
+    refined = rows.select(
         "transcript_id", "turn", "speaker",
         pick(F.least("start_s", "least_start"), "start_s").alias("start_s"),
         pick(F.greatest("end_s", "greatest_end"), "end_s").alias("end_s"),
         pick(F.col("all_text"), "text").alias("text"),
         pick(F.col("all_words"), "n_words").alias("n_words"),
-        kept.alias("interjections"),
+        F.filter("interjections", lambda x: ~x["error"]).alias("interjections"),
     )
     return turn_metrics(refined)
 

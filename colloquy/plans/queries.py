@@ -51,14 +51,8 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    words = segments.order_words(fixtures.words(spark, sf_dir)).withColumn("who", segments.speaker_or_unknown())
-    w = Window.partitionBy("transcript_id").orderBy("ord")
-    begins = F.when(F.lag("who").over(w).isNull() | (F.lag("who").over(w) != F.col("who")), 1).otherwise(0)
-    words = words.withColumn("b", begins).withColumn("seg", F.sum("b").over(w)).drop("b", "who")
-    assigned = _assigned(spark, sf_dir)
-    return turns.merge_errors(turns.build_turns(assigned), words, assigned)
+    held = segments.with_gaps(segments.speaker_segments(fixtures.words(spark, sf_dir), keep_words=True))
+    return turns.refine_turns(turns.assign_turns(classify.classify_segments(held)))
 
 
 def _flat(t: DataFrame) -> DataFrame:
