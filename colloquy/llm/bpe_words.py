@@ -5,7 +5,7 @@
    that a lost executor repeats no numbering and the positions, the bulk of the data, are never shuffled.
 2. The distinct pre-tokens are exploded to rows ``batch, code, word`` and brought together by one shuffle on the word.
    A word is encoded once, with the rank file's merges, and its ids go back to the rows that it stands for.
-3. The ids go to their batch and are laid out there by position. Decoding joins a batch's distinct words with the
+3. The ids go to their batch, as lists of numbers, counts and ids, and are laid out there by position. Decoding joins a batch's distinct words with the
    token-byte table by id (a take from the table, which is sent to all tasks: its size is the vocabulary's).
 
 A hot word is one row per batch at most. Where there are more than ``_WORD_ROWS`` batches its rows are dealt over groups of
@@ -43,7 +43,7 @@ def token_table(spark: SparkSession, rank_path: str) -> DataFrame:
     return lines.where(F.length("value") > 0).select(part[1].cast("int").alias("id"), F.unbase64(part[0]).alias("token"))
 
 
-_WORD_ROWS = 100_000
+_WORD_ROWS, _LIST_ROWS = 100_000, 500_000
 
 
 @lru_cache(2)
@@ -122,7 +122,7 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
 
 
 def encode_words(words: DataFrame, rank_path: str, batches: int) -> DataFrame:
-    """``batch, code, ids`` of rows ``batch, code, word``; ``batches``: how many there are."""
+    """``batch, codes, counts, ids`` of rows ``batch, code, word``: lists of some of a batch's words; ``batches``: how many there are."""
 
     @F.arrow_udf("array<int>")
     def encode(words: pa.Array) -> pa.Array:
@@ -131,25 +131,48 @@ def encode_words(words: DataFrame, rank_path: str, batches: int) -> DataFrame:
 
     group = F.pmod("batch", F.lit(-(-batches // _WORD_ROWS) or 1))
     met = words.groupBy("word", group.alias("group")).agg(F.collect_list(F.struct("batch", "code")).alias("places"))
-    return met.select("places", encode("word").alias("ids")).select("ids", F.explode("places").alias("p")).select("p.batch", "p.code", "ids")
+    rows = met.select("places", encode("word").alias("ids")).select("ids", F.explode("places").alias("p")).select("p.batch", "p.code", "ids")
+
+    def lists(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in arriving:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _LIST_ROWS:
+                yield _by_batch(held)
+                held = []
+        if held:
+            yield _by_batch(held)
+
+    return rows.mapInArrow(lists, "batch long, codes array<int>, counts array<int>, ids array<int>")
+
+
+def _by_batch(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row per batch of ``batch, code, ids``, words in order of their number."""
+    whole = pa.Table.from_batches(rows).combine_chunks()
+    order = np.lexsort((whole.column("code").to_numpy(), whole.column("batch").to_numpy()))
+    whole = whole.take(pa.array(order)).combine_chunks()
+    batch, ids = whole.column("batch").to_numpy(), whole.column("ids")
+    begin = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])) if len(batch) else np.zeros(0, np.int64)
+    counts = pc.list_value_length(ids).to_numpy().astype(np.int32)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    ends = np.append(begin, len(batch)).astype(np.int32)
+    flat = np.concatenate([c.flatten().to_numpy() for c in ids.chunks] or [np.zeros(0, np.int32)])
+    one = lambda offs, values: pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values))
+    cols = [pa.array(batch[begin]), one(ends, whole.column("code").to_numpy().astype(np.int32)), one(ends, counts), one(before[ends], flat)]
+    return pa.RecordBatch.from_arrays(cols, names=["batch", "codes", "counts", "ids"])
 
 
 def _words_of(rows: pa.Table, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Ids of a batch's words in one array, where each word's begin, its bytes by the token table, and the row of word number k."""
-    rows = rows.combine_chunks()
-    codes = rows.column("code").to_numpy()
+    codes, counts, flat = (np.concatenate([*(c.flatten().to_numpy() for c in rows.column(name).chunks), np.zeros(0, np.int32)]).astype(np.int32) for name in ("codes", "counts", "ids"))
     place = np.empty(len(codes), np.int64)
     place[codes] = np.arange(len(codes))
-    if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(1, np.int64), [], place
-    ids = rows.column("ids").chunk(0)
-    flat, begin = ids.flatten(), ids.offsets.to_numpy().astype(np.int64)
-    begin = begin - begin[0]
-    parts = pa.LargeListArray.from_arrays(pa.array(begin), tokens.take(flat))
-    return flat.to_numpy(), begin, pc.binary_join(parts, pa.scalar(b"", pa.large_binary())).to_pylist(), place
+    begin = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    parts = pa.LargeListArray.from_arrays(pa.array(begin), tokens.take(pa.array(flat)))
+    return flat, begin, pc.binary_join(parts, pa.scalar(b"", pa.large_binary())).to_pylist(), place
 
 
-def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 24 << 20) -> DataFrame:
+def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 28 << 20) -> DataFrame:
     """``doc_id, ids, decoded`` of every document.
 
     ``batch_rows``, ``batch_bytes``: bounds of a batch, which one task must hold; the result is the same for any.
@@ -157,7 +180,7 @@ def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=False)
 
 
-def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 24 << 20) -> DataFrame:
+def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 28 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``byte_bpe``, hashed where the ids are laid out."""
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=True)
 
