@@ -1,13 +1,17 @@
 """Benchmark decontamination by pigeonhole pieces and bit-parallel edit distance.
 
 A test item that occurs in a text with at most ``e`` edits has, cut into ``e + 1`` pieces, at least one piece
-that occurs there unchanged. All pieces go into one automaton that scans each text once; around each hit, the
-item is verified with Myers' bit-parallel distance (one big integer per column), so nothing within the
-budget is missed and nothing beyond it is reported. ``e`` is ``error_rate`` of the item's length.
+that occurs there unchanged. ``e`` is ``error_rate`` of the item's length.
+
+1. Items and their pieces are tables; a piece is known by a hash of its characters and its length. Of all pieces the tasks get a bit
+   map of ``2 ** bits`` bits and the few lengths there are, whatever the size of the benchmark.
+2. One map over the documents takes rolling hashes of all windows: of the first characters of pieces first, then, where those
+   are in the bit map, of whole pieces. What is left, few documents, is written out with the text around the hits.
+3. Hits join the pieces by hash and length, which gives an item and a place for it; then the item is verified with Myers'
+   bit-parallel distance (one big integer per column), so nothing within the budget is missed and nothing beyond it is
+   reported. What the bit map lets through wrongly finds no piece there, or fails the distance.
 
 Texts and items are compared in lower case with white space as one blank; places are in that form of the text.
-The items are the stated query set: they are taken in blocks of at most ``block_chars`` characters, each block is
-sent to the executors (that bounds the broadcast) and meets all rows in one map over the documents; no shuffle.
 
 Edge cases: null and empty texts match nothing, and so do null and empty items; an item so short that its budget is 0 is
 found where it stands unchanged between word borders. Repeated items or rows are reported each. An empty benchmark or
@@ -17,16 +21,17 @@ table gives no rows. Only ``doc_id, text`` and ``item_id, text`` are read, so ot
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.shared import texts
+from colloquy.llm import textkernel as tk
+from colloquy.llm.shared import materialise, texts
 
 SCHEMA = "doc_id long, item_id long, start_char long, end_char long, distance long"
+_KEY = 8  # characters of a piece that are looked up first
 
 
 def normal(text: str) -> str:
@@ -66,107 +71,195 @@ def _stands_alone(text: str, start: int, end: int) -> bool:
     return not inside(start) and not inside(end)
 
 
-class Items:
-    """A block of test items with the automaton over their pieces."""
-
-    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        self.items = []
-        pieces: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            budget = int(error_rate * len(text))
-            k = len(self.items)
-            self.items.append((item_id, text, budget))
-            for p in range(budget + 1):
-                a, b = p * len(text) // (budget + 1), (p + 1) * len(text) // (budget + 1)
-                pieces.setdefault(text[a:b], []).append((k, a))
-        self.auto = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            self.auto.add_word(piece, (len(piece), tuple(places)))
-        self.auto.make_automaton()
-
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``item_id, start, end, distance`` of each place where an item stands within its budget."""
-        begins: dict[int, set[int]] = {}
-        for end, (length, places) in self.auto.iter(text):
-            for k, offset in places:
-                begins.setdefault(k, set()).add(end - length + 1 - offset)
+def places(text: str, item: str, budget: int, begins: list[int]) -> list[tuple[int, int, int]]:
+    """``start, end, distance`` of each place where ``item`` stands within ``budget`` edits; it may begin about ``begins``."""
+    found = []
+    done = -1
+    for d in sorted(set(begins)):
+        if d < done:
+            continue
+        if not budget:
+            if d >= 0 and text.startswith(item, d) and _stands_alone(text, d, d + len(item)):
+                found.append((d, d + len(item), 0))
+                done = d + len(item)
+            continue
+        if d >= 0 and text.startswith(item, d):
+            found.append((d, d + len(item), 0))
+            done = d + len(item) - budget
+            continue
+        lo = max(0, d - budget)
+        distance, stop = myers(item, text[lo : d + len(item) + budget])
+        if distance <= budget:
+            end = lo + stop
+            back = text[max(0, end - len(item) - budget) : end]
+            found.append((end - myers(item[::-1], back[::-1])[1], end, distance))
+            done = end - budget
+    return found
+
+
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_POWER), -1, 1 << 64))
+
+
+class _Windows:
+    """Rolling hashes of all windows of a text's characters, of any length."""
+
+    def __init__(self, text: str) -> None:
+        chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+        n = len(chars)
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(n + 1, np.uint64)
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _POWER)]), dtype=np.uint64)[:n]
+            np.cumsum(tk.mix(chars + np.uint64(1)) * powers, out=self.sums[1:])
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _INVERSE)]), dtype=np.uint64)[:n]
+        self.n = n
+
+    def hashes(self, length: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the windows of ``length`` at the places ``at`` (all that fit, by default)."""
+        at = np.arange(max(self.n - length + 1, 0)) if at is None else at
+        with np.errstate(over="ignore"):
+            return tk.mix((self.sums[at + length] - self.sums[at]) * self.inverse[at] + np.uint64(length))
+
+
+def _items(benchmark: DataFrame, error_rate: float) -> DataFrame:
+    """``item, item_id, text, budget`` of the items in normal form; ``item`` numbers the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [normal(t or "") for t in batch.column("text").to_pylist()]
+            budget = pa.array([int(error_rate * len(t)) for t in text], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array(text, pa.string()), budget], names=["item", "item_id", "text", "budget"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    numbered = materialise(rows.withColumn("item", F.monotonically_increasing_id()), "test-items")
+    return materialise(numbered.select("item", "item_id", "text").mapInArrow(run, "item long, item_id long, text string, budget int").where("text <> ''"), "normal-items")
+
+
+def _pieces(items: DataFrame) -> DataFrame:
+    """``hash, length, key, item, at``: each item's pieces, with the hash of their first characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for item, text, budget in zip(*(batch.column(c).to_pylist() for c in ("item", "text", "budget")), strict=True):
+                windows = _Windows(text)
+                cuts = [p * windows.n // (budget + 1) for p in range(budget + 2)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    at = np.array([a])
+                    values = windows.hashes(b - a, at).view(np.int64)[0], b - a, windows.hashes(min(_KEY, b - a), at).view(np.int64)[0], item, a
+                    for col, value in zip(cols, values, strict=True):
+                        col.append(int(value))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["hash", "length", "key", "item", "at"])
+
+    return materialise(items.select("item", "text", "budget").mapInArrow(run, "hash long, length int, key long, item long, at int"), "pieces")
+
+
+class _Filter:
+    """Which hashes may be those of pieces: a bit map for first characters and whole pieces, and the lengths there are."""
+
+    def __init__(self, pieces: DataFrame, bits: int) -> None:
+        self.bits = bits
+        self.map = np.zeros(1 << max(bits - 6, 0), np.uint64)
+        place = lambda c: F.shiftrightunsigned(c, 64 - bits)
+        both = pieces.select(F.explode(F.array("hash", "key")).alias("h")).select(place("h").alias("p"))
+        words = both.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(pmod(p, 64) AS INT)))").alias("mask"))
+        for r in words.toLocalIterator():  # bounded by the size of the map
+            self.map[r["word"]] = np.int64(r["mask"]).view(np.uint64)
+        self.lengths = sorted(r["length"] for r in pieces.select("length").distinct().collect())  # bounded by 2 / error_rate or so
+
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        p = hashes >> np.uint64(64 - self.bits)
+        return (self.map[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def hits(self, text: str) -> list[tuple[int, int, int]]:
+        """``hash, length, place`` of the windows of ``text`` that may be pieces."""
+        windows = _Windows(text)
         found = []
-        for k, diagonals in begins.items():
-            item_id, item, budget = self.items[k]
-            done = -1
-            for d in sorted(diagonals):
-                if d < done:
-                    continue
-                if not budget:
-                    if _stands_alone(text, d, d + len(item)):
-                        found.append((item_id, d, d + len(item), 0))
-                        done = d + len(item)
-                    continue
-                if d >= 0 and text.startswith(item, d):
-                    found.append((item_id, d, d + len(item), 0))
-                    done = d + len(item) - budget
-                    continue
-                lo = max(0, d - budget)
-                distance, stop = myers(item, text[lo : d + len(item) + budget])
-                if distance <= budget:
-                    end = lo + stop
-                    back = text[max(0, end - len(item) - budget) : end]
-                    found.append((item_id, end - myers(item[::-1], back[::-1])[1], end, distance))
-                    done = end - budget
+        known: dict[int, np.ndarray] = {}
+        for length in self.lengths:
+            first = min(_KEY, length)
+            if first not in known:
+                known[first] = np.flatnonzero(self.may(windows.hashes(first)))
+            at = known[first]
+            at = at[at + length <= windows.n]
+            whole = windows.hashes(length, at)
+            ok = self.may(whole)
+            found += zip(whole[ok].view(np.int64).tolist(), [length] * int(ok.sum()), at[ok].tolist(), strict=True)
         return found
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of items in normal form, of at most ``block_chars`` characters (or one item) each."""
-    block: list[tuple[int, str]] = []
-    size = 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).toLocalIterator():
-        text = normal(text)
-        if not text:
-            continue
-        if block and size + len(text) > block_chars:
-            yield sorted(block, key=lambda x: (x[0] is None, x))
-            block, size = [], 0
-        block.append((item_id, text))
-        size += len(text)
-    if block:
-        yield sorted(block, key=lambda x: (x[0] is None, x))
+_HITS = "array<struct<hash:bigint,length:int,place:int>>"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 4 << 20) -> DataFrame:
-    """One row per place of a test item in a document: ``doc_id, item_id, start_char, end_char, distance``."""
-    send = docs.sparkSession.sparkContext.broadcast
-    scans = [_scan(docs, send((error_rate, block))) for block in _blocks(benchmark, block_chars)]
-    return reduce(DataFrame.unionByName, scans) if scans else docs.sparkSession.createDataFrame([], SCHEMA)
-
+def _windows_with_hits(docs: DataFrame, sent, reach: int) -> DataFrame:
+    """``doc_id, key, start, text, hits``: stretches of texts about hits, ``reach`` characters to both sides, joined where they touch."""
 
-def _scan(docs: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
         for batch in batches:
-            items = items or Items(sent.value[1], sent.value[0])
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows += [(doc_id, *x) for x in items.find(normal(text.as_py()))]
+            for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                text = normal(text.as_py())
+                spans: list[list] = []
+                for h in sorted(sent.value.hits(text), key=lambda h: h[2]):
+                    lo, hi = max(0, h[2] - reach), h[2] + h[1] + reach
+                    if spans and lo <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], hi)
+                        spans[-1][2].append(h)
+                    else:
+                        spans.append([lo, hi, [h]])
+                rows += [(doc_id, key, lo, text[lo:hi], [{"hash": a, "length": n, "place": p - lo} for a, n, p in hits]) for lo, hi, hits in spans]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start_char", "end_char", "distance"])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()), ("place", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "key", "start", "text", "hits"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id long, key string, start long, text string, hits {_HITS}")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 4 << 20) -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item, with all their columns."""
+def _text_key(text):
+    """Equal for equal texts: what holds an item is a matter of the text alone."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, error_rate: float, bits: int) -> DataFrame | None:
+    """``doc_id, key`` and the places of items; None without items."""
+    items = _items(benchmark, error_rate)
+    longest = items.select(F.max(F.length("text") + F.col("budget"))).first()[0]
+    if longest is None:
+        return None
+    pieces = _pieces(items)
+    sent = docs.sparkSession.sparkContext.broadcast(_Filter(pieces, bits))
+    given = texts(docs).withColumn("key", _text_key(F.col("text")))
+    windows = _windows_with_hits(given, sent, longest + 1).withColumn("window", F.monotonically_increasing_id())
+    windows = materialise(windows, "hit-windows")
+    hits = windows.select("window", F.explode("hits").alias("h")).select("window", "h.*")
+    begins = hits.join(pieces.select("hash", "length", "item", "at"), ["hash", "length"]).select("window", "item", (F.col("place") - F.col("at")).alias("begin"))
+    asked = materialise(begins.groupBy("window", "item").agg(F.collect_set("begin").alias("begins")), "asked-items")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rows += [(r["doc_id"], r["key"], r["item_id"], r["start"] + a, r["start"] + b, n) for a, b, n in places(r["text"], r["item_text"], r["budget"], r["begins"])]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.string()] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "key", "item_id", "start_char", "end_char", "distance"])
+
+    known = items.select("item", "item_id", F.col("text").alias("item_text"), "budget")
+    rows = asked.join(known, "item").join(windows.drop("hits"), "window")
+    return rows.select("doc_id", "key", "item_id", "item_text", "budget", "begins", "start", "text").mapInArrow(verify, "doc_id long, key string, item_id long, start_char long, end_char long, distance long")
 
-    def without(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = None
-            for batch in batches:
-                items = items or Items(sent.value[1], sent.value[0])
-                text = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not items.find(normal(t.as_py() or "")) for t in text], pa.bool_()))
 
-        return run
+def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, bits: int = 26) -> DataFrame:
+    """One row per place of a test item in a document: ``doc_id, item_id, start_char, end_char, distance``."""
+    found = _found(docs, benchmark, error_rate, bits)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found.drop("key")
 
-    for block in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast((error_rate, block))), docs.schema)
-    return docs
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, bits: int = 26) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, with all their columns."""
+    found = _found(docs, benchmark, error_rate, bits)
+    if found is None:
+        return docs
+    keys = materialise(found.select(F.col("key").alias("_holds_item")).distinct(), "contaminated")  # written, so that its size decides the join
+    return docs.join(keys, _text_key(docs["text"]) == keys["_holds_item"], "left_anti")

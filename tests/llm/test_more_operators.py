@@ -193,8 +193,8 @@ def test_items_within_the_budget_are_found(spark, odd_docs):
     items[52] = "x1 y2 z3"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items.items() if i != 52] + [(50, None, 1), (51, "short", 1), (52, "x1 y2 z3", 1)], "item_id long, text string, doc_id int")
-    for size in (4 << 20, 300):
-        found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_items(docs, bench, block_chars=size).collect()}
+    for bits in (26, 8):  # a bit map that lets most windows through gives the same rows
+        found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_items(docs, bench, bits=bits).collect()}
         for d, text in rows:
             for k, item in items.items():
                 least = edits(decontaminate.normal(item), decontaminate.normal(text))
@@ -206,6 +206,20 @@ def test_items_within_the_budget_are_found(spark, odd_docs):
     assert decontaminate.find_items(docs, bench.limit(0)).count() == 0 and decontaminate.find_items(docs.limit(0), bench).count() == 0
 
 
+def test_hits_are_all_windows_that_are_pieces(spark):
+    rng = random.Random(15)
+    bench = spark.createDataFrame([(i, " ".join(prose(rng, n))) for i, n in enumerate((1, 2, 12, 40, 300))], "item_id long, text string")
+    items = decontaminate._items(bench, 0.05)
+    pieces = decontaminate._pieces(items)
+    known = {r["item"]: r for r in items.collect()}
+    at = {(known[r["item"]]["text"][r["at"] : r["at"] + r["length"]]) for r in pieces.collect()}
+    assert all("".join(known[k]["text"][r["at"] : r["at"] + r["length"]] for r in sorted(pieces.where(f"item = {k}").collect(), key=lambda r: r["at"])) == known[k]["text"] for k in known)
+    text = " ".join(prose(rng, 50)) + " ß北 ".join(known[k]["text"] for k in sorted(known)) + " ".join(prose(rng, 5))
+    wanted = {(len(p), i) for p in at for i in range(len(text)) if text.startswith(p, i)}
+    found = {(n, i) for _, n, i in decontaminate._Filter(pieces, 26).hits(text)}
+    assert wanted <= found and len(found - wanted) <= 2
+
+
 # quality classifier
 
 def test_em_recovers_accuracies():
