@@ -75,6 +75,13 @@ def repair_order(words: DataFrame, least: float = 0.02, shift: float = 0.01) ->
     return kept.groupBy("transcript_id").applyInPandas(fold, kept.schema)
 
 
+def repair_report(words: DataFrame, repaired: DataFrame) -> DataFrame:
+    """Words whose times a repair has changed, with the old times, the new ones, and by how much the start moved."""
+    after = repaired.select("transcript_id", "word_idx", F.col("start_s").alias("new_start_s"), F.col("end_s").alias("new_end_s"))
+    both = words.select("transcript_id", "word_idx", "text", "start_s", "end_s").join(after, ["transcript_id", "word_idx"])
+    return both.where("start_s <> new_start_s OR end_s <> new_end_s").withColumn("moved_s", F.round(F.col("new_start_s") - F.col("start_s"), 6))
+
+
 def fill_unknown(pairs: DataFrame) -> DataFrame:
     """``aligned`` words with ``<unk>`` filled from ``original`` ones by two pointers in order; both are arrays of a row."""
 

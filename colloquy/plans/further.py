@@ -9,7 +9,7 @@ from colloquy.config import REDACTED
 from colloquy.functions import text as tx
 from colloquy.operators import align, chunks, passes, prepare, redact, segments, vad
 from colloquy.plans import fixtures
-from colloquy.plans.queries import _NAMED, _PACKED, _REDACTED_WORDS, _VAD, _WORDS, _chunked, _redacted, query
+from colloquy.plans.queries import _NAMED, _PACKED, _REDACTED_WORDS, _REPAIRED, _VAD, _WORDS, _chunked, _redacted, query
 
 # --- preparation ----------------------------------------------------------------------------------
 
@@ -220,3 +220,13 @@ def stitched_by_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.struct("i", F.struct("text", "start_s", "end_s").alias("w"))
     parts = placed.groupBy("transcript_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]).alias("words"))
     return align.stitch_chunks(parts).select("transcript_id", F.size("words").alias("n_words"), "skipped")
+
+
+@query(
+    _REPAIRED
+    + """ SELECT transcript_id, word_idx, w.text, w.start_s, w.end_s, rp.start_s AS new_start_s, rp.end_s AS new_end_s, round(rp.start_s - w.start_s, 6) AS moved_s
+FROM rp JOIN wm w USING (transcript_id, word_idx) WHERE w.start_s <> rp.start_s OR w.end_s <> rp.end_s"""
+)
+def repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fixtures.words(spark, sf_dir)
+    return align.repair_report(words, align.repair_order(words))

@@ -826,14 +826,17 @@ def stitch_pair_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IN_ORDER = f"WITH RECURSIVE {fixtures.oracle('words')}, wm AS MATERIALIZED (SELECT * FROM words)"
 
 
-@query(
+_REPAIRED = (
     _IN_ORDER
     + """, r AS (SELECT transcript_id, word_idx, text, start_s AS s, greatest(end_s, start_s + 0.02::DOUBLE) AS e, NULL::DOUBLE AS cut FROM wm WHERE word_idx = 0
   UNION ALL SELECT transcript_id, word_idx, text, coalesce(cut, start_s), greatest(end_s, coalesce(cut, start_s) + 0.02::DOUBLE), cut FROM (
     SELECT w.*, CASE WHEN w.start_s < r.e THEN CASE WHEN (w.start_s + r.e) / 2 >= r.s THEN (w.start_s + r.e) / 2 ELSE r.s + 0.01::DOUBLE END END AS cut
-    FROM r JOIN wm w ON w.transcript_id = r.transcript_id AND w.word_idx = r.word_idx + 1) n)
-SELECT transcript_id, word_idx, text, s AS start_s, coalesce(lead(cut) OVER (PARTITION BY transcript_id ORDER BY word_idx), e) AS end_s FROM r"""
+    FROM r JOIN wm w ON w.transcript_id = r.transcript_id AND w.word_idx = r.word_idx + 1) n),
+rp AS (SELECT transcript_id, word_idx, text, s AS start_s, coalesce(lead(cut) OVER (PARTITION BY transcript_id ORDER BY word_idx), e) AS end_s FROM r)"""
 )
+
+
+@query(_REPAIRED + " SELECT * FROM rp")
 def monotonic_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.repair_order(fixtures.words(spark, sf_dir))
 
