@@ -21,6 +21,7 @@ table gives no rows. Only ``doc_id, text`` and ``item_id, text`` are read, so ot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,20 +100,31 @@ def places(text: str, item: str, budget: int, begins: list[int]) -> list[tuple[i
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_POWER), -1, 1 << 64))
+_SEGMENT = 1 << 21  # characters that are hashed at once
+_BREAK = "\U0010ffff"  # between texts; no window with it is a piece
+
+
+@lru_cache(4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
 
 
 class _Windows:
-    """Rolling hashes of all windows of a text's characters, of any length."""
+    """Rolling hashes of all windows of a run of characters, of any length."""
 
-    def __init__(self, text: str) -> None:
-        chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-        n = len(chars)
+    def __init__(self, chars: np.ndarray) -> None:
+        self.n = n = len(chars)
+        size = 1 << max(n, 2).bit_length()  # few different tables
         with np.errstate(over="ignore"):
+            self.inverse = _powers(int(_INVERSE), size)
             self.sums = np.zeros(n + 1, np.uint64)
-            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _POWER)]), dtype=np.uint64)[:n]
-            np.cumsum(tk.mix(chars + np.uint64(1)) * powers, out=self.sums[1:])
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _INVERSE)]), dtype=np.uint64)[:n]
-        self.n = n
+            np.cumsum(tk.mix(chars.astype(np.uint64) + np.uint64(1)) * _powers(int(_POWER), size)[:n], out=self.sums[1:])
 
     def hashes(self, length: int, at: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the windows of ``length`` at the places ``at`` (all that fit, by default)."""
@@ -142,7 +154,7 @@ def _pieces(items: DataFrame) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for item, text, budget in zip(*(batch.column(c).to_pylist() for c in ("item", "text", "budget")), strict=True):
-                windows = _Windows(text)
+                windows = _Windows(_chars(text))
                 cuts = [p * windows.n // (budget + 1) for p in range(budget + 2)]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     at = np.array([a])
@@ -172,20 +184,30 @@ class _Filter:
         p = hashes >> np.uint64(64 - self.bits)
         return (self.map[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def hits(self, text: str) -> list[tuple[int, int, int]]:
-        """``hash, length, place`` of the windows of ``text`` that may be pieces."""
-        windows = _Windows(text)
-        found = []
-        known: dict[int, np.ndarray] = {}
-        for length in self.lengths:
-            first = min(_KEY, length)
-            if first not in known:
-                known[first] = np.flatnonzero(self.may(windows.hashes(first)))
-            at = known[first]
-            at = at[at + length <= windows.n]
-            whole = windows.hashes(length, at)
-            ok = self.may(whole)
-            found += zip(whole[ok].view(np.int64).tolist(), [length] * int(ok.sum()), at[ok].tolist(), strict=True)
+    def hits(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """For each text, ``hash, length, place`` of the windows that may be pieces; texts are hashed many at once, long ones in parts."""
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if not self.lengths:
+            return found
+        chars = _chars(_BREAK.join(texts))
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        ends = starts + np.array([len(t) for t in texts], np.int64)
+        for lo in range(0, len(chars), _SEGMENT):
+            windows = _Windows(chars[lo : lo + _SEGMENT + self.lengths[-1] - 1])
+            known: dict[int, np.ndarray] = {}
+            for length in self.lengths:
+                first = min(_KEY, length)
+                if first not in known:
+                    known[first] = np.flatnonzero(self.may(windows.hashes(first)))
+                at = known[first]
+                at = at[(at + length <= windows.n) & (at < _SEGMENT)]
+                whole = windows.hashes(length, at)
+                ok = self.may(whole)
+                place = at[ok] + lo
+                row = np.searchsorted(starts, place, "right") - 1
+                inside = place + length <= ends[row]
+                for r, h, p in zip(row[inside].tolist(), whole[ok][inside].view(np.int64).tolist(), (place - starts[row])[inside].tolist(), strict=True):
+                    found[r].append((h, length, p))
         return found
 
 
@@ -197,21 +219,23 @@ def _windows_with_hits(docs: DataFrame, sent, reach: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                text = normal(text.as_py())
-                spans: list[list] = []
-                for h in sorted(sent.value.hits(text), key=lambda h: h[2]):
-                    lo, hi = max(0, h[2] - reach), h[2] + h[1] + reach
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi)
-                        spans[-1][2].append(h)
-                    else:
-                        spans.append([lo, hi, [h]])
-                rows += [(doc_id, key, lo, text[lo:hi], [{"hash": a, "length": n, "place": p - lo} for a, n, p in hits]) for lo, hi, hits in spans]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()), ("place", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "key", "start", "text", "hits"])
+            for a, b, _, _ in tk.blocks(batch.column("text")):
+                part = batch.slice(a, b - a)
+                plain = [normal(t.as_py()) for t in part.column("text")]
+                rows = []
+                for doc_id, key, text, hits in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), plain, sent.value.hits(plain), strict=True):
+                    spans: list[list] = []
+                    for h in sorted(hits, key=lambda h: h[2]):
+                        lo, hi = max(0, h[2] - reach), h[2] + h[1] + reach
+                        if spans and lo <= spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], hi)
+                            spans[-1][2].append(h)
+                        else:
+                            spans.append([lo, hi, [h]])
+                    rows += [(doc_id, key, lo, text[lo:hi], [{"hash": h, "length": n, "place": p - lo} for h, n, p in own]) for lo, hi, own in spans]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()), ("place", pa.int32())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "key", "start", "text", "hits"])
 
     return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id long, key string, start long, text string, hits {_HITS}")
 

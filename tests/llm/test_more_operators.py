@@ -206,7 +206,7 @@ def test_items_within_the_budget_are_found(spark, odd_docs):
     assert decontaminate.find_items(docs, bench.limit(0)).count() == 0 and decontaminate.find_items(docs.limit(0), bench).count() == 0
 
 
-def test_hits_are_all_windows_that_are_pieces(spark):
+def test_hits_are_all_windows_that_are_pieces(spark, monkeypatch):
     rng = random.Random(15)
     bench = spark.createDataFrame([(i, " ".join(prose(rng, n))) for i, n in enumerate((1, 2, 12, 40, 300))], "item_id long, text string")
     items = decontaminate._items(bench, 0.05)
@@ -215,9 +215,12 @@ def test_hits_are_all_windows_that_are_pieces(spark):
     at = {(known[r["item"]]["text"][r["at"] : r["at"] + r["length"]]) for r in pieces.collect()}
     assert all("".join(known[k]["text"][r["at"] : r["at"] + r["length"]] for r in sorted(pieces.where(f"item = {k}").collect(), key=lambda r: r["at"])) == known[k]["text"] for k in known)
     text = " ".join(prose(rng, 50)) + " ß北 ".join(known[k]["text"] for k in sorted(known)) + " ".join(prose(rng, 5))
-    wanted = {(len(p), i) for p in at for i in range(len(text)) if text.startswith(p, i)}
-    found = {(n, i) for _, n, i in decontaminate._Filter(pieces, 26).hits(text)}
-    assert wanted <= found and len(found - wanted) <= 2
+    texts = [text, "", text[5:], "x"]
+    wanted = {(k, len(p), i) for k, t in enumerate(texts) for p in at for i in range(len(t)) if t.startswith(p, i)}
+    for segment in (1 << 21, 64):
+        monkeypatch.setattr(decontaminate, "_SEGMENT", segment)
+        found = {(k, n, i) for k, own in enumerate(decontaminate._Filter(pieces, 26).hits(texts)) for _, n, i in own}
+        assert wanted <= found and len(found - wanted) <= 4
 
 
 # quality classifier
