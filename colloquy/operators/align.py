@@ -218,6 +218,22 @@ def stitch_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("transcript_id").applyInPandas(fold, f"transcript_id int, words {kind}, skipped long")
 
 
+def stitch_steps(chunks: DataFrame) -> DataFrame:
+    """``transcript_id, step, chunk, n_left, n_right, skipped, rule`` of each step of ``stitch_chunks``, for audits."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        words: list = []
+        rows = []
+        for step, (chunk, part) in enumerate(zip(*(pdf.sort_values("chunk")[c] for c in ("chunk", "words")), strict=True)):
+            n, rule = overlap_length(words, list(part))
+            if step:
+                rows.append((pdf["transcript_id"].iloc[0], step, chunk, len(words), len(part), n, rule))
+            words += list(part)[n:]
+        return pd.DataFrame(rows, columns=["transcript_id", "step", "chunk", "n_left", "n_right", "skipped", "rule"])
+
+    return chunks.groupBy("transcript_id").applyInPandas(fold, "transcript_id int, step int, chunk int, n_left long, n_right long, skipped long, rule string")
+
+
 def tail_window(text: Column, words: int = 100) -> tuple[Column, Column]:
     """An array of words as what goes before and the last ``words`` of it, which alone are sent on to a stitcher."""
     n = F.size(text)

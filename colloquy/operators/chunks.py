@@ -27,6 +27,14 @@ def chunk_words(words: DataFrame, size: int = 400, overlap: int = 70, min_final:
     return own.withColumn("i", i - F.col("chunk") * step).drop("n", "last")
 
 
+def chunk_texts(texts: DataFrame, size: int = 400, overlap: int = 70, min_final: int = 200) -> DataFrame:
+    """``transcript_id, chunk, n_words, text`` of whole texts: the grid of ``word_grid`` over their words, white space as one blank."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    sized = texts.select("transcript_id", words.alias("w")).withColumn("n", F.size("w").cast("long"))
+    piece = F.slice("w", (F.col("from_word") + 1).cast("int"), (F.col("to_word") - F.col("from_word")).cast("int"))
+    return word_grid(sized, size, overlap, min_final).select("transcript_id", "chunk", F.size(piece).cast("long").alias("n_words"), F.array_join(piece, " ").alias("text"))
+
+
 def second_grid(audio: DataFrame, length: float = 60.0, overlap: float = 4.0, least: float = 7.0) -> DataFrame:
     """Chunks of each row's ``seconds``: ``chunk, from_s, to_s``; a last chunk under ``least`` joins the one before."""
     step = length - overlap

@@ -106,6 +106,15 @@ def refine_turns(assigned: DataFrame) -> DataFrame:
     return turn_metrics(refined)
 
 
+def build_audit(assigned: DataFrame) -> DataFrame:
+    """What each step of turn building made, per transcript: segments, interjections by kind, likely errors, primaries and turns."""
+    short = F.col("is_interjection")
+    return assigned.groupBy("transcript_id").agg(
+        F.count("*").alias("segments"), F.count_if(short).alias("interjections"), F.count_if(short & (F.col("itype") == "unclear")).alias("unclear"),
+        F.count_if(F.col("error")).alias("likely_errors"), F.count_if(F.col("is_primary")).alias("primary_segments"), F.max("turn").alias("turns"),
+    )
+
+
 def merge_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """Turns and interjections that merging took away, per transcript."""
     count = lambda df, tag: df.groupBy("transcript_id").agg(F.count("*").alias(f"turns_{tag}"), F.sum("n_interjections").alias(f"interjections_{tag}"))

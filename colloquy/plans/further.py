@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy.config import REDACTED
 from colloquy.functions import text as tx
-from colloquy.operators import align, chunks, passes, prepare, redact, segments, vad
+from colloquy.operators import align, chunks, passes, prepare, redact, segments, turns, vad
 from colloquy.plans import fixtures
-from colloquy.plans.queries import _NAMED, _PACKED, _REDACTED_WORDS, _REPAIRED, _VAD, _WORDS, _chunked, _redacted, query
+from colloquy.plans.queries import _ASSIGNED, _NAMED, _PACKED, _REDACTED_WORDS, _REPAIRED, _VAD, _WORDS, _assigned, _chunked, _redacted, query
 
 # --- preparation ----------------------------------------------------------------------------------
 
@@ -230,3 +230,24 @@ FROM rp JOIN wm w USING (transcript_id, word_idx) WHERE w.start_s <> rp.start_s
 def repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = fixtures.words(spark, sf_dir)
     return align.repair_report(words, align.repair_order(words))
+
+
+@query(_ASSIGNED + " SELECT transcript_id, count(*) AS segments, count(*) FILTER (is_interjection) AS interjections, count(*) FILTER (itype = 'unclear') AS unclear, count(*) FILTER (error) AS likely_errors, count(*) FILTER (is_primary) AS primary_segments, max(turn) AS turns FROM t GROUP BY 1")
+def turn_build_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.build_audit(_assigned(spark, sf_dir))
+
+
+@query(
+    f"WITH {fixtures.oracle('spoken')}"
+    + """, n AS (SELECT transcript_id, count(*) AS n FROM spoken GROUP BY 1), k AS (SELECT *, CASE WHEN n <= 400 THEN 0 ELSE greatest(0, CAST(floor((n - 600) / 330) AS INT) + 1) END AS last FROM n),
+g AS (SELECT *, unnest(range(last + 1)) AS c FROM k)
+SELECT g.transcript_id, CAST(c AS INT) AS chunk, count(*) AS n_words, string_agg(text, ' ' ORDER BY word_idx) AS text FROM g JOIN spoken s ON s.transcript_id = g.transcript_id AND word_idx >= c * 330 AND word_idx < CASE WHEN c < last THEN c * 330 + 400 ELSE n END GROUP BY 1, 2"""
+)
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = segments.joined(F.collect_list(F.struct("word_idx", "text"))).alias("text")
+    return chunks.chunk_texts(fixtures.spoken_words(spark, sf_dir).groupBy("transcript_id").agg(text))
+
+
+@query()
+def stitch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.stitch_steps(_chunked(spark, sf_dir))

@@ -115,6 +115,15 @@ def test_stitched_chunks_say_each_word_once(spark):
     assert stitch_chunks(spark.createDataFrame(rows, "transcript_id int, chunk int, words array<string>")).first()["words"] == said
 
 
+def test_stitch_steps_add_up(spark):
+    whole = {r["transcript_id"]: r for r in entry.queries()["stitch_chunks"](spark, SMALL).collect()}
+    skipped = defaultdict(int)
+    for r in entry.queries()["stitch_steps"](spark, SMALL).collect():
+        assert (r["skipped"] > 0) == (r["rule"] != "none") and r["skipped"] <= r["n_right"]
+        skipped[r["transcript_id"]] += r["skipped"]
+    assert all(r["skipped"] == skipped[t] for t, r in whole.items())
+
+
 def test_unknown_words_are_filled_in_order(spark):
     from colloquy.operators.align import fill_unknown
 
