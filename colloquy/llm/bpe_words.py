@@ -3,7 +3,7 @@
 1. Each batch of texts is cut into pre-tokens and numbered: a batch becomes one row with its distinct pre-tokens and,
    for each text, the positions as numbers of those. Batches are written to the shared folder in buckets by batch, so
    that a lost executor repeats no numbering and the positions, the bulk of the data, are never shuffled.
-2. The distinct pre-tokens are exploded to rows ``batch, code, word`` and brought together by one shuffle on the word.
+2. The distinct pre-tokens are exploded to rows of a word and its place (batch and number) and brought together by one shuffle on the word.
    A word is encoded once, with the rank file's merges, and its ids go back to the rows that it stands for.
 3. The ids go to their batch, as lists of numbers, counts and ids, and are laid out there by position. Decoding joins a batch's distinct words with the
    token-byte table by id (a take from the table, which is sent to all tasks: its size is the vocabulary's).
@@ -44,6 +44,7 @@ def token_table(spark: SparkSession, rank_path: str) -> DataFrame:
 
 
 _WORD_ROWS, _LIST_ROWS = 100_000, 500_000
+_CODE_BITS, _TASK_BITS = 28, 14  # of a word's number in its batch, and of a batch's in its task
 
 
 @lru_cache(2)
@@ -97,14 +98,18 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
 
         rows: list[pa.RecordBatch] = []
         size = 0
-        number = itertools.count(TaskContext.get().partitionId() << 32)
+        first = TaskContext.get().partitionId() << _TASK_BITS
+        number = itertools.count(first)
 
         def flush() -> pa.RecordBatch:
             whole = pa.Table.from_batches(rows).combine_chunks()
             text = whole.column("text").chunk(0)
             data, offs = next((d, o) for _, _, d, o in tk.blocks(text, 1 << 62))
             words, codes, counts = _number(data, offs, pattern)
-            cols = [[next(number)], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes)], [words]]
+            batch = next(number)
+            if batch - first >> _TASK_BITS or len(words) >> _CODE_BITS:
+                raise ValueError("a task has too many batches, or a batch too many distinct words: give smaller partitions or batches")
+            cols = [[batch], [whole.column("doc_id").to_pylist()], [counts.tolist()], [_pack(codes)], [words]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["batch", "doc_ids", "counts", "codes", "words"])
 
@@ -122,16 +127,20 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
 
 
 def encode_words(words: DataFrame, rank_path: str, batches: int) -> DataFrame:
-    """``batch, codes, counts, ids`` of rows ``batch, code, word``: lists of some of a batch's words; ``batches``: how many there are."""
+    """``batch, steps, counts, ids`` of rows ``word, place``: lists of some of a batch's words (``steps`` between their numbers).
+
+    A place is the batch and, in its low ``_CODE_BITS`` bits, the word's number there. ``batches``: how many there are.
+    """
 
     @F.arrow_udf("array<int>")
     def encode(words: pa.Array) -> pa.Array:
         ids = _encoding(rank_path).encode_ordinary_batch([w.decode() for w in words.to_pylist()], num_threads=1)
         return pa.array(ids, pa.list_(pa.int32()))
 
-    group = F.pmod("batch", F.lit(-(-batches // _WORD_ROWS) or 1))
-    met = words.groupBy("word", group.alias("group")).agg(F.collect_list(F.struct("batch", "code")).alias("places"))
-    rows = met.select("places", encode("word").alias("ids")).select("ids", F.explode("places").alias("p")).select("p.batch", "p.code", "ids")
+    keyed = words.withColumn("group", F.pmod(F.shiftright("place", _CODE_BITS), F.lit(-(-batches // _WORD_ROWS) or 1)))
+    # dealt before they are gathered: the places of a word in one batch are one, so there is nothing to combine first
+    met = keyed.repartition("word", "group").groupBy("word", "group").agg(F.collect_list("place").alias("places"))
+    rows = met.select("places", encode("word").alias("ids")).select("ids", F.explode("places").alias("place"))
 
     def lists(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -143,28 +152,32 @@ def encode_words(words: DataFrame, rank_path: str, batches: int) -> DataFrame:
         if held:
             yield _by_batch(held)
 
-    return rows.mapInArrow(lists, "batch long, codes array<int>, counts array<int>, ids array<int>")
+    return rows.mapInArrow(lists, "batch long, steps array<int>, counts array<int>, ids array<int>")
 
 
 def _by_batch(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """One row per batch of ``batch, code, ids``, words in order of their number."""
+    """One row per batch of rows ``ids, place``, words in order of their number."""
     whole = pa.Table.from_batches(rows).combine_chunks()
-    order = np.lexsort((whole.column("code").to_numpy(), whole.column("batch").to_numpy()))
-    whole = whole.take(pa.array(order)).combine_chunks()
-    batch, ids = whole.column("batch").to_numpy(), whole.column("ids")
+    whole = whole.take(pa.array(np.argsort(whole.column("place").to_numpy(), kind="stable"))).combine_chunks()
+    place, ids = whole.column("place").to_numpy(), whole.column("ids")
+    batch, code = place >> _CODE_BITS, (place & ((1 << _CODE_BITS) - 1)).astype(np.int32)
     begin = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])) if len(batch) else np.zeros(0, np.int64)
+    steps = np.diff(code, prepend=np.int32(0))
+    steps[begin] = code[begin]
     counts = pc.list_value_length(ids).to_numpy().astype(np.int32)
     before = np.concatenate([[0], np.cumsum(counts)])
     ends = np.append(begin, len(batch)).astype(np.int32)
     flat = np.concatenate([c.flatten().to_numpy() for c in ids.chunks] or [np.zeros(0, np.int32)])
     one = lambda offs, values: pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values))
-    cols = [pa.array(batch[begin]), one(ends, whole.column("code").to_numpy().astype(np.int32)), one(ends, counts), one(before[ends], flat)]
-    return pa.RecordBatch.from_arrays(cols, names=["batch", "codes", "counts", "ids"])
+    cols = [pa.array(batch[begin]), one(ends, steps), one(ends, counts), one(before[ends], flat)]
+    return pa.RecordBatch.from_arrays(cols, names=["batch", "steps", "counts", "ids"])
 
 
 def _words_of(rows: pa.Table, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Ids of a batch's words in one array, where each word's begin, its bytes by the token table, and the row of word number k."""
-    codes, counts, flat = (np.concatenate([*(c.flatten().to_numpy() for c in rows.column(name).chunks), np.zeros(0, np.int32)]).astype(np.int32) for name in ("codes", "counts", "ids"))
+    none = [np.zeros(0, np.int32)]
+    codes = np.concatenate([np.cumsum(x.values.to_numpy()) for x in rows.column("steps")] + none).astype(np.int64)
+    counts, flat = (np.concatenate([*(c.flatten().to_numpy() for c in rows.column(name).chunks), *none]).astype(np.int32) for name in ("counts", "ids"))
     place = np.empty(len(codes), np.int64)
     place[codes] = np.arange(len(codes))
     begin = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -172,7 +185,7 @@ def _words_of(rows: pa.Table, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return flat, begin, pc.binary_join(parts, pa.scalar(b"", pa.large_binary())).to_pylist(), place
 
 
-def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 28 << 20) -> DataFrame:
+def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 20 << 20) -> DataFrame:
     """``doc_id, ids, decoded`` of every document.
 
     ``batch_rows``, ``batch_bytes``: bounds of a batch, which one task must hold; the result is the same for any.
@@ -180,7 +193,7 @@ def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=False)
 
 
-def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 28 << 20) -> DataFrame:
+def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 20 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``byte_bpe``, hashed where the ids are laid out."""
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=True)
 
@@ -188,7 +201,7 @@ def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: i
 def _laid_out(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int, batch_bytes: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     batches = bucketed(number_batches(docs, pattern, batch_rows, batch_bytes), "bpe-batches", "batch")
-    words = batches.select("batch", F.posexplode("words").alias("code", "word"))
+    words = batches.select("batch", F.posexplode("words").alias("code", "word")).select("word", F.shiftleft("batch", _CODE_BITS).bitwiseOR(F.col("code").cast("long")).alias("place"))
     back = encode_words(words, rank_path, batches.count())
     table = {r["id"]: bytes(r["token"]) for r in token_table(spark, rank_path).toLocalIterator()}
     sent = spark.sparkContext.broadcast(pa.array([table.get(i) for i in range(max(table, default=-1) + 1)], pa.large_binary()))
