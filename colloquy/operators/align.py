@@ -30,7 +30,8 @@ def proportional_alignment(words: DataFrame, least_ms: float = 100.0) -> DataFra
     share = F.greatest(F.lit(least_ms), F.length("text") / F.sum(F.length("text")).over(own) * F.col("total_ms"))
     end = F.sum("ms").over(own.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0))
     rows = words.withColumn("ms", share).withColumn("end_ms", end)
-    return rows.select("transcript_id", "word_idx", "text", F.round((F.col("end_ms") - F.col("ms")) / 1000, 2).alias("start_s"), F.round(F.col("end_ms") / 1000, 2).alias("end_s"))
+    seconds = lambda ms: F.round(ms / 1000 + 1e-9, 2)  # noqa: E731  halves go up, whatever the order of the sums
+    return rows.select("transcript_id", "word_idx", "text", seconds(F.col("end_ms") - F.col("ms")).alias("start_s"), seconds(F.col("end_ms")).alias("end_s"))
 
 
 def interpolate(gaps: DataFrame, least: float = 0.02) -> DataFrame:

@@ -755,7 +755,7 @@ def even_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {fixtures.oracle('spoken')}"
     + """, m AS (SELECT *, greatest(100.0::DOUBLE, length(text) / sum(length(text)) OVER (PARTITION BY transcript_id) * 60000.0::DOUBLE) AS ms FROM spoken),
 e AS (SELECT *, sum(ms) OVER (PARTITION BY transcript_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS e FROM m)
-SELECT transcript_id, word_idx, text, round((e - ms) / 1000, 2) AS start_s, round(e / 1000, 2) AS end_s FROM e"""
+SELECT transcript_id, word_idx, text, round((e - ms) / 1000 + 1e-9, 2) AS start_s, round(e / 1000 + 1e-9, 2) AS end_s FROM e"""
 )
 def proportional_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.proportional_alignment(fixtures.spoken_words(spark, sf_dir).withColumn("total_ms", F.lit(60000.0)))

@@ -116,9 +116,9 @@ def test_stitched_chunks_say_each_word_once(spark):
 
 
 def test_stitch_steps_add_up(spark):
-    whole = {r["transcript_id"]: r for r in entry.queries()["stitch_chunks"](spark, SMALL).collect()}
+    whole = {r["transcript_id"]: r for r in entry.queries()["stitch_chunks"](spark, "/root/testdata/sf0.01").collect()}
     skipped = defaultdict(int)
-    for r in entry.queries()["stitch_steps"](spark, SMALL).collect():
+    for r in entry.queries()["stitch_steps"](spark, "/root/testdata/sf0.01").collect():
         assert (r["skipped"] > 0) == (r["rule"] != "none") and r["skipped"] <= r["n_right"]
         skipped[r["transcript_id"]] += r["skipped"]
     assert all(r["skipped"] == skipped[t] for t, r in whole.items())
