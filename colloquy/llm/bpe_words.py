@@ -79,12 +79,14 @@ def _number(data: np.ndarray, offs: np.ndarray, pattern: str) -> tuple[list[byte
     """Distinct pre-tokens of a block, the commonest first, the pre-tokens of all texts as numbers, and their counts."""
     where, first = pieces(data, offs)
     codes, chunks = distinct(data, where[:-1], where[1:])
+    del where
     find, number, lists = _pattern(pattern).findall, {}, []
     for chunk in chunks:
         lists.append([number.setdefault(t, len(number)) for t in find(chunk.decode())])
     flat, at = Ragged(lists).lay_out(codes)
+    del codes, lists, chunks
     rank = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
-    place = np.empty(len(rank), np.int64)
+    place = np.empty(len(rank), np.int32)
     place[rank] = np.arange(len(rank))
     names = list(number)
     return [names[i].encode() for i in rank], place[flat], np.diff(at[first])
@@ -132,52 +134,68 @@ def encode_words(words: DataFrame, rank_path: str, batches: int) -> DataFrame:
     A place is the batch and, in its low ``_CODE_BITS`` bits, the word's number there. ``batches``: how many there are.
     """
 
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
-        ids = _encoding(rank_path).encode_ordinary_batch([w.decode() for w in words.to_pylist()], num_threads=1)
-        return pa.array(ids, pa.list_(pa.int32()))
-
     keyed = words.withColumn("group", F.pmod(F.shiftright("place", _CODE_BITS), F.lit(-(-batches // _WORD_ROWS) or 1)))
     # dealt before they are gathered: the places of a word in one batch are one, so there is nothing to combine first
     met = keyed.repartition("word", "group").groupBy("word", "group").agg(F.collect_list("place").alias("places"))
-    rows = met.select("places", encode("word").alias("ids")).select("ids", F.explode("places").alias("place"))
 
-    def lists(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(rank_path).encode_ordinary_batch
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in arriving:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= _LIST_ROWS:
+            ids = encode([w.decode() for w in batch.column("word").to_pylist()], num_threads=1)
+            counts = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32)
+            places = batch.column("places")
+            row = np.repeat(np.arange(len(ids)), pc.list_value_length(places).to_numpy())
+            begin = np.cumsum(counts, dtype=np.int64) - counts
+            held.append((places.flatten().to_numpy(), counts[row], flat[tk.expand(begin[row], counts[row].astype(np.int64))]))
+            if sum(len(h[0]) for h in held) >= _LIST_ROWS:
                 yield _by_batch(held)
                 held = []
         if held:
             yield _by_batch(held)
 
-    return rows.mapInArrow(lists, "batch long, steps array<int>, counts array<int>, ids array<int>")
+    return met.select("word", "places").mapInArrow(run, "batch long, steps array<int>, counts array<int>, ids array<smallint>")
+
 
+def _by_batch(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row per batch of places with their counts and ids, words in order of their number.
 
-def _by_batch(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """One row per batch of rows ``ids, place``, words in order of their number."""
-    whole = pa.Table.from_batches(rows).combine_chunks()
-    whole = whole.take(pa.array(np.argsort(whole.column("place").to_numpy(), kind="stable"))).combine_chunks()
-    place, ids = whole.column("place").to_numpy(), whole.column("ids")
+    Ids go as pairs of 16 bits where a vocabulary needs more, so they are lists of small numbers in any case.
+    """
+    place, counts, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(place, kind="stable")
+    begin = np.cumsum(counts, dtype=np.int64) - counts
+    place, counts, flat = place[order], counts[order], flat[tk.expand(begin[order], counts[order].astype(np.int64))]
     batch, code = place >> _CODE_BITS, (place & ((1 << _CODE_BITS) - 1)).astype(np.int32)
-    begin = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])) if len(batch) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])) if len(batch) else np.zeros(0, np.int64)
     steps = np.diff(code, prepend=np.int32(0))
-    steps[begin] = code[begin]
-    counts = pc.list_value_length(ids).to_numpy().astype(np.int32)
-    before = np.concatenate([[0], np.cumsum(counts)])
-    ends = np.append(begin, len(batch)).astype(np.int32)
-    flat = np.concatenate([c.flatten().to_numpy() for c in ids.chunks] or [np.zeros(0, np.int32)])
-    one = lambda offs, values: pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values))
-    cols = [pa.array(batch[begin]), one(ends, steps), one(ends, counts), one(before[ends], flat)]
+    steps[first] = code[first]
+    ends = np.append(first, len(batch))
+    before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends]
+    halves = np.ascontiguousarray(flat, "<i4").view("<i2").reshape(-1, 2)
+    wide = np.maximum.reduceat((flat >> 16) != 0, before[:-1]) if len(first) and len(flat) else np.zeros(len(first), bool)
+    low = [halves[x:y].reshape(-1) if w else halves[x:y, 0] for x, y, w in zip(before[:-1].tolist(), before[1:].tolist(), wide.tolist(), strict=True)]
+    sizes = np.cumsum([0, *map(len, low)])
+    one = lambda offs, values: pa.ListArray.from_arrays(pa.array(np.asarray(offs).astype(np.int32)), pa.array(values))
+    cols = [pa.array(batch[first]), one(ends, steps), one(ends, counts), one(sizes, np.concatenate([*low, np.zeros(0, np.int16)]))]
     return pa.RecordBatch.from_arrays(cols, names=["batch", "steps", "counts", "ids"])
 
 
+def _ids_of(small: np.ndarray, n: int) -> np.ndarray:
+    """The ids of one list of small numbers: one each, or two where there are twice as many as ids."""
+    if len(small) == 2 * n:
+        return np.ascontiguousarray(small).view("<i4")
+    return small.view("<u2").astype(np.int32)
+
+
 def _words_of(rows: pa.Table, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Ids of a batch's words in one array, where each word's begin, its bytes by the token table, and the row of word number k."""
     none = [np.zeros(0, np.int32)]
     codes = np.concatenate([np.cumsum(x.values.to_numpy()) for x in rows.column("steps")] + none).astype(np.int64)
-    counts, flat = (np.concatenate([*(c.flatten().to_numpy() for c in rows.column(name).chunks), *none]).astype(np.int32) for name in ("counts", "ids"))
+    per = [x.values.to_numpy() for x in rows.column("counts")]
+    counts = np.concatenate([*per, *none]).astype(np.int32)
+    flat = np.concatenate([_ids_of(x.values.to_numpy(), int(c.sum())) for x, c in zip(rows.column("ids"), per, strict=True)] + none)
     place = np.empty(len(codes), np.int64)
     place[codes] = np.arange(len(codes))
     begin = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -185,7 +203,7 @@ def _words_of(rows: pa.Table, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return flat, begin, pc.binary_join(parts, pa.scalar(b"", pa.large_binary())).to_pylist(), place
 
 
-def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 20 << 20) -> DataFrame:
+def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 28 << 20) -> DataFrame:
     """``doc_id, ids, decoded`` of every document.
 
     ``batch_rows``, ``batch_bytes``: bounds of a batch, which one task must hold; the result is the same for any.
@@ -193,7 +211,7 @@ def byte_bpe(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=False)
 
 
-def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 20 << 20) -> DataFrame:
+def byte_bpe_digest(docs: DataFrame, rank_path: str, pattern: str, batch_rows: int = 50_000, batch_bytes: int = 28 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``byte_bpe``, hashed where the ids are laid out."""
     return _laid_out(docs, rank_path, pattern, batch_rows, batch_bytes, digest=True)
 

@@ -7,6 +7,8 @@ patterns and tokenizers only see the distinct pieces of a block.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 
@@ -87,10 +89,12 @@ class Ragged:
     def __init__(self, lists: list) -> None:
         self.length = np.fromiter(map(len, lists), np.int64, len(lists))
         self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
-        self.flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
+        self.flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32)
 
     def lay_out(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of ``keys`` one after the other, and where each one begins (with the end)."""
         length = self.length[keys]
         where = np.concatenate([[0], np.cumsum(length)])
-        return self.flat[np.arange(where[-1]) + np.repeat(self.start[keys] - where[:-1], length)], where
+        at = np.repeat(self.start[keys] - where[:-1], length)
+        at += np.arange(where[-1])
+        return self.flat[at], where
