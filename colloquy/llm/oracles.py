@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from colloquy.llm.chat_format import ChatTemplate
+from colloquy.llm.merkle_manifest import FAN_OUT
 from colloquy.llm.minhash_dedup import NearDedup
 from colloquy.llm.quality_rules import RepetitionRules
 
@@ -95,4 +97,45 @@ def quality_rules(rules: RepetitionRules = RepetitionRules()) -> str:
         SELECT *, NOT base_failed AND NOT repetition_failed AS kept FROM v"""
 
 
-ORACLE_SQL = {"op4_minhash_dedup": near_duplicates(), "op5_chat_format": chat_format(), "op8_quality_rules": quality_rules()}
+def merkle_manifest(fan_out: int = FAN_OUT) -> str:
+    """Levels by a recursive query, siblings by windows over runs, the fold of tampered leaves by another one."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    lower = f"CASE WHEN tampered THEN translate(text, '{ascii_uppercase}', '{ascii_lowercase}') ELSE text END"
+    table = [reduce(lambda r, _: r >> 1 ^ 0xEDB88320 * (r & 1), range(8), byte) for byte in range(256)]  # of crc32, a byte a step
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, strlen(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT))), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])))"
+    levels = lambda name, start: f"""{name} AS (
+          SELECT grp, 0 AS level, pos, n, digest FROM {start}
+          UNION ALL
+          SELECT grp, level + 1, pos // {fan_out}, (n + {fan_out - 1}) // {fan_out}, sha256(string_agg(digest, '' ORDER BY pos))
+          FROM {name} WHERE n > 1 GROUP BY grp, level, pos // {fan_out}, n)"""
+    steps = lambda name, of: f"""{name} AS (
+          SELECT grp, level, pos, coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+            coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+          FROM {of} WHERE n > 1 WINDOW r AS (PARTITION BY grp, level, pos // {fan_out} ORDER BY pos))"""
+    return f"""
+        WITH RECURSIVE i AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, coalesce('=' || source, '') AS grp FROM documents),
+        t AS (SELECT *, coalesce({crc} % 5 = 0, false) AS tampered FROM i),
+        d AS (SELECT doc_id, grp, {leaf("text")} AS digest, {leaf(lower)} AS found FROM t),
+        a AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM d),
+        {levels("x", "a")},
+        s AS (SELECT '' AS grp, grp AS of, digest, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM x WHERE n = 1),
+        {levels("y", "s")},
+        {steps("xs", "x")},
+        {steps("ys", "y")},
+        p AS (
+          SELECT a.grp, a.pos, level, before, after FROM a JOIN xs ON xs.grp = a.grp AND xs.pos = a.pos // CAST(power({fan_out}, level) AS BIGINT)
+          UNION ALL
+          SELECT a.grp, a.pos, 1000 + level, before, after FROM a JOIN s ON s.of = a.grp JOIN ys ON ys.pos = s.pos // CAST(power({fan_out}, level) AS BIGINT)),
+        l AS (SELECT grp, pos, list(before ORDER BY level) AS b, list(after ORDER BY level) AS e FROM p GROUP BY ALL),
+        f AS (
+          SELECT grp, pos, 0 AS k, found FROM a
+          UNION ALL SELECT f.grp, f.pos, k + 1, sha256(b[k + 1] || found || e[k + 1]) FROM f JOIN l USING (grp, pos) WHERE k < len(b)),
+        g AS (SELECT grp, pos, arg_max(found, k) AS folded_root FROM f GROUP BY ALL)
+        SELECT a.doc_id, a.digest AS leaf, s.digest AS subroot, y.digest AS root,
+          sha256(coalesce(array_to_string(list_transform(range(1, len(b) + 1), lambda k: b[k] || e[k]), ''), '')) AS proof_sha256,
+          folded_root, folded_root = y.digest AS verified
+        FROM a JOIN s ON s.of = a.grp JOIN y ON y.n = 1 JOIN g ON g.grp = a.grp AND g.pos = a.pos LEFT JOIN l ON l.grp = a.grp AND l.pos = a.pos"""
+
+
+ORACLE_SQL = {"op4_minhash_dedup": near_duplicates(), "op5_chat_format": chat_format(), "op8_quality_rules": quality_rules(), "op11_merkle_manifest": merkle_manifest()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, minhash_dedup, oracles, quality_classifier, quality_rules, substring_dedup, token_orc
+from colloquy.llm import bpe_words, chat_format, decontaminate, html_extract, license_scan, merkle_manifest, minhash_dedup, oracles, quality_classifier, quality_rules, substring_dedup, token_orc
 from colloquy.llm.shared import new_path, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -70,6 +72,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase)
+    leaves = merkle_manifest.document_leaves(table(spark, sf_dir, "documents"), {"text": F.when(tampered, lower).otherwise(F.col("text"))})
+    out = merkle_manifest.merkle_manifest(leaves)
+    out = out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest().alias("proof_sha256"), merkle_manifest.folded("found").alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate, op11_merkle_manifest)}
 
 ORACLE_SQL = oracles.ORACLE_SQL
