@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.work import materialise, new_path, shared_dir
 
-__all__ = ["bucketed", "materialise", "new_path", "shared_dir", "table", "texts"]
+__all__ = ["bucketed", "join_counted", "materialise", "new_path", "shared_dir", "table", "texts"]
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -28,6 +28,17 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, hot: int = 500) -> DataFrame:
+    """``rows`` joined with ``per_key``: one row for each value of the non-null ``keys``, ``count`` of them in ``rows``.
+
+    Keys that hold at least one row in ``hot`` are ``hot`` at most, whatever the tables' size: those are broadcast and their rows
+    stay where they are. All others meet in a shuffle, where no key is large. ``rows`` is read twice, so hand in a written table.
+    """
+    often = F.col(count) * hot >= (per_key.agg(F.sum(count)).first()[0] or 0)
+    few = F.broadcast(per_key.where(often))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(per_key.where(~often), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
