@@ -8,6 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from colloquy.llm.chat_format import ChatTemplate
 from colloquy.llm.merkle_manifest import FAN_OUT
 from colloquy.llm.minhash_dedup import NearDedup
+from colloquy.llm.product_codes import ProductCodes
 from colloquy.llm.quality_rules import RepetitionRules
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -138,4 +139,33 @@ def merkle_manifest(fan_out: int = FAN_OUT) -> str:
         FROM a JOIN s ON s.of = a.grp JOIN y ON y.n = 1 JOIN g ON g.grp = a.grp AND g.pos = a.pos LEFT JOIN l ON l.grp = a.grp AND l.pos = a.pos"""
 
 
-ORACLE_SQL = {"op4_minhash_dedup": near_duplicates(), "op5_chat_format": chat_format(), "op8_quality_rules": quality_rules(), "op11_merkle_manifest": merkle_manifest()}
+def product_codes(how: ProductCodes = ProductCodes()) -> str:
+    """Every part against every entry of its codebook, round by round; all in integers."""
+    far = "list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    nearest = lambda k: f"""a{k} AS MATERIALIZED (
+          SELECT r, vec_id, label, part, x, struct_extract(m, 'e') AS e, struct_extract(m, 'far') AS far FROM (
+            SELECT v.r, v.vec_id, v.label, v.part, v.x, min(struct_pack(far := CAST({far} AS BIGINT), e := c.e)) AS m
+            FROM v JOIN c{k} c ON c.part = v.part GROUP BY ALL))"""
+    moved = lambda k: f"""s{k} AS (
+          SELECT part, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x FROM (
+            SELECT part, e, i, sum(y) AS total, count(*) AS n FROM (SELECT part, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+        c{k + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(s.x, c.x) AS x FROM c{k} c LEFT JOIN s{k} s ON s.part = c.part AND s.e = c.e)"""
+    steps = ",\n        ".join(f"{nearest(k)},\n        {moved(k)}" for k in range(how.rounds))
+    return f"""
+        WITH k AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, * FROM (
+            SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor({how.scale} * y::DOUBLE) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)),
+        v AS MATERIALIZED (
+          SELECT r, vec_id, label, p AS part, list_slice(x, p * (len(x) // {how.parts}) + 1, (p + 1) * (len(x) // {how.parts})) AS x
+          FROM k, (SELECT unnest(range({how.parts})) AS p)),
+        c0 AS (SELECT part, r - 1 AS e, x FROM v WHERE r <= {how.entries}),
+        {steps},
+        {nearest(how.rounds)},
+        f AS (SELECT r, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{how.rounds} GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+          (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM c{how.rounds}) AS codebooks_sha256
+        FROM f"""
+
+
+ORACLE_SQL = {"op4_minhash_dedup": near_duplicates(), "op5_chat_format": chat_format(), "op8_quality_rules": quality_rules(), "op11_merkle_manifest": merkle_manifest(), "op13_product_codes": product_codes()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe_words, chat_format, decontaminate, entropy_mix, html_extract, license_scan, merkle_manifest, minhash_dedup, oracles, quality_classifier, quality_rules, substring_dedup, token_orc
+from colloquy.llm import bpe_words, chat_format, decontaminate, entropy_mix, html_extract, license_scan, merkle_manifest, minhash_dedup, oracles, product_codes, quality_classifier, quality_rules, substring_dedup, token_orc
 from colloquy.llm.shared import new_path, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -85,6 +85,12 @@ def op12_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.entropy_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate, op11_merkle_manifest, op12_entropy_mix)}
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = product_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    out = product_codes.with_label_error(codes).select(F.col("id").alias("vec_id"), "code", "error", "label_error")
+    return out.withColumn("codebooks_sha256", F.lit(product_codes.codebook_digest(books)))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_token_orc, op4_minhash_dedup, op5_chat_format, op6_html_extract, op7_byte_bpe, op8_quality_rules, op9_license_scan, op10_decontaminate, op11_merkle_manifest, op12_entropy_mix, op13_product_codes)}
 
 ORACLE_SQL = oracles.ORACLE_SQL
