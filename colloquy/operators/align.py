@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.word_alignment import align_words
+
 
 def even_alignment(texts: DataFrame, seconds_per_word: float = 0.5) -> DataFrame:
     """Words of ``text`` spread evenly over ``start_s`` and ``duration_s`` (or ``seconds_per_word`` each)."""
@@ -252,62 +254,32 @@ def stitch_methods(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("overlap", find("left", "right")).select("*", "overlap.n", "overlap.rule").drop("overlap")
 
 
-@lru_cache(1 << 18)
-def word_similarity(a: str, b: str) -> float:
-    x, y = ("".join(c for c in w.lower() if c.isalnum()) for w in (a, b))
-    if x == y:
-        return 1.0
-    short, long = sorted((len(x), len(y)))
-    if x.startswith(y) or y.startswith(x):
-        return 0.7 + 0.2 * short / long
-    if long - short > long // 2:
-        return 0.0
-    row = list(range(len(y) + 1))
-    for i, c in enumerate(x, 1):
-        last, row = row, [i]
-        for j, d in enumerate(y, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
-    ratio = 1 - row[-1] / long
-    return ratio if ratio >= 0.6 else 0.0
-
-
-def align_words(source: Sequence[str], target: Sequence[str], gap: float = -0.5) -> list[tuple[int, int]]:
-    """Best global alignment by word similarity: pairs of places, -1 for a gap; a match goes before gaps on ties."""
-    n, m = len(source), len(target)
-    score = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        score[i][0] = i * gap
-    for j in range(1, m + 1):
-        score[0][j] = j * gap
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i][j] = max(score[i - 1][j - 1] + word_similarity(source[i - 1], target[j - 1]), score[i - 1][j] + gap, score[i][j - 1] + gap)
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and score[i][j] == score[i - 1][j - 1] + word_similarity(source[i - 1], target[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and score[i][j] == score[i - 1][j] + gap:
-            i -= 1
-            out.append((i, -1))
-        else:
-            j -= 1
-            out.append((-1, j))
-    return out[::-1]
+_PLACES = "array<struct<source_idx:int,target_idx:int>>"
 
 
-def dp_alignment(pairs: DataFrame) -> DataFrame:
-    """``matched, source_gaps, target_gaps`` of the alignment of each row's ``source`` and ``target`` words."""
+def _aligned() -> Column:
+    @F.pandas_udf(_PLACES)
+    def align(source: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([align_words(list(a), list(b)) for a, b in zip(source, target, strict=True)])
 
-    @F.pandas_udf("struct<matched:int,source_gaps:int,target_gaps:int>")
-    def count(source: pd.Series, target: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(source, target, strict=True):
-            pairs = align_words(list(a), list(b))
-            rows.append((sum(i >= 0 and j >= 0 for i, j in pairs), sum(j < 0 for _, j in pairs), sum(i < 0 for i, _ in pairs)))
-        return pd.DataFrame(rows, columns=["matched", "source_gaps", "target_gaps"])
+    return align("source", "target")
 
-    return pairs.withColumn("a", count("source", "target")).select("*", "a.*").drop("a")
+
+def aligned_pairs(rows: DataFrame) -> DataFrame:
+    """``pos, source_idx, target_idx`` of the best alignment of each row's ``source`` and ``target`` words; -1 stands for a gap."""
+    kept = [c for c in rows.columns if c not in ("source", "target")]
+    return rows.select(*kept, F.posexplode(_aligned()).alias("pos", "p")).select(*kept, "pos", "p.*")
+
+
+def dp_alignment(pairs: DataFrame) -> DataFrame:
+    """``matched, source_gaps, target_gaps`` of the alignment of each row's ``source`` and ``target`` words."""
+    rows = pairs.withColumn("a", _aligned())
+    count = lambda rule: F.size(F.filter("a", rule))
+    return rows.withColumns({
+        "matched": count(lambda p: (p["source_idx"] >= 0) & (p["target_idx"] >= 0)),
+        "source_gaps": count(lambda p: p["target_idx"] < 0),
+        "target_gaps": count(lambda p: p["source_idx"] < 0),
+    }).drop("a")
 
 
 def with_original_text(texts: DataFrame) -> DataFrame:
@@ -353,44 +325,6 @@ def original_with_times(original: list[str], aligned: list[dict], start: float,
     return out + (_spread(open_words, last, end) if open_words else [])
 
 
-def frame_spans(frames: DataFrame, blank: int = 0, frame_ms: float = 20.0) -> DataFrame:
-    """``transcript_id, token_idx, token, start_ms, end_ms`` of frame labels: each token's first run, tokens in their order.
-
-    Rows: ``transcript_id, labels`` (array of ids, one per frame) and ``tokens`` (array of ids expected). Labels of other tokens
-    than the one expected close a token or are passed over.
-    """
-
-    @F.pandas_udf("array<struct<token:int,start_ms:double,end_ms:double>>")
-    def spans(labels: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series([token_spans(list(a), list(b), blank, frame_ms) for a, b in zip(labels, tokens, strict=True)])
-
-    rows = frames.select("transcript_id", F.posexplode(spans("labels", "tokens")).alias("token_idx", "s"))
-    return rows.select("transcript_id", "token_idx", "s.*")
-
-
-def token_spans(labels: list[int], tokens: list[int], blank: int, frame_ms: float) -> list[dict]:
-    out: list[dict] = []
-    begin = -1
-    for at, label in enumerate([*labels, None]):
-        if begin >= 0 and label != tokens[len(out)]:
-            out.append({"token": tokens[len(out)], "start_ms": begin * frame_ms, "end_ms": at * frame_ms})
-            begin = -1
-        if begin < 0 and label is not None and label != blank and len(out) < len(tokens) and label == tokens[len(out)]:
-            begin = at
-    return out
-
-
-def peak_windows(scores: Sequence[Sequence[float]], tokens: Sequence[int], reach: int = 5, frame_ms: float = 20.0) -> list[dict]:
-    """Tokens at even places, each moved to the frame within ``reach`` where its own score is greatest."""
-    out, n = [], len(scores)
-    for k, token in enumerate(tokens):
-        middle = k * n // max(len(tokens), 1)
-        near = range(max(0, middle - reach), min(n, middle + reach + 1))
-        best = max(near, key=lambda t: scores[t][token], default=middle)
-        out.append({"token": token, "start_ms": best * frame_ms, "end_ms": (best + 1) * frame_ms})
-    return out
-
-
 def word_spans(texts: DataFrame, ahead: int = 10) -> DataFrame:
     """``transcript_id, word_idx, text, start_s, end_s`` of the words of ``text`` from ``spans`` of characters.
 

@@ -202,18 +202,6 @@ def mono_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("transcript_id", "word_idx", F.col("mono")[0].alias("first_sample"), F.col("mono")[1].alias("second_sample"))
 
 
-@query()
-def original_text_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks whose aligned words miss some originals and hold some twice."""
-    placed = chunks.chunk_words(fixtures.words(spark, sf_dir), 60, 10, 20)
-    heard = placed.where("i % 9 <> 4").withColumn("again", F.explode(F.sequence(F.lit(0), F.when(F.col("i") % 13 == 6, 1).otherwise(0))))
-    item = F.struct("i", "again", F.struct(F.upper("text").alias("text"), "start_s", "end_s").alias("w"))
-    aligned = heard.groupBy("transcript_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["w"]).alias("aligned"))
-    text = placed.groupBy("transcript_id", "chunk").agg(segments.joined(F.collect_list(F.struct("i", "text"))).alias("original"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
-    rows = text.join(aligned, ["transcript_id", "chunk"]).withColumn("transcript_id", F.col("transcript_id") * 1000 + F.col("chunk"))
-    return align.with_original_text(rows).select("transcript_id", "word_idx", "text", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
-
-
 @query()
 def stitched_by_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = chunks.chunk_words(fixtures.spoken_words(spark, sf_dir), 60, 10, 20).withColumn("transcript_id", F.col("transcript_id").cast("int"))

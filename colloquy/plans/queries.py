@@ -890,16 +890,10 @@ def unk_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("transcript_id", "chunk", F.array_join("filled", " ").alias("text"))
 
 
-@query()
-def dp_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunked(spark, sf_dir).select("transcript_id", "chunk", F.col("words").alias("source"), F.filter("words", lambda w, i: i % 9 != 4).alias("target"))
-    return align.dp_alignment(rows).select("transcript_id", "chunk", "matched", "source_gaps", "target_gaps")
-
-
 @query()
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).select("transcript_id", "chunk", F.split("original", " ").alias("original"), F.split("processed", " ").alias("processed"))
     return align.word_diff(rows).select("transcript_id", "chunk", F.explode("diff").alias("d")).select("transcript_id", "chunk", "d.*")
 
 
-from colloquy.plans import further  # noqa: E402, F401  registers its queries
+from colloquy.plans import further, timed  # noqa: E402, F401  register their queries

@@ -28,6 +28,20 @@ def read_checkpoints(spark: SparkSession, path: str, strict: bool = True) -> Dat
     return rows.select("transcript_id", F.col("word_idx").cast("long").alias("word_idx"), F.col("w.text").alias("text"), F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"), F.col("w.speaker").alias("speaker"), "mode")
 
 
+def scan_checkpoints(docs: DataFrame) -> DataFrame:
+    """Every word of ``path, value`` (one JSON document a row): ``path, pos, text, start_s, end_s, speaker, problem``.
+
+    ``problem`` is null for a whole word, else ``text``, ``start`` or ``end``: the first field that is missing. A document that is no
+    JSON (``json``) or has no words (``words``) is one row without a word.
+    """
+    parsed = docs.select("path", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}).alias("d"), F.expr("try_parse_json(value) IS NULL").alias("broken"))
+    rows = parsed.select("path", "broken", F.posexplode_outer("d.words").alias("pos", "w"))
+    problem = F.when(F.col("broken"), "json").when(F.col("w").isNull(), "words")
+    for field in ("text", "start", "end"):
+        problem = problem.when(F.col(f"w.{field}").isNull(), field)
+    return rows.select("path", F.col("pos").cast("long").alias("pos"), F.col("w.text").alias("text"), F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"), F.col("w.speaker").alias("speaker"), problem.alias("problem"))
+
+
 def checkpoint_json(words: DataFrame, mode: str | None = None) -> DataFrame:
     """``transcript_id, json``: checkpoints that ``read_checkpoints`` takes."""
     word = F.struct("word_idx", F.struct(F.col("text"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), F.col("speaker")).alias("w"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Labels that stand for silence.
@@ -30,6 +30,77 @@ def read_textgrids(spark: SparkSession, path: str, **options) -> DataFrame:
     return parse_textgrids(files, **options)
 
 
+#: Why lines of a file are passed over; the first that holds is given.
+PROBLEMS = ("cut_off", "xmin", "xmax", "text", "number")
+
+
+def scan_textgrids(files: DataFrame, offset_s: float = 0.0, digits: int | None = None, whole_text: bool = True, seen: Observation | None = None) -> DataFrame:
+    """Every interval of the ``words`` tier of ``path, value`` by its lines: ``path, pos, text, start_s, end_s, problem, lines``.
+
+    An interval takes the three lines behind its head, whatever they hold, and the next head is looked for behind them. ``problem``
+    is null, or why the lines are passed over: a line without ``=``, times that are no numbers, or a tier that ends within the
+    interval; ``lines`` then has them. ``text`` is what stands behind the first ``=``, up to the next one unless ``whole_text``;
+    times are rounded to ``digits``. The tier ends where that of the phones begins. ``seen`` counts the kept
+    and the passed over by reason while the rows are read, without a further pass.
+    """
+    tier = F.regexp_extract("value", r'(?s)name = "words"(.*?)(?:[^\n]*name = "phones"|\z)', 1)
+    head = r"(?m)^[ \t]*intervals \[[^\n]*(?:\n([^\n]*))?(?:\n([^\n]*))?(?:\n([^\n]*))?"
+    part = lambda i: F.regexp_extract_all(F.col("tier"), F.lit(head), F.lit(i))
+    found = F.arrays_zip(*(part(i).alias(n) for i, n in enumerate(("lines", "xmin", "xmax", "said"))))
+    rows = files.withColumn("tier", F.regexp_replace(tier, r"\n\z", "")).select("path", F.posexplode(found).alias("pos", "w")).select("path", F.col("pos").cast("long").alias("pos"), "w.*")
+    behind = lambda c: F.btrim(F.get(F.split(c, "="), F.lit(1)), F.lit(" \t\r"))
+    seconds = lambda c: F.expr(f"try_cast({c} AS double)")
+    text = F.regexp_replace("said", "^[^=]*=", "")
+    rows = rows.withColumns({"from": behind("xmin"), "to": behind("xmax"), "text": F.btrim(F.btrim(text if whole_text else F.get(F.split("said", "="), F.lit(1)), F.lit(" \t\r")), F.lit('"'))})
+    rows = rows.withColumns({"start_s": seconds("`from`"), "end_s": seconds("`to`")})
+    problem = F.when(F.length(F.regexp_replace("lines", "[^\n]", "")) < 3, "cut_off")
+    for line in ("xmin", "xmax", "said"):
+        problem = problem.when(~F.contains(F.col(line), F.lit("=")), "text" if line == "said" else line)
+    rows = rows.withColumn("problem", problem.when(F.col("start_s").isNull() | F.col("end_s").isNull(), "number"))
+    shown = lambda c: F.floor(c * 10**digits + 0.5) / 10**digits if digits is not None else c
+    out = rows.select(
+        "path", "pos",
+        *(F.when(F.col("problem").isNull(), c).alias(n) for n, c in (("text", F.col("text")), ("start_s", shown(F.col("start_s")) + offset_s), ("end_s", shown(F.col("end_s")) + offset_s))),
+        "problem", F.when(F.col("problem").isNotNull(), F.col("lines")).alias("lines"),
+    )
+    if seen is None:
+        return out
+    return out.observe(seen, F.count(F.when(F.col("problem").isNull(), 1)).alias("kept"), *(F.count(F.when(F.col("problem") == p, 1)).alias(p) for p in PROBLEMS))
+
+
+def scanned_words(scanned: DataFrame) -> DataFrame:
+    """``path, word_idx, text, start_s, end_s`` of the intervals that were kept, without silences."""
+    kept = scanned.where(F.col("problem").isNull() & ~F.col("text").isin(*SILENCE))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1
+    return kept.select("path", place.cast("long").alias("word_idx"), "text", "start_s", "end_s")
+
+
+def scan_report(scanned: DataFrame, problems: tuple[str, ...] = PROBLEMS) -> DataFrame:
+    """Per file: rows kept, and rows passed over by reason."""
+    return scanned.groupBy("path").agg(F.count(F.when(F.col("problem").isNull(), 1)).alias("kept"), *(F.count(F.when(F.col("problem") == p, 1)).alias(p) for p in problems))
+
+
+def stage_scan(scanned: DataFrame, to: str) -> tuple[DataFrame, DataFrame]:
+    """Writes a scan to ``to``, the kept rows apart from the others, and gives both: files are read once for words and reports alike."""
+    scanned.withColumn("passed_over", F.col("problem").isNotNull()).write.partitionBy("passed_over").parquet(to)
+    rows = scanned.sparkSession.read.schema(scanned.withColumn("passed_over", F.lit(True)).schema).parquet(to)
+    return rows.where("NOT passed_over").drop("passed_over", "problem", "lines"), rows.where("passed_over").drop("passed_over")
+
+
+def aligner_words(files: DataFrame, original: DataFrame, digits: int = 2) -> DataFrame:
+    """Words as the aligner gives them: times to ``digits``, forms of the n-th equal word of ``original`` (``path, word_idx, text``)."""
+    return restore_case(scanned_words(scan_textgrids(files, digits=digits, whole_text=False)), original)
+
+
+def fallback_words(files: DataFrame, original: DataFrame, offset_s: float = 0.0, seconds_per_word: float = 0.5) -> DataFrame:
+    """Words of a fallback aligner: forms of equal originals, by place where the counts agree; without a ``words`` tier half a second a word."""
+    words = by_place(restore_case(scanned_words(scan_textgrids(files, offset_s)), original), original)
+    tiers = files.where(F.contains("value", F.lit('name = "words"'))).select("path")
+    step = F.lit(seconds_per_word)
+    even = original.join(tiers, "path", "left_anti").select("path", "word_idx", "text", (offset_s + F.col("word_idx") * step).alias("start_s"), (offset_s + (F.col("word_idx") + 1) * step).alias("end_s"))
+    return words.select("path", "word_idx", "text", "start_s", "end_s").unionByName(even)
+
+
 def restore_case(aligned: DataFrame, original: DataFrame) -> DataFrame:
     """Words of ``aligned`` in the form of the n-th equal word of ``original`` (counting round when there are fewer).
 
@@ -70,6 +141,17 @@ def parse_wts(lines: DataFrame) -> DataFrame:
     )
 
 
+def scan_wts(lines: DataFrame) -> DataFrame:
+    """Lines of ``value`` as ``text, start_s, end_s, problem`` beside the other columns; ``problem`` is null, ``blank`` or ``pattern``."""
+    pattern = r"^\[(\d+)\]\s*-->\s*\[(\d+)\]\s+(.+)"
+    line = F.btrim("value", F.lit(" \t\r\n"))
+    part = lambda i: F.regexp_extract(line, pattern, i)
+    problem = F.when(line == "", "blank").when(~line.rlike(pattern), "pattern")
+    seconds = lambda i: F.when(F.col("problem").isNull(), part(i).cast("double") / F.lit(1000.0))
+    rows = lines.withColumn("problem", problem)
+    return rows.select(*(c for c in lines.columns if c != "value"), F.when(F.col("problem").isNull(), F.trim(part(3))).alias("text"), seconds(1).alias("start_s"), seconds(2).alias("end_s"), "problem")
+
+
 def clamp_words(words: DataFrame, from_s: float, to_s: float, least_s: float = 0.01) -> DataFrame:
     """Aligned words inside a segment: no silences, none too short, times within the segment."""
     kept = words.where(~F.lower("text").isin(*SILENCE) & (F.col("end_s") - F.col("start_s") >= least_s))

@@ -72,8 +72,9 @@ def test_word_diff_restores_the_processed_words(spark):
 def test_alignment_has_the_best_score():
     from functools import lru_cache
 
-    from colloquy.operators.align import align_words, word_similarity
+    from colloquy.operators.word_alignment import align_words, similarity_table
 
+    word_similarity = lambda x, y: similarity_table([x], [y])[2][0, 0]
     a, b = "the quick brown fox jumps over".split(), "quick browne fox over the".split()
 
     @lru_cache(None)
@@ -165,14 +166,9 @@ def test_original_words_get_the_times_of_aligned_ones():
     assert original_with_times([], timed("a"), 0.0, 1.0) == []
 
 
-def test_frames_and_characters_become_words(spark):
-    from colloquy.operators.align import frame_spans, peak_windows, token_spans, word_spans, words_from_characters
+def test_characters_become_words(spark):
+    from colloquy.operators.align import word_spans, words_from_characters
 
-    assert [(s["token"], s["start_ms"], s["end_ms"]) for s in token_spans([0, 1, 1, 0, 2, 3, 3], [1, 2, 3], 0, 20.0)] == [(1, 20.0, 60.0), (2, 80.0, 100.0), (3, 100.0, 140.0)]
-    assert [s["token"] for s in token_spans([9, 1, 9, 0, 2], [1, 2], 0, 20.0)] == [1, 2] and token_spans([0, 0], [1], 0, 20.0) == []
-    frames = spark.createDataFrame([(1, [0, 5, 5], [5])], "transcript_id int, labels array<int>, tokens array<int>")
-    assert [tuple(r) for r in frame_spans(frames).collect()] == [(1, 0, 5, 20.0, 60.0)]
-    assert [s["start_ms"] for s in peak_windows([[0, 1], [0, 9], [5, 0], [0, 0]], [1, 0])] == [20.0, 40.0]
     chars = [{"char": c, "start_ms": 100.0 * i, "end_ms": 100.0 * i + 80} for i, c in enumerate("HI|YOU")]
     assert [(w["text"], w["start_s"], w["end_s"]) for w in words_from_characters(["Hi,", "you!", "--"], chars)] == [("Hi,", 0.0, 0.18), ("you!", 0.3, 0.58), ("--", 0.58, 0.88)]
     rows = spark.createDataFrame([(1, "Hi you", [("H", 0.0, 50.0), ("I", 50.0, 90.0)]), (2, None, None)], "transcript_id int, text string, spans array<struct<char:string,start_ms:double,end_ms:double>>")
