@@ -1,7 +1,6 @@
 """Timings for words: even and length-proportional alignment, interpolation, repair of order, and stitching of chunks.
 
-Folds that depend on what came before run as array expressions where the state is small, and in Arrow batches by
-transcript where they need sequence matching; a group is then one transcript's chunks.
+Folds that depend on what came before run in blocks that agree at their borders (``scan``), so that no task holds a transcript.
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import scan
 from colloquy.operators.word_alignment import align_words
+from colloquy.work import materialise
 
 
 def even_alignment(texts: DataFrame, seconds_per_word: float = 0.5) -> DataFrame:
@@ -45,37 +46,60 @@ def interpolate(gaps: DataFrame, least: float = 0.02) -> DataFrame:
     return rows.select("gap_id", "i", "word", F.round(start, 6).alias("start_s"), F.round(start + step, 6).alias("end_s"))
 
 
-def clamp_order(words: DataFrame, least: float = 0.01) -> DataFrame:
-    """Starts no word before the last one's end; a word that would end before it starts ends ``least`` later."""
+_TIMES = ("transcript_id", "word_idx", "text", "start_s", "end_s")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_idx").reset_index(drop=True)
-        start, end, last = pdf["start_s"].tolist(), pdf["end_s"].tolist(), 0.0
-        for i in range(len(start)):
-            start[i] = max(start[i], last)
-            last = end[i] = start[i] + least if end[i] < start[i] else end[i]
-        return pdf.assign(start_s=start, end_s=end)
 
-    kept = words.select("transcript_id", "word_idx", "text", "start_s", "end_s")
-    return kept.groupBy("transcript_id").applyInPandas(fold, kept.schema)
+def _clamp(least: float) -> scan.Fold:
+    def fold(rows: list[dict], last: float | None) -> tuple[list[dict], float | None]:
+        out = []
+        for w in rows:
+            start = max(w["start_s"], last or 0.0)
+            last = start + least if w["end_s"] < start else w["end_s"]
+            out.append({"start_s": start, "end_s": last})
+        return out, last
 
+    return fold
 
-def repair_order(words: DataFrame, least: float = 0.02, shift: float = 0.01) -> DataFrame:
-    """Makes times monotone: an overlap is cut at its middle (not before the last start), and no word is shorter than ``least``."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_idx").reset_index(drop=True)
-        start, end = pdf["start_s"].tolist(), pdf["end_s"].tolist()
-        for i in range(len(start)):
-            if i and start[i] < end[i - 1]:
-                middle = (start[i] + end[i - 1]) / 2
-                middle = middle if middle >= start[i - 1] else start[i - 1] + shift
-                end[i - 1] = start[i] = middle
-            end[i] = max(end[i], start[i] + least)
-        return pdf.assign(start_s=start, end_s=end)
+def clamp_order(words: DataFrame, least: float = 0.01, block: int = 8192, run_up: int = 64) -> DataFrame:
+    """Starts no word before the last one's end; a word that would end before it starts ends ``least`` later.
 
-    kept = words.select("transcript_id", "word_idx", "text", "start_s", "end_s")
-    return kept.groupBy("transcript_id").applyInPandas(fold, kept.schema)
+    The end of the word before is all that is carried on, so transcripts of any length run in blocks (``scan.carried_scan``).
+    """
+    done = scan.carried_scan(words.select(*_TIMES), "transcript_id", ["word_idx"], _clamp(least), "double", "struct<start_s:double,end_s:double>", block, run_up)
+    return scan.scanned_rows(done, [*(f"item.{c}" for c in _TIMES[:3]), "out.start_s", "out.end_s"])
+
+
+def _repair(least: float, shift: float) -> scan.Fold:
+    """Outputs hold ``cut``: where the word before has to end, if this one overlaps it."""
+
+    def fold(rows: list[dict], last: dict | None) -> tuple[list[dict], dict | None]:
+        out = []
+        for w in rows:
+            start, cut = w["start_s"], None
+            if last is not None and start < last["end_s"]:
+                middle = (start + last["end_s"]) / 2
+                start = cut = middle if middle >= last["start_s"] else last["start_s"] + shift
+            last = {"start_s": start, "end_s": max(w["end_s"], start + least)}
+            out.append(last | {"cut": cut})
+        return out, last
+
+    return fold
+
+
+def repair_order(words: DataFrame, least: float = 0.02, shift: float = 0.01, block: int = 8192, run_up: int = 64) -> DataFrame:
+    """Makes times monotone: an overlap is cut at its middle (not before the last start), and no word is shorter than ``least``.
+
+    Blocks of words as in ``clamp_order``; the last word of a block ends where the first one of the next block cuts it.
+    """
+    kind = "struct<start_s:double,end_s:double,cut:double>"
+    done = scan.carried_scan(words.select(*_TIMES), "transcript_id", ["word_idx"], _repair(least, shift), "struct<start_s:double,end_s:double>", kind, block, run_up)
+    done = materialise(done, "repaired")
+    heads = done.select("transcript_id", (F.col("block") - 1).alias("block"), F.col("out")[0]["cut"].alias("next_cut"))
+    cut = lambda i: F.when(i + 1 < F.size("out"), F.get("out", i + 1)["cut"]).otherwise(F.col("next_cut"))
+    ends = F.transform("out", lambda x, i: F.struct(x["start_s"].alias("start_s"), F.coalesce(cut(i), x["end_s"]).alias("end_s")))
+    out = done.join(heads, ["transcript_id", "block"], "left").withColumn("out", ends)
+    return scan.scanned_rows(out, [*(f"item.{c}" for c in _TIMES[:3]), "out.start_s", "out.end_s"])
 
 
 def repair_report(words: DataFrame, repaired: DataFrame) -> DataFrame:
@@ -201,40 +225,62 @@ def overlap_length(left: Sequence, right: Sequence, share: float = 0.6, window:
     return (n, "sequence") if n else (0, "none")
 
 
-def stitch_chunks(chunks: DataFrame) -> DataFrame:
-    """``transcript_id, words, skipped`` of ``transcript_id, chunk, words``: chunks in order, without what they repeat.
+def _stitch(reach: int) -> scan.Fold:
+    """Carries on the last ``reach`` words of what was stitched: rules of overlap look no further back."""
 
-    ``words`` are texts or structs with ``text, start_s, end_s``. A transcript is one group: each step needs what was
-    stitched before, and a transcript is what one recording holds.
-    """
+    def fold(rows: list[dict], tail: list | None) -> tuple[list[dict], list | None]:
+        out = []
+        for row in rows:
+            part = row["words"] or []
+            n, rule = overlap_length(tail or [], part)
+            out.append({"skipped": n, "rule": rule})
+            tail = [*(tail or []), *part[n:]][-reach:]
+        return out, tail
+
+    return fold
+
+
+def _seams(chunks: DataFrame, block: int, run_up: int) -> DataFrame:
+    """``transcript_id, chunk, words, skipped, rule, before``: what each chunk repeats, and the words stitched before it."""
     kind = chunks.schema["words"].dataType.simpleString()
+    longest = chunks.agg(F.max(F.size("words"))).first()[0] or 1
+    reach = max(2 * longest, 40)
+    done = scan.carried_scan(chunks.select("transcript_id", "chunk", "words"), "transcript_id", ["chunk"], _stitch(reach), kind, "struct<skipped:int,rule:string>", block, run_up)
+    rows = scan.scanned_rows(done.withColumn("items", F.transform("items", lambda x: x.withField("block", F.col("block")))), ["item.transcript_id", "item.block", "item.chunk", "item.words", "out.skipped", "out.rule"])
+    rows = materialise(rows.withColumn("added", F.size("words") - F.col("skipped")), "seams")
+    # Words before a chunk: those before its block, by one row a block, and those of its block.
+    sums = rows.groupBy("transcript_id", "block").agg(F.sum("added").alias("n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("transcript_id", "block", F.coalesce(F.sum("n").over(earlier(Window.partitionBy("transcript_id").orderBy("block"))), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("added").over(earlier(Window.partitionBy("transcript_id", "block").orderBy("chunk"))), F.lit(0))
+    placed = rows.withColumn("inside", inside).join(offsets, ["transcript_id", "block"])
+    return placed.select("transcript_id", "chunk", "words", "skipped", "rule", (F.col("offset") + F.col("inside")).alias("before"))
+
+
+def stitched_words(chunks: DataFrame, block: int = 64, run_up: int = 6) -> DataFrame:
+    """``transcript_id, word_idx, word`` of ``transcript_id, chunk, words``: chunks in order, without what they repeat.
+
+    ``words`` are texts or structs with ``text, start_s, end_s``. Each chunk is held against the end of what was stitched before it: its last
+    words, twice the longest chunk's number, are carried from chunk to chunk (``scan.carried_scan``), and
+    running sums of what is left place the words. Times that overlap are looked for within those words.
+    """
+    seams = _seams(chunks, block, run_up)
+    rest = F.slice("words", F.col("skipped") + 1, F.size("words"))
+    return seams.select("transcript_id", "before", F.posexplode(rest).alias("i", "word")).select("transcript_id", (F.col("before") + F.col("i")).alias("word_idx"), "word")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        words: list = []
-        skipped = 0
-        for part in pdf.sort_values("chunk")["words"]:
-            n = overlap_length(words, list(part))[0]
-            skipped += n
-            words += list(part)[n:]
-        return pd.DataFrame({"transcript_id": [pdf["transcript_id"].iloc[0]], "words": [words], "skipped": [skipped]})
 
-    return chunks.groupBy("transcript_id").applyInPandas(fold, f"transcript_id int, words {kind}, skipped long")
+def stitch_chunks(chunks: DataFrame, block: int = 64, run_up: int = 6) -> DataFrame:
+    """``transcript_id, words, skipped``: ``stitched_words`` with each transcript as one row."""
+    seams = _seams(chunks, block, run_up)
+    parts = F.array_sort(F.collect_list(F.struct("chunk", F.slice("words", F.col("skipped") + 1, F.size("words")).alias("rest"))))
+    return seams.groupBy("transcript_id").agg(F.flatten(F.transform(parts, lambda x: x["rest"])).alias("words"), F.sum("skipped").alias("skipped"))
 
 
-def stitch_steps(chunks: DataFrame) -> DataFrame:
+def stitch_steps(chunks: DataFrame, block: int = 64, run_up: int = 6) -> DataFrame:
     """``transcript_id, step, chunk, n_left, n_right, skipped, rule`` of each step of ``stitch_chunks``, for audits."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        words: list = []
-        rows = []
-        for step, (chunk, part) in enumerate(zip(*(pdf.sort_values("chunk")[c] for c in ("chunk", "words")), strict=True)):
-            n, rule = overlap_length(words, list(part))
-            if step:
-                rows.append((pdf["transcript_id"].iloc[0], step, chunk, len(words), len(part), n, rule))
-            words += list(part)[n:]
-        return pd.DataFrame(rows, columns=["transcript_id", "step", "chunk", "n_left", "n_right", "skipped", "rule"])
-
-    return chunks.groupBy("transcript_id").applyInPandas(fold, "transcript_id int, step int, chunk int, n_left long, n_right long, skipped long, rule string")
+    first = F.min("chunk").over(Window.partitionBy("transcript_id"))
+    rows = _seams(chunks, block, run_up).withColumn("first", first)
+    return rows.where("chunk > first").select("transcript_id", (F.col("chunk") - F.col("first")).alias("step"), "chunk", F.col("before").alias("n_left"), F.size("words").cast("long").alias("n_right"), F.col("skipped").cast("long").alias("skipped"), "rule")
 
 
 def tail_window(text: Column, words: int = 100) -> tuple[Column, Column]:

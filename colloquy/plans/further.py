@@ -9,7 +9,7 @@ from colloquy.config import REDACTED
 from colloquy.functions import text as tx
 from colloquy.operators import align, chunks, passes, prepare, redact, segments, turns, vad
 from colloquy.plans import fixtures
-from colloquy.plans.queries import _ASSIGNED, _NAMED, _PACKED, _REDACTED_WORDS, _REPAIRED, _VAD, _WORDS, _assigned, _chunked, _redacted, query
+from colloquy.plans.queries import _ASSIGNED, _NAMED, _PACKED, _REDACTED_WORDS, _REPAIRED, _VAD, _WORDS, _assigned, _heard_chunks, _redacted, query
 
 # --- preparation ----------------------------------------------------------------------------------
 
@@ -204,7 +204,7 @@ def mono_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stitched_by_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = chunks.chunk_words(fixtures.spoken_words(spark, sf_dir), 60, 10, 20).withColumn("transcript_id", F.col("transcript_id").cast("int"))
+    placed = chunks.chunk_words(fixtures.spoken_words(spark, sf_dir), 60, 10, 20)
     word = F.struct("i", F.struct("text", "start_s", "end_s").alias("w"))
     parts = placed.groupBy("transcript_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]).alias("words"))
     return align.stitch_chunks(parts).select("transcript_id", F.size("words").alias("n_words"), "skipped")
@@ -238,4 +238,4 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stitch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.stitch_steps(_chunked(spark, sf_dir))
+    return align.stitch_steps(_heard_chunks(spark, sf_dir))

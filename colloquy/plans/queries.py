@@ -811,14 +811,23 @@ def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("transcript_id", "chunk").agg(ordered.alias("words"))
 
 
+def _heard_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of conversations; what a chunk repeats of the one before is heard in other words here and there, differently by chunk."""
+    placed = chunks.chunk_words(fixtures.spoken_words(spark, sf_dir), 60, 10, 20).where("NOT (chunk % 5 = 2 AND i = 4)")
+    kind, again = F.col("chunk") % 5, (F.col("chunk") > 0) & (F.col("i") < 10)
+    odd = F.when(again & (kind == 1) & (F.col("i") % 3 == 1), F.concat("text", F.lit("s"))).when(again & (kind == 2) & (F.col("i") < 3), F.lit("um")).when(again & (kind == 3) & (F.col("i") > 0), F.concat(F.lit("q"), F.reverse("text")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce(odd, "text").alias("text")))), lambda x: x["text"])
+    return placed.groupBy("transcript_id", "chunk").agg(ordered.alias("words"))
+
+
 @query()
 def stitch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.stitch_chunks(_chunked(spark, sf_dir)).select("transcript_id", F.size("words").alias("n_words"), "skipped", F.array_join("words", " ").alias("text"))
+    return align.stitch_chunks(_heard_chunks(spark, sf_dir)).select("transcript_id", F.size("words").alias("n_words"), "skipped", F.array_join("words", " ").alias("text"))
 
 
 @query()
 def stitch_pair_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _chunked(spark, sf_dir)
+    parts = _heard_chunks(spark, sf_dir)
     pairs = parts.join(parts.select("transcript_id", (F.col("chunk") - 1).alias("chunk"), F.col("words").alias("right")), ["transcript_id", "chunk"]).withColumnRenamed("words", "left")
     return align.stitch_methods(pairs).select("transcript_id", "chunk", "n", "rule")
 
