@@ -56,8 +56,8 @@ def strip_prompt(text: Column) -> Column:
 
 
 def aligner_text(text: Column) -> Column:
-    """Letters, digits and apostrophes only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}' ]", ""), " +", " "))
+    """Words of letters, digits and apostrophes only, a space between them; a word that has none of them leaves its spaces."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"[^\p{L}\p{N}' ]", "")
 
 
 def final_channel(reply: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.config import REDACTED
 from colloquy.functions.text import composed
+from colloquy.operators.ordering import positions
+from colloquy.work import materialise
 
 # Quotation marks and the plain ones that they compare as.
 _QUOTES = "‘’‚‛“”„‟«»‹›"
@@ -78,23 +80,19 @@ def discovered_names(replacements: DataFrame) -> DataFrame:
 def global_names(replacements: DataFrame) -> DataFrame:
     """Names of all transcripts: first form and speaker seen, and how often; the commonest first by ``rank``.
 
-    A rank is a name's place among those as common with the same first letter, and the number of names before these: one task
-    sees the counts of such groups only.
+    Ranks are places in a total order over ranges (``ordering.positions``): no key of the names' own decides which task has them.
     """
     given = replacements.where((F.trim("original") != "") & (F.trim("original") != REDACTED))
     order = F.struct("transcript_id", "word_idx")
     out = given.groupBy(F.trim(folded(F.col("original"))).alias("norm_name")).agg(
         F.min_by(F.trim("original"), order).alias("name"), F.min_by("speaker", order).alias("source_speaker"), F.count("*").alias("occurrences")
     )
-    cells = out.withColumns({"k1": -F.col("occurrences"), "k2": F.lower("name")}).withColumn("letter", F.ascii("k2"))
-    counts = cells.groupBy("k1", "letter").agg(F.count("*").alias("n"))  # few rows: how often by first letters
-    before = F.coalesce(F.sum("n").over(Window.orderBy("k1", "letter").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("k1", "letter").orderBy("k2", "norm_name"))
-    ranked = cells.join(counts.select("k1", "letter", before.alias("before")), ["k1", "letter"])
-    return ranked.withColumn("rank", (F.col("before") + within).cast("int")).select("norm_name", "name", "source_speaker", "occurrences", "rank")
+    ranked = positions(materialise(out.withColumn("low", F.lower("name")), "names"), [], [F.desc("occurrences"), "low", "norm_name"], "place")
+    return ranked.select("norm_name", "name", "source_speaker", "occurrences", (F.col("place") + 1).cast("int").alias("rank"))
 
 
 def prompt_list(names: DataFrame) -> DataFrame:
+    """One row: the names as the lines of a prompt. A prompt is one text, so it is bounded by what a model reads, not by the tables."""
     line = F.concat(F.lit("- "), F.col("name"), F.when(F.col("occurrences") > 1, F.format_string(" (appeared %d times)", "occurrences")).otherwise(""))
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("text"))))
     return names.agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("prompt"))

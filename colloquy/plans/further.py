@@ -202,7 +202,11 @@ def mono_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("transcript_id", "word_idx", F.col("mono")[0].alias("first_sample"), F.col("mono")[1].alias("second_sample"))
 
 
-@query()
+@query(
+    f"WITH {fixtures.oracle('spoken')}"
+    + """, n AS (SELECT transcript_id, count(*) AS n FROM spoken GROUP BY 1)
+SELECT transcript_id, CAST(n AS INT) AS n_words, CASE WHEN n <= 60 THEN 0 ELSE greatest(0, CAST(floor((n - 80) / 50) AS BIGINT) + 1) * 10 END AS skipped FROM n"""
+)
 def stitched_by_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = chunks.chunk_words(fixtures.spoken_words(spark, sf_dir), 60, 10, 20)
     word = F.struct("i", F.struct("text", "start_s", "end_s").alias("w"))

@@ -905,4 +905,4 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.word_diff(rows).select("transcript_id", "chunk", F.explode("diff").alias("d")).select("transcript_id", "chunk", "d.*")
 
 
-from colloquy.plans import further, timed  # noqa: E402, F401  register their queries
+from colloquy.plans import further, small, timed  # noqa: E402, F401  register their queries

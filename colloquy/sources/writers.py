@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import textwrap
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from colloquy.functions import format as fmt
 from colloquy.functions import text as tx
 from colloquy.operators import metrics
 from colloquy.operators.segments import joined, paragraphs
+from colloquy.work import materialise
 
 
 def _document(rows: DataFrame, order: str, line: Column, sep: str = "\n") -> DataFrame:
@@ -123,20 +125,52 @@ def dialogue_script(turns: DataFrame, width: int = 75) -> DataFrame:
     return _document(turns, "turn", block, "\n\n")
 
 
+def speaker_cards(turns: DataFrame) -> DataFrame:
+    """``transcript_id, speaker, card``: each speaker's statistics as a card of the timeline page."""
+    stats = metrics.speaker_statistics(turns)
+    of = Window.partitionBy("transcript_id").orderBy("speaker").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = stats.withColumn("speakers", F.collect_list("speaker").over(of))
+    values = {
+        "Turns": F.col("total_turns").cast("string"), "Words": F.col("total_words").cast("string"), "Avg Duration": F.format_string("%.1fs", "avg_turn_duration"),
+        "Avg WPM": F.format_string("%.0f", "avg_speaking_rate"), "Interjections": F.col("total_interjections").cast("string"), "Flow": fmt.percentage(F.col("avg_flow")),
+    }
+    items = [F.concat(F.lit(f'<div class="stat"><em>{label}</em><b>'), value, F.lit("</b></div>")) for label, value in values.items()]
+    head = F.concat(F.lit('<div class="card"><h3 style="color:'), fmt.speaker_color(F.col("speaker"), F.col("speakers")), F.lit('">'), tx.escape_html(tx.display_speaker(F.col("speaker"))), F.lit("</h3>"))
+    return rows.select("transcript_id", "speaker", F.concat(head, *items, F.lit("</div>")).alias("card"))
+
+
+def turns_blob(turns: DataFrame) -> DataFrame:
+    """``transcript_id, blob``: the turns as a JSON array for the page's script; ``</`` is written so that no tag can end in it."""
+    inner = F.transform("interjections", lambda x: F.struct(x["speaker"].alias("speaker"), x["start_s"].alias("start"), x["end_s"].alias("end"), x["text"].alias("text"), x["itype"].alias("type")))
+    item = F.struct(
+        F.col("turn").alias("id"), "speaker", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", F.col("n_words").alias("wordCount"), F.col("rate_wpm").alias("speakingRate"),
+        F.col("flow").alias("flowContinuity"), F.col("turn_type").alias("turnType"), F.coalesce(inner, F.array()).alias("interjections"),
+    )
+    docs = turns.groupBy("transcript_id").agg(F.array_sort(F.collect_list(item)).alias("turns"))
+    return docs.select("transcript_id", F.replace(F.to_json("turns", {"ignoreNullFields": "false"}), F.lit("</"), F.lit("<\\/")).alias("blob"))
+
+
 def html_timeline(turns: DataFrame) -> DataFrame:
-    """A page with one lane per speaker, turns placed by percent, a legend and a time axis of six ticks."""
+    """A page with figures on top, one lane per speaker, turns placed by percent, a legend, a time axis of six ticks, cards of the speakers, and the turns as JSON."""
     placed = timeline_layout(turns)
     speakers = placed.groupBy("transcript_id").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
     rows = placed.join(speakers, "transcript_id")
     lane = F.array_position("speakers", F.col("speaker"))
     style = F.format_string("left:%.3f%%;width:%.3f%%;top:%dpx;background:%s", F.col("left_percent"), F.col("width_percent"), ((lane - 1) * 30).cast("int"), fmt.speaker_color(F.col("speaker"), F.col("speakers")))
-    box = F.concat(F.lit('<div class="turn" style="'), style, F.lit('" title="'), tx.escape_html(F.col("text")), F.lit('"></div>'))
+    box = F.concat(F.lit('<div class="turn" data-turn="'), F.col("turn").cast("string"), F.lit('" style="'), style, F.lit('" title="'), tx.escape_html(F.col("text")), F.lit('"></div>'))
     body = _document(rows, "turn", box).withColumnRenamed("content", "boxes")
     dot = F.transform("speakers", lambda s: F.concat(F.lit('<li style="color:'), fmt.speaker_color(s, F.col("speakers")), F.lit('">'), tx.escape_html(s), F.lit("</li>")))
     axis = placed.groupBy("transcript_id").agg(F.first("t0").alias("t0"), F.first("total").alias("total"))
     tick = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("<span>"), fmt.timestamp(F.col("t0") + F.col("total") * i / 5, "ms"), F.lit("</span>")))
-    page = speakers.join(body, "transcript_id").join(axis, "transcript_id")
-    parts = [F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>Timeline</title></head><body><ul class="legend">'), F.array_join(dot, ""), F.lit('</ul><div class="axis">'), F.array_join(tick, ""), F.lit('</div><div class="lanes">'), F.col("boxes"), F.lit("</div></body></html>")]
+    cards = _document(speaker_cards(turns), "speaker", F.col("card")).withColumnRenamed("content", "cards")
+    page = speakers.join(body, "transcript_id").join(axis, "transcript_id").join(cards, "transcript_id").join(turns_blob(turns), "transcript_id").join(metrics.conversation_metrics(turns), "transcript_id")
+    figures = {"Duration": fmt.duration(F.greatest("total", F.lit(0.0))), "Total Turns": F.col("total_turns").cast("string"), "Interjections": F.col("total_interjections").cast("string"), "Avg Flow": fmt.percentage(F.col("avg_flow"))}
+    top = [part for label, value in figures.items() for part in (F.lit(f"<div>{label}: "), value, F.lit("</div>"))]
+    parts = [
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>Timeline</title></head><body><div class="figures">'), *top, F.lit('</div><ul class="legend">'), F.array_join(dot, ""),
+        F.lit('</ul><div class="axis">'), F.array_join(tick, ""), F.lit('</div><div class="lanes">'), F.col("boxes"), F.lit('</div><div class="cards">'), F.col("cards"),
+        F.lit('</div><script type="application/json" id="turns">'), F.col("blob"), F.lit("</script></body></html>"),
+    ]
     return page.select("transcript_id", F.concat(*parts).alias("content"))
 
 
@@ -153,18 +187,24 @@ FORMATS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "turns-json": ("transcript.turns.json", flow_json),
     "markdown": ("transcript.md", markdown),
     "dialogue-script": ("transcript.script.txt", dialogue_script),
-    "html-timeline": ("transcript.html", html_timeline),
+    "html-timeline": ("transcript_timeline.html", html_timeline),
 }
 
 
-def write_outputs(turns: DataFrame, path: str, formats: list[str]) -> dict[str, str]:
-    """Writes each format under ``path/<format>/transcript_id=<id>/``; an unknown one is an error that names those there are."""
+def all_contents(turns: DataFrame, formats: list[str]) -> DataFrame:
+    """``transcript_id, format, content`` for all ``formats``; an unknown one is an error that names those there are.
+
+    Turns are written once, and every format reads that table.
+    """
     unknown = sorted(set(formats) - set(FORMATS))
     if unknown:
         raise ValueError(f"unknown formats {unknown}; there are {sorted(FORMATS)}")
-    out = {}
-    for name in formats:
-        out[name] = f"{path}/{name}"
-        FORMATS[name][1](turns).select("transcript_id", F.col("content").alias("value")).write.partitionBy("transcript_id").text(out[name])
-    return out
+    held = materialise(turns, "turns")
+    return reduce(DataFrame.unionByName, [FORMATS[name][1](held).select("transcript_id", F.lit(name).alias("format"), "content") for name in dict.fromkeys(formats)])
 
+
+def write_outputs(turns: DataFrame, path: str, formats: list[str]) -> dict[str, str]:
+    """Writes all formats in one job, each under ``path/format=<format>/transcript_id=<id>/``, and gives these folders."""
+    rows = all_contents(turns, formats).select("format", "transcript_id", F.col("content").alias("value"))
+    rows.write.partitionBy("format", "transcript_id").text(path)
+    return {name: f"{path}/format={name}" for name in formats}

@@ -4,8 +4,9 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from colloquy.sources import checkpoint, textgrid, writers
+from colloquy.sources import checkpoint, formats, textgrid, writers
 
 SMALL = "/root/testdata/sf0.001"
 GRID = '''File type = "ooTextFile"
@@ -143,8 +144,70 @@ def test_documents_for_reading(turns):
     assert html.count('<div class="turn"') == n and html.count("<span>") == 6 and html.startswith("<!DOCTYPE html>")
 
 
-def test_outputs_go_to_their_folders(turns, tmp_path):
-    out = writers.write_outputs(turns, str(tmp_path), ["srt", "turns-json"])
-    assert set(out) == {"srt", "turns-json"} and len(list(Path(out["srt"]).glob("transcript_id=*/*.txt"))) == turns.select("transcript_id").distinct().count()
+def test_outputs_go_to_their_folders(spark, turns, tmp_path):
+    out = writers.write_outputs(turns, str(tmp_path / "out"), list(writers.FORMATS))
+    ids = {r["transcript_id"] for r in turns.select("transcript_id").distinct().collect()}
+    assert set(out) == set(writers.FORMATS)
+    for name, folder in out.items():
+        files = {p.parent.name: p.read_text() for p in Path(folder).glob("transcript_id=*/*.txt")}
+        assert set(files) == {f"transcript_id={t}" for t in ids}
+        alone = {f"transcript_id={r['transcript_id']}": r["content"] for r in writers.FORMATS[name][1](turns).collect()}
+        assert {t: c.rstrip("\n") for t, c in files.items()} == {t: c.rstrip("\n") for t, c in alone.items()}
     with pytest.raises(ValueError, match="there are"):
-        writers.write_outputs(turns, str(tmp_path), ["pdf"])
+        writers.write_outputs(turns, str(tmp_path / "none"), ["pdf"])
+
+
+def test_timeline_holds_figures_cards_and_turns(spark, turns):
+    odd = turns.where("transcript_id = 1").withColumn("text", F.when(F.col("turn") == 1, "</script><b>").otherwise(F.col("text")))
+    rows = {r["turn"]: r for r in odd.collect()}
+    page = writers.html_timeline(odd).first()["content"]
+    blob = page.split('id="turns">')[1].split("</script>")[0]
+    found = json.loads(blob)
+    assert [t["id"] for t in found] == sorted(rows) and found[0]["text"] == "</script><b>"
+    for t in found:
+        r = rows[t["id"]]
+        assert (t["speaker"], t["start"], t["wordCount"], t["flowContinuity"], t["turnType"]) == (r["speaker"], r["start_s"], r["n_words"], r["flow"], r["turn_type"])
+        assert [x["text"] for x in t["interjections"]] == [x["text"] for x in r["interjections"]]
+    assert page.count('<div class="card">') == len({r["speaker"] for r in rows.values()} | {x["speaker"] for r in rows.values() for x in r["interjections"]})
+    assert f"Total Turns: {len(rows)}<" in page and page.count("<em>Flow</em>") == page.count('<div class="card">')
+
+
+def _stream(spark, kind, path, to, options):
+    query = spark.readStream.format(kind).options(**options).load(path).writeStream.format("parquet").option("checkpointLocation", f"{to}/at").option("path", f"{to}/rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{to}/rows").collect()
+
+
+def test_word_lists_are_read_in_blocks_and_streams(spark, tmp_path):
+    formats.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [f"[{i * 100}] --> [{i * 100 + 90}] wörd{i}" if i % 7 else ("" if i % 2 else "odd line") for i in range(500)]
+    (folder / "a.wts").write_text("\n".join(lines))
+    whole = textgrid.scan_wts(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    key = lambda r: (r["text"], r["start_s"], r["end_s"], r["problem"])
+    for block in (64, 999, 1 << 20):
+        rows = spark.read.format("wts").option("block_bytes", block).load(str(folder))
+        assert rows.rdd.getNumPartitions() == -(-(folder / "a.wts").stat().st_size // block)
+        assert [key(r) for r in sorted(rows.collect(), key=lambda r: r["at"])] == [key(r) for r in whole]
+    assert sorted(map(str, map(key, _stream(spark, "wts", str(folder), tmp_path / "s", {"block_bytes": "300"})))) == sorted(map(str, map(key, whole)))
+    (folder / "b.wts").write_text("[1] --> [2] late")
+    assert len(_stream(spark, "wts", str(folder), tmp_path / "s", {"block_bytes": "300"})) == len(whole) + 1
+
+
+def test_textgrids_are_read_in_batches_and_streams(spark, tmp_path):
+    formats.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    odd = GRID.replace("xmax = 0.9", "xmax 0.9", 1).replace("xmin = 1.25", "xmin = x")
+    texts = {"a.TextGrid": GRID, "b.TextGrid": odd, "c.TextGrid": "no tiers", "d.TextGrid": GRID.split("    item [2]")[0] + "        intervals [5]:\n            xmin = 2"}
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    scanned = textgrid.scan_textgrids(spark.createDataFrame([(str(folder / n), t) for n, t in texts.items()], "path string, value string"))
+    key = lambda r: str((r["path"], r["text"], r["start_s"], r["end_s"], r["problem"]))
+    expected = sorted(map(key, scanned.collect()))
+    assert sorted(map(key, spark.read.format("textgrid").option("files_per_task", 2).load(str(folder)).collect())) == expected
+    assert sorted(map(key, _stream(spark, "textgrid", str(folder), tmp_path / "s", {}))) == expected
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert spark.read.format("textgrid").load(str(empty)).count() == 0
