@@ -29,13 +29,13 @@ def interrupt_level(before: str = "gap_before", after: str = "gap_after") -> Col
     return F.when(b & a, "high").when(b | a, one).otherwise(none)
 
 
-def classify_segments(segments: DataFrame, config: TurnConfig = TurnConfig()) -> DataFrame:
+def classify_segments(segments: DataFrame, config: TurnConfig = TurnConfig(), *within: str) -> DataFrame:
     """Adds ``is_interjection, confidence, itype, level, error`` to segments with gaps.
 
     A short segment is an interjection whatever it says. ``error``: one unclear word between two segments of one other
     speaker, most likely the speaker recognition's fault.
     """
-    w = Window.partitionBy("transcript_id").orderBy("seg")
+    w = Window.partitionBy("transcript_id", *within).orderBy("seg")
     short = (F.col("duration_s") <= config.max_seconds) & (F.col("n_words") <= config.max_words)
     kind = interjection_type(F.col("text"), config.patterns)
     base = ((1 - F.col("duration_s") / config.max_seconds) + (1 - F.col("n_words") / F.lit(float(config.max_words)))) / 2

@@ -54,10 +54,14 @@ def speaker_segments(words: DataFrame, keep_words: bool = False) -> DataFrame:
     in_order = Window.partitionBy("transcript_id").orderBy("ord")
     before = F.lag("who").over(in_order)
     marked = who.withColumn("begins", F.when(before.isNull() | (before != F.col("who")), 1).otherwise(0))
-    seg = marked.withColumn("seg", F.sum("begins").over(in_order))
+    return gathered(marked.withColumn("seg", F.sum("begins").over(in_order)), keep_words)
+
+
+def gathered(numbered: DataFrame, keep_words: bool = False) -> DataFrame:
+    """Words with ``who``, ``ord`` and the number ``seg`` of their segment, as one row a segment."""
     held = [F.collect_list(F.struct("start_s", "ord", "end_s", "text")).alias("words")] if keep_words else []
     return (
-        seg.groupBy("transcript_id", "seg")
+        numbered.groupBy("transcript_id", "seg")
         .agg(
             F.first("who").alias("speaker"),
             F.min_by("start_s", "ord").alias("start_s"),
@@ -70,9 +74,9 @@ def speaker_segments(words: DataFrame, keep_words: bool = False) -> DataFrame:
     )
 
 
-def with_gaps(segments: DataFrame) -> DataFrame:
-    """Adds the gaps to both neighbours; negative where they overlap, null at the ends."""
-    w = Window.partitionBy("transcript_id").orderBy("seg")
+def with_gaps(segments: DataFrame, *within: str) -> DataFrame:
+    """Adds the gaps to both neighbours; negative where they overlap, null at the ends (of transcripts, or ``within`` parts of them)."""
+    w = Window.partitionBy("transcript_id", *within).orderBy("seg")
     return segments.withColumns({"gap_before": F.col("start_s") - F.lag("end_s").over(w), "gap_after": F.lead("start_s").over(w) - F.col("end_s")})
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import format as fmt
 from colloquy.functions import text as tx
-from colloquy.operators import attempts, cues, mapping, redact
+from colloquy.operators import attempts, blocks, cues, mapping, redact, turns
 from colloquy.plans import fixtures
 from colloquy.plans.further import _GRID
-from colloquy.plans.queries import _ASSIGNED, _REDACTED_WORDS, _STAMP, _TURNS, _WORDS, _assigned, _redacted, _turns, query
+from colloquy.plans.queries import _ASSIGNED, _REDACTED_WORDS, _STAMP, _TURNS, _WORDS, ORACLE_SQL, _assigned, _flat, _redacted, _turns, query
 from colloquy.sources import writers
 from colloquy.work import new_path
 
@@ -122,3 +122,21 @@ def displayed_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interjection_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = _assigned(spark, sf_dir).where("NOT is_primary")
     return inner.select("transcript_id", "seg", fmt.interjection_symbol(F.col("itype")).alias("symbol"), fmt.interjection_verb(F.col("itype")).alias("verb"))
+
+
+# --- long transcripts in blocks -------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["speaker_segments"])
+def speaker_segments_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.speaker_segments(fixtures.words(spark, sf_dir), 20.0).withColumn("duration_s", F.round("duration_s", 6))
+
+
+@query(ORACLE_SQL["hierarchical_turns"])
+def turns_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(turns.build_turns(blocks.assigned_segments(fixtures.words(spark, sf_dir), seconds=20.0, size=16)))
+
+
+@query(ORACLE_SQL["turns_refined"])
+def turns_refined_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(turns.refine_turns(blocks.assigned_segments(fixtures.words(spark, sf_dir), seconds=20.0, size=16, keep_words=True)))
