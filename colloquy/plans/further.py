@@ -9,7 +9,7 @@ from colloquy.config import REDACTED
 from colloquy.functions import text as tx
 from colloquy.operators import align, chunks, passes, prepare, redact, segments, turns, vad
 from colloquy.plans import fixtures
-from colloquy.plans.queries import _ASSIGNED, _NAMED, _PACKED, _REDACTED_WORDS, _REPAIRED, _VAD, _WORDS, _assigned, _heard_chunks, _redacted, query
+from colloquy.plans.queries import _ASSIGNED, _LONG_SCORES, _NAMED, _PACKED, _REDACTED_WORDS, _REPAIRED, _VAD, _WORDS, _assigned, _heard_chunks, _redacted, query
 
 # --- preparation ----------------------------------------------------------------------------------
 
@@ -151,7 +151,23 @@ def speech_or_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.speech_or_whole(fixtures.speech(spark, sf_dir).where("transcript_id % 3 <> 0"), audio)
 
 
-@query()
+_PIECE = "list_filter(range(1, hi - lo), lambda i: s[lo + i + 1] - e[lo + i] >= 0.6::DOUBLE AND s[lo + i + 1] - s[lo + 1] >= 5 AND e[hi] - s[lo + i + 1] >= 5)"
+_PIECE_SCORE = """CASE WHEN greatest(s[lo + i + 1] - s[lo + 1], e[hi] - s[lo + i + 1]) > 0 THEN 0.4::DOUBLE * least(s[lo + i + 1] - s[lo + 1], e[hi] - s[lo + i + 1]) / greatest(s[lo + i + 1] - s[lo + 1], e[hi] - s[lo + i + 1]) ELSE 0 END
+  + 0.3::DOUBLE * least((s[lo + i + 1] - e[lo + i]) / 1.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * greatest(0.0::DOUBLE, CASE WHEN i > 1 THEN 0.1::DOUBLE * (s[lo + i + 1] - e[lo + i] - (s[lo + i] - e[lo + i - 1])) ELSE 0 END
+  + CASE WHEN i < hi - lo - 1 THEN 0.1::DOUBLE * (s[lo + i + 1] - e[lo + i] - (s[lo + i + 2] - e[lo + i + 1])) ELSE 0 END)"""
+
+
+@query(
+    _LONG_SCORES.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", gl AS MATERIALIZED (SELECT transcript_id, grp, list(start_s ORDER BY start_s, end_s) AS s, list(end_s ORDER BY start_s, end_s) AS e FROM v GROUP BY ALL),
+pc AS (SELECT transcript_id, grp, 0::BIGINT AS lo, len(s) AS hi, false AS done FROM gl
+  UNION ALL SELECT transcript_id, grp, unnest(b[:len(b) - 1]), unnest(b[2:]), len(b) = 2 FROM (
+    SELECT transcript_id, grp, list_concat([lo], list_transform(CASE WHEN e[hi] - s[lo + 1] > 30 THEN list_reduce(list_transform(list_sort(list_transform({_PIECE}, lambda i: {{'k': -({_PIECE_SCORE}), 'i': i}})), lambda x: x.i),
+      lambda acc, i: CASE WHEN len(acc) < 3 AND i - coalesce(acc[len(acc)], 0) >= 2 THEN list_append(acc, i) ELSE acc END, []::BIGINT[]) ELSE []::BIGINT[] END, lambda c: lo + c), [hi]) AS b
+    FROM pc JOIN gl USING (transcript_id, grp) WHERE NOT done) q)
+SELECT transcript_id, CAST(grp AS BIGINT) AS "group", CAST(row_number() OVER (PARTITION BY transcript_id, grp ORDER BY s[lo + 1], lo) - 1 AS INT) AS piece, s[lo + 1] AS start_s, list_max(e[lo + 1:hi]) AS end_s, CAST(hi - lo AS INT) AS n_segments
+FROM pc JOIN gl USING (transcript_id, grp) WHERE done"""
+)
 def long_segments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.split_long(vad.combine(fixtures.long_speech(spark, sf_dir)))
 

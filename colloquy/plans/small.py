@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import format as fmt
 from colloquy.functions import text as tx
 from colloquy.operators import attempts, blocks, cues, mapping, redact, turns
+from colloquy.operators.segments import joined
 from colloquy.plans import fixtures
 from colloquy.plans.further import _GRID
 from colloquy.plans.queries import _ASSIGNED, _REDACTED_WORDS, _STAMP, _TURNS, _WORDS, ORACLE_SQL, _assigned, _flat, _redacted, _turns, query
@@ -72,6 +73,28 @@ def output_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.all_contents(_turns(spark, sf_dir), ["timestamped-txt", "plain-txt", "srt"])
 
 
+@query(
+    _TURNS
+    + """, j AS (SELECT transcript_id, count(*) AS total_turns, CAST(sum(n_words) AS BIGINT) AS total_words, list(DISTINCT nullif(speaker, '') ORDER BY nullif(speaker, '')) AS speakers,
+  list({'speaker': speaker, 'start': start_s, 'end': end_s, 'text': text} ORDER BY turn) AS turns FROM turns GROUP BY 1)
+SELECT transcript_id, CAST(to_json({'metadata': {'total_turns': total_turns, 'total_words': total_words, 'speakers': speakers, 'format_version': '1.0'}, 'turns': turns}) AS VARCHAR) AS content FROM j"""
+)
+def turns_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.turns_json(_turns(spark, sf_dir))
+
+
+@query(f"WITH {fixtures.oracle('spoken')} SELECT transcript_id, string_agg(text, ' ' ORDER BY word_idx) AS content FROM spoken WHERE trim(text) <> '' GROUP BY 1")
+def word_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.word_text(fixtures.spoken_words(spark, sf_dir))
+
+
+@query("SELECT conv_id AS transcript_id, i AS line, w AS word FROM (SELECT conv_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, list_filter(string_split_regex(string_agg(text, ' ' ORDER BY turn), '\\s+'), lambda x: x <> '') AS l FROM conversations GROUP BY 1) q) r")
+def word_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnRenamed("conv_id", "transcript_id")
+    said = rows.groupBy("transcript_id").agg(joined(F.collect_list(F.struct("turn", "text"))).alias("text"))
+    return writers.word_csv(said).withColumn("line", F.col("line").cast("long"))
+
+
 # --- small forms ----------------------------------------------------------------------------------
 
 

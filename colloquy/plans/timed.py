@@ -9,6 +9,7 @@ from colloquy.operators import align, chunks, frames, segments
 from colloquy.plans import fixtures
 from colloquy.plans.queries import _CHUNKED, _WORDS, _chunked, query
 from colloquy.sources import checkpoint, textgrid
+from colloquy.work import new_path
 
 # --- files with faults ----------------------------------------------------------------------------
 # Files are made of the words by Spark, one a transcript; what goes wrong in them follows from the words' numbers.
@@ -108,6 +109,27 @@ def checkpoint_scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textgrid.scan_report(checkpoint.scan_checkpoints(given), ("json", "words", "text", "start", "end"))
 
 
+@query(_KINDS + " SELECT path, row_number() OVER (PARTITION BY path ORDER BY word_idx) - 1 AS word_idx, CASE WHEN kind = 3 THEN 'a=b' ELSE text END AS text, start_s + 2.5::DOUBLE AS start_s, end_s + 2.5::DOUBLE AS end_s FROM k WHERE kind NOT IN (5, 6, 7, 9, 11)")
+def textgrid_engine_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textgrid.parse_textgrids(_files(spark, sf_dir), offset_s=2.5)
+
+
+@query(_WORDS + " SELECT transcript_id, text || ' ' || word_idx AS text, round(start_s * 1000) / 1000 AS start_s, round(end_s * 1000) / 1000 AS end_s FROM words WHERE word_idx % 11 <> 6")
+def wts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long").cast("string")
+    said = F.concat("text", F.lit(" "), F.col("word_idx").cast("string"))
+    line = F.when(F.col("word_idx") % 11 == 6, "12 -> 15 odd").otherwise(F.concat(F.lit("["), ms("start_s"), F.lit("] --> ["), ms("end_s"), F.lit("]  "), said))
+    return textgrid.parse_wts(fixtures.words(spark, sf_dir).select("transcript_id", line.alias("value")))
+
+
+@query(_WORDS + " SELECT transcript_id, word_idx, text, start_s, end_s, speaker, 'combined_audio' AS mode FROM words")
+def checkpoint_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words written as checkpoints, a file each, and read back."""
+    path = new_path(spark, "checkpoints")
+    checkpoint.checkpoint_json(fixtures.words(spark, sf_dir), "combined_audio").repartition("transcript_id").write.partitionBy("transcript_id").text(path)
+    return checkpoint.read_checkpoints(spark, f"{path}/*")
+
+
 # --- frames ---------------------------------------------------------------------------------------
 
 _CODE = "CASE text WHEN 'yeah' THEN 1 WHEN 'what' THEN 2 WHEN 'wow' THEN 3 WHEN 'data' THEN 4 ELSE 5 END"
