@@ -8,8 +8,9 @@
    stays the same on ``constant_share`` of the pages is constant: template. Texts that vary are slots: content. A page most
    of whose text is the reference's own is a copy of it and tells nothing about what is constant, so it does not count.
    Counts are summed per batch before they are shuffled, so a host with a third of all pages is few rows per batch.
-3. Each page is aligned once more. Elements whose text is template go, in and outside of articles. What is left are the
-   slots; of those the page's article or main element, where it has one, is the main text, and names and elements that
+3. Each page is aligned once more: elements whose text is template are constant, the others slots. The content region is where
+   slots are: within the page's article or main element, if it has one. Constant elements beside the region go, in
+   articles too; constant ones among its slots stay, as section headings, standing sentences and bylines do. Names and elements that
    mean furniture (navigation, adverts, forms, comments) are left out, because such slots vary too. Outside an article,
    blocks that are links only are menus.
 
@@ -85,30 +86,45 @@ def own_texts(root: Node) -> dict[int, str]:
 
 
 def _blocks(root: Node, template: set[int], inside: bool) -> list[str]:
-    """Blocks of text at and below ``root`` in page order, without furniture and the texts of ``template`` elements."""
-    out: list[str] = []
+    """Blocks of the content region below ``root`` in page order, without furniture.
+
+    Blocks that are not in ``template`` are slots, and the region is where slots are. A template block stays if it stands among them: in an
+    element that holds slots too (outside an article, within the one that holds most of the page's), between the first and the last one, or as
+    a heading before the last. Template elements beside the region go, whatever is in them.
+    """
+    found: list[tuple[str, int | None, bool]] = []  # text, the parent of a template block, whether it is a heading
+    held: dict[int, int] = {}  # characters of slots below an element
     run: list[str] = []
     linked = [True]  # whether all of the run stands in links
+    open_blocks = [root]
 
     def flush() -> None:
         text = words_of("".join(run))
         run.clear()
         if text and (inside or not linked[0]):
-            out.append(text)
+            own = open_blocks[-1]
+            constant = id(own) in template
+            parent = open_blocks[-2] if len(open_blocks) > 1 else own
+            found.append((text, id(parent) if constant else None, own.tag in _HEADING))
+            if not constant:
+                held[id(own)] = held.get(id(own), 0) + len(text)
         linked[0] = True
 
-    stack = [(root, iter(root.parts), id(root) in template, False)]
+    stack = [(root, iter(root.parts), False)]
     while stack:
-        node, parts, muted, link = stack[-1]
+        node, parts, link = stack[-1]
         part = next(parts, None)
         if part is None:
             stack.pop()
             if node.tag in BLOCK:
                 flush()
+                if node is not root:
+                    open_blocks.pop()
+                    above = id(open_blocks[-1])
+                    held[above] = held.get(above, 0) + held.get(id(node), 0)
         elif isinstance(part, str):
-            if not muted:
-                run.append(part)
-                linked[0] &= link or not part.strip()
+            run.append(part)
+            linked[0] &= link or not part.strip()
         elif part.tag in ("br", "hr"):
             run.append(" ")
         elif _furniture(part, inside):
@@ -118,10 +134,31 @@ def _blocks(root: Node, template: set[int], inside: bool) -> list[str]:
                 run.append(" ")
         elif part.tag in BLOCK:
             flush()
-            stack.append((part, iter(part.parts), id(part) in template, link))
+            open_blocks.append(part)
+            stack.append((part, iter(part.parts), link))
         else:
-            stack.append((part, iter(part.parts), muted, link or part.tag == "a"))
+            stack.append((part, iter(part.parts), link or part.tag == "a"))
     flush()
+    slots = [i for i, (_, parent, _) in enumerate(found) if parent is None]
+    if not slots:
+        return []
+    region = None if inside else _region(root, held)
+    among = lambda i, parent, heading: held.get(parent, 0) and (region is None or parent in region) and (heading or i > slots[0]) and i < slots[-1]
+    return [text for i, (text, parent, heading) in enumerate(found) if parent is None or among(i, parent, heading)]
+
+
+def _region(root: Node, held: dict[int, int]) -> set[int]:
+    """The elements in and below the outermost one, the body apart, that holds more than half of all slots; none if there is no such."""
+    node, half = root, held.get(id(root), 0) / 2
+    while node is root or node.tag in ("html", "body"):
+        node = next((k for k in node.kids if held.get(id(k), 0) > half), None)
+        if node is None:
+            return set()
+    out, stack = set(), [node]
+    while stack:
+        some = stack.pop()
+        out.add(id(some))
+        stack += some.kids
     return out
 
 
