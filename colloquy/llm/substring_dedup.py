@@ -3,15 +3,16 @@
 1. Seeds: of every ``window`` windows of ``k`` words in a row the one with the least hash (a minimizer), so any run of
    ``k + window - 1`` equal words in two documents shares a seed. Long seeds of ``long_k`` words are taken beside them: they
    link holders of the passage itself, where short seeds may stand alone in many other documents.
-2. Seeds are sorted by seed and doc_id over range partitions. Each place of a seed is linked with the first document of its
-   partition that has it, and that of a long seed with the document just before it too, place by place where a document has
-   several, and never with all others: two rows at most per place, however many documents share it. Ranges include the doc_id, so a seed in a third of
-   all documents is spread over many tasks; what meets across the borders of partitions is linked by a table of border rows.
+2. Seeds are sorted by seed and doc_id over range partitions. Each place of a seed is linked with the first document that has it
+   and with the document just before it, place by place where a document has several, and never with all others: two rows at most per
+   place, however many documents share it. Ranges include the doc_id, so a seed in a third of all documents is spread over many tasks;
+   what meets across the borders of partitions is linked by a table of border rows, so links do not depend on the partitions.
 3. Matches of a document with an earlier one are merged along their diagonals and chained: the best chain that keeps the
    order in both texts, less a cost for gaps, by a Fenwick tree of prefix maxima.
-4. Chains are aligned: the words of both stretches are fetched, ends are extended over equal words, and the identity is the
-   longest common subsequence (bit-parallel) by the longer stretch. A chain whose identity is too low is split at its widest gap and its
-   parts are aligned again, so passages on both sides of other words are each found.
+4. Chains are aligned: the words of both stretches are fetched, ends are extended over equal words, and the identity is that of
+   the seeds' words and of the longest common subsequences (bit-parallel) between them, by the longer stretch. A chain whose identity is too
+   low is split at its widest gap, so passages on both sides of other words are each found. This runs in two rounds: chains with
+   first holders and of long seeds, then whatever matches lie in no stretch found, single ones and those with nearest holders too.
 5. A document's aligned stretches, of whichever owners, are joined where they touch; those of ``min_words`` words or
    more are its repeated passages. The first document (smallest doc_id) of a passage has none for it.
 
@@ -32,7 +33,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import textkernel as tk
@@ -47,7 +49,7 @@ class PassageSearch:
     long_window: int = 30  # any long_k + long_window - 1 equal words share a long seed: less than min_words
     reach: int = 48  # words between matches on one diagonal that are taken as one stretch
     gap_cost: float = 0.25
-    min_chain: int = 12  # words from a chain's first match to its last; shorter ones are phrases, not passages
+    first_chain: int = 12  # words from a chain's first match to its last that are aligned in the first round; shorter ones wait for the second
     min_stretch: int = 12  # words of an aligned stretch
     flank: int = 48  # words fetched beyond a chain's ends
     min_words: int = 50
@@ -112,8 +114,8 @@ def seeds(docs: DataFrame, how: PassageSearch) -> DataFrame:
     return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "seed long, doc_id long, pos int")
 
 
-def link_places(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (later, earlier) of sorted places: each with the first document of its seed, and of odd (long) seeds the one before it.
+def link_places(seed: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (later, earlier) of sorted places: each with the first document of its seed, then each with the one before it, if another.
 
     Where documents have a seed several times, the places are paired in order (what is left with the last).
     """
@@ -129,43 +131,80 @@ def link_places(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.
     run_of_seed = np.maximum.accumulate(np.where(new_seed[start], np.arange(len(start)), 0))
     pairs = []
     here = np.arange(len(start))
-    for other, wanted in ((run_of_seed, run_of_seed < here), (here - 1, (run_of_seed < here - 1) & (seed[start] & 1 == 1))):
+    for other, wanted in ((run_of_seed, run_of_seed < here), (here - 1, run_of_seed < here - 1)):
         later = np.flatnonzero(wanted[run])
         partner = other[run[later]]
         pairs.append((later, start[partner] + np.minimum(rank[later], count[partner] - 1)))
-    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+    return pairs
+
+
+_LINKS = "kind byte, part int, seed long, doc_id long, owner long, pos int, opos int, at array<int>"
+_FIRST, _NEAR, _OPEN, _HEAD, _TAIL = range(5)
+
+
+def _links(columns: dict, kind: int, part: int) -> pa.RecordBatch:
+    n = len(columns["seed"])
+    types = {"seed": pa.int64(), "doc_id": pa.int64(), "owner": pa.int64(), "pos": pa.int32(), "opos": pa.int32(), "at": pa.list_(pa.int32())}
+    cols = [pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, part, np.int32))]
+    cols += [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "part", *types])
 
 
 def seed_matches(rows: DataFrame) -> DataFrame:
-    """``seed, doc_id, owner, pos, opos`` of linked places; ``owner`` is the earlier document."""
+    """``seed, doc_id, owner, pos, opos, near`` of linked places; ``owner`` is the first document of the seed, or (``near``) the one just before.
+
+    A seed whose places fill several partitions is linked as if it stood in one: the first seed of every partition may have begun
+    before, so its places stay open until the borders are known. A partition's borders are the first and the last document of its first
+    seed and of its last one, with their places: four rows a partition at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "doc_id", "owner", "pos", "opos"]
+        part = TaskContext.get().partitionId()
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
         linked = 0  # rows of ``held`` that are linked already
-        begun = False
-
-        def rows_of(table: list[np.ndarray], later: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
-            seed, doc, pos = table
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (seed[later], doc[later], doc[earlier], pos[later], pos[earlier])], names=names)
-
-        def borders(table: list[np.ndarray], rows: slice) -> pa.RecordBatch:
-            seed, doc, pos = (x[rows] for x in table)
-            none = pa.nulls(len(seed), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(doc), none, pa.array(pos), pa.nulls(len(seed), pa.int32())], names=names)
+        opening: int | None = None  # the partition's first seed
+        opened: list[tuple[int, list[int]]] = []  # its first and its last document so far, with their places
+
+        def link(table: list[np.ndarray], upto: int, fresh_from: int) -> Iterator[pa.RecordBatch]:
+            seed, doc, pos = (x[:upto] for x in table)
+            for kind, (later, earlier) in zip((_FIRST, _NEAR), link_places(seed, doc)):
+                fresh = (later >= fresh_from) & (seed[later] != opening)
+                later, earlier = later[fresh], earlier[fresh]
+                yield _links({"seed": seed[later], "doc_id": doc[later], "owner": doc[earlier], "pos": pos[later], "opos": pos[earlier]}, kind, part)
+
+        def open_rows(table: list[np.ndarray], upto: int, fresh_from: int) -> Iterator[pa.RecordBatch]:
+            """The first seed's places: ``owner`` is the document before, if it is in this partition; ``at`` the place's number in its document and the places there."""
+            n = int(np.searchsorted(table[0][:upto] != opening, True)) if upto and table[0][0] == opening else 0
+            if n <= fresh_from:
+                return
+            doc, pos = table[1][:n], table[2][:n]
+            start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            ends = np.append(start[1:], n)
+            cols: dict[str, list] = {"seed": [], "doc_id": [], "owner": [], "pos": [], "opos": [], "at": []}
+            for i, (x, y) in enumerate(zip(start.tolist(), ends.tolist())):
+                places = pos[x:y].tolist()
+                before = (int(doc[x - 1]), pos[start[i - 1] : x].tolist()) if i else None
+                if x >= fresh_from:
+                    for r, p in enumerate(places):
+                        cols["seed"].append(opening), cols["doc_id"].append(int(doc[x])), cols["pos"].append(p), cols["at"].append([r])
+                        cols["owner"].append(before[0] if before else None), cols["opos"].append(before[1][min(r, len(before[1]) - 1)] if before else None)
+                    opened[1:] = [(int(doc[x]), places)]
+                    if len(opened) == 1 or opened[0][0] == int(doc[x]):
+                        opened[:1] = [(int(doc[x]), places)]
+            yield _links(cols, _OPEN, part)
+
+        def edge(kind: int, seed: int, doc: int, places: list[int]) -> pa.RecordBatch:
+            return _links({"seed": [seed], "doc_id": [doc], "at": [places]}, kind, part)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("seed", "doc_id", "pos"), strict=True)]
             seed, doc, _ = table
-            if not begun:
-                yield borders(table, slice(0, 1))
-                begun = True
+            opening = int(seed[0]) if opening is None else opening
             last = len(seed) - int(np.argmax((seed[::-1] != seed[-1]) | (doc[::-1] != doc[-1]))) if (seed[0], doc[0]) != (seed[-1], doc[-1]) else 0
-            later, earlier = link_places(*(x[:last] for x in table))
-            fresh = later >= linked
-            yield rows_of(table, later[fresh], earlier[fresh])
+            yield from link(table, last, linked)
+            yield from open_rows(table, last, linked)
             # kept for the next batch: the last run, which may go on, and if its seed has others the first and the last of them
             same = int(np.searchsorted(seed[:last] == seed[-1], True)) if last and seed[last - 1] == seed[-1] else last
             keep = np.zeros(len(seed), bool)
@@ -174,19 +213,37 @@ def seed_matches(rows: DataFrame) -> DataFrame:
                 keep[same:last] = (doc[same:last] == doc[same]) | (doc[same:last] == doc[last - 1])
             linked = int(keep[:last].sum())
             held = [x[keep] for x in table]
-        later, earlier = link_places(*held)
-        fresh = later >= linked
-        yield rows_of(held, later[fresh], earlier[fresh])
-        if begun:
-            yield borders(held, slice(len(held[0]) - 1, None))
+        yield from link(held, len(held[0]), linked)
+        yield from open_rows(held, len(held[0]), linked)
+        if opening is not None:
+            yield edge(_HEAD, opening, *opened[0])
+            seed, doc, pos = held
+            if seed[-1] == opening:
+                yield edge(_TAIL, opening, *opened[-1])
+            else:
+                own = seed == seed[-1]
+                first = own & (doc == doc[own][0])
+                final = own & (doc == doc[-1])
+                yield edge(_HEAD, int(seed[-1]), int(doc[first][0]), pos[first].tolist())
+                yield edge(_TAIL, int(seed[-1]), int(doc[-1]), pos[final].tolist())
 
     dealt = rows.repartitionByRange("seed", "doc_id").sortWithinPartitions("seed", "doc_id", "pos")
-    linked = materialise(dealt.mapInArrow(run, "seed long, doc_id long, owner long, pos int, opos int"), "seed-links")
-    # the first and the last row of each partition, in order: two rows per task at most
-    order = Window.orderBy("seed", "doc_id", "pos")
-    edges = linked.where("owner IS NULL").select("seed", "doc_id", F.lag("seed").over(order).alias("before"), F.lag("doc_id").over(order).alias("owner"), "pos", F.lag("pos").over(order).alias("opos"))
-    edges = edges.where("seed = before AND doc_id <> owner").select("seed", "doc_id", "owner", "pos", "opos")
-    return linked.where("owner IS NOT NULL").unionByName(edges)
+    found = materialise(dealt.mapInArrow(run, _LINKS), "seed-links")
+    linked = found.where(F.col("kind") <= _NEAR).select("seed", "doc_id", "owner", "pos", "opos", (F.col("kind") == _NEAR).alias("near"))
+    heads = found.where(F.col("kind") == _HEAD).groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("head"))
+    # the last document of the last partition before that has the seed too
+    tails = found.where(F.col("kind") == _TAIL).select("seed", F.col("part").alias("tail_part"), F.struct("doc_id", "at").alias("tail"))
+    parts = found.where(F.col("kind") == _HEAD).select("seed", "part").distinct()
+    earlier = parts.join(tails, "seed").where("tail_part < part").groupBy("seed", "part").agg(F.max_by("tail", "tail_part").alias("tail"))
+    edges = materialise(parts.join(heads, "seed").join(earlier, ["seed", "part"], "left"), "edges")  # two rows a partition at most
+    open_ = found.where(F.col("kind") == _OPEN).withColumn("rank", F.col("at")[0]).drop("at", "kind")
+    both = open_.join(F.broadcast(edges), ["seed", "part"])
+    place = lambda at: F.element_at(at, F.least(F.col("rank") + 1, F.size(at)))
+    to_first = both.where("doc_id <> head.doc_id").select("seed", "doc_id", F.col("head.doc_id").alias("owner"), "pos", place(F.col("head.at")).alias("opos"), F.lit(False).alias("near"))
+    last = F.coalesce(F.col("owner"), F.col("tail.doc_id"))
+    to_last = both.withColumns({"last": last, "last_pos": F.coalesce(F.col("opos"), place(F.col("tail.at")))}).where("last IS NOT NULL AND last <> head.doc_id AND doc_id <> last")
+    to_last = to_last.select("seed", "doc_id", F.col("last").alias("owner"), "pos", F.col("last_pos").alias("opos"), F.lit(True).alias("near"))
+    return linked.unionByName(to_first).unionByName(to_last)
 
 
 class _PrefixMax:
@@ -256,7 +313,7 @@ def chains(runs: list[tuple[int, int, int, int]], gap_cost: float) -> list[list[
     return out
 
 
-def _stretches(matches: DataFrame, how: PassageSearch) -> DataFrame:
+def _stretches(matches: DataFrame, how: PassageSearch, least: int = 0) -> DataFrame:
     """``doc_id, owner, s, e, os, oe, ps, pe, po`` of chained matches; the last three are starts, ends and other starts of what the seeds cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +331,7 @@ def _stretches(matches: DataFrame, how: PassageSearch) -> DataFrame:
                     on.setdefault(s - os, []).append((s, e))
                 for chain in chains(runs, how.gap_cost):
                     (s, e1, os, _), (s2, e, os2, _) = runs[chain[0]], runs[chain[-1]]
-                    if e - s < how.min_chain:
+                    if e - s < least:
                         continue
                     parts = [(x, y, x - ps + po) for ps, pe, po, _ in (runs[i] for i in chain) for x, y in on[ps - po] if ps <= x < pe]
                     rows.append((doc, owner, s, e, os, os2 + e - s2, *map(list, zip(*parts, strict=True))))
@@ -282,7 +339,7 @@ def _stretches(matches: DataFrame, how: PassageSearch) -> DataFrame:
             kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "owner", "s", "e", "os", "oe", "ps", "pe", "po"])
 
-    grouped = matches.groupBy("doc_id", "owner").agg(F.collect_list(F.struct("pos", "opos")).alias("at")).where(F.size("at") > 1)
+    grouped = matches.groupBy("doc_id", "owner").agg(F.collect_list(F.struct("pos", "opos")).alias("at"))
     return grouped.mapInArrow(run, "doc_id long, owner long, s int, e int, os int, oe int, ps array<int>, pe array<int>, po array<int>")
 
 
@@ -316,7 +373,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _extend(a: np.ndarray, b: np.ndarray, cost: int = 2) -> int:
-    """How far two sequences go on together from their beginning: one point a match, ``cost`` off a mismatch, while it pays."""
+    """How far two sequences go on together from their beginning: one point a match, ``cost`` off a mismatch, as far as it pays."""
     n = min(len(a), len(b))
     if not n:
         return 0
@@ -324,7 +381,7 @@ def _extend(a: np.ndarray, b: np.ndarray, cost: int = 2) -> int:
     stop = np.flatnonzero(np.maximum.accumulate(np.maximum(sums, 0)) - sums > 8 * cost)
     if len(stop):
         sums = sums[: stop[0] + 1]
-    best = int(np.argmax(sums))
+    best = len(sums) - 1 - int(np.argmax(sums[::-1]))  # the farthest of equal ones
     return best + 1 if sums[best] > 0 else 0
 
 
@@ -341,38 +398,58 @@ def common(a: list[int], b: list[int]) -> int:
     return len(b) - row.bit_count()
 
 
+def _on(a: np.ndarray, b: np.ndarray, cost: int) -> int:
+    """``_extend`` in widening looks, so that it costs what it finds."""
+    n, look = min(len(a), len(b)), 128
+    while True:
+        found = _extend(a[:look], b[:look], cost)
+        if look >= n or found < look - 8 * cost - 1:
+            return found
+        look *= 4
+
+
 def parts_alike(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]], how: PassageSearch) -> list[tuple[int, int, int, int, float]]:
     """``start, end, other start, other end, identity`` of a chain, or of its parts if it is not alike as a whole.
 
-    ``pieces`` are the stretches ``start, end, other start`` of the chain that seeds cover. A chain under the identity
-    is split at its widest gap, again and again down to single pieces.
+    ``pieces`` are the stretches ``start, end, other start`` of the chain that seeds cover; they are equal word by word. The words between two
+    of them are compared once (their longest common subsequence), so any part's equal words are a difference of sums. A chain
+    under the identity is split at its widest gap, again and again down to single pieces.
     """
+    n = len(pieces)
+    equal, wide = [pieces[0][1] - pieces[0][0]], []
+    for (s, e, os), (s2, e2, os2) in zip(pieces, pieces[1:]):
+        oe = os + e - s
+        between = 0
+        if e < s2 and oe < os2:
+            x, y = a[e:s2], b[oe:os2]
+            between = len(x) if np.array_equal(x, y) else common(x.tolist(), y.tolist())
+        equal += [between, e2 - s2]
+        wide.append(max(s2 - e, os2 - oe))
+    sums = np.concatenate([[0], np.cumsum(equal)])
     found = set()
-    left = [(0, len(pieces))]
+    left = [(0, n)]
     while left:
         i, j = left.pop()
         s, e, os = pieces[i][0], pieces[j - 1][1], pieces[i][2]
         oe = pieces[j - 1][2] + e - pieces[j - 1][0]
-        for cost in (2, 4):  # at 4, what an exact piece is extended by is alike
-            back = _extend(a[:s][::-1], b[:os][::-1], cost)
-            on = _extend(a[e:], b[oe:], cost)
-            x, y = a[s - back : e + on], b[os - back : oe + on]
-            same = len(x) if np.array_equal(x, y) else common(x.tolist(), y.tolist())
-            identity = same / max(len(x), len(y), 1)
+        inner = int(sums[2 * j - 1] - sums[2 * i])
+        for cost in (1, 2, 4):  # the widest that is alike; at 4, what an exact piece is extended by is
+            back, on = _on(a[:s][::-1], b[:os][::-1], cost), _on(a[e:], b[oe:], cost)
+            same = inner + int((a[s - back : s] == b[os - back : os]).sum()) + int((a[e : e + on] == b[oe : oe + on]).sum())
+            identity = same / max(e - s + back + on, oe - os + back + on, 1)
             if identity >= how.identity:
                 break
         if identity >= how.identity:
             if e + on - s + back >= how.min_stretch:
                 found.add((s - back, e + on, os - back, oe + on, identity))
         elif j - i > 1:
-            gaps = [max(q[0] - p[1], q[2] - p[2] - p[1] + p[0]) for p, q in zip(pieces[i : j - 1], pieces[i + 1 : j], strict=True)]
-            cut = i + 1 + int(np.argmax(gaps))
+            cut = i + 1 + int(np.argmax(wide[i : j - 1]))
             left += [(i, cut), (cut, j)]
     return sorted(found)
 
 
 def _ends(words: np.ndarray, at: np.ndarray, own: np.ndarray, other: np.ndarray, step: int) -> np.ndarray:
-    """``_extend`` of many rows at once: from the places ``at`` of two flat arrays on, ``step`` 1 or -1, within ``own`` words.
+    """``_extend`` of many rows at once, at one off a mismatch: from the places ``at`` of two flat arrays on, ``step`` 1 or -1, within ``own`` words.
 
     ``words`` and ``at`` have a row for each side.
     """
@@ -383,11 +460,11 @@ def _ends(words: np.ndarray, at: np.ndarray, own: np.ndarray, other: np.ndarray,
     k = np.arange(width)
     ok = k[None] < room[:, None]
     i, j = (np.where(ok, x[:, None] + step * k[None], 0) for x in at)
-    points = np.where(ok, np.where(words[0][i] == words[1][j], 1, -2), -64)
+    points = np.where(ok, np.where(words[0][i] == words[1][j], 1, -1), -64)
     sums = np.cumsum(points, axis=1)
-    dropped = np.maximum.accumulate(np.maximum(sums, 0), axis=1) - sums > 16
+    dropped = np.maximum.accumulate(np.maximum(sums, 0), axis=1) - sums > 8
     sums[np.logical_or.accumulate(dropped, axis=1)] = -1
-    best = np.argmax(sums, axis=1)
+    best = width - 1 - np.argmax(sums[:, ::-1], axis=1)
     return np.where(sums[np.arange(len(best)), best] > 0, best + 1, 0)
 
 
@@ -455,12 +532,9 @@ def _passages(aligned: DataFrame, how: PassageSearch) -> DataFrame:
     return parts.mapInArrow(run, PASSAGES)
 
 
-def find_passages(docs: DataFrame, how: PassageSearch = PassageSearch()) -> DataFrame:
-    """One row per passage that a document shares with an earlier one."""
-    matches = seed_matches(seeds(docs, how))
-    within = F.when(F.col("seed").bitwiseAND(1) == 1, F.sequence(F.lit(0), F.lit(how.long_k - how.k), F.lit(how.k))).otherwise(F.array(F.lit(0)))
-    matches = matches.select("doc_id", "owner", "pos", "opos", F.explode(within).alias("step")).selectExpr("doc_id", "owner", "pos + step AS pos", "opos + step AS opos")
-    found = materialise(_stretches(matches, how), "stretches")
+def _aligned(docs: DataFrame, matches: DataFrame, how: PassageSearch, least: int) -> DataFrame:
+    """Aligned stretches of chained matches (``doc_id, owner, pos, opos``) of ``least`` words or more."""
+    found = materialise(_stretches(matches, how, least), "stretches")
     lo, hi = _span("s", "e", how)
     olo, ohi = _span("os", "oe", how)
     found = found.withColumns({"lo": lo, "hi": hi, "olo": olo, "ohi": ohi})
@@ -468,7 +542,23 @@ def find_passages(docs: DataFrame, how: PassageSearch = PassageSearch()) -> Data
     fetched = materialise(_fetch(docs, wanted), "stretch-words")
     other = fetched.select(F.col("doc_id").alias("owner"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), F.col("words").alias("owords"))
     pairs = found.join(other, ["owner", "olo", "ohi"]).join(fetched, ["doc_id", "lo", "hi"])
-    return _passages(_align(pairs.select("doc_id", "owner", "s", "e", "os", "oe", "lo", "olo", "ps", "pe", "po", "words", "owords"), how), how)
+    return materialise(_align(pairs.select("doc_id", "owner", "s", "e", "os", "oe", "lo", "olo", "ps", "pe", "po", "words", "owords"), how), "aligned")
+
+
+def find_passages(docs: DataFrame, how: PassageSearch = PassageSearch()) -> DataFrame:
+    """One row per passage that a document shares with an earlier one.
+
+    The first round aligns what is linked with first holders and by long seeds. Its stretches explain most matches; all others, those
+    with the nearest earlier holder and single ones included, are chained and aligned in the second round.
+    """
+    within = F.when(F.col("seed").bitwiseAND(1) == 1, F.sequence(F.lit(0), F.lit(how.long_k - how.k), F.lit(how.k))).otherwise(F.array(F.lit(0)))
+    links = materialise(seed_matches(seeds(docs, how)), "links")
+    spread = lambda rows: rows.select("doc_id", "owner", "pos", "opos", F.explode(within).alias("step")).selectExpr("doc_id", "owner", "pos + step AS pos", "opos + step AS opos")
+    one = _aligned(docs, spread(links.where("NOT near OR seed & 1 = 1")), how, how.first_chain)
+    known = one.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("known")).hint("merge")  # grows with the documents: never broadcast
+    rest = spread(links).join(known, "doc_id", "left")
+    rest = rest.where(~F.coalesce(F.exists("known", lambda x: (x["s"] <= F.col("pos")) & (F.col("pos") + how.k <= x["e"])), F.lit(False))).drop("known")
+    return _passages(one.unionByName(_aligned(docs, rest, how, 0)), how)
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

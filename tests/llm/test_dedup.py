@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from colloquy.llm import minhash_dedup, substring_dedup
@@ -147,8 +148,10 @@ def test_passage_whose_phrases_stand_alone_in_earlier_documents(spark):
     assert abs(found["start_word"] - 40) <= 2 and abs(found["end_word"] - 100) <= 2
 
 
-@pytest.mark.parametrize(("identity", "recall"), [(0.8, 0.7), (0.85, 0.8), (0.9, 1.0)])
-def test_recall_of_edited_passages(spark, identity, recall):
+@pytest.mark.parametrize("phrases", [False, True])
+@pytest.mark.parametrize(("identity", "recall"), [(0.8, 0.9), (0.85, 0.9), (0.9, 1.0)])
+def test_recall_of_edited_passages(spark, identity, recall, phrases):
+    """Of 60 words with edits; with ``phrases``, eight words of each passage stand alone in six earlier documents too."""
     rng = random.Random(41)
     texts, planted = [], 40
     for _ in range(planted):
@@ -158,11 +161,69 @@ def test_recall_of_edited_passages(spark, identity, recall):
             again[i] = f"edit{rng.randrange(10**9)}"
         assert substring_dedup.common(first, again) >= 60 * identity  # what brute force finds
         texts += [[*prose(rng, 60), *p, *prose(rng, 60)] for p in (first, again)]
+    if phrases:
+        early = [[*prose(rng, 20), *texts[2 * i][60 + a : 68 + a], *prose(rng, 20)] for i in range(planted) for a in range(2, 52, 9)]
+        texts = [*early[: len(early) // 2 * 2], *texts]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     found = {r["doc_id"] for r in substring_dedup.find_passages(docs).collect() if r["start_word"] < 120 and r["end_word"] > 60 and r["source_doc_id"] == r["doc_id"] - 1}
     assert len(found) >= recall * planted, len(found)
 
 
+def test_edited_passage_whose_phrases_stand_in_many_earlier_documents(spark):
+    """Every twelfth word is edited, so no long seed links the two holders; each phrase has an earlier first holder."""
+    rng = random.Random(43)
+    first = prose(rng, 200)
+    again = [f"edit{i}" if i % 12 == 11 else w for i, w in enumerate(first)]
+    texts = [(i, [*prose(rng, 30), *first[12 * i : 12 * i + 11], *prose(rng, 30)]) for i in range(17)]
+    texts += [(1000, [*prose(rng, 40), *first, *prose(rng, 40)]), (1001, [*prose(rng, 40), *again, *prose(rng, 40)])]
+    (found,) = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")).collect()
+    assert (found["doc_id"], found["source_doc_id"]) == (1001, 1000)
+    assert abs(found["start_word"] - 40) <= 2 and abs(found["end_word"] - 240) <= 3
+
+
+def _plain_links(rows):
+    by = {}
+    for seed, doc, pos in rows:
+        by.setdefault(seed, {}).setdefault(doc, []).append(pos)
+    return {
+        (seed, d, o, p, docs[o][min(r, len(docs[o]) - 1)], o != min(docs))
+        for seed, docs in by.items() for i, d in enumerate(sorted(docs)) if i
+        for o in {min(docs), sorted(docs)[i - 1]} for r, p in enumerate(docs[d])
+    }
+
+
+@pytest.mark.parametrize("parts", [1, 2, 13, 64])
+def test_links_do_not_depend_on_partitions_or_batches(spark, parts):
+    rng = random.Random(3)
+    rows = sorted({(rng.choice([5, 5, 5, 7, rng.randrange(60)]), d, rng.randrange(1000)) for d in range(300) for _ in range(rng.randint(1, 12))})
+    given = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000" if parts == 2 else "37"}
+    before = {k: spark.conf.get(k) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        found = [tuple(r) for r in substring_dedup.seed_matches(spark.createDataFrame(rows, "seed long, doc_id long, pos int").repartition(3)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == len(set(found)) and set(found) == _plain_links(rows)
+
+
+def test_long_chains_are_aligned_in_linear_time():
+    """A match of fifty words in every hundred: one chain of 40,000 words, under the identity all over."""
+    import time
+
+    rng = np.random.default_rng(5)
+    n = 40_000
+    a, b = (rng.integers(0, 1 << 31, n, dtype=np.uint32) for _ in range(2))
+    pieces = [(i, i + 50, i) for i in range(0, n, 100)]
+    for s, e, _ in pieces:
+        b[s:e] = a[s:e]
+    began = time.perf_counter()
+    found = substring_dedup.parts_alike(a, b, pieces, substring_dedup.PassageSearch())
+    assert time.perf_counter() - began < 10  # about half a second where nothing else runs
+    assert [(s, e) for s, e, *_ in found] == [(s, e) for s, e, _ in pieces]
+
+
 def family(n: int, seed: int) -> list[list[str]]:
     """Copies of copies, each with a few words changed: many pairs lie about the limit."""
     rng = random.Random(seed)
