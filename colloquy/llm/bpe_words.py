@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import textkernel as tk
@@ -128,13 +128,18 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
     return texts(docs).mapInArrow(run, "batch long, doc_ids array<long>, counts array<long>, codes binary, words array<binary>")
 
 
+def _group_of(batch: Column, batches: int) -> Column:
+    """Which group of a word's rows a batch falls into: hashed, for batch numbers are multiples with small remainders."""
+    return F.pmod(F.xxhash64(batch), F.lit(-(-batches // _WORD_ROWS) or 1))
+
+
 def encode_words(words: DataFrame, rank_path: str, batches: int) -> DataFrame:
     """``batch, steps, counts, ids`` of rows ``word, place``: lists of some of a batch's words (``steps`` between their numbers).
 
     A place is the batch and, in its low ``_CODE_BITS`` bits, the word's number there. ``batches``: how many there are.
     """
 
-    keyed = words.withColumn("group", F.pmod(F.shiftright("place", _CODE_BITS), F.lit(-(-batches // _WORD_ROWS) or 1)))
+    keyed = words.withColumn("group", _group_of(F.shiftright("place", _CODE_BITS), batches))
     # dealt before they are gathered: the places of a word in one batch are one, so there is nothing to combine first
     met = keyed.repartition("word", "group").groupBy("word", "group").agg(F.collect_list("place").alias("places"))
 

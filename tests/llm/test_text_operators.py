@@ -181,3 +181,14 @@ def test_brackets_of_the_normal_form_keep_the_meaning():
         for n in range(5):
             for some in itertools.combinations("abcd", n):
                 assert license_scan.satisfied(first, set(some)) == license_scan.satisfied(again, set(some))
+
+
+def test_rows_of_a_hot_word_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.llm import bpe_words
+
+    tasks, each, groups = 4000, 5, 16
+    batches = spark.range(tasks).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: F.shiftleft(F.col("id"), bpe_words._TASK_BITS) + i)).alias("batch"))
+    sizes = [r["count"] for r in batches.groupBy(bpe_words._group_of(F.col("batch"), groups * bpe_words._WORD_ROWS).alias("g")).count().collect()]
+    assert len(sizes) == groups and max(sizes) < 1.2 * tasks * each / groups
