@@ -28,13 +28,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import textkernel as tk
@@ -52,9 +52,11 @@ class PassageSearch:
     first_chain: int = 12  # words from a chain's first match to its last that are aligned in the first round; shorter ones wait for the second
     min_stretch: int = 12  # words of an aligned stretch
     flank: int = 48  # words fetched beyond a chain's ends
+    late_flank: int = 16  # the same in the second round, whose chains are short and stand beside others
     min_words: int = 50
     identity: float = 0.8
     join_gap: int = 3  # words between stretches of one passage
+    company: int = 20  # words within which a match left for the second round has another one, or a stretch, beside it
 
 
 def _slide(values: np.ndarray, window: int, op: np.ufunc) -> np.ndarray:
@@ -350,14 +352,14 @@ def _span(start: str, end: str, how: PassageSearch):
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, lo, hi, words``: hashes (32 bits) of the wanted stretches of words."""
+    """``doc_id, lo, hi, words``: hashes of the wanted stretches of words, of 16 bits: of 65,536 words that differ one counts as equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column("spans")
             for a, b, data, offs in tk.blocks(batch.column("text")):
                 hashes, first = _hashes(data, offs)
-                short = (hashes >> np.uint64(32)).astype("<u4")
+                short = (hashes >> np.uint64(48)).astype("<u2")
                 rows = []
                 for i in range(a, b):
                     doc = batch.column("doc_id")[i].as_py()
@@ -478,8 +480,8 @@ def _align(pairs: DataFrame, how: PassageSearch) -> DataFrame:
         get = lambda c: batch.column(c).to_numpy().astype(np.int64)
         flat, begin, length = [], [], []
         for c in ("words", "owords"):
-            size = pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) // 4
-            flat.append(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4"))
+            size = pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) // 2
+            flat.append(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2"))
             begin.append(np.cumsum(size) - size)
             length.append(size)
         doc, owner, lo, olo = (get(c) for c in ("doc_id", "owner", "lo", "olo"))
@@ -548,17 +550,24 @@ def _aligned(docs: DataFrame, matches: DataFrame, how: PassageSearch, least: int
 def find_passages(docs: DataFrame, how: PassageSearch = PassageSearch()) -> DataFrame:
     """One row per passage that a document shares with an earlier one.
 
-    The first round aligns what is linked with first holders and by long seeds. Its stretches explain most matches; all others, those
-    with the nearest earlier holder and single ones included, are chained and aligned in the second round.
+    The first round aligns what is linked with first holders and by long seeds. Its stretches explain most matches; the others, those
+    with the nearest earlier holder and single ones of a pair included, are chained and aligned in the second round, where the document has another
+    one, of any owner, within ``company`` words, or a stretch of the first round. A passage at identity 0.8 has a shared seed every eight words
+    or so; one match alone is a phrase.
     """
     within = F.when(F.col("seed").bitwiseAND(1) == 1, F.sequence(F.lit(0), F.lit(how.long_k - how.k), F.lit(how.k))).otherwise(F.array(F.lit(0)))
     links = materialise(seed_matches(seeds(docs, how)), "links")
     spread = lambda rows: rows.select("doc_id", "owner", "pos", "opos", F.explode(within).alias("step")).selectExpr("doc_id", "owner", "pos + step AS pos", "opos + step AS opos")
     one = _aligned(docs, spread(links.where("NOT near OR seed & 1 = 1")), how, how.first_chain)
     known = one.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("known")).hint("merge")  # grows with the documents: never broadcast
-    rest = spread(links).join(known, "doc_id", "left")
-    rest = rest.where(~F.coalesce(F.exists("known", lambda x: (x["s"] <= F.col("pos")) & (F.col("pos") + how.k <= x["e"])), F.lit(False))).drop("known")
-    return _passages(one.unionByName(_aligned(docs, rest, how, 0)), how)
+    rest = spread(links).join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<s:int,e:int>>")))
+    pos, most = F.col("pos"), how.company
+    rest = rest.where(~F.exists("known", lambda x: (x["s"] <= pos) & (pos + how.k <= x["e"])))
+    by_place = Window.partitionBy("doc_id").orderBy("pos")
+    company = F.max("pos").over(by_place.rangeBetween(-most, -1)).isNotNull() | F.max("pos").over(by_place.rangeBetween(1, most)).isNotNull()
+    beside = F.exists("known", lambda x: (x["s"] - most <= pos) & (pos <= x["e"] + most))
+    rest = rest.withColumn("near_others", company | beside).where("near_others").select("doc_id", "owner", "pos", "opos")
+    return _passages(one.unionByName(_aligned(docs, rest, replace(how, flank=how.late_flank), 0)), how)
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
