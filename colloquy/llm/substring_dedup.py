@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import textkernel as tk
@@ -547,6 +547,17 @@ def _aligned(docs: DataFrame, matches: DataFrame, how: PassageSearch, least: int
     return materialise(_align(pairs.select("doc_id", "owner", "s", "e", "os", "oe", "lo", "olo", "ps", "pe", "po", "words", "owords"), how), "aligned")
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans ``s, e`` with those that touch as one."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last, kept = F.get(acc, F.size(acc) - 1), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        wider = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when(last["e"] >= x["s"], F.concat(kept, F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, F.expr("CAST(array() AS array<struct<s:int,e:int>>)"), step)
+
+
 def find_passages(docs: DataFrame, how: PassageSearch = PassageSearch()) -> DataFrame:
     """One row per passage that a document shares with an earlier one.
 
@@ -559,14 +570,15 @@ def find_passages(docs: DataFrame, how: PassageSearch = PassageSearch()) -> Data
     links = materialise(seed_matches(seeds(docs, how)), "links")
     spread = lambda rows: rows.select("doc_id", "owner", "pos", "opos", F.explode(within).alias("step")).selectExpr("doc_id", "owner", "pos + step AS pos", "opos + step AS opos")
     one = _aligned(docs, spread(links.where("NOT near OR seed & 1 = 1")), how, how.first_chain)
-    known = one.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("known")).hint("merge")  # grows with the documents: never broadcast
-    rest = spread(links).join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<s:int,e:int>>")))
+    known = one.groupBy("doc_id").agg(_merged(F.array_sort(F.collect_set(F.struct("s", "e")))).alias("known")).hint("merge")  # grows with the documents: never broadcast
     pos, most = F.col("pos"), how.company
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    rest = spread(links).join(known, "doc_id", "left").withColumn("known", F.coalesce("known", none))
     rest = rest.where(~F.exists("known", lambda x: (x["s"] <= pos) & (pos + how.k <= x["e"])))
+    rest = rest.withColumn("beside", F.exists("known", lambda x: (x["s"] - most <= pos) & (pos <= x["e"] + most))).drop("known")
     by_place = Window.partitionBy("doc_id").orderBy("pos")
     company = F.max("pos").over(by_place.rangeBetween(-most, -1)).isNotNull() | F.max("pos").over(by_place.rangeBetween(1, most)).isNotNull()
-    beside = F.exists("known", lambda x: (x["s"] - most <= pos) & (pos <= x["e"] + most))
-    rest = rest.withColumn("near_others", company | beside).where("near_others").select("doc_id", "owner", "pos", "opos")
+    rest = rest.withColumn("company", company).where("beside OR company").select("doc_id", "owner", "pos", "opos")
     return _passages(one.unionByName(_aligned(docs, rest, replace(how, flank=how.late_flank), 0)), how)
 
 
