@@ -6,15 +6,17 @@ Folds that depend on what came before run in blocks that agree at their borders
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import scan
-from colloquy.operators.word_alignment import align_words
+from colloquy.operators.word_alignment import align_all, letter_bags, letters_shared
 from colloquy.work import materialise
 
 
@@ -301,16 +303,32 @@ def stitch_methods(pairs: DataFrame) -> DataFrame:
 
 
 _PLACES = "array<struct<source_idx:int,target_idx:int>>"
+_PLACES_TYPE = pa.list_(pa.struct([("source_idx", pa.int32()), ("target_idx", pa.int32())]))
+_SLICE = 512  # rows of a batch that are held as Python objects at once
 
 
 def _aligned() -> Column:
-    @F.pandas_udf(_PLACES)
-    def align(source: pd.Series, target: pd.Series) -> pd.Series:
-        return pd.Series([align_words(list(a), list(b)) for a, b in zip(source, target, strict=True)])
+    @F.arrow_udf(_PLACES)
+    def align(source: pa.Array, target: pa.Array) -> pa.Array:
+        parts = [pa.array([], _PLACES_TYPE)]
+        for s, t in zip(slices(source), slices(target), strict=True):
+            found = list(align_all(list(zip(_word_lists(s), _word_lists(t), strict=True))))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            places = np.concatenate(found)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(places[:, c]) for c in (0, 1)], names=["source_idx", "target_idx"])))
+        return pa.concat_arrays([p.cast(_PLACES_TYPE) for p in parts])
 
     return align("source", "target")
 
 
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    return (column.slice(at, _SLICE) for at in range(0, len(column), _SLICE))
+
+
+def _word_lists(column: pa.Array) -> list[list[str]]:
+    return [words or [] for words in scan.plain(column)]
+
+
 def aligned_pairs(rows: DataFrame) -> DataFrame:
     """``pos, source_idx, target_idx`` of the best alignment of each row's ``source`` and ``target`` words; -1 stands for a gap."""
     kept = [c for c in rows.columns if c not in ("source", "target")]
@@ -336,27 +354,53 @@ def with_original_text(texts: DataFrame) -> DataFrame:
     """
     kind = "array<struct<text:string,start_s:double,end_s:double>>"
 
-    @F.pandas_udf(kind)
-    def timed(original: pd.Series, aligned: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-        return pd.Series([original_with_times(a.split(), list(b), s, e) for a, b, s, e in zip(original, aligned, start, end, strict=True)])
+    @F.arrow_udf(kind)
+    def timed(original: pa.Array, aligned: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        parts = [pa.array([], _TIMED_TYPE)]
+        for columns in zip(*map(slices, (original, aligned, start, end)), strict=True):
+            texts, *times = map(scan.plain, columns)
+            parts.append(_timed_lists(list(originals_with_times([a.split() for a in texts], *times))))
+        return pa.concat_arrays(parts)
 
     rows = texts.withColumn("w", timed(F.coalesce("original", F.lit("")), F.coalesce("aligned", F.array().cast(kind)), "start_s", "end_s"))
     return rows.select("transcript_id", F.posexplode("w").alias("word_idx", "w")).select("transcript_id", "word_idx", "w.*")
 
 
+def _timed_lists(rows: list[list[dict]]) -> pa.Array:
+    """The lists as Arrow has them, from columns."""
+    ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+    fields = [pa.array([w[f.name] for row in rows for w in row], f.type) for f in _TIMED_TYPE.value_type]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names=["text", "start_s", "end_s"])).cast(_TIMED_TYPE)
+
+
+_TIMED_TYPE = pa.list_(pa.struct([("text", pa.string()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
 def _spread(words: list[str], start: float, end: float, least: float = 0.02) -> list[dict]:
     step = (end - start) / len(words) if end > start else least
     return [{"text": w, "start_s": start + i * step, "end_s": start + (i + 1) * step} for i, w in enumerate(words)]
 
 
+def originals_with_times(original: list[list[str]], aligned: list[list[dict]], start: list[float], end: list[float]) -> Iterator[list[dict]]:
+    """Segments one by one; those whose counts differ are aligned side by side."""
+    uneven = [k for k, (a, b) in enumerate(zip(original, aligned, strict=True)) if len(a) != len(b)]
+    places = dict(zip(uneven, align_all([(original[k], [w["text"] for w in aligned[k]]) for k in uneven]), strict=True))
+    for k, row in enumerate(zip(original, aligned, start, end, strict=True)):
+        yield _with_times(*row, places[k].tolist() if k in places else None)
+
+
 def original_with_times(original: list[str], aligned: list[dict], start: float, end: float) -> list[dict]:
-    if len(original) == len(aligned):
+    return next(originals_with_times([original], [aligned], [start], [end]))
+
+
+def _with_times(original: list[str], aligned: list[dict], start: float, end: float, places: list[list[int]] | None) -> list[dict]:
+    if places is None:
         return [{"text": w, "start_s": a["start_s"], "end_s": a["end_s"]} for w, a in zip(original, aligned, strict=True)]
     out: list[dict] = []
     open_words: list[str] = []
     last = start
     behind = False  # whether aligned words widen the last word of ``out``
-    for i, j in align_words(original, [a["text"] for a in aligned]):
+    for i, j in places:
         if i >= 0 and j >= 0:
             if open_words:
                 out += _spread(open_words, last, aligned[j]["start_s"])

@@ -23,9 +23,9 @@ from colloquy.work import materialise
 Fold = Callable[[list[dict], object], tuple[list, object]]
 
 
-def blocks_of(rows: DataFrame, key: str, order: Sequence[str], size: int, run_up: int) -> DataFrame:
-    """``key, block, lead, items``: each block's rows in order behind ``lead`` rows of the block before."""
-    placed = positions(materialise(rows, "scanned"), [key], order, "_pos")
+def blocks_of(rows: DataFrame, key: str, order: Sequence[str], size: int, run_up: int, written: bool = False) -> DataFrame:
+    """``key, block, lead, items``: each block's rows in order behind ``lead`` rows of the block before; ``written`` rows are read as they are."""
+    placed = positions(rows if written else materialise(rows, "scanned"), [key], order, "_pos")
     block = F.expr(f"_pos div {size}")
     also = F.when((F.col("_pos") % size) >= size - run_up, F.array(block, block + 1)).otherwise(F.array(block))
     spread = placed.select(F.struct("_pos", *rows.columns).alias("item"), key, F.explode(also).alias("block"))
@@ -35,11 +35,27 @@ def blocks_of(rows: DataFrame, key: str, order: Sequence[str], size: int, run_up
     return items.select(key, "block", lead.alias("lead"), "items").where(F.col("lead") < F.size("items"))
 
 
+def plain(column: pa.Array) -> list:
+    """``column.to_pylist()``, but structs and lists are made from whole columns, not taken apart value by value."""
+    if pa.types.is_list(column.type):
+        ends = column.offsets.to_numpy()
+        values, at = plain(column.values.slice(ends[0], ends[-1] - ends[0])), (ends - ends[0]).tolist()
+        rows = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    elif pa.types.is_struct(column.type) and column.type.num_fields:
+        names = [f.name for f in column.type]
+        rows = [dict(zip(names, values, strict=True)) for values in zip(*map(plain, column.flatten()), strict=True)]
+    elif not column.null_count and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_numpy().tolist()
+    else:
+        return column.to_pylist()
+    return [r if ok else None for r, ok in zip(rows, column.is_valid().to_pylist(), strict=True)] if column.null_count else rows
+
+
 def _run(blocks: DataFrame, fold: Fold, key: str, given: bool, state_type: pa.DataType, out_type: pa.DataType, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):  # a block at a time: that bounds what is held as Python objects
-                whose, block, lead, items, *entry = (batch.column(c)[row].as_py() for c in range(batch.num_columns))
+                whose, block, lead, items, *entry = (plain(batch.column(c).slice(row, 1))[0] for c in range(batch.num_columns))
                 state = entry[0] if given else (fold(items[:lead], None)[1] if lead else None)
                 out, end = fold(items[lead:], state)
                 held = [pa.array([whose], batch.column(0).type), pa.array([block], pa.int64()), pa.array([state], state_type), pa.array([end], state_type), pa.array([out], pa.list_(out_type))]
@@ -48,16 +64,17 @@ def _run(blocks: DataFrame, fold: Fold, key: str, given: bool, state_type: pa.Da
     return blocks.mapInArrow(run, schema)
 
 
-def carried_scan(rows: DataFrame, key: str, order: Sequence[str], fold: Fold, state: str, out: str, size: int = 8192, run_up: int = 64) -> DataFrame:
+def carried_scan(rows: DataFrame, key: str, order: Sequence[str], fold: Fold, state: str, out: str, size: int = 8192, run_up: int = 64, written: bool = False) -> DataFrame:
     """``key, block, items, out``: blocks of rows (``items``, with ``_pos`` in front) and the fold's outputs beside them, one a row.
 
-    ``fold`` starts from None at the head of a group. ``state`` and ``out`` are types of a state and an output, in DDL.
+    ``fold`` starts from None at the head of a group. ``state`` and ``out`` are types of a state and an output, in DDL; ``written``: ``rows``
+    are a table already and need not be written again.
     """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], f"state {state}, out {out}").schema
     types = to_arrow_type(empty["state"].dataType), to_arrow_type(empty["out"].dataType)
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, block long, entry {state}, end {state}, out array<{out}>"
-    blocks = materialise(blocks_of(rows, key, order, size, min(run_up, size)), "blocks")
+    blocks = materialise(blocks_of(rows, key, order, size, min(run_up, size), written), "blocks")
     latest = materialise(_run(blocks, fold, key, False, *types, schema), "runs")
     in_order = Window.partitionBy(key).orderBy("block")
     while True:
