@@ -135,7 +135,7 @@ def fill_unknown(pairs: DataFrame) -> DataFrame:
 # --- stitching of overlapping chunks --------------------------------------------------------------
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def _alike(a: str, b: str, ratio: float = 0.7) -> bool:
     """Whether two words in lower case are alike; what their lengths alone or shared letters rule out is not compared."""
     if a == b:
@@ -154,6 +154,22 @@ def _share_alike(a: Sequence[str], b: Sequence[str], share: float) -> bool:
     return True
 
 
+def _long_enough(end: Sequence[str], begin: Sequence[str], share: float) -> list[int]:
+    """Lengths, longest first, at which the end of one list may repeat the beginning of the other; ``_share_alike`` fails at all others.
+
+    Words that are alike share 0.7 of their letters, and counts of letters by bucket are never less than what is shared; so of all lengths
+    only those are held word by word where enough pairs may be alike.
+    """
+    most = len(end)
+    lengths, bags = letter_bags([*end, *begin])
+    both = np.maximum(lengths[:most, None] + lengths[None, most:], 1)
+    likely = (2.0 * letters_shared(bags[:most], bags[most:]) / both >= 0.7) | (both <= 1)
+    i, j = np.nonzero(likely)
+    n = np.arange(1, most + 1)
+    different = n - np.bincount((most - (i - j))[i >= j], minlength=most + 1)[1:]
+    return n[(different <= n - share * n + 1e-9) | (different == 0)][::-1].tolist()
+
+
 def _partly(a: str, b: str) -> bool:
     """Whether one word may be the cut-off form of the other: within one over 1.5 times as long, or the same half at an end."""
     short, long = sorted((a.lower(), b.lower()), key=len)
@@ -213,7 +229,7 @@ def overlap_length(left: Sequence, right: Sequence, share: float = 0.6, window:
         left, right = [w["text"] for w in left], [w["text"] for w in right]
     most = min(len(left), len(right))
     end, begin = [w.lower() for w in left[len(left) - most :]], [w.lower() for w in right[:most]]
-    for n in range(most, 0, -1):
+    for n in _long_enough(end, begin, share):
         a, b = end[most - n :], begin[:n]
         if a == b:
             return n, "exact"
@@ -294,10 +310,10 @@ def tail_window(text: Column, words: int = 100) -> tuple[Column, Column]:
 def stitch_methods(pairs: DataFrame) -> DataFrame:
     """Rule and length of the overlap of each row's ``left`` and ``right`` words."""
 
-    @F.pandas_udf("struct<n:int,rule:string>")
-    def find(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        found = [overlap_length(list(a), list(b)) for a, b in zip(left, right, strict=True)]
-        return pd.DataFrame({"n": [f[0] for f in found], "rule": [f[1] for f in found]})
+    @F.arrow_udf("struct<n:int,rule:string>")
+    def find(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = [overlap_length(a, b) for s, t in zip(slices(left), slices(right), strict=True) for a, b in zip(_word_lists(s), _word_lists(t), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string())], names=["n", "rule"])
 
     return pairs.withColumn("overlap", find("left", "right")).select("*", "overlap.n", "overlap.rule").drop("overlap")
 
