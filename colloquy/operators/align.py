@@ -261,9 +261,10 @@ def _stitch(reach: int) -> scan.Fold:
 def _seams(chunks: DataFrame, block: int, run_up: int) -> DataFrame:
     """``transcript_id, chunk, words, skipped, rule, before``: what each chunk repeats, and the words stitched before it."""
     kind = chunks.schema["words"].dataType.simpleString()
-    longest = chunks.agg(F.max(F.size("words"))).first()[0] or 1
+    given = materialise(chunks.select("transcript_id", "chunk", "words"), "chunks")
+    longest = given.agg(F.max(F.size("words"))).first()[0] or 1
     reach = max(2 * longest, 40)
-    done = scan.carried_scan(chunks.select("transcript_id", "chunk", "words"), "transcript_id", ["chunk"], _stitch(reach), kind, "struct<skipped:int,rule:string>", block, run_up)
+    done = scan.carried_scan(given, "transcript_id", ["chunk"], _stitch(reach), kind, "struct<skipped:int,rule:string>", block, run_up, written=True)
     rows = scan.scanned_rows(done.withColumn("items", F.transform("items", lambda x: x.withField("block", F.col("block")))), ["item.transcript_id", "item.block", "item.chunk", "item.words", "out.skipped", "out.rule"])
     rows = materialise(rows.withColumn("added", F.size("words") - F.col("skipped")), "seams")
     # Words before a chunk: those before its block, by one row a block, and those of its block.
