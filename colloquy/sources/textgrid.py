@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colloquy.work import materialise
+
 # Labels that stand for silence.
 SILENCE = ("", "<eps>", "sil", "sp", "spn")
 _INTERVAL = r'intervals\s*\[\d+\]:?\s*xmin\s*=\s*([\d.]+)\s*xmax\s*=\s*([\d.]+)\s*text\s*=\s*"((?:[^"]|"")*)"'
@@ -34,6 +36,15 @@ def read_textgrids(spark: SparkSession, path: str, **options) -> DataFrame:
 PROBLEMS = ("cut_off", "xmin", "xmax", "text", "number")
 
 
+def _words_tier(value: str) -> Column:
+    """What stands behind the first ``name = "words"`` of a file, up to the line that names the phones; empty without such a tier."""
+    name = 'name = "words"'
+    rest = F.substr(value, F.locate(name, F.col(value)) + len(name))
+    before = F.substring_index(rest, 'name = "phones"', 1)
+    whole = F.substr(before, F.lit(1), F.length(before) - F.length(F.substring_index(before, "\n", -1)))
+    return F.when(~F.contains(F.col(value), F.lit(name)), "").when(F.contains(rest, F.lit('name = "phones"')), whole).otherwise(rest)
+
+
 def scan_textgrids(files: DataFrame, offset_s: float = 0.0, digits: int | None = None, whole_text: bool = True, seen: Observation | None = None) -> DataFrame:
     """Every interval of the ``words`` tier of ``path, value`` by its lines: ``path, pos, text, start_s, end_s, problem, lines``.
 
@@ -43,17 +54,17 @@ def scan_textgrids(files: DataFrame, offset_s: float = 0.0, digits: int | None =
     times are rounded to ``digits``. The tier ends where that of the phones begins. ``seen`` counts the kept
     and the passed over by reason while the rows are read, without a further pass.
     """
-    tier = F.regexp_extract("value", r'(?s)name = "words"(.*?)(?:[^\n]*name = "phones"|\z)', 1)
-    head = r"(?m)^[ \t]*intervals \[[^\n]*(?:\n([^\n]*))?(?:\n([^\n]*))?(?:\n([^\n]*))?"
-    part = lambda i: F.regexp_extract_all(F.col("tier"), F.lit(head), F.lit(i))
-    found = F.arrays_zip(*(part(i).alias(n) for i, n in enumerate(("lines", "xmin", "xmax", "said"))))
-    rows = files.withColumn("tier", F.regexp_replace(tier, r"\n\z", "")).select("path", F.posexplode(found).alias("pos", "w")).select("path", F.col("pos").cast("long").alias("pos"), "w.*")
+    head = r"(?m)^[ \t]*intervals \[[^\n]*(?:\n[^\n]*)?(?:\n[^\n]*)?(?:\n[^\n]*)?"
+    found = F.regexp_extract_all(F.regexp_replace(_words_tier("value"), r"\n\z", ""), F.lit(head), F.lit(0))
+    rows = files.select("path", F.posexplode(found).alias("pos", "lines")).withColumn("line", F.split("lines", "\n"))
+    at = lambda i: F.coalesce(F.get("line", F.lit(i)), F.lit(""))
+    rows = rows.select("path", F.col("pos").cast("long").alias("pos"), "lines", F.size("line").alias("n"), at(1).alias("xmin"), at(2).alias("xmax"), at(3).alias("said"))
     behind = lambda c: F.btrim(F.get(F.split(c, "="), F.lit(1)), F.lit(" \t\r"))
     seconds = lambda c: F.expr(f"try_cast({c} AS double)")
     text = F.regexp_replace("said", "^[^=]*=", "")
     rows = rows.withColumns({"from": behind("xmin"), "to": behind("xmax"), "text": F.btrim(F.btrim(text if whole_text else F.get(F.split("said", "="), F.lit(1)), F.lit(" \t\r")), F.lit('"'))})
     rows = rows.withColumns({"start_s": seconds("`from`"), "end_s": seconds("`to`")})
-    problem = F.when(F.length(F.regexp_replace("lines", "[^\n]", "")) < 3, "cut_off")
+    problem = F.when(F.col("n") < 4, "cut_off")
     for line in ("xmin", "xmax", "said"):
         problem = problem.when(~F.contains(F.col(line), F.lit("=")), "text" if line == "said" else line)
     rows = rows.withColumn("problem", problem.when(F.col("start_s").isNull() | F.col("end_s").isNull(), "number"))
@@ -94,7 +105,8 @@ def aligner_words(files: DataFrame, original: DataFrame, digits: int = 2) -> Dat
 
 def fallback_words(files: DataFrame, original: DataFrame, offset_s: float = 0.0, seconds_per_word: float = 0.5) -> DataFrame:
     """Words of a fallback aligner: forms of equal originals, by place where the counts agree; without a ``words`` tier half a second a word."""
-    words = by_place(restore_case(scanned_words(scan_textgrids(files, offset_s)), original), original)
+    # Written once: files would be scanned for the counts and again for the words.
+    words = by_place(materialise(restore_case(scanned_words(scan_textgrids(files, offset_s)), original), "aligned_words"), original)
     tiers = files.where(F.contains("value", F.lit('name = "words"'))).select("path")
     step = F.lit(seconds_per_word)
     even = original.join(tiers, "path", "left_anti").select("path", "word_idx", "text", (offset_s + F.col("word_idx") * step).alias("start_s"), (offset_s + (F.col("word_idx") + 1) * step).alias("end_s"))
