@@ -379,8 +379,9 @@ def with_original_text(texts: DataFrame) -> DataFrame:
             parts.append(_timed_lists(list(originals_with_times([a.split() for a in texts], *times))))
         return pa.concat_arrays(parts)
 
-    rows = texts.withColumn("w", timed(F.coalesce("original", F.lit("")), F.coalesce("aligned", F.array().cast(kind)), "start_s", "end_s"))
-    return rows.select("transcript_id", F.posexplode("w").alias("word_idx", "w")).select("transcript_id", "word_idx", "w.*")
+    # exploded where it is made: of a column Spark would ask first whether it is empty, and run the function twice
+    words = timed(F.coalesce("original", F.lit("")), F.coalesce("aligned", F.array().cast(kind)), "start_s", "end_s")
+    return texts.select("transcript_id", F.posexplode(words).alias("word_idx", "w")).select("transcript_id", "word_idx", "w.*")
 
 
 def _timed_lists(rows: list[list[dict]]) -> pa.Array:
@@ -445,8 +446,8 @@ def word_spans(texts: DataFrame, ahead: int = 10) -> DataFrame:
         return pd.Series([words_from_characters(t.split(), list(s), ahead) for t, s in zip(text, spans, strict=True)])
 
     kind = "array<struct<char:string,start_ms:double,end_ms:double>>"
-    rows = texts.withColumn("w", timed(F.coalesce("text", F.lit("")), F.coalesce("spans", F.array().cast(kind))))
-    return rows.select("transcript_id", F.posexplode("w").alias("word_idx", "w")).select("transcript_id", "word_idx", "w.*")
+    words = timed(F.coalesce("text", F.lit("")), F.coalesce("spans", F.array().cast(kind)))
+    return texts.select("transcript_id", F.posexplode(words).alias("word_idx", "w")).select("transcript_id", "word_idx", "w.*")
 
 
 def words_from_characters(words: list[str], spans: list[dict], ahead: int = 10) -> list[dict]:
@@ -491,7 +492,7 @@ def word_diff(pairs: DataFrame) -> DataFrame:
 
         return pd.Series([one(list(a), list(b)) for a, b in zip(original, processed, strict=True)])
 
-    return pairs.withColumn("diff", diff("original", "processed"))
+    return pairs.withColumn("diff", diff.asNondeterministic()("original", "processed"))  # so that exploding it does not run it twice
 
 
 def pack_sentences(texts: DataFrame, max_words: int = 500) -> DataFrame:

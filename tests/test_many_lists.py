@@ -76,3 +76,13 @@ def test_chunks_are_built_once(spark, monkeypatch):
     out = align.stitch_chunks(given.mapInArrow(seen, given.schema)).first()
     assert out["words"] == [f"w{i}" for i in range(105)] and out["skipped"] == 95
     assert read.value == 20  # once each pass; it was read twice for the longest chunk and for the blocks
+
+
+def test_functions_whose_lists_are_exploded_run_once(spark):
+    kind = "array<struct<text:string,start_s:double,end_s:double>>"
+    timed = spark.sql(f"SELECT id AS transcript_id, 'a b c' AS original, CAST(array() AS {kind}) AS aligned, 0D AS start_s, 1D AS end_s FROM range(3)")
+    spans = spark.sql("SELECT id AS transcript_id, 'a b' AS text, CAST(array() AS array<struct<char:string,start_ms:double,end_ms:double>>) AS spans FROM range(3)")
+    diffs = align.word_diff(spark.sql("SELECT split('a b', ' ') AS original, split('a c', ' ') AS processed FROM range(3)")).selectExpr("explode(diff) AS d")
+    for rows in (align.with_original_text(timed), align.word_spans(spans), diffs):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1  # once two
+    assert [align.with_original_text(timed).count(), align.word_spans(spans).count(), diffs.count()] == [9, 6, 3]
