@@ -105,6 +105,7 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
 
         def flush() -> pa.RecordBatch:
             whole = pa.Table.from_batches(rows).combine_chunks()
+            rows.clear()  # the batches as they came are as large again
             text = whole.column("text").chunk(0)
             data, offs = next((d, o) for _, _, d, o in tk.blocks(text, 1 << 62))
             words, codes, counts = _number(data, offs, pattern)
@@ -119,7 +120,7 @@ def number_batches(docs: DataFrame, pattern: str, batch_rows: int, batch_bytes:
             for a, b, data, _ in tk.blocks(batch.column("text")):
                 if rows and (size + len(data) > batch_bytes or sum(r.num_rows for r in rows) + b - a > batch_rows):
                     yield flush()
-                    rows, size = [], 0
+                    size = 0
                 rows.append(batch.slice(a, b - a))
                 size += len(data)
         if rows:

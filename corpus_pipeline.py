@@ -8,6 +8,9 @@ for the near copies, of which one stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from colloquy.llm import bpe_words, decontaminate, minhash_dedup, quality_classi
 from colloquy.llm.queries import BYTE_RANKS
 from colloquy.llm.shared import materialise, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on these documents, does not reject; null and empty texts go."""
@@ -43,12 +48,27 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Bytes of a batch that goes to Python or comes from it. By rows alone a batch has 10,000 documents, and the JVM and Python hold several.
+BATCH_BYTES = 4 << 20
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage with batches of ``BATCH_BYTES`` in its session; results do not depend on batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality_classifier", good_documents),
-    ("near_dedup", one_of_near_copies),
-    ("substring_dedup", without_repeated_passages),
-    ("decontamination", without_benchmark),
-    ("byte_bpe", token_ids),
+    ("quality_classifier", _in_small_batches(good_documents)),
+    ("near_dedup", _in_small_batches(one_of_near_copies)),
+    ("substring_dedup", _in_small_batches(without_repeated_passages)),
+    ("decontamination", _in_small_batches(without_benchmark)),
+    ("byte_bpe", _in_small_batches(token_ids)),
 ]
 
 #: Fitted models, chains of seeds and token ids have no SQL form; tests hold the stages against brute force.
