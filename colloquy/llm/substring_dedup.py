@@ -245,7 +245,7 @@ def seed_matches(rows: DataFrame) -> DataFrame:
     last = F.coalesce(F.col("owner"), F.col("tail.doc_id"))
     to_last = both.withColumns({"last": last, "last_pos": F.coalesce(F.col("opos"), place(F.col("tail.at")))}).where("last IS NOT NULL AND last <> head.doc_id AND doc_id <> last")
     to_last = to_last.select("seed", "doc_id", F.col("last").alias("owner"), "pos", F.col("last_pos").alias("opos"), F.lit(True).alias("near"))
-    return linked.unionByName(to_first).unionByName(to_last)
+    return linked.unionByName(materialise(to_first.unionByName(to_last), "open-links"))  # all of it stands written
 
 
 class _PrefixMax:
@@ -271,18 +271,25 @@ class _PrefixMax:
         return found
 
 
-def diagonal_runs(pos: np.ndarray, opos: np.ndarray, k: int, reach: int) -> list[tuple[int, int, int, int]]:
-    """Matches on one diagonal at most ``reach`` words apart as one stretch ``start, end, other start, words covered``."""
-    order = np.lexsort((pos, pos - opos))
-    p, d = pos[order], (pos - opos)[order]
+def runs_of_groups(group: np.ndarray, pos: np.ndarray, opos: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Matches of a group on one diagonal at most ``reach`` words apart as one stretch: ``group, start, end, other start, words covered``, sorted."""
+    d = pos - opos
+    order = np.lexsort((pos, d, group))
+    g, p, d = group[order], pos[order], d[order]
     new = np.ones(len(p), bool)
-    new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > reach)
+    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (p[1:] - p[:-1] > reach)
     begin = np.flatnonzero(new)
-    step = np.minimum(np.diff(p, append=p[-1] + k), k)
-    step[np.append(begin[1:], len(p)) - 1] = k
-    covered = np.add.reduceat(step, begin)
-    end = p[np.append(begin[1:], len(p)) - 1] + k
-    return sorted(zip(p[begin].tolist(), end.tolist(), (p[begin] - d[begin]).tolist(), covered.tolist(), strict=True))
+    last = np.append(begin[1:], len(p))[: len(begin)] - 1
+    step = np.minimum(np.diff(p, append=p[-1:] + k), k)
+    step[last] = k
+    found = g[begin], p[begin], p[last] + k, p[begin] - d[begin], np.add.reduceat(step, begin) if len(begin) else step
+    order = np.lexsort(found[::-1])
+    return tuple(x[order] for x in found)
+
+
+def diagonal_runs(pos: np.ndarray, opos: np.ndarray, k: int, reach: int) -> list[tuple[int, int, int, int]]:
+    """``runs_of_groups`` of one group: ``start, end, other start, words covered``."""
+    return list(zip(*(x.tolist() for x in runs_of_groups(np.zeros(len(pos), np.int64), pos, opos, k, reach)[1:]), strict=True))
 
 
 def chains(runs: list[tuple[int, int, int, int]], gap_cost: float) -> list[list[int]]:
@@ -322,25 +329,38 @@ def _stretches(matches: DataFrame, how: PassageSearch, least: int = 0) -> DataFr
         for batch in batches:
             lists = batch.column("at")
             offs = lists.offsets.to_numpy()
-            pos, opos = (lists.values.field(i).to_numpy() for i in (0, 1))
+            pos, opos = (lists.values.field(i).to_numpy()[offs[0] : offs[-1]].astype(np.int64) for i in (0, 1))
+            group = np.repeat(np.arange(len(lists)), np.diff(offs))
+            docs, owners = (batch.column(c).to_numpy() for c in ("doc_id", "owner"))
+            g, *runs = runs_of_groups(group, pos, opos, how.k, how.reach)
+            h, *pieces = runs_of_groups(group, pos, opos, how.k, how.k)
+            where, piece_at = (np.searchsorted(x, np.arange(len(lists) + 1)) for x in (g, h))
+            # most groups are one stretch, which is its own chain with all pieces
+            one = np.flatnonzero(np.diff(where) == 1)
+            s, e, os, _ = (x[where[one]] for x in runs)
+            one, s, e, os = (x[e - s >= least] for x in (one, s, e, os))
+            n = np.diff(piece_at)[one]
+            of_one = tk.expand(piece_at[one], n)
+            ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            cols = [docs[one], owners[one], *(x.astype(np.int32) for x in (s, e, os, os + e - s))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *(pa.ListArray.from_arrays(ends, pa.array(x[of_one].astype(np.int32))) for x in pieces[:3])], names=names)
             rows = []
-            for i, (doc, owner) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("owner").to_pylist(), strict=True)):
-                a, b = offs[i], offs[i + 1]
-                runs = diagonal_runs(pos[a:b].astype(np.int64), opos[a:b].astype(np.int64), how.k, how.reach)
-                pieces = diagonal_runs(pos[a:b].astype(np.int64), opos[a:b].astype(np.int64), how.k, how.k)
+            for i in np.flatnonzero(np.diff(where) > 1).tolist():
+                own = list(zip(*(x[where[i] : where[i + 1]].tolist() for x in runs), strict=True))
                 on: dict[int, list] = {}
-                for s, e, os, _ in pieces:
+                for s, e, os in zip(*(x[piece_at[i] : piece_at[i + 1]].tolist() for x in pieces[:3]), strict=True):
                     on.setdefault(s - os, []).append((s, e))
-                for chain in chains(runs, how.gap_cost):
-                    (s, e1, os, _), (s2, e, os2, _) = runs[chain[0]], runs[chain[-1]]
+                for chain in chains(own, how.gap_cost):
+                    (s, e1, os, _), (s2, e, os2, _) = own[chain[0]], own[chain[-1]]
                     if e - s < least:
                         continue
-                    parts = [(x, y, x - ps + po) for ps, pe, po, _ in (runs[i] for i in chain) for x, y in on[ps - po] if ps <= x < pe]
-                    rows.append((doc, owner, s, e, os, os2 + e - s2, *map(list, zip(*parts, strict=True))))
+                    parts = [(x, y, x - ps + po) for ps, pe, po, _ in (own[r] for r in chain) for x, y in on[ps - po] if ps <= x < pe]
+                    rows.append((int(docs[i]), int(owners[i]), s, e, os, os2 + e - s2, *map(list, zip(*parts, strict=True))))
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "owner", "s", "e", "os", "oe", "ps", "pe", "po"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
+    names = ["doc_id", "owner", "s", "e", "os", "oe", "ps", "pe", "po"]
     grouped = matches.groupBy("doc_id", "owner").agg(F.collect_list(F.struct("pos", "opos")).alias("at"))
     return grouped.mapInArrow(run, "doc_id long, owner long, s int, e int, os int, oe int, ps array<int>, pe array<int>, po array<int>")
 
@@ -410,9 +430,11 @@ def _on(a: np.ndarray, b: np.ndarray, cost: int) -> int:
         look *= 4
 
 
-def parts_alike(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]], how: PassageSearch) -> list[tuple[int, int, int, int, float]]:
+def parts_alike(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]], how: PassageSearch, ends: tuple[int, int] | None = None) -> list[tuple[int, int, int, int, float]]:
     """``start, end, other start, other end, identity`` of a chain, or of its parts if it is not alike as a whole.
 
+    ``ends``: how far the whole chain goes on before it and after it at one off a mismatch, if that is known.
+
     ``pieces`` are the stretches ``start, end, other start`` of the chain that seeds cover; they are equal word by word. The words between two
     of them are compared once (their longest common subsequence), so any part's equal words are a difference of sums. A chain
     under the identity is split at its widest gap, again and again down to single pieces.
@@ -436,7 +458,8 @@ def parts_alike(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]]
         oe = pieces[j - 1][2] + e - pieces[j - 1][0]
         inner = int(sums[2 * j - 1] - sums[2 * i])
         for cost in (1, 2, 4):  # the widest that is alike; at 4, what an exact piece is extended by is
-            back, on = _on(a[:s][::-1], b[:os][::-1], cost), _on(a[e:], b[oe:], cost)
+            known = ends is not None and cost == 1 and j - i == n
+            back, on = ends if known else (_on(a[:s][::-1], b[:os][::-1], cost), _on(a[e:], b[oe:], cost))
             same = inner + int((a[s - back : s] == b[os - back : os]).sum()) + int((a[e : e + on] == b[oe : oe + on]).sum())
             identity = same / max(e - s + back + on, oe - os + back + on, 1)
             if identity >= how.identity:
@@ -488,21 +511,27 @@ def _align(pairs: DataFrame, how: PassageSearch) -> DataFrame:
         s, e, os, oe = get("s") - lo, get("e") - lo, get("os") - olo, get("oe") - olo
         back = _ends(flat, [begin[0] + s - 1, begin[1] + os - 1], s, os, -1)
         on = _ends(flat, [begin[0] + e, begin[1] + oe], length[0] - e, length[1] - oe, 1)
+        x, y, ox, oy = s - back, e + on, os - back, oe + on
+        alike = np.flatnonzero(y - x == oy - ox)
+        equal = flat[0][tk.expand(begin[0][alike] + x[alike], (y - x)[alike])] == flat[1][tk.expand(begin[1][alike] + ox[alike], (y - x)[alike])]
+        differ = np.bincount(np.repeat(alike, (y - x)[alike])[~equal], minlength=batch.num_rows) > 0
+        differ[y - x != oy - ox] = True
+        exact = np.flatnonzero(~differ & (y - x >= how.min_stretch))
+        cols = [[v[exact]] for v in (doc, x + lo, y + lo, owner, ox + olo, oy + olo, np.ones(len(doc)))]
         rows = []
-        parts = [batch.column(c) for c in ("ps", "pe", "po")]
-        for i in range(batch.num_rows):
-            a, b = (f[x[i] : x[i] + n[i]] for f, x, n in zip(flat, begin, length, strict=True))
-            x, y = a[s[i] - back[i] : e[i] + on[i]], b[os[i] - back[i] : oe[i] + on[i]]
-            if len(x) == len(y) and np.array_equal(x, y):
-                if len(x) >= how.min_stretch:
-                    rows.append((doc[i], s[i] - back[i] + lo[i], e[i] + on[i] + lo[i], owner[i], os[i] - back[i] + olo[i], oe[i] + on[i] + olo[i], 1.0))
-                continue
-            pieces = [(p - lo[i], q - lo[i], r - olo[i]) for p, q, r in zip(*(c[i].as_py() for c in parts), strict=True)]
-            rows += [(doc[i], p + lo[i], q + lo[i], owner[i], r + olo[i], t + olo[i], identity) for p, q, r, t, identity in parts_alike(a, b, pieces, how)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+        where, values = batch.column("ps").offsets.to_numpy(), [batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("ps", "pe", "po")]
+        where = where - where[0]
+        for i in np.flatnonzero(differ).tolist():
+            a, b = (f[z[i] : z[i] + n[i]] for f, z, n in zip(flat, begin, length, strict=True))
+            own, other = int(lo[i]), int(olo[i])
+            pieces = list(zip(*((v[where[i] : where[i + 1]] - z).tolist() for v, z in zip(values, (own, own, other), strict=True)), strict=True))
+            ends = int(back[i]), int(on[i])
+            rows += [(int(doc[i]), p + own, q + own, int(owner[i]), r + other, t + other, identity) for p, q, r, t, identity in parts_alike(a, b, pieces, how, ends)]
+        for c, more in zip(cols, zip(*rows, strict=True)):
+            c.append(np.array(more))
+        kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.float64)
         names = ["doc_id", "s", "e", "owner", "os", "oe", "identity"]
-        return pa.RecordBatch.from_arrays([pa.array([int(v) for v in c] if t != pa.float64() else list(c), t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return pairs.mapInArrow(run, "doc_id long, s int, e int, owner long, os int, oe int, identity double")
 
@@ -567,7 +596,7 @@ def find_passages(docs: DataFrame, how: PassageSearch = PassageSearch()) -> Data
     or so; one match alone is a phrase.
     """
     within = F.when(F.col("seed").bitwiseAND(1) == 1, F.sequence(F.lit(0), F.lit(how.long_k - how.k), F.lit(how.k))).otherwise(F.array(F.lit(0)))
-    links = materialise(seed_matches(seeds(docs, how)), "links")
+    links = seed_matches(seeds(docs, how))
     spread = lambda rows: rows.select("doc_id", "owner", "pos", "opos", F.explode(within).alias("step")).selectExpr("doc_id", "owner", "pos + step AS pos", "opos + step AS opos")
     one = _aligned(docs, spread(links.where("NOT near OR seed & 1 = 1")), how, how.first_chain)
     known = one.groupBy("doc_id").agg(_merged(F.array_sort(F.collect_set(F.struct("s", "e")))).alias("known")).hint("merge")  # grows with the documents: never broadcast

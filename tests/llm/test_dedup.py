@@ -317,3 +317,32 @@ def test_recall_of_shared_passages_against_all_pairs(spark):
     assert wanted and hit >= 0.98 * len(wanted), (hit, len(wanted))
     clean = {i for i in range(120)} - {i for i, _ in wanted}
     assert not {d for d, _, _ in found} & clean
+
+
+def test_stretches_of_many_groups_are_found_at_once(spark):
+    """Equal to a plain walk along each diagonal, for many groups and for none."""
+    rng = random.Random(8)
+    rows = [(g, *x) for g in range(300) for x in {(p, p + rng.choice([0, 0, 0, 7, 90])) for p in (rng.randrange(400) for _ in range(rng.choice([1, 1, 2, 9, 40])))}]
+    group, pos, opos = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    for reach in (5, 48):
+        plain = []
+        for g in range(300):
+            runs = {}
+            for p, o in sorted((p, o) for h, p, o in rows if h == g):
+                own = runs.setdefault(p - o, [])
+                if own and p - own[-1][-1] <= reach:
+                    own[-1].append(p)
+                else:
+                    own.append([p])
+            plain += sorted((g, r[0], r[-1] + 5, r[0] - d, 5 + sum(min(y - x, 5) for x, y in itertools.pairwise(r))) for d, own in runs.items() for r in own)
+        assert list(zip(*(x.tolist() for x in substring_dedup.runs_of_groups(group, pos, opos, 5, reach)), strict=True)) == plain
+    assert [len(x) for x in substring_dedup.runs_of_groups(*[np.zeros(0, np.int64)] * 3, 5, 48)] == [0] * 5
+
+
+def test_links_are_written_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(substring_dedup, "materialise", lambda df, name, codec="zstd": names.append(name) or materialise(df, name, codec))
+    passage = " ".join(prose(random.Random(4), 80))
+    docs = spark.createDataFrame([(1, passage), (2, "a b c " + passage)], "doc_id long, text string")
+    assert [(r["doc_id"], r["start_word"], r["n_words"]) for r in substring_dedup.find_passages(docs).collect()] == [(2, 3, 80)]
+    assert "links" not in names and names.count("seed-links") == 1
