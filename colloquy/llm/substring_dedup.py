@@ -141,7 +141,7 @@ def link_places(seed: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.
 
 
 _LINKS = "kind byte, part int, seed long, doc_id long, owner long, pos int, opos int, at array<int>"
-_FIRST, _NEAR, _OPEN, _HEAD, _TAIL = range(5)
+_FIRST, _NEAR, _TO_FIRST, _TO_LAST, _HEAD, _TAIL = range(6)
 
 
 def _links(columns: dict, kind: int, part: int) -> pa.RecordBatch:
@@ -156,8 +156,9 @@ def seed_matches(rows: DataFrame) -> DataFrame:
     """``seed, doc_id, owner, pos, opos, near`` of linked places; ``owner`` is the first document of the seed, or (``near``) the one just before.
 
     A seed whose places fill several partitions is linked as if it stood in one: the first seed of every partition may have begun
-    before, so its places stay open until the borders are known. A partition's borders are the first and the last document of its first
-    seed and of its last one, with their places: four rows a partition at most.
+    before, so links of its places to the first document (and, of its first two documents, to the one before) stay open until the borders
+    are known: ``opos`` is the place's number in its document then. A partition's borders are the first and the last document of its first
+    seed and of its last one, with their places: four rows a partition at most. All links look them up, one row each; only open ones find any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,30 +171,28 @@ def seed_matches(rows: DataFrame) -> DataFrame:
         def link(table: list[np.ndarray], upto: int, fresh_from: int) -> Iterator[pa.RecordBatch]:
             seed, doc, pos = (x[:upto] for x in table)
             for kind, (later, earlier) in zip((_FIRST, _NEAR), link_places(seed, doc)):
-                fresh = (later >= fresh_from) & (seed[later] != opening)
+                fresh = (later >= fresh_from) & ((kind == _NEAR) | (seed[later] != opening))
                 later, earlier = later[fresh], earlier[fresh]
                 yield _links({"seed": seed[later], "doc_id": doc[later], "owner": doc[earlier], "pos": pos[later], "opos": pos[earlier]}, kind, part)
 
         def open_rows(table: list[np.ndarray], upto: int, fresh_from: int) -> Iterator[pa.RecordBatch]:
-            """The first seed's places: ``owner`` is the document before, if it is in this partition; ``at`` the place's number in its document and the places there."""
+            """The first seed's places: each to the first document, those of the first two documents here to the last one before them."""
             n = int(np.searchsorted(table[0][:upto] != opening, True)) if upto and table[0][0] == opening else 0
             if n <= fresh_from:
                 return
             doc, pos = table[1][:n], table[2][:n]
-            start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            ends = np.append(start[1:], n)
-            cols: dict[str, list] = {"seed": [], "doc_id": [], "owner": [], "pos": [], "opos": [], "at": []}
-            for i, (x, y) in enumerate(zip(start.tolist(), ends.tolist())):
-                places = pos[x:y].tolist()
-                before = (int(doc[x - 1]), pos[start[i - 1] : x].tolist()) if i else None
-                if x >= fresh_from:
-                    for r, p in enumerate(places):
-                        cols["seed"].append(opening), cols["doc_id"].append(int(doc[x])), cols["pos"].append(p), cols["at"].append([r])
-                        cols["owner"].append(before[0] if before else None), cols["opos"].append(before[1][min(r, len(before[1]) - 1)] if before else None)
-                    opened[1:] = [(int(doc[x]), places)]
-                    if len(opened) == 1 or opened[0][0] == int(doc[x]):
-                        opened[:1] = [(int(doc[x]), places)]
-            yield _links(cols, _OPEN, part)
+            new = np.append(True, doc[1:] != doc[:-1])
+            start, run = np.flatnonzero(new), np.cumsum(new) - 1
+            rank = np.arange(n) - start[run]
+            at = np.arange(fresh_from, n)
+            yield _links({"seed": np.full(len(at), opening), "doc_id": doc[at], "pos": pos[at], "opos": rank[at]}, _TO_FIRST, part)
+            one, two = at[run[at] == 0], at[run[at] == 1]
+            yield _links({"seed": np.full(len(one), opening), "doc_id": doc[one], "pos": pos[one], "opos": rank[one]}, _TO_LAST, part)
+            if len(two):
+                other = pos[np.minimum(rank[two], start[1] - 1)]
+                yield _links({"seed": np.full(len(two), opening), "doc_id": doc[two], "owner": doc[np.zeros_like(two)], "pos": pos[two], "opos": other}, _TO_LAST, part)
+            x = start[-1]
+            opened[:] = [opened[0] if opened else (int(doc[0]), pos[run == 0].tolist()), (int(doc[x]), pos[x:].tolist())]
 
         def edge(kind: int, seed: int, doc: int, places: list[int]) -> pa.RecordBatch:
             return _links({"seed": [seed], "doc_id": [doc], "at": [places]}, kind, part)
@@ -231,21 +230,20 @@ def seed_matches(rows: DataFrame) -> DataFrame:
 
     dealt = rows.repartitionByRange("seed", "doc_id").sortWithinPartitions("seed", "doc_id", "pos")
     found = materialise(dealt.mapInArrow(run, _LINKS), "seed-links")
-    linked = found.where(F.col("kind") <= _NEAR).select("seed", "doc_id", "owner", "pos", "opos", (F.col("kind") == _NEAR).alias("near"))
     heads = found.where(F.col("kind") == _HEAD).groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("head"))
     # the last document of the last partition before that has the seed too
     tails = found.where(F.col("kind") == _TAIL).select("seed", F.col("part").alias("tail_part"), F.struct("doc_id", "at").alias("tail"))
     parts = found.where(F.col("kind") == _HEAD).select("seed", "part").distinct()
     earlier = parts.join(tails, "seed").where("tail_part < part").groupBy("seed", "part").agg(F.max_by("tail", "tail_part").alias("tail"))
     edges = materialise(parts.join(heads, "seed").join(earlier, ["seed", "part"], "left"), "edges")  # two rows a partition at most
-    open_ = found.where(F.col("kind") == _OPEN).withColumn("rank", F.col("at")[0]).drop("at", "kind")
-    both = open_.join(F.broadcast(edges), ["seed", "part"])
-    place = lambda at: F.element_at(at, F.least(F.col("rank") + 1, F.size(at)))
-    to_first = both.where("doc_id <> head.doc_id").select("seed", "doc_id", F.col("head.doc_id").alias("owner"), "pos", place(F.col("head.at")).alias("opos"), F.lit(False).alias("near"))
-    last = F.coalesce(F.col("owner"), F.col("tail.doc_id"))
-    to_last = both.withColumns({"last": last, "last_pos": F.coalesce(F.col("opos"), place(F.col("tail.at")))}).where("last IS NOT NULL AND last <> head.doc_id AND doc_id <> last")
-    to_last = to_last.select("seed", "doc_id", F.col("last").alias("owner"), "pos", F.col("last_pos").alias("opos"), F.lit(True).alias("near"))
-    return linked.unionByName(materialise(to_first.unionByName(to_last), "open-links"))  # all of it stands written
+    kind, own = F.col("kind"), F.col("owner")
+    place = lambda at: F.element_at(at, F.least(F.col("opos") + 1, F.size(at)))
+    owner = F.when(kind == _TO_FIRST, F.col("head.doc_id")).when(kind == _TO_LAST, F.coalesce(own, F.col("tail.doc_id"))).otherwise(own)
+    opos = F.when(kind == _TO_FIRST, place(F.col("head.at"))).when((kind == _TO_LAST) & own.isNull(), place(F.col("tail.at"))).otherwise(F.col("opos"))
+    links = found.where(kind <= _TO_LAST).join(F.broadcast(edges), ["seed", "part"], "left")
+    links = links.select("kind", "seed", "doc_id", owner.alias("owner"), "pos", opos.alias("opos"), kind.isin(_NEAR, _TO_LAST).alias("near"), F.col("head.doc_id").alias("first"))
+    held = (kind <= _NEAR) | ((F.col("doc_id") != F.col("owner")) & ((kind == _TO_FIRST) | (F.col("owner") != F.col("first"))))
+    return links.where(held).drop("kind", "first")
 
 
 class _PrefixMax:

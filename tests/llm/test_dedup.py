@@ -346,3 +346,23 @@ def test_links_are_written_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, passage), (2, "a b c " + passage)], "doc_id long, text string")
     assert [(r["doc_id"], r["start_word"], r["n_words"]) for r in substring_dedup.find_passages(docs).collect()] == [(2, 3, 80)]
     assert "links" not in names and names.count("seed-links") == 1
+
+
+def test_open_links_of_a_common_seed_are_looked_up_and_not_joined_apart(spark, monkeypatch):
+    rows = [(7, d, p) for d in range(3000) for p in (1, 9)] + [(s, 5, s) for s in range(20, 60)]
+    written = {}
+
+    def noted(df, name, *codec):
+        written[name] = materialise(df, name, *codec)
+        return written[name]
+
+    monkeypatch.setattr(substring_dedup, "materialise", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = substring_dedup.seed_matches(spark.createDataFrame(rows, "seed long, doc_id long, pos int").repartition(3))
+        assert set(map(tuple, links.collect())) == _plain_links(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(written) == {"seed-links", "edges"}  # links of open places were joined and written apart
+    assert written["seed-links"].where("seed = 7").select("part").distinct().count() > 2
+    assert written["seed-links"].where(written["seed-links"]["kind"] == substring_dedup._TO_LAST).count() <= 16  # two documents with two places in each of 4 partitions
