@@ -42,9 +42,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: Bytes of text that are tokenized as one batch. A task holds several times as much, and its Python process lives on into the next stages.
+TOKEN_BATCH_BYTES = 2 << 20
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` by byte-level BPE; an empty text has no ids."""
-    out = bpe_words.byte_bpe(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    out = bpe_words.byte_bpe(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, batch_bytes=TOKEN_BATCH_BYTES)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
